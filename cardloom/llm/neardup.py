@@ -165,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed edges (a, b), enough to connect all classes (node, n, sig) that links connect."""
-    keys = keyed(classes)
+    keys = keyed(classes).repartition("key")  # one shuffle serves the count and the join
     groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where("size > 1")
     members = materialise(keys.join(groups, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
