@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMS = 384
 _WORD = re.compile(r"[a-z0-9]+")
@@ -26,7 +27,7 @@ def hash_vector(text: str | None, dims: int = DIMS) -> np.ndarray:
     return out / n if n else out
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embed(text: pd.Series) -> pd.Series:
     return text.map(hash_vector)
 
@@ -34,7 +35,7 @@ def hash_embed(text: pd.Series) -> pd.Series:
 def resolver(known: list[str], floor: float = 0.88):
     """A function of a column of names: the known entity that equals each but for case, else the most similar of ratio floor or more, else the name itself. `known` is a driver-side list."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def resolve(names: pd.Series) -> pd.Series:
         lower = {k.lower(): k for k in sorted(known, reverse=True)}
 
@@ -52,7 +53,7 @@ def resolver(known: list[str], floor: float = 0.88):
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def parse_facts(reply: pd.Series) -> pd.Series:
     """Facts in a model's reply: a JSON list or object with `facts`, fenced or bare, else its list lines."""
 
@@ -76,7 +77,7 @@ def parse_facts(reply: pd.Series) -> pd.Series:
 _ARROW = re.compile(r"\(?\s*([^,()|>-]+?)\s*(?:,|\||->|-)\s*([^,()|>-]+?)\s*(?:,|\||->|-)\s*([^,()|>-]+?)\s*\)?\s*$", re.M)
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def parse_triplets(reply: pd.Series) -> pd.Series:
     """(subject, predicate, object) triplets in a reply: JSON lists or objects, else lines of three parts."""
 
@@ -92,7 +93,7 @@ def parse_triplets(reply: pd.Series) -> pd.Series:
     return reply.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parse_action(reply: pd.Series) -> pd.Series:
     """ADD, UPDATE, DELETE or NOOP named in a reply; ADD if none is."""
 

@@ -65,13 +65,18 @@ def duplicate_pairs(cards: DataFrame, floor: float = 0.7) -> DataFrame:
 
     Prefix filter: two word sets of that similarity share one of the first n - ceil(floor * n) + 1 words, rarest first.
     """
-    words = cards.withColumn("ws", F.expr("array_distinct(filter(split(lower(trim(coalesce(fact, ''))), '\\\\s+'), w -> w <> ''))")).where("size(ws) > 0").select("id", "scope", "fact", "ws")
+    split_up = "array_distinct(filter(split(lower(trim(coalesce(fact, ''))), '\\\\s+'), w -> w <> ''))"
+    words = graph.stored(cards.selectExpr("id", "scope", f"transform({split_up}, w -> xxhash64(w)) as ws").where("size(ws) > 0"))
     df = words.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.select("id", F.explode("ws").alias("w")).join(df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("rs"))
-    keyed = words.join(ranked, "id").withColumn("key", F.expr(f"explode(slice(rs.w, 1, cast(size(rs) - ceil({floor}D * size(rs)) + 1 as int)))")).drop("rs")
-    near = keyed.alias("a").join(keyed.alias("b"), F.expr(f"a.key = b.key and a.scope <=> b.scope and a.id < b.id and least(size(a.ws), size(b.ws)) >= {floor}D * greatest(size(a.ws), size(b.ws))"))
-    same = f"size(array_intersect(a.ws, b.ws)) >= {floor}D * size(array_union(a.ws, b.ws))"
-    return near.where(f"{same} and not {X.are_negations('a.fact', 'b.fact')}").selectExpr("a.id as a", "b.id as b").distinct()
+    ranked = words.select("id", "scope", F.explode("ws").alias("w")).join(df, "w").groupBy("id", "scope").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("rs"))
+    keyed = ranked.selectExpr("id", "scope", "size(rs) as n", f"explode(slice(rs.w, 1, cast(size(rs) - ceil({floor}D * size(rs)) + 1 as int))) as key")
+    near = keyed.alias("a").join(keyed.alias("b"), F.expr(f"a.key = b.key and a.scope <=> b.scope and a.id < b.id and least(a.n, b.n) >= {floor}D * greatest(a.n, b.n)")).selectExpr("a.id as a", "b.id as b").distinct()
+    both = near.join(words.selectExpr("id as a", "ws as wa"), "a").join(words.selectExpr("id as b", "ws as wb"), "b")
+    same = both.withColumn("i", F.expr("size(array_intersect(wa, wb))")).where(f"i >= {floor}D * (size(wa) + size(wb) - i)").select("a", "b")
+    # few pairs are left for the costly look at polarity
+    facts = cards.select("id", "fact")
+    said = graph.stored(same.join(facts.selectExpr("id as a", "fact as fa"), "a").join(facts.selectExpr("id as b", "fact as fb"), "b"))
+    return said.where(f"not {X.are_negations('fa', 'fb')}").select("a", "b").distinct()
 
 
 def merge_clusters(cards: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardloom.functions import scalars as S
 
@@ -51,13 +52,13 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(last.select("id"), "id", "left_anti").unionByName(last.select(*old.columns))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_float32(blob: pd.Series) -> pd.Series:
     """Packed little-endian float32 to an array; null stays null, a cut value is dropped."""
     return blob.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_float32(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
