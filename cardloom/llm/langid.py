@@ -48,13 +48,11 @@ def _letters() -> np.ndarray:
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Row number and bucket of every trigram of letters and word edges in the texts; none where there is no letter."""
-    raw = "\x00\x00".join((t or "").lower() for t in texts)
-    points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.zeros(len(points), bool)
+    low = [(t or "").lower() + "\x00" for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(points) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts[2:] = (points[1:-1] == 0) & (points[:-2] == 0)
-    row = np.cumsum(starts)
+    row = np.repeat(np.arange(len(low)), [len(t) for t in low])
     points = _letters()[points]
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32) | (row[1:] != row[:-1])
@@ -67,12 +65,12 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about CHUNK_CHARS characters, with the number of the first; NULs, which part texts, become spaces."""
+    """Runs of texts of about CHUNK_CHARS characters, with the number of the first."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
         if size > CHUNK_CHARS or i + 1 == len(texts):
-            yield at, [x and x.replace("\x00", " ") for x in texts[at : i + 1]]
+            yield at, texts[at : i + 1]
             at, size = i + 1, 0
 
 
