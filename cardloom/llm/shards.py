@@ -43,14 +43,14 @@ ROUNDS = 6
 
 # Fixed value: how the vocabulary's tokenizer parts a text, in terms of Python's own character classes.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_odd: list[re.Pattern] = []
+_odd: list[frozenset[str]] = []
 
 
-def _oddities() -> re.Pattern:
+def _oddities() -> frozenset[str]:
     """Characters that Python's classes place elsewhere: numbers that are no decimal digits, and U+001C to U+001F."""
     if not _odd:
-        found = "".join(re.escape(chr(c)) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) in ("No", "Nl") or (chr(c).isalnum() and unicodedata.category(chr(c))[0] not in "LN"))
-        _odd.append(re.compile(rf"[\x1c-\x1f{found}]"))
+        numbers = (chr(c) for c in range(0x80, 0x110000) if chr(c).isalnum() and unicodedata.category(chr(c)) in ("No", "Nl"))
+        _odd.append(frozenset(numbers) | frozenset("\x1c\x1d\x1e\x1f"))
     return _odd[0]
 
 
@@ -74,7 +74,7 @@ class Tokenizer(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        if _oddities().search(text):
+        if not _oddities().isdisjoint(set(text)):
             return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
         return b"".join(map(self.__getitem__, PARTS.findall(text)))
 
