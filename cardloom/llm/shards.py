@@ -20,9 +20,11 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +72,7 @@ class Tokenizer(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) > 400_000:
             self.clear()
-        self[part] = out = np.array(self.bpe.encode_ordinary(part), "<u2").tobytes()
+        self[part] = out = array("H", self.bpe._encode_single_piece(part)).tobytes() if sys.byteorder == "little" else np.array(self.bpe._encode_single_piece(part), "<u2").tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
