@@ -146,7 +146,7 @@ def tokenise(docs: DataFrame, key: str, text_col: str, vocabulary: str, seq_len:
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, order_key: int = KEY) -> DataFrame:
     """Write the shards and manifest.json below path; gives one row for each sequence: key, seq_no, slot, shard, byte_offset, n_tokens, tokens_crc32."""
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, key, text_col, vocabulary, seq_len), "tokens")
+    tokens = materialise(tokenise(docs, key, text_col, vocabulary, seq_len), "tokens", "zstd")
     # one small row for each task that tokenised
     sums = tokens.groupBy("part").agg(F.sum("n_seq").alias("n")).orderBy("part").collect()
     total = sum(r["n"] for r in sums)
