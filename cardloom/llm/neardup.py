@@ -187,11 +187,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
+def heavy(classes: DataFrame) -> DataFrame:
+    """Keys that at least 1 in 200 of a 64th of the classes (and two of them) have: by that, at most 133 * 200 keys.
+
+    They only say which keys are dealt out in parts; results are the same without them.
+    """
+    some = classes.where("pmod(xxhash64(node), 64) = 0")
+    least = max(2, some.count() / 200)
+    return keyed(some).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= least).selectExpr("key", "true as heavy")
+
+
+def several(keys: DataFrame, often: DataFrame) -> DataFrame:
+    """Rows of keys whose key is there more than once, by one shuffle and one pass over sorted rows.
+
+    A key of `often` certainly is, so its rows are dealt out by node too; of others, a row goes if neither neighbour has its key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = last = None  # the newest row, if it isn't sent yet, and the newest key
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, salt = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "salt"))
+            same = key[1:] == key[:-1]
+            kept = np.concatenate([[key[0] == last], same]) | np.concatenate([same, [False]]) | (salt > 0)
+            out = b.select(["node", "key", "slot"])
+            if held is not None and key[0] == last:
+                yield held
+            yield out.filter(pa.array(kept))
+            held, last = None if kept[-1] else out.slice(b.num_rows - 1), key[-1]
+
+    salted = keys.join(F.broadcast(often), "key", "left").selectExpr("node", "key", "slot", "if(heavy, pmod(xxhash64(node), 4096) + 1, 0) as salt")
+    return salted.repartition("key", "salt").sortWithinPartitions("key").mapInArrow(run, "node long, key long, slot short")
+
+
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed edges (a, b), enough to connect all classes (node, n, sig) that links connect."""
-    keys = keyed(classes).repartition("key")  # one shuffle serves the count and the join
-    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where("size > 1")
-    members = materialise(keys.join(groups, "key"), "members")
+    shared = materialise(several(keyed(classes), heavy(classes)), "shared")
+    groups = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep"))
+    members = materialise(shared.join(groups, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
     second = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.expr("-node").alias("m"))).alias("x")).selectExpr("key", "-x.m as rep2")
     star = members.selectExpr("node as a", "rep as b").where("a <> b").distinct().union(members.join(second, "key").selectExpr("node as a", "rep2 as b").where("a <> b").distinct())
