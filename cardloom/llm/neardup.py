@@ -44,6 +44,9 @@ SIMILARITY = 85  # percent
 BITS = 1536
 BIT_DISTANCE = int(BITS * 0.075 + 4.2 * (BITS * 0.075 * 0.925) ** 0.5)
 
+#: Ids of at most so many documents (16 MB) go to every executor, to pick their texts; of more, the texts are shuffled to them.
+BROADCAST_ROWS = 2_000_000
+
 _A = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _C = mix(np.arange(1001, VALUES + 1001, dtype=np.uint64))
 
@@ -162,13 +165,14 @@ def _of_texts(nodes: DataFrame, docs: DataFrame, name: str, fn) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *got])))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), flat], names=["node", name])
 
-    texts = docs.selectExpr("cast(doc_id as bigint) as node", "text").join(nodes, "node", "left_semi")
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.selectExpr("cast(doc_id as bigint) as node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
     return texts.mapInArrow(run, f"node long, {name} array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose full shingle sets have the similarity. Sets are made for the documents in pairs only."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
     sets = materialise(_of_texts(nodes, docs, "s", lambda s: s.view(np.int64)), "sets")
     both = pairs.join(sets.selectExpr("node as a", "s as sa"), "a").join(sets.selectExpr("node as b", "s as sb"), "b")
     return both.withColumn("i", F.expr("size(array_intersect(sa, sb))")).where(f"100 * i >= {SIMILARITY} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
@@ -236,7 +240,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     labelled = materialise(members.select("key", "node", "slot").join(components(first), "node", "left").selectExpr("key", "slot", "node", "coalesce(comp, node) as comp"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = materialise(labelled.join(mixed, "key", "left_semi").join(facts, "node"), "rest")
-    bits = materialise(_of_texts(rest.select("node").distinct(), docs, "bits", bit_signature), "bits")
+    bits = materialise(_of_texts(materialise(rest.select("node").distinct(), "nodes"), docs, "bits", bit_signature), "bits")
     rest = rest.join(bits, "node")
     pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.comp <> b.comp and {NEAR} and {SAME_BITS} and {FIRST}")).selectExpr("a.node as a", "b.node as b").distinct()
     return first.union(confirm(materialise(pairs, "pairs"), docs))
