@@ -154,3 +154,19 @@ def test_neardup(spark, odd):
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (7, 8)} == {7}
     assert neardup.link_documents(odd.limit(0)).count() == 0
     assert sorted(r.doc_id or 0 for r in neardup.keep_first(odd).collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_neardup_shared_keys(spark):
+    rows = [(n, k, 0) for n in range(400) for k in ({1, n % 150 + 2, 1000 + n})]  # key 1: all, 2-151: two or three, the rest: one
+    keys = spark.createDataFrame(rows, "node long, key long, slot short")
+    often = spark.createDataFrame([(1, True)], "key long, heavy boolean")
+    count = {}
+    for _, k, _ in rows:
+        count[k] = count.get(k, 0) + 1
+    want = sorted((n, k) for n, k, _ in rows if count[k] > 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for chosen in (often, often.limit(0)):
+            assert sorted((r.node, r.key) for r in neardup.several(keys, chosen).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
