@@ -28,7 +28,7 @@ BUCKETS = 1 << 15
 #: At most so many languages are learned from: it bounds the broadcast table to 128 MB of float32.
 MAX_LANGS = 1000
 EM_STEPS = 25
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 250_000
 
 OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", T.ArrayType(T.StringType()))]
 
