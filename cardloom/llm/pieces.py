@@ -37,7 +37,7 @@ SEED = 17
 MARK = 0x2581
 #: Stands for U+2581 of a text; beyond Unicode, so no piece has it.
 LITERAL_MARK = 0x110001
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Up to this length of words forward weights are plain products; beyond it logarithms.
 LINEAR = 40
 #: Words are sampled together with others of up to the same of these lengths; longer ones one by one.
@@ -292,25 +292,40 @@ def decode_column(df: DataFrame, ids_col: str = "piece_ids", out_col: str = "dec
     return arrow_map(df, [T.StructField(out_col, T.StringType())], run)
 
 
+DIGESTS = [T.StructField("n_pieces", T.LongType()), T.StructField("pieces_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
+
+
+def _digests(ids: list[np.ndarray | None], texts: list[str | None], model: Model) -> list[pa.Array]:
+    n = [0 if a is None else len(a) for a in ids]
+    sha = [None if a is None else hashlib.sha256(a.astype("<i4").tobytes()).hexdigest() for a in ids]
+    same = [(a is None and t is None) or (a is not None and (decode(a, model) if len(a) else "") == t) for a, t in zip(ids, texts, strict=True)]
+    return [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
+
+
 def digest_column(df: DataFrame, ids_col: str = "piece_ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """df plus n_pieces, pieces_sha256 (of the ids as little-endian int32) and lossless (decoding gives the text)."""
-    fields = [T.StructField("n_pieces", T.LongType()), T.StructField("pieces_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
 
     def run(batch: pa.RecordBatch) -> list:
-        ids, texts, n, sha, same = batch.column(batch.schema.get_field_index(ids_col)), column(batch, text_col), [], [], []
-        for x, t in zip(ids, texts, strict=True):
-            a = None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<i4")
-            n.append(0 if a is None else len(a))
-            sha.append(None if a is None else hashlib.sha256(a.tobytes()).hexdigest())
-            same.append((a is None and t is None) or (a is not None and (decode(a, load(model)) if len(a) else "") == t))
-        return [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
+        ids = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in batch.column(batch.schema.get_field_index(ids_col))]
+        return _digests(ids, column(batch, text_col), load(model))
+
+    return arrow_map(df, DIGESTS, run)
+
+
+def encode_digest_column(df: DataFrame, key: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """encode_column() and digest_column() in one pass: a task has one Python worker instead of two."""
+
+    def run(batch: pa.RecordBatch) -> list:
+        texts = column(batch, text_col)
+        ids = encode(texts, column(batch, key), load(model), alpha, seed)
+        return [_lists(ids), *_digests(ids, texts, load(model))]
 
-    return arrow_map(df, fields, run)
+    return arrow_map(df, [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *DIGESTS], run, rows=1024)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: its number of pieces, their digest and whether the text came back."""
-    out = digest_column(encode_column(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = encode_digest_column(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_pieces", "pieces_sha256", "lossless")
 
 

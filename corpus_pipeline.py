@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text, checked by decoding: docs plus piece_ids, n_pieces, pieces_sha256, lossless."""
-    return pieces.digest_column(pieces.encode_column(docs))
+    return pieces.encode_digest_column(docs)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_passages", benchmark_passages), ("personal_data", personal_data), ("encode", encode)]

@@ -21,6 +21,7 @@ def test_pieces(spark, odd):
     m = pieces.load(pieces.MODEL)
     rows = pieces.digest_column(pieces.encode_column(odd)).collect()
     assert len(rows) == len(ODD) and all(r.lossless for r in rows)
+    assert sorted(pieces.encode_digest_column(odd).collect(), key=str) == sorted(rows, key=str)
     for i, t in [(1, "Hello  world ▁ \n\n x"), (2, "some other words, to sample")]:
         assert pieces.encode([t], [i], m)[0].tolist() == pieces.brute(t, i, m)
     assert [r.decoded for r in pieces.decode_column(pieces.encode_column(odd)).collect()] == [t for _, t in ODD]
