@@ -206,7 +206,7 @@ def cut(text: str | None, runs: list[int]) -> str | None:
     """text without the words in runs; what stands between two cut words goes too."""
     if not text or not runs:
         return text
-    spans = [m.span() for m in WORD.finditer(text)]
+    spans = [m.span() for m in WORD.finditer(ascii_lower(text))]
     out, at = [], 0
     for a, b in zip(runs[::2], runs[1::2], strict=True):
         out.append(text[at : spans[a][0]])

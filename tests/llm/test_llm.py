@@ -171,3 +171,8 @@ def test_neardup_shared_keys(spark):
             assert sorted((r.node, r.key) for r in neardup.several(keys, chosen).collect()) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cut_counts_capitals_as_letters():
+    assert decontaminate.cut("ABC The Long passage, Here XY end", [1, 3]) == "ABC  passage, Here XY end"
+    assert decontaminate.cut("ALL CAPS", [0, 2]) == ""
