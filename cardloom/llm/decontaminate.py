@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardloom.llm.common import arrow_map, ascii_lower, column, read
@@ -174,8 +175,10 @@ HITS = [
 ]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs plus n_words, hit_runs (word positions first, end, first, end, ...) and hit_items (ids as text, sorted)."""
+def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, cut_col: str | None = None) -> DataFrame:
+    """docs plus n_words, hit_runs (word positions first, end, first, end, ...), hit_items (ids as text, sorted) and,
+    as cut_col, the text without those words: made in the same pass, so that a task has one Python worker."""
+    fields = HITS + ([T.StructField(cut_col, T.StringType())] if cut_col else [])
     spark, out, first = docs.sparkSession, docs, True
     for block in _blocks(items.select(item_id, item_text).toLocalIterator(), block_words):
         sent = spark.sparkContext.broadcast(block)
@@ -184,7 +187,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
         def run(batch: pa.RecordBatch, first=first, sent=sent, built=built) -> list:
             if not built:
                 built.append(SuffixAutomaton(sent.value, window))
-            auto, n_words, all_runs, all_items = built[0], [], [], []
+            auto, n_words, all_runs, all_items, rest = built[0], [], [], [], []
             before = None if first else list(zip(column(batch, "hit_runs"), column(batch, "hit_items"), strict=True))
             for k, text in enumerate(column(batch, text_col)):
                 words = WORD.findall(ascii_lower(text)) if text else []
@@ -196,9 +199,11 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
                 n_words.append(len(words))
                 all_runs.append([x for r in runs for x in r])
                 all_items.append(sorted(set(ids)))
-            return [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
+                if cut_col:
+                    rest.append(cut(text, all_runs[-1]))
+            return [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string())), *[pa.array(rest, pa.string())] * bool(cut_col)]
 
-        out, first = arrow_map(out, HITS, run), False
+        out, first = arrow_map(out, fields, run), False
     return out
 
 
@@ -219,13 +224,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
 
     Same columns as docs. Clean documents are left exactly as they are.
     """
-    hit = find_hits(docs, items, text_col, window=window, block_words=block_words)
+    hit = find_hits(docs, items, text_col, window=window, block_words=block_words, cut_col="hit_cut")
     ok = hit.where(f"size(hit_runs) = 0 or 2 * aggregate(transform(sequence(1, int(size(hit_runs) / 2)), i -> hit_runs[2 * i - 1] - hit_runs[2 * i - 2]), 0L, (a, x) -> a + x) <= {2 * max_coverage} * n_words")
-
-    def run(batch: pa.RecordBatch) -> list:
-        return [pa.array([cut(t, r) for t, r in zip(column(batch, text_col), column(batch, "hit_runs"), strict=True)], pa.string())]
-
-    return arrow_map(ok, [T.StructField(text_col, T.StringType())], run).select(*docs.columns)
+    return ok.select(*[F.col("hit_cut").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
