@@ -2,8 +2,9 @@
 
 A tolerant tokenizer builds a light tree of elements and text. Every paragraph-like block passes points for its
 length and commas to its ancestors, less with each level; a container's points are discounted by its link
-density, and its tag, class and id count for or against it. The best container is kept with those siblings that
-score well beside it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+density, and its tag, class and id count for or against it. If the best container lies in an article, that article is
+kept whole, else the main element around it; if in neither, the container itself. Beside it, and up to the main element
+around an article, blocks and bare text of any kind and length are kept unless most of their text is links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
 inside the kept part are left out; all other blocks are kept, in page order, however short they are.
 
 Defined results: null and empty html, and pages without any text, give an empty text; unclosed, crossed and cut
@@ -40,25 +41,25 @@ BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "f
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "bad", "name", "score", "chars", "links", "depth")
+    __slots__ = ("tag", "kids", "parent", "bad", "name", "main", "score", "chars", "links", "depth")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, name: str = ""):
-        self.tag, self.kids, self.parent, self.bad, self.name = tag, [], parent, bad, name
+    def __init__(self, tag: str, parent: Node | None, bad: bool = False, name: str = "", main: bool = False):
+        self.tag, self.kids, self.parent, self.bad, self.name, self.main = tag, [], parent, bad, name, main
         self.score, self.chars, self.links = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _boilerplate(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether tag and attributes mark an element as something beside the article; its class and id."""
+def _boilerplate(tag: str, attrs: str) -> tuple[bool, str, bool]:
+    """Whether tag and attributes mark an element as something beside the article; its class and id; whether it is the main element."""
     if not attrs.strip(" /"):
-        return tag in BOILER, ""
+        return tag in BOILER, "", tag == "main"
     found = {}
     for k, v in ATTR.findall(attrs):
         found.setdefault(k.lower(), html.unescape(v.strip("\"'")) if v else "")
     name = f"{found.get('class', '')} {found.get('id', '')}"
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
     marked = tag not in ("html", "body", "article", "main") and BAD_NAME.search(name) and not re.search(r"(?:^|[\s_-])(?:article|entry|post|story)[-_](?:body|content|text)(?:$|[\s_-])", name, re.I)
-    return bool(tag in BOILER or hidden or marked or found.get("role", "").lower() in BAD_ROLE), name
+    return bool(tag in BOILER or hidden or marked or found.get("role", "").lower() in BAD_ROLE), name, tag == "main" or found.get("role", "").lower() == "main"
 
 
 def parse(page: str) -> Node:
@@ -121,20 +122,24 @@ def parse(page: str) -> Node:
             if tag in BLOCK:
                 at.kids.append(None)
             continue
-        bad, name = _boilerplate(tag, m[3])
-        node = Node(tag, at, bad, name)
+        bad, name, main = _boilerplate(tag, m[3])
+        node = Node(tag, at, bad, name, main)
         at.kids.append(node)
         at = node
         open_tags[tag] = open_tags.get(tag, 0) + 1
     return root
 
 
-def _inside(node: Node, tags: tuple[str, ...]) -> bool:
+def _around(node: Node) -> tuple[Node | None, Node | None]:
+    """The outermost article and the outermost main element that node is or lies in."""
+    article = main = None
     while node:
-        if node.tag in tags:
-            return True
+        if node.tag == "article":
+            article = node
+        if node.main:
+            main = node
         node = node.parent
-    return False
+    return article, main
 
 
 def _measure(root: Node) -> list[Node]:
@@ -146,7 +151,7 @@ def _measure(root: Node) -> list[Node]:
         for k in reversed(node.kids):
             if isinstance(k, Node):
                 # a header in the article may hold its title; elsewhere it is the site's
-                k.bad = k.bad or node.bad or (k.tag == "header" and not (_inside(node, ("article", "main")) and any(isinstance(x, Node) and x.tag in HEADINGS for x in k.kids)))
+                k.bad = k.bad or node.bad or (k.tag == "header" and not (any(_around(node)) and any(isinstance(x, Node) and x.tag in HEADINGS for x in k.kids)))
                 stack.append(k)
     for node in reversed(order):
         if not node.bad:
@@ -178,8 +183,8 @@ def _own_text(node: Node) -> str:
     return "".join(out)
 
 
-def choose(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order."""
+def choose(root: Node) -> list:
+    """The best container, or the article or main element around it, and what is kept with it, in page order."""
     order = _measure(root)
     for node in order:
         if node.bad or node.tag not in BLOCK or node.tag in HEADINGS:
@@ -207,19 +212,42 @@ def choose(root: Node) -> list[Node]:
         return [root]
     if best.parent is None:
         return [best]
-    kept = []
-    for k in best.parent.kids:
-        if k is best:
-            kept.append(k)
-        elif isinstance(k, Node) and not k.bad and k.tag in BLOCK and k.chars:
-            density = k.links / k.chars
-            text = _own_text(k) if k.tag == "p" else ""
-            same = bool(k.name.strip()) and k.name == best.name or k.tag == best.tag == "article"
-            if (k.tag in ("article", "section", "div") and k.score + (0.2 * top if same else 0) >= max(10, 0.2 * top) and density < 0.5) or (k.tag == "p" and density < 0.25 and (len(text) > 80 or re.search(r"\.(?: |$)", text.strip()))) or (k.tag in HEADINGS and density < 0.5):
-                kept.append(k)
+    article, main = _around(best)
+    whole = article or main or best
+    kept = [whole]
+    # up to the main element, or one level without it
+    while whole.parent is not None and whole is not main:
+        kept, whole = _beside(whole, kept), whole.parent
+        if main is None:
+            break
     return kept
 
 
+def _beside(node: Node, kept: list) -> list:
+    """kept, which stands for node, with what is beside node and isn't mostly links; inline runs count as one."""
+    out, run = [], []
+
+    def end() -> None:
+        chars = sum(len(k.strip()) if isinstance(k, str) else k.chars for k in run)
+        if chars and sum(k.links for k in run if isinstance(k, Node)) < 0.5 * chars:
+            out.extend(run)
+        run.clear()
+
+    for k in node.parent.kids:
+        if isinstance(k, str) or (k is not None and k is not node and k.tag not in BLOCK and not k.bad):
+            run.append(k)
+            continue
+        end()
+        if k is node:
+            out.extend(kept)
+        elif k is None:
+            out.append(k)
+        elif not k.bad and k.links < 0.5 * k.chars:
+            out.append(k)
+    end()
+    return out
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     out: list[str] = []
     run: list[str] = []

@@ -36,6 +36,19 @@ def test_html():
     assert e("<div " * 2000) == "" and len(e("<p>" + "word " * 50000)) > 200000
 
 
+def test_html_keeps_the_same_blocks_on_long_pages():
+    for n in (1, 3, 7, 40):
+        paras = ["One, two, three, " + "word " * 56 + str(i) for i in range(n)]
+        body = "<div class=article-body>" + "".join(f"<p>{p}</p>" for p in paras) + "</div>"
+        beside = "<ul><li>item</ul><ol><li>first</ol><dl><dt>term<dd>sense</dl><table><tr><td>cell</table><pre>code</pre><blockquote>said</blockquote><figure>fig</figure>bare <b>text</b>"
+        want = "\n".join(["T", *paras, "item", "first", "term", "sense", "cell", "code", "said", "fig", "bare text"])
+        links = "<div><a href=x>one other page</a> <a href=y>and another</a></div>"
+        for page in (f"<article><header><h1>T</h1></header>{body}{beside}</article>{links}", f"<main><h1>T</h1>{body}{beside}</main>{links}", f"<div role=main><h1>T</h1>{body}{beside}</div>{links}", f"<main><h1>T</h1><div><article>{body}</article>{beside}</div></main>{links}"):
+            assert html_extract.extract(f"<nav>menu</nav>{page}<footer>f</footer>") == want, (n, page[:40])
+        if n > 1:  # without either element, what is beside the best container
+            assert html_extract.extract(f"<div><h1>T</h1>{body}{beside}</div>{links}") == want
+
+
 def test_shards(spark, odd):
     path = new_path(spark, "test")
     rows = shards.write_shards(odd, path, seq_len=8, shard_rows=16).collect()
