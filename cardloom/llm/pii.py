@@ -35,7 +35,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
 # Candidate patterns beyond the base ones, and the words that labelers know.
-SECRET = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_.=-]{12,200}+[\x22']?"
+SECRET = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_.=-]{12,}+[\x22']?"
 LOCAL = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9])"
 NAME = r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?"
 GIVEN = ("James", "Mary", "John", "Maria", "Peter", "Anna", "Michael", "Sarah", "David", "Laura", "Thomas", "Julia", "Robert", "Emma", "Hans", "Petra", "Pierre", "Marie", "Carlos", "Carmen")

@@ -117,6 +117,15 @@ def test_pii(spark, odd):
     assert pii.digest(odd.limit(0)).count() == 0 and pii.redact(odd).columns == odd.columns
 
 
+def test_secrets_are_found_whole(spark):
+    key = "aB3dE5gH7jK9"
+    texts = [f"token={key * 20} end", f"token: {key * 20000}", f'{{"api_key": "{key}", "n": 1}}', f"{{'password' : '{key * 30}'}} z"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.digest(d).collect()}
+    assert spans == {0: "secret:0:246", 1: "secret:0:240007", 2: f"secret:2:{len(texts[2]) - 9}", 3: f"secret:2:{len(texts[3]) - 3}"}
+    assert [r.text for r in pii.redact(d).orderBy("doc_id").collect()] == ["[SECRET] end", "[SECRET]", '{"[SECRET], "n": 1}', "{'[SECRET]} z"]
+
+
 def test_language(spark, odd):
     rows = [(i, "the cat and the dog went to the house " * 3, "en") for i in range(20)] + [(i, "der hund und die katze gingen nach haus " * 3, "de") for i in range(20, 40)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
