@@ -1,7 +1,8 @@
 """Personal data by weak supervision, with Spark expressions only.
 
 Base spans (email, ip, card, phone) are found by pattern and checked by rule; they always stay. Beyond them,
-candidate spans are proposed (number chains, local phone numbers, keyed secrets, names after a title or a given name).
+candidate spans are proposed (number chains, local phone numbers, keyed secrets, names after a title, from a known
+given name on, or of two capitalised words and more after a word such as "author"; at most four words, beside particles).
 Three labelers vote on each candidate, for, against or not at all: a shape rule, a gazetteer and the context
 words before it. Expectation-maximisation on the counts of vote patterns estimates how reliable each labeler is
 and how likely a candidate of each kind and pattern is personal data; on these soft labels a naive Bayes span
@@ -37,13 +38,21 @@ BASE = ("email", "ip", "card", "phone")
 # Candidate patterns beyond the base ones, and the words that labelers know.
 SECRET = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_.=-]{12,}+[\x22']?"
 LOCAL = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9])"
-NAME = r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?"
 GIVEN = ("James", "Mary", "John", "Maria", "Peter", "Anna", "Michael", "Sarah", "David", "Laura", "Thomas", "Julia", "Robert", "Emma", "Hans", "Petra", "Pierre", "Marie", "Carlos", "Carmen")
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
+#: A capitalised word, also O'Brien and Müller-Groß; and up to three more, with initials and particles between.
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}++(?:['’-]?\p{Lu}\p{Ll}++)*+"
+_MORE = rf"(?: (?:\p{{Lu}}\. )?(?:(?:de|da|di|du|la|del|van|von|der|den) ){{0,2}}{_WORD})"
+#: What a capitalised pair without title or known given name must follow; prepositions say less than the other words.
+_BEFORE = r"(?<!\p{L})(?i:name|contact|author|by|von|par|por|dear)[\x22'\s:=]{1,5}"
+PREPOSITION = r"(?<!\p{L})(?:by|von|par|por)[\x22'\s:=]{1,5}$"
+NAME = rf"(?<!\p{{L}})(?:(?:(?:{TITLES})\.? )++{_WORD}{_MORE}{{0,3}}|(?:{'|'.join(GIVEN)})(?:['’-]\p{{Lu}}\p{{Ll}}++)*+(?!\p{{L}}){_MORE}{{0,3}}|(?=\p{{Lu}})(?<={_BEFORE}){_WORD}{_MORE}{{1,3}})"
+NAME_GUARD = rf"(?<!\p{{L}})(?:(?:{TITLES}|{'|'.join(GIVEN)})(?!\p{{L}})|(?i:name|contact|author|by|von|par|por|dear)[\x22'\s:=]{{1,5}}\p{{Lu}})"
 CONTEXT = {
     "number": "card|credit|visa|account|iban|karte|konto|carte|compte|tarjeta|cuenta",
     "secret": "token|secret|password|passwd|key|passwort|clave",
     "local": "phone|tel|call|fax|mobile|telefon|anruf|appel|llam",
-    "name": "name|contact|author|by|von|par|por|dear",
+    "name": r"name|contact|author|(?:by|von|par|por|dear)\b",
 }
 EXTRA = ("number", "secret", "local", "name")
 LABELERS = ("shape", "gazetteer", "context")
@@ -99,7 +108,7 @@ def extra_spans() -> str:
         spans_of(CARD, some_digit, f"length({digits('c.m')}) between 13 and 19", "number"),
         spans_of(SECRET, "text rlike '[=:]'", "true", "secret"),
         spans_of(LOCAL, some_digit, "true", "local"),
-        spans_of(NAME, "text rlike '(?:Mr|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor)'", "true", "name"),
+        spans_of(NAME, f"text rlike {lit(NAME_GUARD)}", "true", "name"),
     ]
     return f"concat({', '.join(parts)})"
 
@@ -109,10 +118,13 @@ def votes() -> dict[str, str]:
     before = "lower(substring(text, cast(greatest(c.s - 24, 0) as int) + 1, cast(least(c.s, 24) as int)))"
     context = " ".join(f"when '{k}' then {before} rlike {lit(chr(92) + 'b(?:' + w + ')')}" for k, w in CONTEXT.items())
     hexa = f"regexp_replace(c.m, {lit('^[^=:]*[=:]')}, '')"
+    # names: a title or a given name with more stands for one, a lone given name or a pair after a mere preposition against
+    known = lit("^(?:" + "|".join(GIVEN) + ")" + r"(?!\p{L})")
+    name = f"if(c.m rlike {lit('^(?:' + TITLES + ')[. ]')} or c.m rlike {known} and instr(c.m, ' ') > 0, 1, if(c.m rlike {known} or {before} rlike {lit(PREPOSITION)}, 0, null))"
     return {
-        "shape": f"case c.kind when 'number' then if(length({digits('c.m')}) = 16, if({luhn(digits('c.m'))}, 1, null), 0) when 'secret' then if({hexa} rlike '[0-9]' and {hexa} rlike '[A-Za-z]', 1, 0) when 'local' then 1 else null end",
+        "shape": f"case c.kind when 'number' then if(length({digits('c.m')}) = 16, if({luhn(digits('c.m'))}, 1, null), 0) when 'secret' then if({hexa} rlike '[0-9]' and {hexa} rlike '[A-Za-z]', 1, 0) when 'local' then 1 when 'name' then {name} else null end",
         "gazetteer": f"case c.kind when 'name' then if(c.m rlike {lit(chr(92) + 'b(?:' + '|'.join(GIVEN) + ')' + chr(92) + 'b')}, 1, null) when 'number' then if({digits('c.m')} rlike '^(4|5[1-5]|2[2-7]|3[47]|6011)', 1, 0) when 'secret' then if(lower(c.m) rlike '^(token|secret|password|passwd|pwd|api|access)', 1, null) else null end",
-        "context": f"case when (case c.kind {context} end) then 1 when c.kind = 'secret' then 1 else 0 end",
+        "context": f"case when (case c.kind {context} end) then 1 when c.kind = 'secret' then 1 when c.kind = 'name' then null else 0 end",
     }
 
 

@@ -126,6 +126,16 @@ def test_secrets_are_found_whole(spark):
     assert [r.text for r in pii.redact(d).orderBy("doc_id").collect()] == ["[SECRET] end", "[SECRET]", '{"[SECRET], "n": 1}', "{'[SECRET]} z"]
 
 
+def test_names_without_a_title(spark):
+    found = {"contact: Maria Lopez, x": "[NAME]", "by John Smith.": "[NAME]", "then John F. O'Brien said": "[NAME]", "author Carmen de la Cruz-Vega y": "[NAME]", "contact: Xavier Ortiz": "[NAME]", '"name": "Aino Virtanen"': "[NAME]", "met Dr. Weber there": "[NAME]", "Herr Prof. Hans-Peter Groß kam": "[NAME]"}
+    clean = ["Johnson and Marietta", "by the Sea", "port Lima", "surname Lopez Ortiz", "the Great Wall"]
+    texts = [*found, *clean] * 20
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.redact(d).orderBy("doc_id").collect()][: len(found) + len(clean)]
+    assert got[: len(found)] == ["contact: [NAME], x", "by [NAME].", "then [NAME] said", "author [NAME] y", "contact: [NAME]", '"name": "[NAME]"', "met [NAME] there", "[NAME] kam"]
+    assert got[len(found) :] == clean
+
+
 def test_language(spark, odd):
     rows = [(i, "the cat and the dog went to the house " * 3, "en") for i in range(20)] + [(i, "der hund und die katze gingen nach haus " * 3, "de") for i in range(20, 40)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
