@@ -8,7 +8,7 @@ from cardloom.functions import scalars as S
 from cardloom.operators import graph, lexical, lookup, search
 from cardloom.plans.registry import query
 from cardloom.plans.vectors import first_vector
-from cardloom.sources.cards import cards_doc, cards_vec, read
+from cardloom.sources.cards import cards_doc, cards_vec, padded, read
 
 WORDS = "the with nicht para"
 TOK = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
@@ -79,7 +79,7 @@ VEC = "vec as (select 'd' || lpad(cast(vec_id as varchar), 6, '0') as id, least(
 def _vectors(spark, d):
     """Vectors stand for the documents of the same number."""
     q = first_vector(spark, d)
-    return cards_vec(spark, d).selectExpr("concat('d', lpad(vec_id, 6, '0')) as id", f"least(1D, greatest(0D, {S.dot('embedding', search._vector(q))})) as cos")
+    return cards_vec(spark, d).selectExpr(f"concat('d', {padded('vec_id')}) as id", f"least(1D, greatest(0D, {S.dot('embedding', search._vector(q))})) as cos")
 
 
 EDGES = "edges as (select 'd' || lpad(cast(doc_id as varchar), 6, '0') as source_id, 'd' || lpad(cast((doc_id * 7) % 500 as varchar), 6, '0') as target_id from documents)"
@@ -98,7 +98,7 @@ def rrf_sql(boost: bool) -> str:
 def _hybrid(spark, d, boost):
     lex = lexical.bm25(cards_doc(spark, d), WORDS, 30)
     vec = _vectors(spark, d).selectExpr("id", "cos as score").orderBy(F.desc("score"), "id").limit(30)
-    edges = cards_doc(spark, d).selectExpr("id as source_id", "concat('d', lpad((doc_id * 7) % 500, 6, '0')) as target_id")
+    edges = cards_doc(spark, d).selectExpr("id as source_id", f"concat('d', {padded('(doc_id * 7) % 500')}) as target_id")
     return lexical.rrf(vec, lex, lexical.graph_boost(lex, edges) if boost else None, k=14).select("id", F.round("score", 4 if boost else 6).alias("score"))
 
 
@@ -134,7 +134,7 @@ def lexical_boost_rerank(spark, d):
 @query("budget_greedy")
 def budget_greedy(spark, d):
     hits = search.batch_topk(cards_vec(spark, d), cards_vec(spark, d).where("vec_id % 100 = 0").selectExpr("vec_id as query_id", "embedding as query"), 50)
-    cost = read(spark, d, "documents").selectExpr("concat('v', lpad(doc_id, 6, '0')) as id", f"{S.tokens('text')} as cost")
+    cost = read(spark, d, "documents").selectExpr(f"concat('v', {padded('doc_id')}) as id", f"{S.tokens('text')} as cost")
     return lexical.with_budget(hits.withColumnRenamed("cos", "score").join(cost, "id"), 2000)
 
 

@@ -11,7 +11,7 @@ from cardloom.operators import graph, lifecycle
 from cardloom.plans.registry import query
 from cardloom.plans.vectors import CARDS
 from cardloom.sources import io
-from cardloom.sources.cards import AS_OF, cards_user, cards_vec, live, read
+from cardloom.sources.cards import AS_OF, cards_user, cards_vec, live, padded, read
 
 USERS = "u as (select user_id, count(*) as access_count, min(epoch_us(ts)) / 1000000.0 as timestamp, max(epoch_us(ts)) / 1000000.0 as last_access, arg_max(event_type, (epoch_us(ts), event_id)) as last_type from events group by user_id)"
 NOW = f"{AS_OF!r}"
@@ -105,7 +105,7 @@ def edges_semantic(spark, d):
 
 @query("edges_shared_tag", "with t as (select s_suppkey as k, unnest(list_distinct(['n' || s_nationkey, 'b' || cast(floor(s_acctbal / 1000) as int)])) as tag from supplier), p as (select a.k as x, b.k as y, count(*) as n from t a join t b on a.tag = b.tag and lpad(cast(a.k as varchar), 6, '0') < lpad(cast(b.k as varchar), 6, '0') group by 1, 2) select lpad(cast(x as varchar), 6, '0') as source_id, lpad(cast(y as varchar), 6, '0') as target_id, 'shared_tag' as relation_type, round(n / (4 - n), 6) as weight from p")
 def edges_shared_tag(spark, d):
-    s = read(spark, d, "supplier").selectExpr("lpad(s_suppkey, 6, '0') as id", "array(concat('n', s_nationkey), concat('b', cast(floor(s_acctbal / 1000) as int))) as tags")
+    s = read(spark, d, "supplier").selectExpr(f"{padded('s_suppkey')} as id", "array(concat('n', s_nationkey), concat('b', cast(floor(s_acctbal / 1000) as int))) as tags")
     return graph.shared_tag_edges(s).withColumn("weight", F.round("weight", 6))
 
 
@@ -156,7 +156,7 @@ PAIRS = "with w as (select doc_id, list_distinct(list_filter(regexp_split_to_arr
 
 
 def _cards(spark, d):
-    return read(spark, d, "documents").selectExpr("lpad(doc_id, 6, '0') as id", "text as fact", "'' as evidence", "array(lang, source) as tags", "1704067200D + doc_id * 60 as timestamp", "0D as last_access", "doc_id % 4 as access_count", "'default' as scope", "doc_id")
+    return read(spark, d, "documents").selectExpr(f"{padded('doc_id')} as id", "text as fact", "'' as evidence", "array(lang, source) as tags", "1704067200D + doc_id * 60 as timestamp", "0D as last_access", "doc_id % 4 as access_count", "'default' as scope", "doc_id")
 
 
 @query("dup_jaccard", PAIRS + " select lpad(cast(a as varchar), 6, '0') as a, lpad(cast(b as varchar), 6, '0') as b from pairs")

@@ -14,6 +14,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def padded(number: str) -> str:
+    """SQL for a number as text with zeros before it up to six characters; longer ones stay whole, where lpad(x, 6, '0') would cut them."""
+    return f"lpad({number}, greatest(6, length({number})), '0')"
+
+
 def live(cards: DataFrame, archived_too: bool = False) -> DataFrame:
     """Cards that are neither superseded nor (unless asked for) archived."""
     out = cards.where("superseded_by is null")
@@ -28,14 +33,14 @@ def with_defaults(cards: DataFrame) -> DataFrame:
 
 def cards_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").selectExpr(
-        "concat('v', lpad(vec_id, 6, '0')) as id", "concat('vector ', vec_id) as fact", "'' as evidence", "1704067200D + vec_id * 600 as timestamp", "array(concat('label=', label)) as tags", "0L as source_tokens", "embedding",
-        "vec_id % 5 as access_count", "1704067200D + vec_id * 600 + (vec_id % 7) * 86400 as last_access", "if(vec_id % 17 = 0, concat('v', lpad(vec_id + 1, 6, '0')), null) as superseded_by",
+        f"concat('v', {padded('vec_id')}) as id", "concat('vector ', vec_id) as fact", "'' as evidence", "1704067200D + vec_id * 600 as timestamp", "array(concat('label=', label)) as tags", "0L as source_tokens", "embedding",
+        "vec_id % 5 as access_count", "1704067200D + vec_id * 600 + (vec_id % 7) * 86400 as last_access", f"if(vec_id % 17 = 0, concat('v', {padded('vec_id + 1')}), null) as superseded_by",
         "1D + (vec_id % 4) * 0.5D as stability", "(vec_id % 3) / 2D as importance", "if(vec_id % 23 = 0, 1704067200D, 0D) as archived", "concat('user_id=', label % 3) as scope", "vec_id", "label",
     )
 
 
 def cards_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").selectExpr("concat('d', lpad(doc_id, 6, '0')) as id", "text as fact", "'' as evidence", "array(lang, source) as tags", "1704067200D + doc_id * 60 as timestamp", "concat('lang=', lang) as scope", "doc_id")
+    return read(spark, sf_dir, "documents").selectExpr(f"concat('d', {padded('doc_id')}) as id", "text as fact", "'' as evidence", "array(lang, source) as tags", "1704067200D + doc_id * 60 as timestamp", "concat('lang=', lang) as scope", "doc_id")
 
 
 def cards_user(spark: SparkSession, sf_dir: str) -> DataFrame:

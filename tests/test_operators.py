@@ -6,6 +6,9 @@ from cardloom.functions import embed
 from cardloom.functions import scalars as S
 from cardloom.functions import text as X
 from cardloom.operators import graph, lexical, lifecycle, lookup, search
+from cardloom.plans import all as _  # noqa: F401
+from cardloom.plans import registry
+from cardloom.sources import cards as views
 from cardloom.sources import io
 from cardloom.streaming import tail
 
@@ -95,3 +98,16 @@ def test_stream_equals_batch(spark, tmp_path):
     for _ in range(2):
         tail.run_once(tail.watch(spark, f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert [r.event for r in spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()] == ["new", "audit", "deleted"]
+
+
+def test_long_ids_stay_whole(spark, tmp_path):
+    n = [7, 999999, *range(1000000, 1000020)]
+    spark.createDataFrame([(i, f"licensed text {i // 2} of {i // 2} and {i // 2 + 5000000} more", "en", "s") for i in n], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i % 3)], 1) for i in n], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = str(tmp_path)
+    assert {r.id for r in views.cards_doc(spark, d).collect()} == {f"d{i:06d}" for i in n}
+    assert {r.superseded_by for r in views.cards_vec(spark, d).collect()} - {None} == {f"v{i + 1:06d}" for i in n if i % 17 == 0}
+    assert {r.id for r in views.cards_vec(spark, d).collect()} == {f"v{i:06d}" for i in n}
+    q = registry.QUERIES
+    assert {r.id for r in q["lookup_fact"](spark, d).collect()} == {f"d{i:06d}" for i in n}
+    assert {(r.a, r.b) for r in q["dup_jaccard"](spark, d).collect()} == {(str(i), str(i + 1)) for i in range(1000000, 1000020, 2)}
