@@ -1,10 +1,11 @@
 """Near-duplicate documents: MinHash signatures, a multi-index Hamming join, exact confirmation, components.
 
 Texts become sets of hashed 5-word shingles; equal sets are one class from the start, so exact copies cost one
-row each. A class has a signature of 133 MinHash values of 8 bits, in 19 chunks of 7. Two signatures that differ
-in at most 37 values differ in at most one value of some chunk (pigeonhole: 19 chunks with two differences are
-38), so classes are joined on each chunk with each one of its values left out: 133 keys a class find all pairs
-within that distance. At a Jaccard similarity of 0.85 the mean distance is 20, and about 1 pair in 30,000 lies beyond 37.
+row each. At a Jaccard similarity of 0.85 a class has a signature of 133 MinHash values of 8 bits, in 19 chunks of 7. Two
+signatures that differ in at most 37 values differ in at most one value of some chunk (pigeonhole: 19 chunks with two
+differences are 38), so classes are joined on each chunk with each one of its values left out: 133 keys a class find all
+pairs within that distance. The mean distance is 20, and about 1 pair in 24,000 lies beyond 37. For another similarity
+`Plan` takes as many chunks, of fewer values if need be, as make that share as small.
 
 Pairs of a group are not enumerated. First each member is compared with two representatives of its group (the
 first, and the one that shares most keys overall); confirmed links are turned into components. Only pairs of
@@ -23,6 +24,7 @@ ignored. Long texts are shingled whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +36,53 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import column, materialise, mix, read
 
 SHINGLE = 5
-CHUNKS, PER = 19, 7
-VALUES = CHUNKS * PER
-DISTANCE = 2 * CHUNKS - 1
-SIMILARITY = 85  # percent
+SIMILARITY = 85  # percent, of op10's contract
+MISSED = 1 / 23_000
+MAX_VALUES = 256
 
 #: A second signature, of 1-bit values, only for classes whose key groups hold several components. Two texts at the
-#: similarity differ in 7.5 % of its bits on average; 4.2 standard deviations more are allowed.
+#: similarity of 0.85 differ in 7.5 % of its bits on average; 4.2 standard deviations more are allowed.
 BITS = 1536
-BIT_DISTANCE = int(BITS * 0.075 + 4.2 * (BITS * 0.075 * 0.925) ** 0.5)
+
+
+class Plan:
+    """What follows from the similarity (in percent): values in chunks, allowed distances, and the SQL of their checks."""
+
+    def __init__(self, similarity: int):
+        self.similarity = similarity
+        # a chunk's key has per - 1 values; with fewer than five of them too many unlike texts would share keys
+        sizes = ((per, chunks) for per in (7, 6) for chunks in range(19, 190 // per + 1))
+        found = next(((per, chunks) for per, chunks in sizes if _beyond(per * chunks, 2 * chunks - 1, similarity) <= MISSED), None)
+        if found is None:
+            raise ValueError(f"similarity of {similarity} %: too low for signatures")
+        self.per, self.chunks = found
+        self.values, self.distance = self.per * self.chunks, 2 * self.chunks - 1
+        p = (100 - similarity) / 200
+        self.bit_distance = int(BITS * p + 4.2 * (BITS * p * (1 - p)) ** 0.5)
+        self.near = f"least(a.n, b.n) * 100 >= {similarity} * greatest(a.n, b.n) and " + " + ".join(_differing(f"a.sig[{k}] ^ b.sig[{k}]") for k in range(self.chunks)) + f" <= {self.distance}"
+        self.same_bits = " + ".join(f"bit_count(a.bits[{k}] ^ b.bits[{k}])" for k in range(BITS // 64)) + f" <= {self.bit_distance}"
+        # a pair counts at its first common key only: the first chunk with at most one difference, left out there or, with none, at its first value
+        at = f"(a.sig[a.slot div {self.per}] ^ b.sig[a.slot div {self.per}])"
+        self.first = f"array_position(transform(a.sig, (v, k) -> {_differing('v ^ b.sig[k]')} <= 1), true) = a.slot div {self.per} + 1 and (((shiftright({at}, 8 * (a.slot % {self.per})) & 255L) <> 0) or ({at} = 0 and a.slot % {self.per} = 0))"
+
+
+def _beyond(values: int, distance: int, similarity: int) -> float:
+    """The probability that two texts at the similarity differ in more than `distance` of so many values of 8 bits."""
+    p = (100 - similarity) / 100 * 255 / 256
+    return sum(math.comb(values, k) * p**k * (1 - p) ** (values - k) for k in range(distance + 1, values + 1))
+
+
+def _differing(x: str) -> str:
+    """SQL for the number of bytes of x that are not zero; the top byte always is, so nothing overflows."""
+    low, high = 0x7F7F7F7F7F7F7F, 0x80808080808080
+    return f"bit_count((((({x}) & {low}L) + {low}L) | ({x})) & {high}L)"
+
 
 #: Ids of at most so many documents (16 MB) go to every executor, to pick their texts; of more, the texts are shuffled to them.
 BROADCAST_ROWS = 2_000_000
 
-_A = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
-_C = mix(np.arange(1001, VALUES + 1001, dtype=np.uint64))
+_A = mix(np.arange(1, MAX_VALUES + 1, dtype=np.uint64)) | np.uint64(1)
+_C = mix(np.arange(1001, MAX_VALUES + 1001, dtype=np.uint64))
 
 
 class _Words(dict):
@@ -76,12 +110,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """133 MinHash values of 8 bits."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
+def signature(s: np.ndarray, values: int) -> np.ndarray:
+    """So many MinHash values of 8 bits."""
+    least = np.full(values, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(s), 1024):
-            least = np.minimum(least, (s[at : at + 1024, None] * _A + _C).min(0))
+            least = np.minimum(least, (s[at : at + 1024, None] * _A[:values] + _C[:values]).min(0))
         return (mix(least) & np.uint64(0xFF)).astype(np.uint8)
 
 
@@ -98,62 +132,51 @@ def bit_signature(s: np.ndarray) -> np.ndarray:
         return np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).view("<i8")
 
 
-def _pack(sigs: np.ndarray) -> np.ndarray:
-    """[n, 133] bytes to [n, 19] longs, seven values in each."""
-    wide = np.zeros((len(sigs), CHUNKS, 8), np.uint8)
-    wide[:, :, :PER] = sigs.reshape(len(sigs), CHUNKS, PER)
-    return wide.reshape(len(sigs), CHUNKS * 8).view("<i8")
+def _pack(sigs: np.ndarray, chunks: int, per: int) -> np.ndarray:
+    """[n, values] bytes to [n, chunks] longs, at most seven values in each."""
+    wide = np.zeros((len(sigs), chunks, 8), np.uint8)
+    wide[:, :, :per] = sigs.reshape(len(sigs), chunks, per)
+    return wide.reshape(len(sigs), chunks * 8).view("<i8")
 
 
-def sketch(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (128-bit digest of the set), sig (19 longs; null without shingles)."""
+def sketch(docs: DataFrame, plan: Plan, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (128-bit digest of the set), sig (19 longs or so; null without shingles)."""
+    values, chunks, per = plan.values, plan.chunks, plan.per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
                 sets = [shingles(t) for t in column(b, text_col)]
-                sigs = _pack(np.array([signature(s) for s in sets], np.uint8).reshape(len(sets), VALUES))
+                sigs = _pack(np.array([signature(s, values) for s in sets], np.uint8).reshape(len(sets), values), chunks, per)
                 dig = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(len(sets), 2)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CHUNKS), pa.array(sigs.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * chunks), pa.array(sigs.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), flat], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
 
     return docs.select(key, text_col).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
 
 
-def keyed(classes: DataFrame) -> DataFrame:
-    """(node, key, slot): the 133 keys of each class; slot is the value left out."""
+def keyed(classes: DataFrame, plan: Plan) -> DataFrame:
+    """(node, key, slot): the keys of each class, as many as values; slot is the value left out."""
+    values, chunks, per = plan.values, plan.chunks, plan.per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.arange(VALUES, dtype=np.uint64)
+        slots = np.arange(values, dtype=np.uint64)
         with np.errstate(over="ignore"):
             table = mix(slots[:, None] * np.uint64(256) + np.arange(256, dtype=np.uint64) + np.uint64(1 << 32))
         for big in batches:
             for b in (big.slice(i, 256) for i in range(0, big.num_rows, 256)):
                 n = b.num_rows
-                sig = b.column(b.schema.get_field_index("sig")).flatten().to_numpy().reshape(n, CHUNKS).copy().view(np.uint8).reshape(n, CHUNKS, 8)[:, :, :PER].reshape(n, VALUES)
+                sig = b.column(b.schema.get_field_index("sig")).flatten().to_numpy().reshape(n, chunks).copy().view(np.uint8).reshape(n, chunks, 8)[:, :, :per].reshape(n, values)
                 node = b.column(b.schema.get_field_index("node")).to_numpy()
                 with np.errstate(over="ignore"):
-                    term = table[np.arange(VALUES), sig]
-                    whole = np.add.reduceat(term, np.arange(0, VALUES, PER), axis=1)
-                    keys = mix(np.repeat(whole, PER, axis=1) - term + mix(slots))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, VALUES)), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(VALUES, dtype=np.int16), n))], names=["node", "key", "slot"])
+                    term = table[np.arange(values), sig]
+                    whole = np.add.reduceat(term, np.arange(0, values, per), axis=1)
+                    keys = mix(np.repeat(whole, per, axis=1) - term + mix(slots))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, values)), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(values, dtype=np.int16), n))], names=["node", "key", "slot"])
 
     return classes.select("node", "sig").mapInArrow(run, "node long, key long, slot short")
 
 
-def _differing(x: str) -> str:
-    """SQL for the number of bytes of x that are not zero; the top byte always is, so nothing overflows."""
-    low, high = 0x7F7F7F7F7F7F7F, 0x80808080808080
-    return f"bit_count((((({x}) & {low}L) + {low}L) | ({x})) & {high}L)"
-
-
-NEAR = f"least(a.n, b.n) * 100 >= {SIMILARITY} * greatest(a.n, b.n) and " + " + ".join(_differing(f"a.sig[{k}] ^ b.sig[{k}]") for k in range(CHUNKS)) + f" <= {DISTANCE}"
-SAME_BITS = " + ".join(f"bit_count(a.bits[{k}] ^ b.bits[{k}])" for k in range(BITS // 64)) + f" <= {BIT_DISTANCE}"
-#: A pair counts at its first common key only: the first chunk with at most one difference, left out there or, with none, at its first value.
-_AT = f"(a.sig[a.slot div {PER}] ^ b.sig[a.slot div {PER}])"
-FIRST = f"array_position(transform(a.sig, (v, k) -> {_differing('v ^ b.sig[k]')} <= 1), true) = a.slot div {PER} + 1 and (((shiftright({_AT}, 8 * (a.slot % {PER})) & 255L) <> 0) or ({_AT} = 0 and a.slot % {PER} = 0))"
-
-
 def _of_texts(nodes: DataFrame, docs: DataFrame, name: str, fn) -> DataFrame:
     """(node, name): fn of the shingle set, as array of longs, of the documents that are nodes."""
 
@@ -170,12 +193,12 @@ def _of_texts(nodes: DataFrame, docs: DataFrame, name: str, fn) -> DataFrame:
     return texts.mapInArrow(run, f"node long, {name} array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """Those of pairs (a, b) whose full shingle sets have the similarity. Sets are made for the documents in pairs only."""
     nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
     sets = materialise(_of_texts(nodes, docs, "s", lambda s: s.view(np.int64)), "sets")
     both = pairs.join(sets.selectExpr("node as a", "s as sa"), "a").join(sets.selectExpr("node as b", "s as sb"), "b")
-    return both.withColumn("i", F.expr("size(array_intersect(sa, sb))")).where(f"100 * i >= {SIMILARITY} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
+    return both.withColumn("i", F.expr("size(array_intersect(sa, sb))")).where(f"100 * i >= {similarity} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,14 +214,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def heavy(classes: DataFrame) -> DataFrame:
-    """Keys that at least 1 in 200 of a 64th of the classes (and two of them) have: by that, at most 133 * 200 keys.
+def heavy(classes: DataFrame, plan: Plan) -> DataFrame:
+    """Keys that at least 1 in 200 of a 64th of the classes (and two of them) have: by that, at most 200 keys for each value of a signature.
 
     They only say which keys are dealt out in parts; results are the same without them.
     """
     some = classes.where("pmod(xxhash64(node), 64) = 0")
     least = max(2, some.count() / 200)
-    return keyed(some).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= least).selectExpr("key", "true as heavy")
+    return keyed(some, plan).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= least).selectExpr("key", "true as heavy")
 
 
 def several(keys: DataFrame, often: DataFrame) -> DataFrame:
@@ -225,9 +248,9 @@ def several(keys: DataFrame, often: DataFrame) -> DataFrame:
     return salted.repartition("key", "salt").sortWithinPartitions("key").mapInArrow(run, "node long, key long, slot short")
 
 
-def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Confirmed edges (a, b), enough to connect all classes (node, n, sig) that links connect."""
-    shared = materialise(several(keyed(classes), heavy(classes)), "shared")
+    shared = materialise(several(keyed(classes, plan), heavy(classes, plan)), "shared")
     groups = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep"))
     members = materialise(shared.join(groups, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
@@ -235,25 +258,26 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     star = members.selectExpr("node as a", "rep as b").where("a <> b").distinct().union(members.join(second, "key").selectExpr("node as a", "rep2 as b").where("a <> b").distinct())
     star = star.selectExpr("least(a, b) as x", "greatest(a, b) as y").distinct()
     facts = classes.selectExpr("node", "n", "sig")
-    near = star.join(facts.selectExpr("node as x", "struct(n, sig) as a"), "x").join(facts.selectExpr("node as y", "struct(n, sig) as b"), "y").where(NEAR).selectExpr("x as a", "y as b")
-    first = materialise(confirm(materialise(near, "near"), docs), "links")
+    near = star.join(facts.selectExpr("node as x", "struct(n, sig) as a"), "x").join(facts.selectExpr("node as y", "struct(n, sig) as b"), "y").where(plan.near).selectExpr("x as a", "y as b")
+    first = materialise(confirm(materialise(near, "near"), docs, plan.similarity), "links")
     labelled = materialise(members.select("key", "node", "slot").join(components(first), "node", "left").selectExpr("key", "slot", "node", "coalesce(comp, node) as comp"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = materialise(labelled.join(mixed, "key", "left_semi").join(facts, "node"), "rest")
     bits = materialise(_of_texts(materialise(rest.select("node").distinct(), "nodes"), docs, "bits", bit_signature), "bits")
     rest = rest.join(bits, "node")
-    pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.comp <> b.comp and {NEAR} and {SAME_BITS} and {FIRST}")).selectExpr("a.node as a", "b.node as b").distinct()
-    return first.union(confirm(materialise(pairs, "pairs"), docs))
+    pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.comp <> b.comp and {plan.near} and {plan.same_bits} and {plan.first}")).selectExpr("a.node as a", "b.node as b").distinct()
+    return first.union(confirm(materialise(pairs, "pairs"), docs, plan.similarity))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each of docs (doc_id, text)."""
-    sketched = materialise(sketch(docs), "sketch")
+def link_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each of docs (doc_id, text); texts of that Jaccard similarity (percent) or more are linked."""
+    plan = Plan(similarity)
+    sketched = materialise(sketch(docs, plan), "sketch")
     classed = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     classed = materialise(classed, "classes")
     some = sketched.alias("s").join(classed.alias("c"), F.expr("s.doc_id = c.node and s.d1 = c.d1 and s.d2 = c.d2")).selectExpr("c.node", "s.n_shingles as n", "s.sig").dropDuplicates(["node", "n"])
     classes = materialise(some, "reps")
-    found = components(links(classes, docs))
+    found = components(links(classes, docs, plan))
     named = classed.join(found, "node", "left").selectExpr("d1", "d2", "coalesce(comp, node) as comp")
     out = sketched.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     return out.selectExpr("doc_id", "n_shingles", "case when n_shingles = 0 or doc_id is null then doc_id else comp end as component_id").selectExpr("*", "component_id <=> doc_id as kept")
@@ -263,9 +287,9 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; of equal rows one. Columns of docs. Rows without doc_id or words stay."""
-    kept = link_documents(docs.select("doc_id", "text")).where("kept and n_shingles > 0 and doc_id is not null").select("doc_id").distinct()
+    kept = link_documents(docs.select("doc_id", "text"), similarity).where("kept and n_shingles > 0 and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.union(docs.where("doc_id is null or not coalesce(text, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns))
 

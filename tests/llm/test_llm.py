@@ -189,6 +189,17 @@ def test_neardup(spark, odd):
     assert sorted(r.doc_id or 0 for r in neardup.keep_first(odd).collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_neardup_takes_the_similarity(spark):
+    assert (lambda p: (p.chunks, p.per, p.distance, p.bit_distance))(neardup.Plan(85)) == (19, 7, 37, 158)
+    words = [[f"{g}w{x}" for x in range(104)] for g in range(200)]  # 100 shingles; a word changed near the end costs k of them: (100 - k) / (100 + k)
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-10], "new", *w[-9:-5], "also", *w[-4:]]) for w in words]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(neardup.shingles(t).tolist()) for t in (texts[0], texts[200])]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    assert sorted(r.doc_id for r in neardup.keep_first(d, 80).collect()) == list(range(200))
+    assert neardup.keep_first(d, 85).count() == 400
+
+
 def test_neardup_shared_keys(spark):
     rows = [(n, k, 0) for n in range(400) for k in ({1, n % 150 + 2, 1000 + n})]  # key 1: all, 2-151: two or three, the rest: one
     keys = spark.createDataFrame(rows, "node long, key long, slot short")
