@@ -1,18 +1,24 @@
 """Training-order materialisation of token ids.
 
-Documents are tokenised (an end token follows each) and cut into sequences of at most `seq_len` tokens. The
-sequences are counted in the order in which they were tokenised; a keyed Feistel permutation with cycle-walking
-turns that count into a global slot, so that slots 0..N-1 are each taken once and the order looks random but can
-be recomputed from the key. Shard s holds slots [s * shard_rows, (s + 1) * shard_rows) and is written by one task
-as one file of fixed-stride records (seq_len little-endian uint16 ids, padded with the end token): record i of
-the training order is at byte (i mod shard_rows) * 2 * seq_len of shard i div shard_rows, so a reader can start
-anywhere and go on sequentially.
-
-A task writes under a name of its own and renames at the end, so repeated and speculative attempts are harmless.
-
-Defined results: null texts count as empty; an empty text gives one sequence with only the end token; long texts
-give many sequences; repeated rows get slots of their own; an empty table gives no shards and an empty manifest;
-other columns are ignored.
+Documents are tokenised and put back to back, an end token after each; what a task reads is one stream, cut into
+sequences of `seq_len` tokens (only the last sequence of a task is padded, with end tokens). The sequences are counted
+in the order in which they were tokenised; a keyed Feistel permutation with cycle-walking turns that count into a
+global slot, so that slots 0..N-1 are each taken once and the order looks random but can be recomputed from the key.
+Shard s holds slots [s * shard_rows, (s + 1) * shard_rows) and is written by one task as one file of fixed-stride
+records (seq_len little-endian uint16 ids): record i of the training order is at byte (i mod shard_rows) * 2 * seq_len
+of shard i div shard_rows, so a reader can start anywhere and go on sequentially. A document is the `n_tokens` ids from
+token `start` of sequence `first_seq` on, and over into the following sequences' slots.
+
+On the way ids are kept as two planes of bytes, low and high, compressed together: by block in the token table, and
+in the shuffle all sequences of a task that go to one shard as one piece. A writer holds one shard (32 MB by default).
+
+A task writes under a name of its own and renames at the end; an attempt that finds the shard already there drops its
+own file, so repeated and speculative attempts are harmless, also where a rename may not overwrite. What failed
+attempts leave is deleted at the end, and so is the token table.
+
+Defined results: null texts count as empty; an empty text is only the end token; long texts span many sequences;
+repeated rows each have a place of their own; a null key is kept; an empty table gives no shards and an empty
+manifest; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import column, materialise, mix, new_path, read
+from cardloom.llm.common import arrow_map, column, materialise, mix, new_path, read, release
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -42,6 +48,10 @@ SEQ_LEN = 256
 SHARD_ROWS = 1 << 16
 KEY = 20240131
 ROUNDS = 6
+CODEC = "zstd"
+#: Bytes of ids in a block of the token table, and those that a task sorts into shards at once.
+BLOCK_BYTES = 1 << 20
+HELD_BYTES = 1 << 26
 
 # Fixed value: how the vocabulary's tokenizer parts a text, in terms of Python's own character classes.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -126,106 +136,202 @@ def unfeistel(y: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np
     return out.astype(np.int64)
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """Ids as planes of low and high bytes, compressed together."""
+    planes = ids.astype("<u2", copy=False).view(np.uint8).reshape(-1, 2).T.tobytes()
+    return pa.compress(planes, CODEC, asbytes=True)
+
+
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    """The n ids of pack()."""
+    planes = np.frombuffer(pa.decompress(blob, 2 * n, CODEC, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(2, n).T).view("<u2").ravel()
+
+
+#: (key, at, n_tokens, crc32) of a document, at: its first token in the task's stream; or (first, n_seq, block): packed sequences, first: the number of the first one in the task.
+_TOKENS = [T.StructField(n, T.LongType()) for n in ("at", "n_tokens", "tokens_crc32", "first", "n_seq")] + [T.StructField("block", T.BinaryType())]
+
+
 def tokenise(docs: DataFrame, key: str, text_col: str, vocabulary: str, seq_len: int) -> DataFrame:
-    """(key, tokens, first, part): ids, the number of the first sequence within its task, and the task."""
+    """Rows of documents and of blocks of sequences (see _TOKENS), and `part`: the task they come from."""
+    key_type = T.StructField("key", docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end, at = tokenizer(vocabulary), np.array([END], "<u2").tobytes(), 0
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        tok, end, kind = tokenizer(vocabulary), np.array([END], "<u2").tobytes(), to_arrow_type(key_type.dataType)
+        at = first = 0
+        rest, waiting = [], 0  # ids that aren't in a block yet, and their bytes
+
+        def block(raw: bytes) -> pa.RecordBatch:
+            n = len(raw) // (2 * seq_len)
+            row = [None, None, None, None, first, n, pack(np.frombuffer(raw, "<u2"))]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [kind, *[pa.int64()] * 5, pa.binary()], strict=True)], names=names)
+
+        names = ["key", *(f.name for f in _TOKENS)]
         for big in batches:
-            for b in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
+            for b in (big.slice(i, 128) for i in range(0, big.num_rows, 128)):
                 tokens = [(tok.encode(t) if t else b"") + end for t in column(b, text_col)]
-                n = np.array([-(-len(x) // (2 * seq_len)) for x in tokens])
-                first = at + np.cumsum(n) - n
+                n = np.array([len(x) // 2 for x in tokens], np.int64)
+                start = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), pa.array(tokens, pa.binary()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=[key, "tokens", "first", "n_seq"])
+                none = pa.nulls(len(n), pa.int64())
+                keys = b.column(b.schema.get_field_index(key)).cast(kind)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in tokens], pa.int64()), none, none, pa.nulls(len(n), pa.binary())], names=names)
+                rest += tokens
+                waiting += sum(map(len, tokens))
+                if waiting >= BLOCK_BYTES:
+                    raw = b"".join(rest)
+                    whole = len(raw) // (2 * seq_len) * 2 * seq_len
+                    for i in range(0, whole, BLOCK_BYTES // (2 * seq_len) * 2 * seq_len or 2 * seq_len):
+                        piece = raw[i : min(whole, i + (BLOCK_BYTES // (2 * seq_len) * 2 * seq_len or 2 * seq_len))]
+                        yield block(piece)
+                        first += len(piece) // (2 * seq_len)
+                    rest, waiting = [raw[whole:]], len(raw) - whole
+        if waiting:
+            raw = b"".join(rest)
+            raw += end * (-(len(raw) // 2) % seq_len)
+            yield block(raw)
+
+    out = docs.select(key, text_col).mapInArrow(run, T.StructType([key_type, *_TOKENS]))
+    return out.withColumn("part", F.spark_partition_id())
+
+
+def _place(tokens: DataFrame, base: dict[int, int], total: int, seq_len: int, shard_rows: int, order_key: int) -> DataFrame:
+    """(shard, n, slots, chunk): the sequences of a task that go to one shard, packed, and their slots within the shard."""
+    sent = tokens.sparkSession.sparkContext.broadcast(base)
 
-    schema = T.StructType([docs.schema[key], T.StructField("tokens", T.BinaryType()), T.StructField("first", T.LongType()), T.StructField("n_seq", T.LongType())])
-    return docs.select(key, text_col).mapInArrow(run, schema).withColumn("part", F.spark_partition_id())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, slot = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            order = np.argsort(slot)
+            ids, slot = ids[order], slot[order]
+            shards, at = np.unique(slot // shard_rows, return_index=True)
+            ends = [*at[1:], len(slot)]
+            within = (slot % shard_rows).astype("<i4")
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shards.astype(np.int32)), pa.array(np.array(ends) - at, pa.int64()), pa.array([within[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([pack(ids[a:b].ravel()) for a, b in zip(at, ends, strict=True)], pa.binary())],
+                names=["shard", "n", "slots", "chunk"],
+            )
+
+        for b in batches:
+            for part, first, n, blob in zip(column(b, "part"), column(b, "first"), column(b, "n_seq"), column(b, "block"), strict=True):
+                index = sent.value[part] + first + np.arange(n)
+                held.append((unpack(blob, n * seq_len).reshape(n, seq_len), feistel(index, total, order_key)))
+                size += n * seq_len * 2
+                if size >= HELD_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    blocks = tokens.where("block is not null").select("part", "first", "n_seq", "block")
+    return blocks.mapInArrow(run, "shard int, n long, slots binary, chunk binary")
+
+
+def publish(store: fs.FileSystem, name: str, final: str) -> None:
+    """Rename a finished file, unless another attempt has already done so."""
+    if store.get_file_info(final).type == fs.FileType.NotFound:
+        try:
+            store.move(name, final)
+            return
+        except OSError:  # another attempt came first: where a rename doesn't overwrite, it fails
+            if store.get_file_info(final).type == fs.FileType.NotFound:
+                raise
+    store.delete_file(name)
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, order_key: int = KEY) -> DataFrame:
-    """Write the shards and manifest.json below path; gives one row for each sequence: key, seq_no, slot, shard, byte_offset, n_tokens, tokens_crc32."""
+    """Write the shards and manifest.json below path; gives one row for each document: key, first_seq, start, slot (of first_seq), shard, byte_offset, n_tokens, tokens_crc32 (of the ids with the end token)."""
     spark = docs.sparkSession
     tokens = materialise(tokenise(docs, key, text_col, vocabulary, seq_len), "tokens", "zstd")
     # one small row for each task that tokenised
-    sums = tokens.groupBy("part").agg(F.sum("n_seq").alias("n")).orderBy("part").collect()
-    total = sum(r["n"] for r in sums)
-    base, at = {}, 0
-    for r in sums:
-        base[r["part"]] = at
-        at += r["n"]
+    sums = tokens.where("block is not null").groupBy("part").agg(F.sum("n_seq").alias("n")).orderBy("part").collect()
+    ends = np.cumsum([r["n"] for r in sums]) if sums else np.zeros(1, np.int64)
+    total, base = int(ends[-1]), {r["part"]: int(e) - r["n"] for r, e in zip(sums, ends, strict=False)}
     n_shards = -(-total // shard_rows)
-    known_base = spark.sparkContext.broadcast(base)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for b in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
-                blobs, first, part = column(b, "tokens"), column(b, "first"), column(b, "part")
-                chunks, source, number = [], [], []
-                for i, blob in enumerate(blobs):
-                    for k in range(0, len(blob), 2 * seq_len):
-                        chunks.append(blob[k : k + 2 * seq_len])
-                        source.append(i)
-                        number.append(k // (2 * seq_len))
-                source, number = np.array(source, np.int64), np.array(number, np.int64)
-                index = np.array([known_base.value[p] + f for p, f in zip(part, first, strict=True)], np.int64)[source] + number
-                slot = feistel(index, total, order_key)
-                keys = b.column(b.schema.get_field_index(key)).take(pa.array(source))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(number), pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), pa.array(chunks, pa.binary())], names=[key, "seq_no", "slot", "shard", "chunk"])
-
-    schema = T.StructType([docs.schema[key], T.StructField("seq_no", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.BinaryType())])
-    placed = tokens.select(key, "tokens", "first", "part").mapInArrow(place, schema)
-    ranges = placed.repartitionById(max(1, n_shards), F.col("shard")).sortWithinPartitions("slot")
-    pad = np.array([END], "<u2").tobytes()
+    ranges = _place(tokens, base, total, seq_len, shard_rows, order_key).repartitionById(max(1, n_shards), F.col("shard"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
-        shard, out, name = None, None, ""
+        open_: dict[int, list] = {}  # a partition is one shard
         for b in batches:
-            sizes, crcs = [], []
-            for s, chunk in zip(column(b, "shard"), column(b, "chunk"), strict=True):
-                if s != shard:
-                    if out:
-                        out.close()
-                        store.move(name, _file(folder, shard))
-                    shard, name = s, f"{folder}/.tmp-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(name)
-                out.write(chunk + pad * (seq_len - len(chunk) // 2))
-                sizes.append(len(chunk) // 2)
-                crcs.append(zlib.crc32(chunk))
-            slot = np.array(column(b, "slot"), np.int64)
-            keep = [b.column(b.schema.get_field_index(n)) for n in (key, "seq_no", "slot", "shard")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(slot % shard_rows * 2 * seq_len), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=[key, "seq_no", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32"])
-        if out:
-            out.close()
-            store.move(name, _file(folder, shard))
+            for shard, n, slots, chunk in zip(column(b, "shard"), column(b, "n"), column(b, "slots"), column(b, "chunk"), strict=True):
+                size = min(shard_rows, total - shard * shard_rows)
+                got = open_.setdefault(shard, [np.empty((size, seq_len), "<u2"), 0])
+                got[0][np.frombuffer(slots, "<i4")] = unpack(chunk, n * seq_len).reshape(n, seq_len)
+                got[1] += n
+        for shard, (ids, n) in open_.items():
+            if n != len(ids):
+                raise RuntimeError(f"shard {shard} got {n} of {len(ids)} sequences")
+            name = f"{folder}/.tmp-{uuid.uuid4().hex}"
+            with store.open_output_stream(name) as out:
+                out.write(ids)
+            publish(store, name, _file(folder, shard))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([zlib.crc32(ids)], pa.int64())], names=["shard", "sequences", "crc32"])
 
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
-    schema = T.StructType([docs.schema[key], *(T.StructField(n, T.IntegerType() if n == "shard" else T.LongType()) for n in ("seq_no", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32"))])
-    written = materialise(ranges.mapInArrow(write, schema), "sequences")
+    sent = spark.sparkContext.broadcast(base)
+
+    def locate(batch: pa.RecordBatch) -> list:
+        at = np.array(column(batch, "at"), np.int64)
+        first = np.array([sent.value[p] for p in column(batch, "part")], np.int64) + at // seq_len
+        slot = feistel(first, total, order_key)
+        return [pa.array(x) for x in (first, at % seq_len, slot, slot // shard_rows, slot % shard_rows * 2 * seq_len)]
+
+    fields = [T.StructField(n, T.LongType()) for n in ("first_seq", "start", "slot", "shard", "byte_offset")]
+    found = arrow_map(tokens.where("block is null").select("key", "at", "part", "n_tokens", "tokens_crc32"), fields, locate, rows=8192)
+    placed = materialise(found.select(F.col("key").alias(key), "first_seq", "start", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32"), "places", "zstd")
+    done = materialise(ranges.mapInArrow(write, "shard int, sequences long, crc32 long"), "shards")
+    if (n := done.count()) != n_shards:
+        raise RuntimeError(f"{n} of {n_shards} shards were written")
+    for f in store.get_file_info(fs.FileSelector(folder)):
+        if f.base_name.startswith(".tmp-"):
+            store.delete_file(f.path)
     with store.open_output_stream(f"{folder}/manifest.json") as f:
         f.write(json.dumps({"sequences": total, "seq_len": seq_len, "shard_rows": shard_rows, "shards": n_shards, "dtype": "<u2", "pad": END, "order_key": order_key}).encode())
-    return written
+    release(tokens)
+    release(done)
+    return placed
 
 
 def _file(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
-def read_sequences(path: str, start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from slot `start` on, in training order."""
+def manifest(path: str) -> dict:
     store, folder = fs.FileSystem.from_uri(path)
     with store.open_input_stream(f"{folder}/manifest.json") as f:
-        m = json.loads(f.read())
+        return json.loads(f.read())
+
+
+def read_sequences(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from slot `start` on, in training order."""
+    store, folder = fs.FileSystem.from_uri(path)
+    m = manifest(path)
     for shard in range(start // m["shard_rows"], m["shards"]):
         with store.open_input_file(_file(folder, shard)) as f:
             slot = max(start, shard * m["shard_rows"])
             f.seek((slot - shard * m["shard_rows"]) * 2 * m["seq_len"])
             while raw := f.read(2 * m["seq_len"]):
+                if stop is not None and slot >= stop:
+                    return
                 yield slot, np.frombuffer(raw, "<u2")
                 slot += 1
 
 
+def read_document(path: str, first_seq: int, start: int, n_tokens: int) -> np.ndarray:
+    """The ids of one document, with its end token, by its place."""
+    m = manifest(path)
+    index = np.arange(first_seq, first_seq - (-(start + n_tokens) // m["seq_len"]))
+    slots = feistel(index, m["sequences"], m["order_key"])
+    got = [ids for s in slots.tolist() for _, ids in read_sequences(path, s, s + 1)]
+    return np.concatenate(got)[start : start + n_tokens]
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "shards"))

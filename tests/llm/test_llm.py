@@ -51,18 +51,54 @@ def test_html_keeps_the_same_blocks_on_long_pages():
 
 def test_shards(spark, odd):
     path = new_path(spark, "test")
-    rows = shards.write_shards(odd, path, seq_len=8, shard_rows=16).collect()
-    got = dict(shards.read_sequences(path))
-    assert sorted(r.slot for r in rows) == list(range(len(rows))) == sorted(got)
+    rows = shards.write_shards(odd.repartition(3), path, seq_len=8, shard_rows=16).collect()
+    m, got = shards.manifest(path), dict(shards.read_sequences(path))
+    assert sorted(got) == list(range(m["sequences"])) and len(rows) == len(ODD)
     bpe = shards.tokenizer(shards.VOCABULARY).bpe
-    for i, t in ODD[:6]:
-        ids = np.concatenate([got[r.slot][: r.n_tokens] for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.seq_no)])
-        assert ids[-1] == shards.END and bpe.decode(ids[:-1].tolist()) == (t or "")
-    assert min(s for s, _ in shards.read_sequences(path, 20)) == 20
-    assert shards.write_shards(odd.limit(0), new_path(spark, "none")).count() == 0
+    back = []
+    for r in rows:
+        ids = shards.read_document(path, r.first_seq, r.start, r.n_tokens)
+        assert len(ids) == r.n_tokens and shards.zlib.crc32(ids.tobytes()) == r.tokens_crc32 and ids[-1] == shards.END
+        assert r.slot == r.shard * 16 + r.byte_offset // 16 and got[r.slot][r.start] == ids[0]
+        back.append((r.doc_id, bpe.decode(ids[:-1].tolist())))
+    assert sorted(back, key=str) == sorted(((i, t or "") for i, t in ODD), key=str)
+    # documents lie back to back: of the tokens only what ends a task's stream is padding
+    assert sum(r.n_tokens for r in rows) > (m["sequences"] - 3) * 8
+    for start in (1, 15, 16, 20, m["sequences"] - 1):  # resumed within and across shards
+        assert [(s, x.tolist()) for s, x in shards.read_sequences(path, start)] == [(s, got[s].tolist()) for s in range(start, m["sequences"])]
+    assert shards.write_shards(odd.limit(0), none := new_path(spark, "none")).count() == 0 and list(shards.read_sequences(none)) == []
     for n in (1, 2, 3, 1000):
         y = shards.feistel(np.arange(n), n)
         assert sorted(y) == list(range(n)) and (shards.unfeistel(y, n) == np.arange(n)).all()
+    ids = np.arange(3000, dtype="<u2")
+    assert (shards.unpack(shards.pack(ids), 3000) == ids).all()
+
+
+def test_shards_written_twice(tmp_path):
+    """A second attempt, also where a rename fails on an existing name, leaves the first one's shard."""
+    from pyarrow import fs
+
+    class Strict:  # a store that doesn't overwrite, and on which the other attempt comes between look and rename
+        def __init__(self, late):
+            self.fs, self.late = fs.LocalFileSystem(), late
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, a, b):
+            if self.late:
+                (tmp_path / "shard").write_bytes(b"first")
+            if (tmp_path / "shard").exists():
+                raise OSError("exists")
+            self.fs.move(a, b)
+
+    for late, there, want in ((False, True, b"first"), (True, False, b"first"), (False, False, b"second")):
+        (tmp_path / "shard").unlink(missing_ok=True)
+        if there:
+            (tmp_path / "shard").write_bytes(b"first")
+        (tmp_path / "new").write_bytes(b"second")
+        shards.publish(Strict(late), str(tmp_path / "new"), str(tmp_path / "shard"))
+        assert (tmp_path / "shard").read_bytes() == want and not (tmp_path / "new").exists()
 
 
 def test_tokenizer_cache_is_exact():
