@@ -7,8 +7,10 @@ kept whole, else the main element around it; if in neither, the container itself
 around an article, blocks and bare text of any kind and length are kept unless most of their text is links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
 inside the kept part are left out; all other blocks are kept, in page order, however short they are.
 
-Defined results: null and empty html, and pages without any text, give an empty text; unclosed, crossed and cut
-tags are repaired as a browser would, roughly; repeated rows are each extracted; other columns are ignored.
+Parsing and choosing take time linear in the page. Defined results: null and empty html, and pages without any text,
+give an empty text; unclosed, crossed and cut tags are repaired as a browser would, roughly; a drawing, canvas or object
+that is never closed hides nothing; repeated rows are each extracted; an empty table gives no rows; the output column
+replaces one of its name, others pass through.
 """
 
 from __future__ import annotations
@@ -22,31 +24,67 @@ from pyspark.sql import types as T
 
 from cardloom.llm.common import arrow_map, column, read
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A comment, declaration or tag. A quote opens a value only right after the equals sign, as in browsers; loops are possessive, so that it stays linear.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|=)*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:@][^\s=/>]*)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 
 # Tag names of HTML, by their part in the page.
-RAW = {"script", "style", "noscript", "textarea", "title", "template", "svg", "math", "iframe", "object", "canvas", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+#: Elements whose content isn't shown as text. Without a closing tag they are taken for empty; an HTML block ends a drawing.
+UNSEEN = {"svg", "canvas", "object", "template", "noscript", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "input", "label", "fieldset", "legend", "head"}
 CLOSES_P = BLOCK - {"html", "head", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: A new element of this kind closes an open one of these, unless one of the stops stands between.
-IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-
-BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|breadcrumbs?|combx|comments?|commentlist|contact|cookies?|consent|disqus|disclaimer|feedback|footer|foot|gdpr|header|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notice|notices|notification|outbrain|pagination|pager|popup|promo\w*|related|replies|reply|respond|responses|rss|share|sharing|shoutbox|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags|taboola|toolbar|tools|topbar|widgets?)(?:$|[\s_-])", re.I)
+#: A new element of the first kinds closes the outermost open one of the second, unless one of the third stands between.
+IMPLIED = (
+    (CLOSES_P, {"p"}, {"td", "th", "caption", "button", "table"}),
+    ({"li"}, {"li"}, {"ul", "ol", "menu", "dir"}),
+    ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    ({"tr", "tbody", "thead", "tfoot"}, {"tr", "td", "th"}, {"table"}),
+    ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
+    ({"option"}, {"option"}, {"select"}),
+)
+#: What an end tag inside one of these can't close beyond it, but for the end tags of tables.
+SCOPING = {"td", "th", "caption", "table", "button", "object", "template"}
+TABLE_ENDS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "html", "body", "object", "template", "button"}
+
+# Words of classes and ids. A name marks a block as something beside the article if it is one of ALONE or LAST, ends in one of LAST,
+# or begins with one of FIRST (or of ALONE) and has only PLAIN words after; so that "side-effects", "contact-lens" or "related-work" do not.
+ALONE = set("ad ads advert advertisement advertising adsense adslot banner breadcrumb breadcrumbs comments commentlist cookie cookies consent disqus disclaimer footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications outbrain pagination pager popup promo promos promotion replies respond rss share sharing shoutbox sidebar signup social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar widget widgets".split())
+LAST = set("ad ads advert advertisement banner breadcrumb breadcrumbs comments footer masthead menu modal nav navbar navigation newsletter pagination popup sidebar signup toolbar topbar widget widgets".split())
+FIRST = set("comment related contact feedback header site skip tag tags reply".split())
+PLAIN = set("area bar bars block blocks body bottom box button buttons container content footer form group header holder icons inner item items left link links list main nav outer overlay page panel posts articles stories primary right secondary section text top us wrap wrapper".split())
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
+KEPT_NAME = re.compile(r"(?:^|[_-])(?:article|entry|post|story)[-_](?:body|content|text)$", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "status", "toolbar"}
 
 
+def beside_name(name: str) -> bool:
+    """Whether one class or id stands for something beside the article."""
+    parts = [x for x in re.split(r"[-_:]+", CAMEL.sub("-", name).lower()) if x]
+    if not parts or KEPT_NAME.search(name):
+        return False
+    if len(parts) == 1:
+        return parts[0] in ALONE
+    return parts[-1] in LAST or ((parts[0] in ALONE or parts[0] in FIRST) and all(x in PLAIN or x in ALONE or x.isdigit() for x in parts[1:]))
+
+
 class Node:
-    __slots__ = ("tag", "kids", "parent", "bad", "name", "main", "score", "chars", "links", "depth")
+    __slots__ = ("tag", "kids", "parent", "bad", "name", "main", "score", "chars", "links", "inside", "opened", "shut")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False, name: str = "", main: bool = False):
         self.tag, self.kids, self.parent, self.bad, self.name, self.main = tag, [], parent, bad, name, main
         self.score, self.chars, self.links = 0.0, 0, 0
-        self.depth = parent.depth + 1 if parent else 0
+        self.inside = False  # an article or the main element, or in one
+        # tags that are open within the nearest scoping element, with their number; and for each rule of IMPLIED the element that it would close
+        self.opened: dict[str, int] = {} if parent is None or tag in SCOPING else parent.opened
+        shut = (None,) * len(IMPLIED) if parent is None else parent.shut
+        if any(tag in kinds or tag in stops for _, kinds, stops in IMPLIED):
+            shut = tuple((None if tag in stops else x) or (self if tag in kinds else None) for x, (_, kinds, stops) in zip(shut, IMPLIED, strict=True))
+        self.shut = shut
 
 
 def _boilerplate(tag: str, attrs: str) -> tuple[bool, str, bool]:
@@ -58,18 +96,25 @@ def _boilerplate(tag: str, attrs: str) -> tuple[bool, str, bool]:
         found.setdefault(k.lower(), html.unescape(v.strip("\"'")) if v else "")
     name = f"{found.get('class', '')} {found.get('id', '')}"
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
-    marked = tag not in ("html", "body", "article", "main") and BAD_NAME.search(name) and not re.search(r"(?:^|[\s_-])(?:article|entry|post|story)[-_](?:body|content|text)(?:$|[\s_-])", name, re.I)
+    names = [] if tag in ("html", "body", "article", "main") else name.split()
+    marked = any(map(beside_name, names)) and not any(map(KEPT_NAME.search, names))
     return bool(tag in BOILER or hidden or marked or found.get("role", "").lower() in BAD_ROLE), name, tag == "main" or found.get("role", "").lower() == "main"
 
 
 def parse(page: str) -> Node:
+    """A tree of elements, text and None for the end of a block; in time linear in the page."""
     root = Node("#root", None)
     at, pos, n = root, 0, len(page)
     open_tags: dict[str, int] = {}
+    last_end = {m[1].lower(): m.start() for m in re.finditer(r"</([a-zA-Z][^\s/>]*)", page)}  # where each tag is closed last
+    drawings = 0
 
     def close_to(node: Node, stop: Node) -> Node:
+        nonlocal drawings
         while node is not stop:
             open_tags[node.tag] -= 1
+            node.parent.opened[node.tag] -= 1
+            drawings -= node.tag == "svg"
             node = node.parent
         return node
 
@@ -86,7 +131,7 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if open_tags.get(tag, 0) > 0:
+            if open_tags.get(tag, 0) > 0 and (tag in TABLE_ENDS or at.opened.get(tag, 0) > 0):
                 node = at
                 while node.tag != tag:
                     node = node.parent
@@ -94,39 +139,37 @@ def parse(page: str) -> Node:
             elif tag in ("p", "br"):
                 at.kids.append(None if tag == "p" else " ")
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, pos)
-            if not m[3].endswith("/"):
-                pos = end.end() if end else n
+        if tag in RAW:  # a slash at its end doesn't close it
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, pos) if last_end.get(tag, -1) >= pos else None
+            pos = end.end() if end else n
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br":
                 at.kids.append(" ")
             continue
-        if tag in CLOSES_P and open_tags.get("p", 0) > 0:
+        if tag in UNSEEN and (last_end.get(tag, -1) < pos or m[3].endswith("/")):
+            continue
+        if drawings and tag in BLOCK:  # ends the drawings around it
             node = at
-            while node.tag != "p" and node.tag not in ("td", "th", "button", "table"):
-                node = node.parent
-            if node.tag == "p":
-                at = close_to(at, node.parent)
-        if tag in IMPLIED:
-            shut, stops = IMPLIED[tag]
-            node, last = at, None
-            while node.parent and node.tag not in stops:
-                if node.tag in shut:
-                    last = node
-                node = node.parent
-            if last:
-                at = close_to(at, last.parent)
+            while drawings:
+                while node.tag != "svg":
+                    node = node.parent
+                at = node = close_to(at, node.parent)
+        for (opens, _, _), shut in zip(IMPLIED, at.shut, strict=True):
+            if shut is not None and tag in opens:
+                at = close_to(at, shut.parent)
+                break
         if tag in VOID:
             if tag in BLOCK:
                 at.kids.append(None)
             continue
         bad, name, main = _boilerplate(tag, m[3])
-        node = Node(tag, at, bad, name, main)
+        node = Node(tag, at, bad or tag in UNSEEN, name, main)
         at.kids.append(node)
+        at.opened[tag] = at.opened.get(tag, 0) + 1
         at = node
         open_tags[tag] = open_tags.get(tag, 0) + 1
+        drawings += tag == "svg"
     return root
 
 
@@ -148,10 +191,11 @@ def _measure(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
+        node.inside = node.tag == "article" or node.main or bool(node.parent and node.parent.inside)
         for k in reversed(node.kids):
             if isinstance(k, Node):
                 # a header in the article may hold its title; elsewhere it is the site's
-                k.bad = k.bad or node.bad or (k.tag == "header" and not (any(_around(node)) and any(isinstance(x, Node) and x.tag in HEADINGS for x in k.kids)))
+                k.bad = k.bad or node.bad or (k.tag == "header" and not (node.inside and any(isinstance(x, Node) and x.tag in HEADINGS for x in k.kids)))
                 stack.append(k)
     for node in reversed(order):
         if not node.bad:
@@ -214,18 +258,22 @@ def choose(root: Node) -> list:
         return [best]
     article, main = _around(best)
     whole = article or main or best
-    kept = [whole]
+    before, after = [], []  # what is kept beside, level by level
     # up to the main element, or one level without it
     while whole.parent is not None and whole is not main:
-        kept, whole = _beside(whole, kept), whole.parent
+        left, right = _beside(whole)
+        before.append(left)
+        after.append(right)
+        whole = whole.parent
         if main is None:
             break
-    return kept
+    return [x for part in reversed(before) for x in part] + [article or main or best] + [x for part in after for x in part]
 
 
-def _beside(node: Node, kept: list) -> list:
-    """kept, which stands for node, with what is beside node and isn't mostly links; inline runs count as one."""
-    out, run = [], []
+def _beside(node: Node) -> tuple[list, list]:
+    """What stands before node and after it and isn't mostly links; inline runs count as one."""
+    sides: tuple[list, list] = ([], [])
+    out, run = sides[0], []
 
     def end() -> None:
         chars = sum(len(k.strip()) if isinstance(k, str) else k.chars for k in run)
@@ -239,13 +287,13 @@ def _beside(node: Node, kept: list) -> list:
             continue
         end()
         if k is node:
-            out.extend(kept)
+            out = sides[1]
         elif k is None:
             out.append(k)
         elif not k.bad and k.links < 0.5 * k.chars:
             out.append(k)
     end()
-    return out
+    return sides
 
 
 def blocks(nodes: list[Node]) -> list[str]:

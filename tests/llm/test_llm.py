@@ -49,6 +49,71 @@ def test_html_keeps_the_same_blocks_on_long_pages():
             assert html_extract.extract(f"<div><h1>T</h1>{body}{beside}</div>{links}") == want
 
 
+def test_html_loses_and_leaks_nothing():
+    e = html_extract.extract
+    assert e("<p>one</p><p data-x=it's>two</p><p>three</p>") == "one\ntwo\nthree"
+    assert e("<p title='a>b' x=\"c>d\">one</p>") == "one"
+    for tag in ("svg", "canvas", "object", "template", "noscript"):
+        assert e(f"<p>one</p><{tag}><p>two</p><p>three</p>") == "one\ntwo\nthree", tag
+        if tag != "svg":  # a block ends a drawing
+            assert e(f"<p>one</p><{tag}><p>two</p><{tag}>x</{tag}></{tag}><p>three</p>") == "one\nthree", tag
+    assert e("<p>a <svg><title>t</title><g><text>x</text></g></svg> b</p><svg><p>c</p></svg><svg/><p>d") == "a b\nc\nd"
+    assert e("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> then</p>") == "if x=1 then"
+    for name in ("contact-lens", "side-effects", "related-work", "tools", "tool-list", "share-price", "banner-year"):
+        assert e(f'<article><p>one</p><p class="{name}">two</p><div id="{name}">three</div></article>') == "one\ntwo\nthree", name
+    for name in ("ad", "ads", "site-footer", "sidebar", "left-sidebar", "comments", "commentList", "comment-form", "cookie-banner", "share-buttons", "related-posts", "main_nav", "x breadcrumbs y", "newsletter-box"):
+        assert e(f'<article><p>one</p><p>two</p><div class="{name}">three</div></article>') == "one\ntwo", name
+    for raw in ("<script src=a.js/>alert(1)</script>", "<style/>p{}</style>", "<SCRIPT>if (a</b) x</SCRIPT >"):
+        assert e(f"<p>one{raw} two</p>") == "one two"
+    assert e("<p>x<table><tr><td>a</div></p>b<td>c</table>d") == "x\na\nb\nc\nd"
+
+
+def test_html_in_linear_time():
+    import time
+
+    n = 60_000
+    pages = ["<div>" * n + "<li>" * n, "<p><table><tr><td>" + "<div>" * n + "</span>" * n, "<table><td>" * (n // 4) + "</tr>" * n, "<main>" + "<div><header><h1>t</h1></header>" * (n // 4) + "<article><p>" + "word " * 50, "<svg>" * n + "<p>" * n, "<p x=" * n, "<canvas>" * n + "x" + "</canvas>" * n, "<ul>" + "<li><ul>" * n + "x", "<a b='" + "<i c=d'" * n]
+    for page in pages:
+        began = time.perf_counter()
+        html_extract.extract(page)
+        assert time.perf_counter() - began < 6, page[:60]
+
+
+def test_html_against_known_blocks():
+    """Generated pages: what stands in the article, block by block, and nothing of what stands around it."""
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    noise = [lambda: f"<nav><ul><li><a href=/a>{words(2)}</a><li><a href=/b>{words(1)}</a></ul></nav>", lambda: f"<aside><p>{words(30)}, {words(9)}</p></aside>", lambda: f"<div class='sidebar x'><p>{words(40)}</p></div>", lambda: f"<footer>{words(20)}</footer>", lambda: f"<form><label>{words(2)}</label><input name=q></form>", lambda: f"<script>var a = '<p>{words(5)}</p>';</script>", lambda: f"<div id=cookie-notice>{words(15)}</div>", lambda: f"<section id=comments><article><p>{words(25)}, {words(5)}</p></article></section>", lambda: f"<style>p {{ {words(3)} }}</style><!-- {words(4)} -->"]
+    for page in range(150):
+        want, body = [], []
+        for _ in range(int(rng.integers(1, 25))):
+            kind, text = int(rng.integers(0, 8)), words(int(rng.integers(1, 70)))
+            parts = [text]
+            if kind < 4:
+                body.append(f"<p>{text}" + "</p>" * int(rng.integers(0, 2)))
+            elif kind == 4:
+                body.append(f"<h2>{text} &amp; <em>x</em></h2>")
+                parts = [f"{text} & x"]
+            elif kind == 5:
+                parts = [words(3) for _ in range(4)]
+                body.append("<ul>" + "".join(f"<li>{x}" for x in parts) + "</ul>")
+            elif kind == 6:
+                parts = [words(2) for _ in range(4)]
+                body.append(f"<table><tr><td>{parts[0]}<td>{parts[1]}<tr><td>{parts[2]}<td>{parts[3]}</table>")
+            else:
+                body.append(f"<blockquote><p>{text}  \n</p></blockquote>")
+            want += parts
+            if rng.random() < 0.3:
+                body.append(noise[int(rng.integers(0, len(noise)))]())
+        around = [noise[int(rng.integers(0, len(noise)))]() for _ in range(6)]
+        tag = ("article", "main", "div class=post-content")[page % 3]
+        if tag[0] == "d":  # without either element the container must be the best one
+            body.insert(0, f"<p>{(big := words(80))}, {big}, {big}</p>")
+            want.insert(0, f"{big}, {big}, {big}")
+        got = html_extract.extract("<html><head><title>t</title></head><body>" + "".join(around[:3]) + f"<{tag}>" + "".join(body) + f"</{tag.split()[0]}>" + "".join(around[3:]) + "</body>")
+        assert got == "\n".join(want), (page, tag)
+
+
 def test_shards(spark, odd):
     path = new_path(spark, "test")
     rows = shards.write_shards(odd.repartition(3), path, seq_len=8, shard_rows=16).collect()
