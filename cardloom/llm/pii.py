@@ -1,18 +1,20 @@
 """Personal data by weak supervision, with Spark expressions only.
 
-Base spans (email, ip, card, phone) are found by pattern and checked by rule; they always stay. Beyond them,
-candidate spans are proposed (number chains, local phone numbers, keyed secrets, names after a title, from a known
-given name on, or of two capitalised words and more after a word such as "author"; at most four words, beside particles).
-Three labelers vote on each candidate, for, against or not at all: a shape rule, a gazetteer and the context
-words before it. Expectation-maximisation on the counts of vote patterns estimates how reliable each labeler is
-and how likely a candidate of each kind and pattern is personal data; on these soft labels a naive Bayes span
-classifier over kind, votes, length class and the characters around the span is trained, and candidates that it
-scores at THRESHOLD or more become spans. What is fitted are a few hundred counts (kinds x patterns x features),
-whatever the size of the corpus; the driver sees no document.
+Base spans (email, ip, card, phone) are found by pattern and checked by rule; they always stay. Beyond them, candidate
+spans are proposed widely: digit chains, local phone numbers, values after words such as "token" and bare runs that look
+like keys, and capitalised words in a row, with a title, from a known given name on, or two and more of any kind; what
+overlaps a base span isn't proposed. Five labelers vote on each candidate, for, against or not at all: its shape, a
+gazetteer, the words before it, the way it is written, and its place. They know different things and contradict each
+other. Expectation-maximisation on the counts of vote patterns estimates how often each labeler is right for each kind,
+and how likely a candidate of each kind and pattern is personal data; on these soft labels a naive Bayes span classifier
+over kind, votes, length class and the characters around the span is trained, and candidates that it scores at THRESHOLD
+or more become spans. What is fitted are a few hundred counts (kinds x patterns x features), whatever the size of the
+corpus; the driver sees no document.
 
 Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; very long texts are
-searched whole, in linear time (patterns start only where a longer match couldn't have begun earlier); equal rows
-get equal spans; an empty table gives no rows and fits nothing; other columns pass through or are ignored.
+searched whole, in linear time (patterns start only where a longer match couldn't have begun earlier, context comes from
+the pieces between matches, overlaps by binary search); equal rows get equal spans; an empty table gives no rows and fits
+nothing; other columns pass through redact() unchanged, whatever their names, and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardloom.llm.common import materialise, read
 from cardloom.llm.rules import let
@@ -36,26 +39,35 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
 # Candidate patterns beyond the base ones, and the words that labelers know.
-SECRET = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_.=-]{12,}+[\x22']?"
+_KEY = r"(?i:token|secret|password|passwd|pwd|passwort|api[_-]?key|access[_-]?key|key)"
+#: A value after such a word, or a bare run of 20 characters and more.
+SECRET = rf"\b{_KEY}\b[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?[A-Za-z0-9+/_.=-]{{12,}}+[\x22']?|(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_-]{{20,}}+=*+"
+SECRET_GUARD = r"[=:]|[A-Za-z0-9+/_-]{20}"
+NUMBER = r"[0-9](?:[ -]?[0-9])++"
 LOCAL = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9])"
-GIVEN = ("James", "Mary", "John", "Maria", "Peter", "Anna", "Michael", "Sarah", "David", "Laura", "Thomas", "Julia", "Robert", "Emma", "Hans", "Petra", "Pierre", "Marie", "Carlos", "Carmen")
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
+GIVEN = (
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra Steven Emma Paul Emily Andrew Laura Kevin Rebecca Brian Helen George Alice "
+    "Hans Petra Klaus Sabine Jürgen Ursula Peter Monika Wolfgang Anna Stefan Julia Andreas Katharina Markus Claudia Uwe Heike Dieter Birgit Karl Ingrid "
+    "Pierre Marie Jean Nathalie Philippe Isabelle Michel Sylvie Alain Catherine Nicolas Valérie Christophe Sophie Laurent Camille Antoine Chloé "
+    "Carlos Carmen José María Antonio Ana Manuel Isabel Francisco Pilar Juan Dolores Javier Teresa Miguel Lucía Pedro Elena Luis Rosa Maria Marta Diego Paula"
+).split()
+#: Words that begin sentences in these languages, not names.
+FUNCTION = "The A An And Or Of To In On At By For With That This It Is Was Are He She They We I But Not From As Be Der Die Das Den Dem Ein Eine Und Oder Mit Von Zu Im Am Auf Für Ist Sind Er Sie Es Wir Nicht Le La Les Un Une Des Du De Et Ou En Dans Pour Par Sur Est Sont Il Elle Nous Que Qui El Los Las Una Y O Con Por Para Del Al Se Su No Lo".split()
 #: A capitalised word, also O'Brien and Müller-Groß; and up to three more, with initials and particles between.
 _WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}++(?:['’-]?\p{Lu}\p{Ll}++)*+"
 _MORE = rf"(?: (?:\p{{Lu}}\. )?(?:(?:de|da|di|du|la|del|van|von|der|den) ){{0,2}}{_WORD})"
-#: What a capitalised pair without title or known given name must follow; prepositions say less than the other words.
-_BEFORE = r"(?<!\p{L})(?i:name|contact|author|by|von|par|por|dear)[\x22'\s:=]{1,5}"
-PREPOSITION = r"(?<!\p{L})(?:by|von|par|por)[\x22'\s:=]{1,5}$"
-NAME = rf"(?<!\p{{L}})(?:(?:(?:{TITLES})\.? )++{_WORD}{_MORE}{{0,3}}|(?:{'|'.join(GIVEN)})(?:['’-]\p{{Lu}}\p{{Ll}}++)*+(?!\p{{L}}){_MORE}{{0,3}}|(?=\p{{Lu}})(?<={_BEFORE}){_WORD}{_MORE}{{1,3}})"
-NAME_GUARD = rf"(?<!\p{{L}})(?:(?:{TITLES}|{'|'.join(GIVEN)})(?!\p{{L}})|(?i:name|contact|author|by|von|par|por|dear)[\x22'\s:=]{{1,5}}\p{{Lu}})"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{TITLES})\.? )++{_WORD}{_MORE}{{0,3}}|(?:{'|'.join(GIVEN)})(?:['’-]\p{{Lu}}\p{{Ll}}++)*+(?!\p{{L}}){_MORE}{{0,3}}|{_WORD}{_MORE}{{1,3}})(?!\p{{L}})"
+NAME_GUARD = rf"(?<!\p{{L}})(?:{TITLES}|{'|'.join(GIVEN)})(?!\p{{L}})|\p{{Ll}} (?:\p{{Lu}}\. )?\p{{Lu}}\p{{Ll}}+ \p{{Lu}}|\p{{Lu}}\p{{Ll}}+ \p{{Lu}}[.\p{{Ll}}]"
+#: Words before a candidate that speak for and against it.
 CONTEXT = {
-    "number": "card|credit|visa|account|iban|karte|konto|carte|compte|tarjeta|cuenta",
-    "secret": "token|secret|password|passwd|key|passwort|clave",
-    "local": "phone|tel|call|fax|mobile|telefon|anruf|appel|llam",
-    "name": r"name|contact|author|(?:by|von|par|por|dear)\b",
+    "number": (r"\b(?:card|credit|visa|account|iban|karte|konto|carte|compte|tarjeta|cuenta)", r"\b(?:order|invoice|isbn|item|page|serial|version|bestell|rechnung|commande|facture|pedido|factura)"),
+    "secret": (r"\b(?:token|secret|password|passwd|pwd|key|bearer|passwort|clave)\b", r"\b(?:sha(?:1|256)?|md5|commit|hash|checksum|etag|uuid|build|version|file|path)\b|[/\\\\]$|https?:"),
+    "local": (r"\b(?:phone|tel|call|fax|mobile|telefon|anruf|appel|llam)", r"\b(?:order|invoice|isbn|item|serial|version|ticket|ref)"),
+    "name": (r"(?<!\p{L})(?:name|contact|author|by|von|par|por|signed|regards|dear|sincerely|autor|auteur|kontakt|gezeichnet)[\x22',\s:=]{0,5}$", r"(?<!\p{L})(?:the|der|die|das|la|le|el|les|los|las|in|at|near|of|de)\s$"),
 }
 EXTRA = ("number", "secret", "local", "name")
-LABELERS = ("shape", "gazetteer", "context")
+LABELERS = ("shape", "gazetteer", "context", "writing", "place")
 
 
 def lit(s: str) -> str:
@@ -64,7 +76,9 @@ def lit(s: str) -> str:
 
 
 def spans_of(pattern: str, guard: str, keep: str, kind: str) -> str:
-    """SQL for array<struct<s, e, kind, m>> of the matches m of pattern in `text` for which `keep` holds, if guard holds at all.
+    """SQL for array<struct<s, e, kind, m, b, a>> of the matches m of pattern in `text` for which `keep` holds, if guard holds at all.
+
+    b is what stands before the match, 24 characters at most and not beyond the match before; a is the character after it.
 
     The n-th match starts after the first n pieces between matches and the first n - 1 matches; lengths are summed in
     two levels, so that a text with very many matches stays cheap.
@@ -73,8 +87,8 @@ def spans_of(pattern: str, guard: str, keep: str, kind: str) -> str:
     within = "aggregate(slice(ls, 256 * (i div 256) + 1, i % 256), 0L, (a, x) -> a + x)"
     before = "if(i < 256, 0L, aggregate(slice(bs, 1, i div 256), 0L, (a, x) -> a + x))"
     start = f"{before} + if(i % 256 = 0, 0L, {within}) + char_length(ps[i])"
-    body = let("ps", f"split(text, {lit(pattern)}, -1)", let("ls", "transform(ms, (m, i) -> cast(char_length(ps[i]) + char_length(m) as bigint))", let("bs", "transform(sequence(0, cast((size(ls) - 1) div 256 as int)), b -> aggregate(slice(ls, 256 * b + 1, 256), 0L, (a, x) -> a + x))", f"filter(transform(ms, (m, i) -> {let('s', start, f'struct(s as s, s + char_length(m) as e, {lit(kind)} as kind, m as m)')}), c -> {keep})")))
-    empty = "cast(array() as array<struct<s: bigint, e: bigint, kind: string, m: string>>)"
+    body = let("ps", f"split(text, {lit(pattern)}, -1)", let("ls", "transform(ms, (m, i) -> cast(char_length(ps[i]) + char_length(m) as bigint))", let("bs", "transform(sequence(0, cast((size(ls) - 1) div 256 as int)), b -> aggregate(slice(ls, 256 * b + 1, 256), 0L, (a, x) -> a + x))", f"filter(transform(ms, (m, i) -> {let('s', start, f'struct(s as s, s + char_length(m) as e, {lit(kind)} as kind, m as m, right(ps[i], 24) as b, left(ps[i + 1], 1) as a)')}), c -> {keep})")))
+    empty = "cast(array() as array<struct<s: bigint, e: bigint, kind: string, m: string, b: string, a: string>>)"
     found = let("ms", f"regexp_extract_all(text, {lit(pattern)}, 0)", f"if(size(ms) = 0, {empty}, {body})")
     return f"case when {guard} then {found} else {empty} end"
 
@@ -101,82 +115,111 @@ def base_spans() -> str:
     return f"concat({', '.join(parts)})"
 
 
-def extra_spans() -> str:
-    """SQL for the candidates of `text` that a labeler has to judge."""
+def extra_spans() -> dict[str, str]:
+    """SQL for the candidates of `text` that labelers have to judge, by kind."""
     some_digit = "text rlike '[0-9]'"
-    parts = [
-        spans_of(CARD, some_digit, f"length({digits('c.m')}) between 13 and 19", "number"),
-        spans_of(SECRET, "text rlike '[=:]'", "true", "secret"),
-        spans_of(LOCAL, some_digit, "true", "local"),
-        spans_of(NAME, f"text rlike {lit(NAME_GUARD)}", "true", "name"),
-    ]
-    return f"concat({', '.join(parts)})"
+    return {
+        "number": spans_of(NUMBER, some_digit, f"length({digits('c.m')}) between 9 and 19", "number"),
+        "secret": spans_of(SECRET, f"text rlike {lit(SECRET_GUARD)}", "c.m rlike '[=:]' or (c.m rlike '[0-9]' and c.m rlike '[A-Za-z]')", "secret"),
+        "local": spans_of(LOCAL, some_digit, "true", "local"),
+        "name": spans_of(NAME, f"text rlike {lit(NAME_GUARD)}", "true", "name"),
+    }
+
+
+def overlaps(spans: str, c: str = "c") -> str:
+    """SQL for whether c overlaps one of spans, which are sorted by start: a binary search, and a look at the eight before.
+
+    Spans of one kind don't overlap, so of those that start before c and reach into it there are at most a few.
+    """
+    middle = "(x.lo + x.hi) div 2"
+    found = f"aggregate(sequence(1, 31), struct(0 as lo, size({spans}) as hi), (x, k) -> if(x.lo >= x.hi, x, if(get({spans}, cast({middle} as int)).s < {c}.s, struct(cast({middle} + 1 as int) as lo, x.hi as hi), struct(x.lo as lo, cast({middle} as int) as hi)))).lo"
+    return f"if(size({spans}) = 0, false, {let('p', found, f'exists(sequence(greatest(p - 8, 0), p), j -> coalesce(get({spans}, j).s < {c}.e and {c}.s < get({spans}, j).e, false))')})"
 
 
 def votes() -> dict[str, str]:
-    """SQL of each labeler's vote on candidate c in `text`: 1 for, 0 against, null for none."""
-    before = "lower(substring(text, cast(greatest(c.s - 24, 0) as int) + 1, cast(least(c.s, 24) as int)))"
-    context = " ".join(f"when '{k}' then {before} rlike {lit(chr(92) + 'b(?:' + w + ')')}" for k, w in CONTEXT.items())
-    hexa = f"regexp_replace(c.m, {lit('^[^=:]*[=:]')}, '')"
-    # names: a title or a given name with more stands for one, a lone given name or a pair after a mere preposition against
-    known = lit("^(?:" + "|".join(GIVEN) + ")" + r"(?!\p{L})")
-    name = f"if(c.m rlike {lit('^(?:' + TITLES + ')[. ]')} or c.m rlike {known} and instr(c.m, ' ') > 0, 1, if(c.m rlike {known} or {before} rlike {lit(PREPOSITION)}, 0, null))"
-    return {
-        "shape": f"case c.kind when 'number' then if(length({digits('c.m')}) = 16, if({luhn(digits('c.m'))}, 1, null), 0) when 'secret' then if({hexa} rlike '[0-9]' and {hexa} rlike '[A-Za-z]', 1, 0) when 'local' then 1 when 'name' then {name} else null end",
-        "gazetteer": f"case c.kind when 'name' then if(c.m rlike {lit(chr(92) + 'b(?:' + '|'.join(GIVEN) + ')' + chr(92) + 'b')}, 1, null) when 'number' then if({digits('c.m')} rlike '^(4|5[1-5]|2[2-7]|3[47]|6011)', 1, 0) when 'secret' then if(lower(c.m) rlike '^(token|secret|password|passwd|pwd|api|access)', 1, null) else null end",
-        "context": f"case when (case c.kind {context} end) then 1 when c.kind = 'secret' then 1 when c.kind = 'name' then null else 0 end",
-    }
+    """SQL of each labeler's vote on candidate c: 1 for, 0 against, null for none."""
+    before, d = "lower(c.b)", digits("c.m")
+    value = f"regexp_replace(c.m, {lit('^[^=:]*[=:][\\s\\x22' + chr(39) + ']*|[\\x22' + chr(39) + ']$')}, '')"
+    three = lambda yes, no: f"case when {yes} then 1 when {no} then 0 end"
+    given, function = lit("^(?:" + "|".join(GIVEN) + r")(?!\p{L})"), lit("^(?:" + "|".join(FUNCTION) + ") ")
+    title = f"c.m rlike {lit('^(?:' + TITLES + ')[. ]')}"
+    kinds = {
+        "shape": {
+            "number": three(f"length({d}) in (13, 15, 16) and {luhn(d)}", f"length({d}) >= 13"),
+            "secret": three(f"length({value}) >= 16 and {value} rlike '[0-9]' and {value} rlike '[A-Za-z]'", f"not ({value} rlike '[0-9]' and {value} rlike '[A-Za-z]')"),
+            "local": three(f"substr({d}, 1, 1) > '1' and substr({d}, 4, 1) > '1'", f"substr({d}, 1, 1) <= '1' or substr({d}, 4, 1) = '0'"),
+            "name": three(f"{title} or c.m rlike {lit(r' (?:\p{Lu}\. )?(?:de|da|di|du|del|van|von) | \p{Lu}\. ')}", "size(array_distinct(split(c.m, ' '))) < size(split(c.m, ' ')) or c.m rlike '\\\\p{L}{15}' or exists(split(c.m, ' '), w -> length(w) < 3)"),
+        },
+        "gazetteer": {
+            "number": three(f"{d} rlike '^(4|5[1-5]|2[2-7]|3[47]|6011)' and length({d}) between 13 and 19", f"{d} rlike '^97[89]' or length({d}) < 13 or {d} rlike '^[01789]'"),
+            "secret": three(f"{value} rlike '^(ghp_|gho_|sk-|pk-|AKIA|xox[abp]-|eyJ|AIza|glpat-)'", f"lower({value}) rlike '(example|placeholder|changeme|dummy|sample|xxxx|your[_-])'"),
+            "local": three(f"substr({d}, 1, 3) rlike '^(20[1-9]|21[2-9]|30[1-9]|31[02-9]|40[1-9]|41[02-9]|50[1-9]|51[02-9]|60[1-9]|61[02-9]|70[1-8]|71[2-9]|80[1-8]|81[02-9]|90[1-9]|91[02-9])$'", f"{d} rlike '^(000|123|555|999)'"),
+            "name": three(f"c.m rlike {given} or {title}", f"c.m rlike {function}"),
+        },
+        "context": {k: three(f"{before} rlike {lit(yes)}" + (f" or lower(c.m) rlike {lit('^' + _KEY[4:-1].join(('(?:', ')')))}" if k == "secret" else ""), f"{before} rlike {lit(no)}") for k, (yes, no) in CONTEXT.items()},
+        "writing": {
+            "number": three(f"c.m rlike '^[0-9]{{4}}([ -])[0-9]{{4}}\\\\1[0-9]{{4}}\\\\1[0-9]{{1,4}}$' or c.m rlike '^[0-9]{{4}}([ -])[0-9]{{6}}\\\\1[0-9]{{5}}$'", "c.m rlike '[ -]'"),
+            "secret": three(f"c.m rlike '[=:]' and {value} rlike '^([0-9a-fA-F]{{32}}|[0-9a-fA-F]{{40}}|[0-9a-fA-F]{{64}})$' or ({value} rlike '[a-z]' and {value} rlike '[A-Z]' and {value} rlike '[0-9]')", f"{value} rlike '^([A-Za-z]+|[0-9]+)([-_./]([A-Za-z]+|[0-9]+))+$'"),
+            "local": three("c.m rlike '[(-]'", "c.m rlike '^[0-9]{3} [0-9]{3} [0-9]{4}$'"),
+            "name": three("c.m rlike '[\\x27’-]\\\\p{Lu}'", "not c.m rlike ' ' or exists(split(c.m, ' '), w -> length(w) > 12)"),
+        },
+        "place": {
+            "number": three("c.b rlike '[:=(]\\\\s?$'", "c.b rlike '[\\\\p{L}_/.-]$' or c.a rlike '^[\\\\p{L}_/-]'"),
+            "secret": three("c.m rlike '[=:]' and c.m rlike '[\\\\x22\\\\x27]' or c.b rlike '[=:]\\\\s?[\\\\x22\\\\x27]?$'", "not c.m rlike '[=:]' or c.a rlike '^[/.@:]'"),
+            "local": three("c.b rlike '[:=]\\\\s?$'", "c.b rlike '[\\\\p{L}#/-]$'"),
+            "name": three("c.b rlike '[:=]\\\\s?[\\\\x22\\\\x27]?$'", "c.b rlike '(^|[.!?]\\\\s|\\\\n)$' or c.b rlike '[.!?]$'"),
+        },
+    }
+    return {labeler: "case c.kind " + " ".join(f"when '{k}' then {v}" for k, v in by.items()) + " end" for labeler, by in kinds.items()}
 
 
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs plus base (spans) and extra (candidates with votes and features) of each text."""
-    v = votes()
-    around = "concat(if(c.s = 0 or substring(text, cast(c.s as int), 1) rlike '\\\\s', 's', 'x'), if(substring(text, cast(c.e as int) + 1, 1) rlike '^(\\\\s|$)', 's', 'x'))"
+    """row (struct of the columns `keep` of docs), base (spans, sorted) and extra (candidates with votes and features) of each text."""
+    v, kinds = votes(), extra_spans()
+    around = "concat(if(c.b = '' or c.b rlike '\\\\s$', 's', 'x'), if(c.a = '' or c.a rlike '^\\\\s', 's', 'x'))"
     judged = f"transform(extra0, c -> struct(c.s as s, c.e as e, c.kind as kind, {', '.join(f'cast({x} as int) as {k}' for k, x in v.items())}, cast(least((c.e - c.s) div 8, 6) as int) as size, {around} as around))"
-    text = "coalesce(text, '') as text"
-    found = docs.selectExpr(*[k for k in keep if k != "text"], text, *(["text as text_was"] if "text" in keep else [])).withColumns({"base": _e(base_spans()), "extra0": _e(extra_spans())})
-    free = "filter(extra0, c -> not exists(base, b -> b.s < c.e and c.s < b.e))"
-    out = found.withColumn("extra0", _e(free)).withColumn("extra", _e(judged)).withColumn("base", _e("transform(base, b -> struct(b.s as s, b.e as e, b.kind as kind))"))
-    return out.selectExpr(*[f"{'text_was' if k == 'text' else k} as {k}" for k in keep], "base", "extra")
-
+    found = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = found.withColumn("base", F.expr(f"array_sort(transform({base_spans()}, b -> struct(b.s as s, b.e as e, b.kind as kind)))"))
+    found = found.withColumn("secret0", F.expr(f"filter({kinds['secret']}, c -> not {overlaps('base')})"))
+    rest = "concat(" + ", ".join(kinds[k] for k in EXTRA if k not in ("secret", "local")) + ")"
+    found = found.withColumn("local0", F.expr(f"filter({kinds['local']}, c -> not {overlaps('base')} and not {overlaps('secret0')})"))
+    found = found.withColumn("extra0", F.expr(f"concat(secret0, local0, filter({rest}, c -> not {overlaps('base')} and not {overlaps('secret0')} and not {overlaps('local0')}))"))
+    return found.withColumn("extra", F.expr(judged)).select("row", "base", "extra")
 
-def _e(sql: str):
-    from pyspark.sql import functions as F
 
-    return F.expr(sql)
+#: How labelers are taken to vote at first on true candidates and on others (for, against, not at all), and how many votes that is worth.
+FIRST = {1: {1: 0.5, 0: 0.1, None: 0.4}, 0: {1: 0.1, 0: 0.4, None: 0.5}}
+PRIOR = 10
 
 
 def estimate(patterns: list[tuple], steps: int = EM_STEPS) -> dict[tuple, float]:
     """EM over (kind, votes..., count): the probability that a candidate of each kind and vote pattern is personal data.
 
-    Labelers are taken as independent given the truth, with a reliability for each kind; both are smoothed, and start
-    from labelers that are right four times in five.
+    Labelers are taken as independent given the truth. For each kind the share of true candidates and each labeler's
+    confusion matrix (abstentions included) are estimated, smoothed towards FIRST; a vote for never counts against, nor the other way round.
     """
     kinds = sorted({p[0] for p in patterns})
     share = dict.fromkeys(kinds, 0.5)
-    right = {(k, j, t): 0.8 for k in kinds for j in range(len(LABELERS)) for t in (0, 1)}
+    says = {(k, j, t): dict(FIRST[t]) for k in kinds for j in range(len(LABELERS)) for t in (0, 1)}
     post: dict[tuple, float] = {}
     for _ in range(steps):
         for p in patterns:
-            k, vs = p[0], p[1:-1]
-            a, b = share[k], 1 - share[k]
-            for j, v in enumerate(vs):
-                if v is not None:
-                    a *= right[k, j, 1] if v else 1 - right[k, j, 1]
-                    b *= right[k, j, 0] if not v else 1 - right[k, j, 0]
-            post[p[:-1]] = a / (a + b)
+            k, odds = p[0], math.log(share[p[0]] / (1 - share[p[0]]))
+            for j, v in enumerate(p[1:-1]):
+                one = math.log(says[k, j, 1][v] / says[k, j, 0][v])
+                odds += one if v is None else max(one, 0.1) if v else min(one, -0.1)
+            post[p[:-1]] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
         for k in kinds:
             own = [(p[1:-1], p[-1], post[p[:-1]]) for p in patterns if p[0] == k]
             share[k] = (2 + sum(n * q for _, n, q in own)) / (4 + sum(n for _, n, _ in own))
             for j in range(len(LABELERS)):
                 for t in (0, 1):
-                    cast = [(v[j], n * (q if t else 1 - q)) for v, n, q in own if v[j] is not None]
-                    # a prior of 20 votes, and never worse than a coin: else true and false could swap
-                    right[k, j, t] = max(0.55, (16 + sum(n for v, n in cast if v == t)) / (20 + sum(n for _, n in cast)))
+                    cast = {v: PRIOR * FIRST[t][v] + sum(n * (q if t else 1 - q) for vs, n, q in own if vs[j] == v) for v in (1, 0, None)}
+                    says[k, j, t] = {v: c / sum(cast.values()) for v, c in cast.items()}
     return post
 
 
-FEATURES = ("shape", "gazetteer", "context", "size", "around")
+FEATURES = (*LABELERS, "size", "around")
 
 
 def fit(found: DataFrame) -> str:
@@ -184,13 +227,14 @@ def fit(found: DataFrame) -> str:
     flat = found.selectExpr("inline(extra)")
     rows = [tuple(r) for r in flat.groupBy("kind", *FEATURES).count().collect()]  # bounded: kinds x votes x classes
     patterns: dict[tuple, int] = {}
+    votes_ = 1 + len(LABELERS)
     for r in rows:
-        patterns[r[:4]] = patterns.get(r[:4], 0) + r[-1]
+        patterns[r[:votes_]] = patterns.get(r[:votes_], 0) + r[-1]
     soft = estimate([(*k, n) for k, n in sorted(patterns.items(), key=str)])
     # naive Bayes on the soft labels, a class and kind at a time
     cases = []
     for kind in sorted({r[0] for r in rows}):
-        own = [(r[1:-1], r[-1], soft[r[:4]]) for r in rows if r[0] == kind]
+        own = [(r[1:-1], r[-1], soft[r[:votes_]]) for r in rows if r[0] == kind]
         yes, no = (1 + sum(n * q for _, n, q in own)), (1 + sum(n * (1 - q) for _, n, q in own))
         terms = [repr(math.log(yes / no))]
         for j, f in enumerate(FEATURES):
@@ -207,13 +251,13 @@ def fit(found: DataFrame) -> str:
 
 
 def find(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """The columns `keep` of docs plus base and spans, arrays of (s, e, kind); spans has the base ones and what the classifier adds."""
+    """row (struct of the columns `keep` of docs), base and spans, arrays of (s, e, kind) by start; spans has the base ones and what the classifier adds."""
     found = materialise(candidates(docs, keep), "pii")
     odds = fit(found)
     more = f"transform(filter(extra, c -> {odds} >= {math.log(threshold / (1 - threshold))!r}D), c -> struct(c.s as s, c.e as e, c.kind as kind))"
     order = " ".join(f"when '{k}' then {i}" for i, k in enumerate((*BASE, *EXTRA)))
     by_start = lambda a: f"transform(array_sort(transform({a}, x -> struct(x.s as s, case x.kind {order} end as o, x.e as e, x.kind as kind))), x -> struct(x.s as s, x.e as e, x.kind as kind))"
-    return found.selectExpr(*keep, f"{by_start('base')} as base", f"{by_start(f'concat(base, {more})')} as spans")
+    return found.selectExpr("row", f"{by_start('base')} as base", f"{by_start(f'concat(base, {more})')} as spans")
 
 
 JOINED = "array_join(transform({0}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
@@ -222,21 +266,26 @@ JOINED = "array_join(transform({0}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's row for each document."""
     counts = [f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint) as n_{k}" for k in BASE]
-    return find(docs, ["doc_id"]).selectExpr("doc_id", *counts, f"sha2({JOINED.format('base')}, 256) as base_sha256", f"{JOINED.format('spans')} as spans")
+    return find(docs, ["doc_id"]).selectExpr("row.doc_id", *counts, f"sha2({JOINED.format('base')}, 256) as base_sha256", f"{JOINED.format('spans')} as spans")
+
+
+CHUNK = 4096
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of `text` replaced by its kind in brackets, as [EMAIL]; same columns. Overlapping spans become one, named after the first."""
-    from pyspark.sql import types as T
-
-    keep = docs.columns
-    if {"base", "spans"} & {c.lower() for c in keep}:
-        raise ValueError("documents with a column named base or spans: rename it")
-    assert isinstance(docs.schema["text"].dataType, T.StringType)
-    merged = "aggregate(spans, cast(array() as array<struct<s: bigint, e: bigint, kind: string>>), (a, x) -> if(size(a) > 0 and x.s < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e, element_at(a, -1).kind as kind))), concat(a, array(x))))"
-    pieces = "transform(ms, (x, i) -> concat(substring(text, cast(coalesce(get(ms, i - 1).e, 0) as int) + 1, cast(x.s - coalesce(get(ms, i - 1).e, 0) as int)), '[', upper(x.kind), ']'))"
-    new = f"case when size(spans) = 0 then text else {let('ms', merged, f'concat(array_join({pieces}, chr(0)), substring(text, cast(element_at(ms, -1).e as int) + 1))')} end"
-    return find(docs, keep).selectExpr(*[f"{new.replace('chr(0)', repr(''))} as text" if c == "text" else f"`{c}`" for c in keep])
+    """docs with each span of `text` replaced by its kind in brackets, as [EMAIL]; same columns. Overlapping spans become one, named after the first.
+
+    The text is taken in chunks, so that a piece is cut out without counting characters from its beginning.
+    """
+    # the end of all that is replaced before span i (spans that reach over it are among the eight before)
+    done = "coalesce(array_max(transform(slice(spans, greatest(i - 7, 1), least(i, 8)), y -> y.e)), 0L)"
+    one = lambda at, to: f"substring(coalesce(get(ch, cast({at} div {CHUNK} as int)), ''), cast({at} % {CHUNK} as int) + 1, cast({to} as int))"
+    piece = f"if(p div {CHUNK} = q div {CHUNK}, {one('p', 'q - p')}, concat({one('p', str(CHUNK))}, array_join(slice(ch, cast(p div {CHUNK} as int) + 2, cast(q div {CHUNK} - p div {CHUNK} as int) - 1), ''), if(q % {CHUNK} = 0, '', substring(get(ch, cast(q div {CHUNK} as int)), 1, cast(q % {CHUNK} as int)))))"
+    cut = f"transform(spans, (x, i) -> {let('p', done, let('q', 'x.s', f"""if(q < p, '', concat({piece}, '[', upper(x.kind), ']'))"""))})"
+    tail = let("p", done.replace("i - 7", "size(spans) - 7").replace("least(i, 8)", "least(size(spans), 8)"), let("q", "cast(char_length(row.text) as bigint)", piece))
+    whole = f"concat(array_join({cut}, ''), {tail})"
+    new = f"case when size(spans) = 0 then row.text else {let('ch', f'regexp_extract_all(row.text, {lit(f"(?s).{{1,{CHUNK}}}")}, 0)', whole)} end"
+    return find(docs, docs.columns).select(*[F.expr(new).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

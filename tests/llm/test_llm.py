@@ -237,6 +237,87 @@ def test_names_without_a_title(spark):
     assert got[len(found) :] == clean
 
 
+def planted_texts(rng, n):
+    """Texts with one planted thing each, its kind and where it is; and as many that only look so."""
+    from cardloom.llm.pii import GIVEN
+
+    filler = "oned the onerntat was there and thing into stable then going over under some more few other long short text words".split()
+    words = lambda k: " ".join(filler[x] for x in rng.integers(0, len(filler), k))
+    hexa = lambda k: "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, k))
+    mixed = lambda k: "aZ3" + "".join("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"[x] for x in rng.integers(0, 56, k))
+    last = lambda: "".join("BCDFGLMNPRSTV"[rng.integers(13)] + "".join("aeiou"[rng.integers(5)] + "lmnrst"[rng.integers(6)] for _ in range(2)))
+    given = lambda: GIVEN[rng.integers(len(GIVEN))]
+    digits = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
+    good = [
+        ("secret", lambda: f'token = "{hexa(40)}"', None), ("secret", lambda: f"password: {mixed(14)}", None), ("secret", lambda: f"api_key='ghp_{mixed(24)}'", None), ("secret", lambda: f"bearer key {mixed(30)}", 11),
+        ("name", lambda: f"contact: {given()} {last()}", 9), ("name", lambda: f"met Dr. {last()}", 4), ("name", lambda: f"by {given()} {last()}", 3), ("name", lambda: f"Frau {given()} van der {last()}", 0), ("name", lambda: f"dear {given()} {last()}-{last()}", 5),
+        ("local", lambda: f"phone ({rng.integers(201, 209)}) {rng.integers(201, 555)}-{digits(4)}", 6), ("local", lambda: f"call {rng.integers(212, 219)}-{rng.integers(201, 555)}-{digits(4)}", 5), ("local", lambda: f"tel {rng.integers(401, 409)} {rng.integers(201, 555)} {digits(4)}", 4),
+        ("number", lambda: f"card {(x := '4' + digits(11))}{next(c for c in '0123456789' if luhn(x + c))}", 5), ("number", lambda: f"visa number: {(x := '4' + digits(11))}{next(c for c in '0123456789' if luhn(x + c))}", 13),
+    ]
+    luhn = lambda d: sum(sum(divmod(int(x) * 2, 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
+    bad = [lambda: f"item 555 123 {digits(4)}", lambda: f"serial-{digits(3)}-{digits(3)}-{digits(4)}x", lambda: f"serial 12-{digits(4)}-{digits(5)}", lambda: f"{words(1)} {digits(9)}", lambda: f"commit {hexa(40)}", lambda: f"file path/{words(1)}-version-2024-{words(1)}-list.txt", lambda: f"sha256 {hexa(64)}", lambda: f"the {last()} {last()}", lambda: f"thing. The {last()}", lambda: f"over. {last()} {last()} {words(2)}", lambda: f"{(x := last())} {x} {x}", lambda: f"order 000 000 {digits(4)}", lambda: f"isbn 978{digits(9)}", lambda: "key: placeholder_value_here", lambda: f"Johnson and {last()}"]
+    rows, clean = [], []
+    for i in range(n):
+        kind, make, at = good[i % len(good)]
+        before, thing = words(int(rng.integers(3, 30))), make()
+        rows.append((f"{before} {thing} {words(int(rng.integers(1, 30)))}", kind, len(before) + 1 + (at or 0), len(before) + 1 + len(thing)))
+        clean.append(f"{words(int(rng.integers(3, 30)))} {bad[i % len(bad)]()} {words(int(rng.integers(1, 30)))}")
+    return rows, clean
+
+
+def test_labelers_find_what_is_planted_and_leave_the_rest(spark):
+    """The classifier learns from votes alone; what was planted serves only to measure, also on texts that it wasn't fitted on."""
+    rng = np.random.default_rng(3)
+    rows, clean = planted_texts(rng, 840)
+    texts = [r[0] for r in rows] + clean
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.materialise(pii.candidates(d, ["doc_id"]), "x")
+    patterns = {}
+    for r in found.selectExpr("inline(extra)").select("kind", *pii.LABELERS).distinct().collect():
+        patterns.setdefault(r.kind, set()).add(tuple(r)[1:])
+    assert all(len(v) >= 4 for v in patterns.values()) and set(patterns) == set(pii.EXTRA)
+    half = found.where("row.doc_id % 2 = 0")
+    odds = pii.fit(half)
+    more = found.where("row.doc_id % 2 = 1").selectExpr("row.doc_id", f"transform(filter(extra, c -> {odds} >= {pii.math.log(4)}D), c -> struct(c.s, c.e, c.kind)) as spans")
+    caught = total = left = 0
+    for r in more.collect():
+        if r.doc_id < len(rows):
+            _, kind, s, e = rows[r.doc_id]
+            total += 1
+            caught += any(x.kind == kind and x.s <= s and x.e >= e for x in r.spans)
+        else:
+            left += not r.spans
+    assert caught >= 0.9 * total and left >= 0.97 * total, (caught, left, total)
+
+
+def test_estimate_finds_reliabilities():
+    """EM on votes drawn with known reliabilities gives back the share of true ones and sorts them right."""
+    rng = np.random.default_rng(5)
+    right = (0.95, 0.8, 0.7, 0.9, 0.6)
+    truth = rng.random(20000) < 0.3
+    cast = [np.where(rng.random(20000) < 0.3, -1, np.where(rng.random(20000) < q, truth, ~truth)) for q in right]
+    count = {}
+    for v in zip(*cast, strict=True):
+        count[v] = count.get(v, 0) + 1
+    post = pii.estimate([("name", *(None if x < 0 else int(x) for x in v), n) for v, n in count.items()])
+    got = np.array([post["name", *(None if x < 0 else int(x) for x in v)] for v in zip(*cast, strict=True)])
+    odds = np.log(3 / 7) + sum(np.where(x < 0, 0.0, np.where(x == 1, 1, -1) * np.log(q / (1 - q))) for x, q in zip(cast, right, strict=True))
+    best = ((odds > 0) == truth).mean()  # with the true reliabilities
+    assert abs(got.mean() - 0.3) < 0.03 and ((got > 0.5) == truth).mean() > best - 0.01
+
+
+def test_redact_keeps_columns_and_time(spark):
+    import time
+
+    d = spark.createDataFrame([(1, "mail a@b.cc now", "x", 1, 2, 3, 4), (2, None, "y", 1, 2, 3, 4)], "doc_id long, text string, base string, spans int, extra int, extra0 int, text_was int")
+    assert [tuple(r) for r in pii.redact(d).orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", "x", 1, 2, 3, 4), (2, None, "y", 1, 2, 3, 4)]
+    n = 40_000
+    long = [("a@b.cc x " * n, "[EMAIL] x " * n), ("+1+12345678901 é\n" * n, "[PHONE] é\n".replace("[PHONE]", "+1[PHONE]") * n), ("A" * 9000 + " 1.2.3.4", "A" * 9000 + " [IP]"), ("x" * 4096 + "@b.cc" + "y" * 4091, "[EMAIL]"), ("é" * 4096 + "1.2.3.4", "é" * 4096 + "[IP]")]
+    began = time.perf_counter()
+    got = pii.redact(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(long)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [w for _, w in long] and time.perf_counter() - began < 60
+
+
 def test_language(spark, odd):
     rows = [(i, "the cat and the dog went to the house " * 3, "en") for i in range(20)] + [(i, "der hund und die katze gingen nach haus " * 3, "de") for i in range(20, 40)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
