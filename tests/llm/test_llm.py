@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cardloom.llm import chat, decontaminate, html_extract, langid, neardup, pieces, pii, quality, rules, shards
-from cardloom.llm.common import new_path
+from cardloom.llm.common import new_path, read
 
 ODD = [(1, "Hello  world ▁ \n\n x"), (2, None), (3, ""), (4, "   "), (5, "日本語 😀 " * 40), (6, "a" * 30000), (7, "same words here are five and more"), (8, "same words here are five and more"), (None, "no id here at all my friend"), (8, "same words here are five and more")]
 
@@ -181,6 +181,62 @@ def test_rules(spark, odd):
     assert rules.judge(odd.limit(0)).count() == 0
 
 
+def mcd_by_trial(x, rng, trials=300):
+    """The regularised minimum covariance determinant by many random starts, with exact halves: mean, covariance, log determinant."""
+    floors = np.array(rules.FLOORS, float)
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    target, h = np.diag(((q[2] - q[0]) / 1.349 + floors) ** 2), int(np.ceil(rules.COVER * len(x)))
+
+    def fit(rows):
+        c = np.cov(x[rows].T, bias=True)
+        c = (rules.CONSISTENCY * c * len(rows) + rules.PULL * target) / (len(rows) + rules.PULL) + np.diag(floors**2)
+        return x[rows].mean(0), c, np.linalg.slogdet(c)[1]
+
+    best = None
+    for _ in range(trials):
+        m, c, ld = fit(rng.choice(len(x), 12, replace=False))
+        for _ in range(30):
+            d = np.einsum("ri,ij,rj->r", x - m, np.linalg.inv(c), x - m)
+            m, c, new = fit(np.argsort(d, kind="stable")[:h])
+            if new >= ld - 1e-12:
+                break
+            ld = new
+        if best is None or new < best[2]:
+            best = m, c, new
+    return best
+
+
+def test_covariance_of_least_determinant(spark):
+    """Against many random starts in numpy; and the covariance decides: what it rejects lies well within every single coordinate's range."""
+    rng, groups = np.random.default_rng(11), {}
+    for name, n in (("a", 400), ("b", 120)):
+        base = rng.normal(size=(n, 8)) * np.array([90, 110, 110, 90, 700, 800, 700, 900]) + rng.normal(size=(n, 1)) * np.array([500, 500, -400, 500, 0, 0, 300, 300])
+        odd = rng.random(n) < 0.12  # within every single range, but the first three against their correlations
+        base[odd, :3] = np.array([1000, -1000, -1000]) + rng.normal(size=(odd.sum(), 3)) * 30
+        groups[name] = np.round(base + 2000).astype(int), odd
+    rows = [(g, None, *map(int, r)) for g, (x, _) in groups.items() for r in x]
+    vec = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"x{i} long" for i in rules.P))
+    for r in rules.estimate(vec).collect():
+        x, odd = groups[r.lang]
+        m, c, ld = mcd_by_trial(x.astype(float), rng)
+        w = np.array([[r[f"w{max(i, j)}_{min(i, j)}"] for j in rules.P] for i in rules.P])
+        centre = np.array([r[f"m{i}"] for i in rules.P])
+        assert abs(r.ld - ld) < 0.15 and abs(r.ld + np.linalg.slogdet(w)[1]) < 1e-6
+        mine = np.einsum("ri,ij,rj->r", x - centre, w, x - centre) > rules.CUTOFF
+        theirs = np.einsum("ri,ij,rj->r", x - m, np.linalg.inv(c), x - m) > rules.CUTOFF
+        assert (mine == theirs).mean() > 0.98 and mine[odd].mean() > 0.95 and mine[~odd].mean() < 0.05
+        alone = (((x - centre) ** 2) / np.diag(np.linalg.inv(w))).sum(1) > rules.CUTOFF  # without covariances
+        assert (mine & ~alone).sum() > 0.5 * mine.sum()
+
+
+def test_rules_against_the_quality_labels(spark):
+    """Labels serve to measure only: what fails the distance is junk, and hardly a clean document does."""
+    d = "/root/testdata/sf0.1"
+    rows = rules.judge(read(spark, d, "documents")).where("not base_failed").join(read(spark, d, "labels"), "doc_id").groupBy("quality").agg(rules.F.avg(rules.F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in rows}
+    assert kept[1] > 0.995 and kept[0] < 0.2, kept
+
+
 def test_decontaminate(spark, odd):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short item"), (3, None), (4, "beta gamma"), (4, "beta gamma")]
     texts = [(1, "x Alpha beta gamma delta epsilon zeta eta theta iota kappa; lambda y short  item z"), (2, None), (3, "beta beta gamma alpha"), (4, "nothing")]
