@@ -38,7 +38,7 @@ MIN_ROWS = 20
 CUTOFF = 45.0
 #: 0.75 divided by the chi-square(10) probability of the 0.75 quantile of chi-square(8).
 CONSISTENCY = 1.297
-PULL = 40
+PULL = 10
 DIMS = 8
 #: Least standard deviation of each statistic, in 1/1024.
 FLOORS = (30, 80, 80, 50, 600, 600, 600, 600)

@@ -209,10 +209,10 @@ def mcd_by_trial(x, rng, trials=300):
 def test_covariance_of_least_determinant(spark):
     """Against many random starts in numpy; and the covariance decides: what it rejects lies well within every single coordinate's range."""
     rng, groups = np.random.default_rng(11), {}
-    for name, n in (("a", 400), ("b", 120)):
+    for name, n in (("a", 400), ("b", 200)):
         base = rng.normal(size=(n, 8)) * np.array([90, 110, 110, 90, 700, 800, 700, 900]) + rng.normal(size=(n, 1)) * np.array([500, 500, -400, 500, 0, 0, 300, 300])
-        odd = rng.random(n) < 0.12  # within every single range, but the first three against their correlations
-        base[odd, :3] = np.array([1000, -1000, -1000]) + rng.normal(size=(odd.sum(), 3)) * 30
+        odd = rng.random(n) < 0.12  # within every single range, but the first two against their correlation
+        base[odd, :2] = np.array([1200, -1200]) + rng.normal(size=(odd.sum(), 2)) * 30
         groups[name] = np.round(base + 2000).astype(int), odd
     rows = [(g, None, *map(int, r)) for g, (x, _) in groups.items() for r in x]
     vec = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"x{i} long" for i in rules.P))
