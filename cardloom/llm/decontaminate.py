@@ -5,134 +5,198 @@ document are streamed through it, and the length of the longest suffix of what w
 item is tracked. Where that length reaches the window size, the last `window` words are hit; an item shorter
 than the window counts as one window of its own length and is found through the suffix links.
 
-The automaton is broadcast only in blocks of at most `block_words` item words; with more items the documents
-are passed over once per block, and the hits of the blocks are united.
+The automaton is built once, on the driver, and broadcast as flat arrays of 32-bit numbers, some 100 bytes for a word
+of the items; its size is checked, as a block has at most `block_words` words. With more items there are more blocks, and
+a task has one Python worker still, which takes them one after another for each slice of documents, so that one block is
+in its memory at a time; the hits of the blocks are united.
 
 Defined results: null or word-less texts have no words, no hits and no items; null or word-less items match
-nothing; repeated documents and items are each reported; empty tables give no rows or no hits; other columns
-are ignored.
+nothing; repeated documents and items are each reported; empty tables give no rows or no hits; very long texts are
+streamed whole; other columns are ignored, and decontaminate() returns them unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import arrow_map, ascii_lower, column, read
+from cardloom.llm.common import arrow_map, ascii_lower, column, read, with_row
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+#: Documents that go through the blocks together, where there are several.
+SLICE_CHARS = 16_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-class SuffixAutomaton:
-    """Generalised suffix automaton over word ids, with the items that own each window.
+class _Growing:
+    """The automaton while it is built: most states have one arc, kept in arrays; those with more have a dict."""
 
-    `owners[state]` lists the items with an occurrence of the state's words; it is gathered once, along the
-    suffix links, only for windows that a document really hits (memoised per state and length).
-    """
+    def __init__(self):
+        self.one_word, self.one_to, self.many = array("i", [-1]), array("i", [-1]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
 
-    def __init__(self, items: list[tuple[object, list[str]]], window: int):
-        self.window, self.vocabulary = window, {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.ends: list[list[int]] = [[]]  # items whose prefix ends in this state
-        self.short: list[list[int]] = [[]]  # items of fewer than `window` words that end here, whole
-        self.ids = [k for k, _ in items]
-        for n, (_, words) in enumerate(items):
-            last = 0
-            for w in words:
-                last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)))
-                self.ends[last].append(n)
-            if 0 < len(words) < window:
-                self.short[last].append(n)
-        self._spread()
+    def get(self, state: int, c: int) -> int | None:
+        if self.one_word[state] == c:
+            return self.one_to[state]
+        arcs = self.many.get(state)
+        return arcs.get(c) if arcs is not None else None
+
+    def set(self, state: int, c: int, to: int) -> None:
+        arcs = self.many.get(state)
+        if arcs is not None:
+            arcs[c] = to
+        elif self.one_word[state] in (-1, c):
+            self.one_word[state], self.one_to[state] = c, to
+        else:
+            self.many[state] = {self.one_word[state]: self.one_to[state], c: to}
+            self.one_word[state] = -2
 
-    def _new(self, length: int, link: int, arcs: dict[int, int]) -> int:
-        self.next.append(arcs)
-        self.link.append(link)
-        self.length.append(length)
-        self.ends.append([])
-        self.short.append([])
-        return len(self.next) - 1
+    def arcs(self, state: int) -> list[tuple[int, int]]:
+        if state in self.many:
+            return sorted(self.many[state].items())
+        return [(self.one_word[state], self.one_to[state])] if self.one_word[state] >= 0 else []
 
     def _split(self, p: int, q: int, c: int) -> int:
-        clone = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        clone = len(self.link)
+        self.link.append(self.link[q])
+        self.length.append(self.length[p] + 1)
+        self.one_word.append(self.one_word[q])
+        self.one_to.append(self.one_to[q])
+        if q in self.many:
+            self.many[clone] = dict(self.many[q])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
+        while p >= 0 and self.get(p, c) == q:
+            self.set(p, c, clone)
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
+    def extend(self, last: int, c: int) -> int:
+        q = self.get(last, c)
         if q is not None:  # another item already has these words
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, c)
-        new, p = self._new(self.length[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        new, p = len(self.link), last
+        self.link.append(0)
+        self.length.append(self.length[last] + 1)
+        self.one_word.append(-1)
+        self.one_to.append(-1)
+        while p >= 0 and self.get(p, c) is None:
+            self.set(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
+            q = self.get(p, c)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return new
 
-    def _spread(self) -> None:
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        self.children: list[list[int]] = [[] for _ in self.next]
-        for v in order:
-            self.children[self.link[v]].append(v)
+
+class SuffixAutomaton:
+    """Generalised suffix automaton over word ids, in flat arrays, with the items that own each window.
+
+    The arcs of a state are a sorted run of `arc_word`; the root's have a table of their own. The items in which the words
+    of a state occur are those whose positions end in its subtree of suffix links: a run of `owner`.
+    """
+
+    def __init__(self, items: list[tuple[object, list[str]]], window: int):
+        self.window, self.vocabulary, self.ids = window, {}, [k for k, _ in items]
+        g, ends, ended = _Growing(), array("i"), array("i")  # of each position: its state, its item
+        self.short: dict[int, list[int]] = {}  # by state: items of fewer than `window` words that end here, whole
+        for n, (_, words) in enumerate(items):
+            last = 0
+            for w in words:
+                last = g.extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)))
+                ends.append(last)
+                ended.append(n)
+            if 0 < len(words) < window:
+                self.short.setdefault(last, []).append(n)
+        self.link, self.length = g.link, g.length
+        size = len(g.link)
+        self.root = array("i", [-1]) * len(self.vocabulary)
+        for c, to in g.arcs(0):
+            self.root[c] = to
+        self.arc_at, self.arc_word, self.arc_to = array("i", [0, 0]), array("i"), array("i")
+        for v in range(1, size):
+            for c, to in g.arcs(v):
+                self.arc_word.append(c)
+                self.arc_to.append(to)
+            self.arc_at.append(len(self.arc_word))
+            g.many.pop(v, None)
+        # the tree of suffix links, walked so that a subtree is a run of numbers; link and length sort it
+        link, order = np.array(self.link), np.argsort(np.array(self.length), kind="stable")[1:].tolist()
+        below, tin, free = [1] * size, [0] * size, [1] * size
+        for v in reversed(order):
+            below[self.link[v]] += below[v]
         # for each state, the nearest state on its suffix path (itself included) at which a short item ends
-        self.near = [-1] * len(self.next)
+        self.near = array("i", [-1]) * size
         for v in order:
-            self.near[v] = v if self.short[v] else self.near[self.link[v]]
-        self._owned: dict[int, frozenset[int]] = {}
-
-    def owners(self, state: int) -> frozenset[int]:
-        """Items in which the words of `state` occur: all those that end in its subtree of suffix links."""
-        if state not in self._owned:
-            found, stack = set(), [state]
-            while stack:
-                v = stack.pop()
-                found.update(self.ends[v])
-                stack.extend(self.children[v])
-            self._owned[state] = frozenset(found)
-        return self._owned[state]
+            p = self.link[v]
+            tin[v] = free[p]
+            free[p] += below[v]
+            free[v] = tin[v] + 1
+            self.near[v] = v if v in self.short else self.near[p]
+        del link, free
+        tin, below = np.array(tin), np.array(below)
+        at = tin[np.array(ends, np.int64)] if len(ends) else np.zeros(0, np.int64)
+        by = np.argsort(at, kind="stable")
+        self.owner = np.array(ended, np.int32)[by]
+        before = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=size))])
+        self.owned_from, self.owned_to = before[tin].astype(np.int32), before[tin + below].astype(np.int32)
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays, without the vocabulary."""
+        return sum(len(x) * 4 for x in (self.link, self.length, self.root, self.arc_at, self.arc_word, self.arc_to, self.near, self.owner, self.owned_from, self.owned_to))
+
+    def step(self, state: int, c: int) -> int:
+        """The state after word c, or -1."""
+        if state == 0:
+            return self.root[c]
+        a, b = self.arc_at[state], self.arc_at[state + 1]
+        if b - a > 1:
+            a = bisect_left(self.arc_word, c, a, b)
+        return self.arc_to[a] if a < b and self.arc_word[a] == c else -1
 
     def match(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
         """Maximal hit runs [first word, end) and the numbers of the items with occurring windows."""
-        arcs, link, length, near, window = self.next, self.link, self.length, self.near, self.window
+        link, length, near, window = self.link, self.length, self.near, self.window
+        root, arc_at, arc_word, arc_to = self.root, self.arc_at, self.arc_word, self.arc_to
         state = size = 0
         runs: list[tuple[int, int]] = []
         items: set[int] = set()
+        windows: set[int] = set()  # states of windows that were hit: each state's items are looked up once
         for i, c in enumerate(map(self.vocabulary.get, words)):
             if c is None:
                 state = size = 0
                 continue
-            to = arcs[state].get(c)
-            if to is None:
-                while state >= 0 and c not in arcs[state]:
-                    state = link[state]
+            while state:
+                a, b = arc_at[state], arc_at[state + 1]
+                if b - a > 1:
+                    a = bisect_left(arc_word, c, a, b)
+                if a < b and arc_word[a] == c:
+                    state = arc_to[a]
+                    size += 1
+                    break
+                state = link[state]
+                size = length[state]
+            else:
+                state = root[c]
                 if state < 0:
                     state = size = 0
                     continue
-                size = length[state] + 1
-                to = arcs[state][c]
-            else:
-                size += 1
-            state = to
+                size = 1
             start = -1
             if size >= window:
                 start, v = i + 1 - window, state
                 while length[link[v]] >= window:
                     v = link[v]
-                items |= self.owners(v)
+                windows.add(v)
             v = near[state]
             while v >= 0:  # short items whose whole text ends here
                 if length[v] <= size:
@@ -143,6 +207,11 @@ class SuffixAutomaton:
                 while runs and runs[-1][1] >= start:
                     start = min(start, runs.pop()[0])
                 runs.append((start, i + 1))
+        if windows:
+            found = np.zeros(len(self.ids), bool)
+            for v in windows:
+                found[self.owner[self.owned_from[v] : self.owned_to[v]]] = True
+            items.update(np.flatnonzero(found).tolist())
         return runs, items
 
 
@@ -168,6 +237,18 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _slices(texts: list[str | None], whole: bool) -> Iterator[list[str | None]]:
+    """Runs of texts of about SLICE_CHARS characters; all of them at once if `whole`."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= SLICE_CHARS and not whole:
+            yield part
+            part, size = [], 0
+    yield part
+
+
 HITS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("hit_runs", T.ArrayType(T.LongType())),
@@ -179,32 +260,32 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     """docs plus n_words, hit_runs (word positions first, end, first, end, ...), hit_items (ids as text, sorted) and,
     as cut_col, the text without those words: made in the same pass, so that a task has one Python worker."""
     fields = HITS + ([T.StructField(cut_col, T.StringType())] if cut_col else [])
-    spark, out, first = docs.sparkSession, docs, True
-    for block in _blocks(items.select(item_id, item_text).toLocalIterator(), block_words):
-        sent = spark.sparkContext.broadcast(block)
-        built: list[SuffixAutomaton] = []
-
-        def run(batch: pa.RecordBatch, first=first, sent=sent, built=built) -> list:
-            if not built:
-                built.append(SuffixAutomaton(sent.value, window))
-            auto, n_words, all_runs, all_items, rest = built[0], [], [], [], []
-            before = None if first else list(zip(column(batch, "hit_runs"), column(batch, "hit_items"), strict=True))
-            for k, text in enumerate(column(batch, text_col)):
-                words = WORD.findall(ascii_lower(text)) if text else []
-                runs, found = auto.match(words)
-                ids = [str(auto.ids[i]) for i in found if auto.ids[i] is not None]
-                if before:
-                    old = before[k][0]
-                    runs, ids = _union([*runs, *zip(old[::2], old[1::2], strict=True)]), ids + before[k][1]
-                n_words.append(len(words))
-                all_runs.append([x for r in runs for x in r])
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(SuffixAutomaton(block, window)) for block in _blocks(items.select(item_id, item_text).toLocalIterator(), block_words)]
+
+    def run(batch: pa.RecordBatch) -> list:
+        n_words, all_runs, all_items, rest = [], [], [], []
+        for texts in _slices(column(batch, text_col), len(sent) == 1):
+            words = [WORD.findall(ascii_lower(t)) if t else [] for t in texts]
+            found: list[tuple[list, list]] = [([], []) for _ in texts]
+            for b in sent:
+                auto = b.value
+                for (runs, ids), w in zip(found, words, strict=True):
+                    new, numbers = auto.match(w)
+                    runs += new
+                    ids += [str(auto.ids[i]) for i in numbers if auto.ids[i] is not None]
+                if len(sent) > 1:  # read again for the next slice: one block at a time is held
+                    del auto
+                    b.__dict__.pop("_value", None)
+            for (runs, ids), w, t in zip(found, words, texts, strict=True):
+                n_words.append(len(w))
+                all_runs.append([x for r in (runs if len(sent) == 1 else _union(runs)) for x in r])
                 all_items.append(sorted(set(ids)))
                 if cut_col:
-                    rest.append(cut(text, all_runs[-1]))
-            return [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string())), *[pa.array(rest, pa.string())] * bool(cut_col)]
+                    rest.append(cut(t, all_runs[-1]))
+        return [pa.array(n_words, pa.int64()), pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string())), *[pa.array(rest, pa.string())] * bool(cut_col)]
 
-        out, first = arrow_map(out, fields, run), False
-    return out
+    return arrow_map(docs, fields, run, rows=512 if len(sent) == 1 else 1 << 14)
 
 
 def cut(text: str | None, runs: list[int]) -> str | None:
@@ -224,9 +305,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
 
     Same columns as docs. Clean documents are left exactly as they are.
     """
-    hit = find_hits(docs, items, text_col, window=window, block_words=block_words, cut_col="hit_cut")
+    hit = find_hits(with_row(docs, text_col), items, text_col, window=window, block_words=block_words, cut_col="hit_cut")
     ok = hit.where(f"size(hit_runs) = 0 or 2 * aggregate(transform(sequence(1, int(size(hit_runs) / 2)), i -> hit_runs[2 * i - 1] - hit_runs[2 * i - 2]), 0L, (a, x) -> a + x) <= {2 * max_coverage} * n_words")
-    return ok.select(*[F.col("hit_cut").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return ok.select(*[F.col("hit_cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:

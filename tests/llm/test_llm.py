@@ -250,6 +250,42 @@ def test_decontaminate(spark, odd):
     assert [r.text for r in decontaminate.decontaminate(d, i, max_coverage=1.0).orderBy("doc_id").collect()][2:] == ["beta  alpha", "nothing"]
 
 
+def test_automaton_against_brute_force(spark):
+    """Items that repeat, contain and overlap each other, long and short, in one block and in six; one worker a task."""
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 6, n))
+    items = [(i, words(int(rng.integers(0, 30)))) for i in range(60)] + [(900, None), (901, "w1 w2 w3 w4 w1 w2 w3 w4 w1 w2 w3"), (901, "w1 w2 w3 w4 w1 w2 w3 w4 w1 w2 w3"), (902, "odd zz")]
+    items += [(950 + k, items[0][1] + " tail") for k in range(5)]
+    texts = [(i, words(int(rng.integers(0, 60))) + (" " + items[i % 60][1] + " x ") * (i % 3)) for i in range(80)] + [(80, None), (81, ""), (82, "x" * 9), (83, (items[3][1] + " ") * 500)]
+    d, i = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    total = sum(len((t or "").split()) for _, t in items)
+    want = {k: decontaminate.brute(t, items) for k, t in texts}
+    for block in (1_000_000, total // 6):
+        got = decontaminate.digest(d, i, block_words=block)
+        assert got._jdf.queryExecution().toString().count("MapInArrow") == 4  # once in each of four plans: blocks aren't stacked
+        for r in got.collect():
+            n, h, ids = want[r.doc_id]
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (n, h, len(ids), decontaminate.sha(ids)), (block, r.doc_id)
+    assert decontaminate.digest(d.limit(0), i).count() == 0
+
+
+def test_automaton_memory():
+    import pickle
+
+    rng = np.random.default_rng(4)
+    items = [(k, [f"w{x}" for x in (rng.zipf(1.3, 200) % 20000).tolist()]) for k in range(1000)]
+    auto = decontaminate.SuffixAutomaton(items, 10)
+    assert len(pickle.dumps(auto)) < 100 * 200_000 and auto.nbytes() < 80 * 200_000
+    runs, found = auto.match(["x", *items[5][1], "y"])
+    assert runs == [(1, 201)] and 5 in found
+
+
+def test_decontaminate_keeps_columns(spark):
+    d = spark.createDataFrame([(1, "no words of items", "a", 7, [1]), (2, "x alpha beta y z z z", "b", 8, [2])], "doc_id long, text string, hit_cut string, n_words int, hit_runs array<int>")
+    i = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(d, i).orderBy("doc_id").collect()] == [(1, "no words of items", "a", 7, [1]), (2, "x  y z z z", "b", 8, [2])]
+
+
 def base(t):
     out = []
 
