@@ -13,14 +13,19 @@ Weights: a unigram model brings log-probabilities. A BPE model brings merge rank
 its pieces get -log(rank + 10) instead. `alpha` flattens either. Characters without a piece, and U+2581 itself,
 which the model uses as its space mark, become UTF-8 byte pieces, so that decoding gives back every text exactly.
 
+A text of more than SLICE_CHARS characters is taken in parts that end between words. A word of more than LONG characters
+(an encoded file, a script without spaces) is taken in windows: the forward pass keeps only the sums before each window,
+and the backward pass makes a window's sums again when it gets there, so that memory follows the text, not the lattice.
+
 Defined results: null gives null pieces, an empty text no pieces; the length of texts and words is not limited;
-repeated rows with the same key get the same pieces; a null key counts as a key of its own; columns with the
-output names are replaced, others pass through.
+repeated rows with the same key get the same pieces; a null key counts as a key of its own; an empty table gives no rows;
+columns with the output names are replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,9 @@ SLICE_CHARS = 1_000_000
 LINEAR = 40
 #: Words are sampled together with others of up to the same of these lengths; longer ones one by one.
 WIDTHS = (8, 12, 20, 40, 120, 1000)
+#: Longer words are sampled in windows of LONG_BLOCK characters.
+LONG = 20_000
+LONG_BLOCK = 8192
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -124,10 +132,10 @@ def row_seed(key: object, seed: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(f"{key!r}", seed=seed))
 
 
-def draws(row_seeds: np.ndarray, words: np.ndarray, step: int) -> np.ndarray:
+def draws(row_seeds: np.ndarray, words: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """Uniform in [0, 1) for each (row, number of the word in its row) and step."""
     with np.errstate(over="ignore"):
-        x = mix(mix(row_seeds + words.astype(np.uint64) * _B) + np.uint64(step) * np.uint64(0xD1B54A32D192ED03))
+        x = mix(mix(row_seeds + words.astype(np.uint64) * _B) + np.asarray(step, np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
@@ -166,18 +174,121 @@ def _lattice(model: Model, points: np.ndarray, prefix: np.ndarray, inverse: np.n
     return cum, arcs
 
 
+def _long_word(model: Model, points: np.ndarray, seed: np.uint64, number: int, alpha: float) -> list[int]:
+    """Sampled pieces of one word, last one first, in windows."""
+    n, longest = len(points), model.longest
+    table = np.append(np.exp(alpha * model.weight), 0.0)
+
+    def window(at: int, sums: list[float], kept: list | None) -> list[float]:
+        """The forward sums of the `longest` positions before the window's end, from those before its start; kept gets each position's arcs.
+
+        Sums are scaled together when they get small; what is kept of a position was made on one scale.
+        """
+        to, low = min(n, at + LONG_BLOCK), max(0, at - longest)
+        part = points[low:to].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(part), _B)]))
+            inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(part), _B_INV)]))
+            prefix = np.concatenate([[np.uint64(0)], np.cumsum(mix(part + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+            arcs = np.full((to - at, longest), -1, np.int32)
+            for length in range(1, longest + 1):
+                end = np.arange(max(at + 1, length), to + 1)
+                arcs[end - at - 1, length - 1] = model.find((prefix[end - low] - prefix[end - length - low]) * inverse[end - length - low])
+        place, shorter = np.nonzero(arcs >= 0)
+        pieces = arcs[place, shorter]
+        weights, back, bounds = table[pieces].tolist(), shorter.tolist(), np.searchsorted(place, np.arange(to - at + 1)).tolist()
+        values = list(sums)
+        for k in range(to - at):
+            total, cum = 0.0, []
+            for i in range(bounds[k], bounds[k + 1]):
+                total += weights[i] * values[k + longest - 1 - back[i]]
+                cum.append(total)
+            values.append(total)
+            if total < 1e-150:
+                values[-longest:] = [v / total for v in values[-longest:]]
+            if kept is not None:
+                kept.append((cum, bounds[k]))
+        if kept is not None:
+            kept.append((pieces, back))
+        return values[-longest:]
+
+    starts, sums = [], [0.0] * (longest - 1) + [1.0]
+    for at in range(0, n, LONG_BLOCK):
+        starts.append(sums)
+        sums = window(at, sums, None)
+    out: list[int] = []
+    position, seeds, words = n, np.array([seed]), np.array([number])
+    u, first = [], 0
+    for at in reversed(range(0, n, LONG_BLOCK)):
+        kept: list = []
+        window(at, starts.pop(), kept)
+        pieces, back = kept.pop()
+        while position > at:
+            cum, bound = kept[position - at - 1]
+            if len(out) - first >= len(u):
+                first, u = len(out), draws(seeds, words, np.arange(len(out), len(out) + 4096)).tolist()
+            i = bound + min(bisect_right(cum, u[len(out) - first] * cum[-1]), len(cum) - 1)
+            out.append(int(pieces[i]))
+            position -= back[i] + 1
+    return out
+
+
+def _edges(model: Model, points: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+    """Whether a word begins at each point (space marks being MARK): at rows' starts, around characters without a piece, at spaces after others."""
+    known, mark = model.known[points], points == MARK
+    edge = np.ones(len(points), bool)
+    edge[1:] = ~known[1:] | ~known[:-1] | (mark[1:] & ~mark[:-1])
+    if rows is not None:
+        edge[1:] |= rows[1:] != rows[:-1]
+    return edge
+
+
+def _marked(points: np.ndarray) -> np.ndarray:
+    return np.where(points == MARK, LITERAL_MARK, np.where(points == 32, MARK, points))
+
+
+def _encode_long(model: Model, text: str, seed: np.uint64, alpha: float) -> np.ndarray:
+    """The pieces of one long text, in parts of about SLICE_CHARS characters that end between words."""
+    raw = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
+    out, at, number, n = [], 0, 0, len(raw)
+    while at < n:
+        to = min(n, at + SLICE_CHARS)
+        if to < n:  # back to where a word begins
+            edge = np.flatnonzero(_edges(model, _marked(raw[at : to + 1].astype(np.int64)), None)[1:])
+            low = to
+            to = at + 1 + int(edge[-1]) if len(edge) else n
+            while not len(edge) and low < n:  # one long word: on to where the next one begins
+                edge = np.flatnonzero(_edges(model, _marked(raw[low : low + SLICE_CHARS + 1].astype(np.int64)), None)[1:])
+                to = low + 1 + int(edge[0]) if len(edge) else n
+                low += SLICE_CHARS
+        points = raw[at:to]
+        if to - at > SLICE_CHARS + LONG:
+            out.append(_with_bytes(model, np.array(_long_word(model, _marked(points), seed, number, alpha)[::-1], np.int64)))
+            number += 1
+        else:
+            ids, words = _encode_points(model, _marked(points.astype(np.int64)), np.zeros(to - at, np.int64), 1, np.array([seed]), alpha, number)
+            out += ids
+            number += words
+        at = to
+    return np.concatenate(out)
+
+
 def _encode_slice(model: Model, texts: list[str], seeds: np.ndarray, alpha: float) -> list[np.ndarray]:
+    if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+        return [_encode_long(model, texts[0], seeds[0], alpha)]
     points = np.frombuffer("".join(" " + t for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
     rows = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    points = np.where(points == MARK, LITERAL_MARK, np.where(points == 32, MARK, points))
+    return _encode_points(model, _marked(points), rows, len(texts), seeds, alpha)[0]
+
+
+def _encode_points(model: Model, points: np.ndarray, rows: np.ndarray, n_rows: int, seeds: np.ndarray, alpha: float, number0: int = 0) -> tuple[list[np.ndarray], int]:
+    """The pieces of each row, and the number of words; the first word of each row has the number number0."""
     known = model.known[points]
-    mark = points == MARK
-    edge = np.ones(len(points), bool)
-    edge[1:] = (rows[1:] != rows[:-1]) | ~known[1:] | ~known[:-1] | (mark[1:] & ~mark[:-1])
+    edge = _edges(model, points, rows)
     start = np.flatnonzero(edge)
     size = np.diff(np.append(start, len(points)))
     row = rows[start]
-    number = np.arange(len(start)) - np.searchsorted(row, row)  # of the word in its row
+    number = number0 + np.arange(len(start)) - np.searchsorted(row, row)  # of the word in its row
     with np.errstate(over="ignore"):
         powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(points), _B)]))
         inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(points), _B_INV)]))
@@ -188,7 +299,13 @@ def _encode_slice(model: Model, texts: list[str], seeds: np.ndarray, alpha: floa
     at_word: list[np.ndarray] = [np.flatnonzero(lonely)]
     at_step: list[np.ndarray] = [np.zeros(len(at_word[0]), np.int64)]
     got: list[np.ndarray] = [-1 - points[start[at_word[0]]]]
-    todo = np.flatnonzero(~lonely)
+    for w in np.flatnonzero(~lonely & (size > LONG)).tolist():
+        found = _long_word(model, points[start[w] : start[w] + size[w]], seeds[row[w]], int(number[w]), alpha)
+        at_word.append(np.full(len(found), w))
+        at_step.append(np.arange(len(found)))
+        got.append(np.array(found, np.int64))
+        count[w] = len(found)
+    todo = np.flatnonzero(~lonely & (size <= LONG))
     _, first, which = np.unique(hashes[todo] ^ size[todo].astype(np.uint64), return_index=True, return_inverse=True)
     kinds = todo[first]  # one occurrence of each distinct word
     by_size = np.argsort(size[kinds], kind="stable")
@@ -224,8 +341,8 @@ def _encode_slice(model: Model, texts: list[str], seeds: np.ndarray, alpha: floa
     word, step = np.concatenate(at_word), np.concatenate(at_step)
     ids = np.empty(offset[-1], np.int64)
     ids[offset[word] + count[word] - 1 - step] = np.concatenate(got)
-    ends = offset[np.searchsorted(row, np.arange(len(texts) + 1))]
-    return [_with_bytes(model, ids[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    ends = offset[np.searchsorted(row, np.arange(n_rows + 1))]
+    return [_with_bytes(model, ids[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], len(start)
 
 
 def _with_bytes(model: Model, ids: np.ndarray) -> np.ndarray:
@@ -247,7 +364,9 @@ def encode(texts: list[str | None], keys: list[object], model: Model, alpha: flo
     out: list[np.ndarray | None] = [None if t is None else np.zeros(0, np.int32) for t in texts]
     todo, size = [], 0
     for i, t in enumerate(texts):
-        if t:
+        if t and len(t) > SLICE_CHARS:  # by itself
+            out[i] = _encode_slice(model, [t], np.array([row_seed(keys[i], seed)], np.uint64), alpha)[0]
+        elif t:
             todo.append(i)
             size += len(t)
         if todo and (size > SLICE_CHARS or i + 1 == len(texts)):
@@ -263,7 +382,7 @@ def encode(texts: list[str | None], keys: list[object], model: Model, alpha: flo
 
 def decode(ids: np.ndarray, model: Model) -> str:
     """The text of the pieces; the mark that encoding puts first is taken away."""
-    return b"".join(map(model.surface.__getitem__, ids.tolist())).decode("utf-8")[1:]
+    return b"".join(b"".join(map(model.surface.__getitem__, ids[at : at + 100_000].tolist())) for at in range(0, len(ids), 100_000)).decode("utf-8")[1:]
 
 
 def encode_column(df: DataFrame, key: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

@@ -28,6 +28,50 @@ def test_pieces(spark, odd):
     assert pieces.encode_column(odd.limit(0)).count() == 0
 
 
+def test_pieces_against_the_whole_lattice(monkeypatch):
+    """In parts, in windows and at once: the same draws give the same pieces as the sampler over the unsplit lattice."""
+    m, rng = pieces.load(pieces.MODEL), np.random.default_rng(9)
+    texts = ["some words, here é日本 ▁▁ and  more \n x", " " * 30 + "a", "aaaaaaaabbbbab" * 20, "日本語" * 9, "the 😀😀 end " * 12]
+    texts += ["".join("abcde ▁é日."[x] for x in rng.integers(0, 10, int(n))) for n in rng.integers(1, 300, 12)]
+    want = [pieces.brute(t, k, m) for k, t in enumerate(texts)]
+    assert [x.tolist() for x in pieces.encode(texts, list(range(len(texts))), m)] == want
+    monkeypatch.setattr(pieces, "LONG_BLOCK", 7)
+    for long, part in ((3, 1 << 20), (20_000, 25), (5, 40), (2, 3)):
+        monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "SLICE_CHARS", part)
+        assert [x.tolist() for x in pieces.encode(texts, list(range(len(texts))), m)] == want, (long, part)
+
+
+def test_pieces_draw_in_proportion():
+    """Whole segmentations of a word come as often as their weights say."""
+    m, n = pieces.load(pieces.MODEL), 6000
+    ways: dict[tuple, float] = {}
+
+    def split(rest, ids, weight):
+        if not rest:
+            ways[ids] = weight
+        for k in range(1, len(rest) + 1):
+            if (i := m.by_text.get(rest[:k])) is not None:
+                split(rest[k:], (*ids, i), weight * np.exp(pieces.ALPHA * m.weight[i]))
+
+    split("▁the", (), 1.0)
+    got: dict[tuple, int] = {}
+    for ids in pieces.encode(["the"] * n, list(range(n)), m):
+        got[tuple(ids.tolist())] = got.get(tuple(ids.tolist()), 0) + 1
+    total = sum(ways.values())
+    assert set(got) <= set(ways) and all(abs(got.get(k, 0) / n - w / total) < 5 * (w / total / n) ** 0.5 + 1e-3 for k, w in ways.items())
+
+
+def test_pieces_memory_of_a_long_word():
+    import resource
+    import subprocess
+    import sys
+
+    code = "import resource\nfrom cardloom.llm import pieces\nm = pieces.load(pieces.MODEL)\na = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nx = pieces.encode(['aB3/' * 250_000 + ' x ' + 'word ' * 400_000], [1], m)\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024, len(x[0]))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(out[0]) < 400 and int(out[1]) > 400_000 and resource
+
+
 def test_html():
     e = html_extract.extract
     assert e(None) == "" and e("") == "" and e("<p>a<p>b") == "a\nb" and e("x &amp;  &lt;y") == "x & <y"
