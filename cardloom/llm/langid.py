@@ -6,13 +6,18 @@ maximisation estimates the proportion of each language from its n-gram likelihoo
 smallest proportion first, as long as the penalised likelihood (BIC: half a log of the n-gram count for each
 language) does not get worse. The predicted language has the largest proportion in the set that remains.
 
+A text is counted in parts of CHUNK_CHARS that end at characters other than letters, and likelihoods are taken in blocks
+of BLOCK_CELLS, so that memory follows neither the length of a text nor the number of languages.
+
 Defined results: null, empty or letterless texts are `und` with score 0, and so is everything if nothing was
 learned; ties go to the language that sorts first; rows without a language teach nothing; repeated rows are
-counted as often as they occur; other columns are ignored or passed through.
+counted as often as they occur; an empty table gives no rows; other columns are ignored, and keep_known() returns them
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import arrow_map, column, mix, read
+from cardloom.llm.common import arrow_map, column, mix, read, with_row
 
 BUCKETS = 1 << 15
 #: At most so many languages are learned from: it bounds the broadcast table to 128 MB of float32.
 MAX_LANGS = 1000
 EM_STEPS = 25
 CHUNK_CHARS = 250_000
+#: n-grams x languages whose likelihoods are in memory at once: 32 MB of float64.
+BLOCK_CELLS = 1 << 22
+_APART = re.compile(r"[\W\d_]")
 
 OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", T.ArrayType(T.StringType()))]
 
@@ -39,7 +47,7 @@ def _letters() -> np.ndarray:
     """For each code point: itself if a letter, else a space."""
     if not _letter:
         table = np.full(0x110000, 32, np.uint32)
-        for a in range(0x32000):
+        for a in range(0x110000):
             if chr(a).isalpha():
                 table[a] = a
         _letter.append(table)
@@ -74,6 +82,35 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
             at, size = i + 1, 0
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that end at a character other than a letter: the same trigrams in all."""
+    at = 0
+    while len(text) - at > CHUNK_CHARS:
+        m = _APART.search(text, at + CHUNK_CHARS)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, bucket and number of the trigrams of the texts, by row and bucket."""
+    rows, buckets, numbers = [], [], []
+    for k, t in enumerate(texts):
+        if t and len(t) > 2 * CHUNK_CHARS:
+            total = sum(np.bincount(grams([part])[1], minlength=BUCKETS) for part in _parts(t))
+            some = np.flatnonzero(total)
+            rows.append(np.full(len(some), k))
+            buckets.append(some)
+            numbers.append(total[some])
+    row, bucket = grams([None if t and len(t) > 2 * CHUNK_CHARS else t for t in texts])
+    key, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+    row, bucket, n = (np.concatenate(x) for x in ([*rows, key // BUCKETS], [*buckets, key % BUCKETS], [*numbers, n]))
+    order = np.argsort(row, kind="stable")
+    return row[order], bucket[order], n[order]
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages, sorted, and log-likelihoods [bucket, language].
 
@@ -86,10 +123,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             texts, langs = column(b, text_col), column(b, lang_col)
             for at, part in _slices(texts):
                 names, which = np.unique(np.array(langs[at : at + len(part)], dtype=object).astype(str), return_inverse=True)
-                row, bucket = grams(part)
-                counts = np.bincount(which[row] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                for n, c in zip(names, counts, strict=True):
-                    total[str(n)] = total.get(str(n), 0) + c
+                row, bucket, times = counts(part)
+                for k, n in enumerate(names):
+                    own = which[row] == k
+                    total.setdefault(str(n), np.zeros(BUCKETS, np.int64))
+                    np.add.at(total[str(n)], bucket[own], times[own])
         for n, c in total.items():
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([n] * len(some)), pa.array(some, pa.int64()), pa.array(c[some], pa.int64())], names=["lang", "bucket", "n"])
@@ -101,11 +139,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     if len(rows) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages to learn")
     rows.sort(key=lambda r: r["lang"])
-    counts = np.zeros((BUCKETS, len(rows)))
+    table = np.zeros((BUCKETS, len(rows)))
     for k, r in enumerate(rows):
-        counts[r["b"], k] = r["n"]
+        table[r["b"], k] = r["n"]
     # each language is smoothed towards the mean of all, and that towards the uniform
-    shape = counts / np.maximum(counts.sum(0), 1)
+    shape = table / np.maximum(table.sum(0), 1)
     base = shape.mean(1, keepdims=True) if rows else np.zeros((BUCKETS, 1))
     like = 0.97 * shape + 0.02 * base + 0.01 / BUCKETS
     return [r["lang"] for r in rows], np.log(like).astype(np.float32)
@@ -117,14 +155,13 @@ def infer(texts: list[str | None], langs: list[str], logs: np.ndarray) -> list[t
     if not langs:
         return out
     for at, part in _slices(texts):
-        row, bucket = grams(part)
-        key, n = np.unique(row * BUCKETS + bucket, return_counts=True)
-        row, bucket = key // BUCKETS, key % BUCKETS
+        row, bucket, n = counts(part)
         docs, first = np.unique(row, return_index=True)
         if not len(docs):
             continue
         doc = np.repeat(np.arange(len(docs)), np.diff(np.append(first, len(row))))
-        like, n = np.exp(logs[bucket]).astype(np.float64), n.astype(np.float64)
+        n = n.astype(np.float64)
+        like = _Likelihoods(logs, bucket)
         total = np.add.reduceat(n, first)
         open_ = np.ones((len(docs), len(langs)), bool)
         share, best = _em(like, n, doc, first, total, open_)
@@ -143,7 +180,7 @@ def infer(texts: list[str | None], langs: list[str], logs: np.ndarray) -> list[t
             place[some] = np.arange(len(some))
             sub = place[doc[rows]]
             f = np.searchsorted(sub, np.arange(len(some)))
-            s, b = _em(like[rows], n[rows], sub, f, total[some], trial)
+            s, b = _em(like.of(rows), n[rows], sub, f, total[some], trial)
             gain = b + 0.5 * np.log(total[some] + 1) >= best[some]
             took = some[gain]
             open_[took], share[took], best[took] = trial[gain], s[gain], b[gain]
@@ -155,13 +192,49 @@ def infer(texts: list[str | None], langs: list[str], logs: np.ndarray) -> list[t
     return out
 
 
+class _Likelihoods:
+    """exp(logs[bucket]), in blocks of rows: kept if they fit one block, made again each time if not."""
+
+    def __init__(self, logs: np.ndarray, bucket: np.ndarray):
+        self.logs, self.bucket, self.step = logs, bucket, max(1, BLOCK_CELLS // max(1, logs.shape[1]))
+        self.whole = np.exp(logs[bucket]).astype(np.float64) if len(bucket) <= self.step else None
+
+    def of(self, rows: np.ndarray) -> _Likelihoods:
+        out = object.__new__(_Likelihoods)
+        out.logs, out.bucket, out.step = self.logs, self.bucket[rows], self.step
+        out.whole = self.whole[rows] if self.whole is not None else None
+        return out
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, len(self.bucket), self.step):
+            part = slice(at, min(len(self.bucket), at + self.step))
+            yield part, self.whole if self.whole is not None else np.exp(self.logs[self.bucket[part]]).astype(np.float64)
+
+
 def _em(like, n, doc, first, total, allowed):
+    """Proportions [document, language] and log-likelihoods; doc is sorted, and first has each document's first row."""
+
+    def summed(part, values):
+        docs, at = np.unique(doc[part], return_index=True)
+        return docs, np.add.reduceat(values, at, axis=0)
+
     share = allowed / allowed.sum(1, keepdims=True)
     for _ in range(EM_STEPS if (allowed.sum(1) > 1).any() else 1):
-        w = like * share[doc]
-        w *= (n / w.sum(1))[:, None]
-        share = np.add.reduceat(w, first, axis=0) / total[:, None]
-    return share, np.add.reduceat(n * np.log((like * share[doc]).sum(1)), first)
+        new = np.zeros_like(share)
+        for part, block in like.blocks():
+            w = block * share[doc[part]]
+            w *= (n[part] / w.sum(1))[:, None]
+            if len(w) == len(doc):
+                new = np.add.reduceat(w, first, axis=0)
+            else:
+                docs, sums = summed(part, w)
+                new[docs] += sums
+        share = new / total[:, None]
+    fit = np.zeros(len(total))
+    for part, block in like.blocks():
+        docs, sums = summed(part, n[part] * np.log((block * share[doc[part]]).sum(1)))
+        fit[docs] += sums
+    return share, fit
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -187,5 +260,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
     """The documents with a language: not `und`, and one language of at least min_share. Columns of docs."""
-    found = predict(docs, train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_share)).select(*docs.columns)
+    found = predict(with_row(docs, "text"), train(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_share)).select("row.*")

@@ -463,6 +463,65 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_counts_and_blocks(spark, monkeypatch):
+    """Trigrams against plain counting; long texts in parts and likelihoods in blocks give the same."""
+    texts = ["Straße и Ёлка!", None, "", "a  bb\x00c", "x" * 50 + " yz " * 40, "日本語 text 12 \U00032000\U000323af"]
+
+    def plain(t):
+        out: dict[int, int] = {}
+        s = "".join(c if c.isalpha() else " " for c in t.lower())
+        s = " " + " ".join(s.split()) + " "
+        for i in range(1, len(s) - 1):
+            if s[i] != " ":
+                code = langid.mix(np.array([(ord(s[i - 1]) << 42) | (ord(s[i]) << 21) | ord(s[i + 1])], np.uint64))[0]
+                b = int(code & np.uint64(langid.BUCKETS - 1))
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    def got():
+        found: list[dict] = [{} for _ in texts]
+        for r, b, n in zip(*langid.counts(texts), strict=True):
+            found[r][int(b)] = int(n)
+        return found
+
+    assert got() == [plain(t or "") for t in texts]
+    rows = [("the cat and the dog went to the house " * 3, "en"), ("der hund und die katze gingen nach haus " * 3, "de"), ("el perro y el gato fueron a la casa " * 3, "es")]
+    model = langid.train(spark.createDataFrame([r for r in rows for _ in range(5)], "text string, lang string"))
+    asked = [rows[0][0] + rows[1][0], rows[2][0], "", rows[1][0] * 30]
+    want, letter = langid.infer(asked, *model), chr(0x32000)
+    assert letter.isalpha() and langid.infer([letter * 5], *model)[0][0] != "und"
+    monkeypatch.setattr(langid, "CHUNK_CHARS", 20)
+    monkeypatch.setattr(langid, "BLOCK_CELLS", 24)
+    assert got() == [plain(t or "") for t in texts]
+    for a, b in zip(langid.infer(asked, *model), want, strict=True):
+        assert a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) < 1e-9
+    # mixtures: the proportions against grid search over the likelihood
+    langs, logs = model
+    _, bucket, n = langid.counts([asked[0]])
+    grid = [(sum(n * np.log(p * np.exp(logs[bucket, 0]) + (1 - p) * np.exp(logs[bucket, 1]))), p) for p in np.linspace(0.01, 0.99, 99)]
+    assert want[0][2] == ["de", "en"] and abs(max(max(grid)[1], 1 - max(grid)[1]) - want[0][1]) < 0.02
+
+
+def test_language_on_held_out_rows(spark):
+    got = langid.op7_language_id(spark, "/root/testdata/sf0.1").where("held_out").join(read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "lang", "n_chars"), "doc_id").where("n_chars >= 20 and lang_pred <> 'und'")
+    right, n = got.selectExpr("avg(cast(lang_pred = lang as int))", "count(*)").first()
+    assert n > 2000 and right > 0.99
+
+
+def test_language_keeps_columns(spark):
+    d = spark.createDataFrame([(1, "the cat and the dog", "en", "mine", 7, "k"), (2, "123", "en", "x", 8, "l"), (3, None, None, None, None, None)], "doc_id long, text string, lang string, score string, lang_pred int, lang_set string")
+    assert [tuple(r) for r in langid.keep_known(d).collect()] == [(1, "the cat and the dog", "en", "mine", 7, "k")]
+    assert langid.keep_known(d.limit(0)).collect() == []
+
+
+def test_quality_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    rows = quality.op9_quality_classifier(spark, d).where("held_out").join(read(spark, d, "labels"), "doc_id").select("score", "predicted", "quality").collect()
+    s, y = np.array([r.score for r in rows]), np.array([r.quality for r in rows])
+    auc = (np.argsort(np.argsort(s))[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert len(rows) > 500 and auc > 0.97 and np.mean([r.predicted == r.quality for r in rows]) > 0.93
+
+
 def test_quality(spark, odd):
     rows = [(i, "fine words in a row", 1) for i in range(40)] + [(i, "bad!! junk!! %%%", 0) for i in range(40, 80)]
     w = quality.train(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
