@@ -51,6 +51,21 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Temporary:
+    """Tables made by materialise() that are deleted together."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+        self.tables.append(materialise(df, label, codec))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        release(*self.tables)
+        self.tables = []
+
+
 def with_row(docs: DataFrame, *cols: str) -> DataFrame:
     """`row`, a struct of all columns of docs, and the columns named: computed columns beside it can't clash with any of docs."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in cols])

@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,8 +241,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list:
-        found = pd.DataFrame(infer(column(batch, text_col), *sent.value), columns=["a", "b", "c"])
-        return [pa.array(found["a"], pa.string()), pa.array(found["b"], pa.float64()), pa.array(found["c"].tolist(), pa.list_(pa.string()))]
+        found = infer(column(batch, text_col), *sent.value)
+        return [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.list_(pa.string())))]
 
     return arrow_map(docs, OUT, run, rows=1024)
 

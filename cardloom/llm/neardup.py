@@ -14,12 +14,16 @@ signature too, and their links joined in. Distances prune before links are confi
 classes that need it. What is lost against comparing all pairs is only what the signature distance misses.
 
 Hot groups: copies are combined before the shuffle; keyed rows are joined, not gathered, so that adaptive
-execution can split a hot key. Nothing is collected.
+execution can split a hot key. Nothing is collected. Texts that share a key but stay under the similarity are compared
+one by one, which is quadratic in a group of them.
+
+Classes are numbered, so ids may be of any type that has an order, and different texts may share one: each is linked by
+itself. Tables on the way are deleted at the end.
 
 Defined results: null, empty and word-less texts have no shingles, are linked with nothing and kept; shorter
 texts than five words are one shingle; rows with equal texts and doc_id are all returned with the same result; a
 null doc_id is never linked, has a null component and is kept; an empty table gives no rows; other columns are
-ignored. Long texts are shingled whole.
+ignored, and keep_first() returns them unchanged, whatever their names. Long texts are shingled whole.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cardloom.llm.common import column, materialise, mix, read
+from cardloom.llm.common import Temporary, column, materialise, mix, read, release, with_row
 
 SHINGLE = 5
 SIMILARITY = 85  # percent, of op10's contract
@@ -78,8 +83,10 @@ def _differing(x: str) -> str:
     return f"bit_count((((({x}) & {low}L) + {low}L) | ({x})) & {high}L)"
 
 
-#: Ids of at most so many documents (16 MB) go to every executor, to pick their texts; of more, the texts are shuffled to them.
-BROADCAST_ROWS = 2_000_000
+#: Keys of at most so many documents (about 100 bytes each) go to every executor, to pick their texts; of more, the texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+#: SQL for what tells texts of one doc_id apart; texts are fetched by doc_id and it.
+MARK = "xxhash64(coalesce(text, ''))"
 
 _A = mix(np.arange(1, MAX_VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _C = mix(np.arange(1001, MAX_VALUES + 1001, dtype=np.uint64))
@@ -87,7 +94,7 @@ _C = mix(np.arange(1001, MAX_VALUES + 1001, dtype=np.uint64))
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -139,20 +146,22 @@ def _pack(sigs: np.ndarray, chunks: int, per: int) -> np.ndarray:
     return wide.reshape(len(sigs), chunks * 8).view("<i8")
 
 
-def sketch(docs: DataFrame, plan: Plan, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (128-bit digest of the set), sig (19 longs or so; null without shingles)."""
+def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, mark, n_shingles, d1, d2 (128-bit digest of the set), sig (19 longs or so) for each of docs (doc_id, text)."""
     values, chunks, per = plan.values, plan.chunks, plan.per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
-                sets = [shingles(t) for t in column(b, text_col)]
+                sets = [shingles(t) for t in column(b, "text")]
                 sigs = _pack(np.array([signature(s, values) for s in sets], np.uint8).reshape(len(sets), values), chunks, per)
                 dig = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(len(sets), 2)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * chunks), pa.array(sigs.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), flat], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("mark")), pa.array([len(s) for s in sets], pa.int64()), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), flat], names=["doc_id", "mark", "n_shingles", "d1", "d2", "sig"])
+        _words.clear()
 
-    return docs.select(key, text_col).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ("mark", "n_shingles", "d1", "d2")), T.StructField("sig", T.ArrayType(T.LongType()))])
+    return docs.selectExpr("doc_id", f"{MARK} as mark", "text").mapInArrow(run, schema)
 
 
 def keyed(classes: DataFrame, plan: Plan) -> DataFrame:
@@ -178,7 +187,7 @@ def keyed(classes: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _of_texts(nodes: DataFrame, docs: DataFrame, name: str, fn) -> DataFrame:
-    """(node, name): fn of the shingle set, as array of longs, of the documents that are nodes."""
+    """(node, name): fn of the shingle set, as array of longs, of the texts that nodes (node, first_id, mark) stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -187,16 +196,18 @@ def _of_texts(nodes: DataFrame, docs: DataFrame, name: str, fn) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in got])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *got])))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), flat], names=["node", name])
+        _words.clear()
 
     few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.selectExpr("cast(doc_id as bigint) as node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    texts = docs.selectExpr("doc_id as first_id", f"{MARK} as mark", "text").join(F.broadcast(nodes) if few else nodes, ["first_id", "mark"]).select("node", "text")
     return texts.mapInArrow(run, f"node long, {name} array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets have the similarity. Sets are made for the documents in pairs only."""
-    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    sets = materialise(_of_texts(nodes, docs, "s", lambda s: s.view(np.int64)), "sets")
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: int, temp: Temporary) -> DataFrame:
+    """Those of pairs (a, b) whose full shingle sets have the similarity. Sets are made for the texts in pairs only."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = temp.keep(reps.select("node", "first_id", "mark").join(ends, "node", "left_semi"), "nodes")
+    sets = temp.keep(_of_texts(nodes, docs, "s", lambda s: s.view(np.int64)), "sets")
     both = pairs.join(sets.selectExpr("node as a", "s as sa"), "a").join(sets.selectExpr("node as b", "s as sb"), "b")
     return both.withColumn("i", F.expr("size(array_intersect(sa, sb))")).where(f"100 * i >= {similarity} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
 
@@ -209,9 +220,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.selectExpr("node as b", "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").selectExpr("node", "comp as old", "least(comp, m) as comp")
         jump = step.join(labels.selectExpr("node as comp", "comp as up"), "comp").selectExpr("node", "least(comp, up) as comp", "least(comp, up) < old as moved")
-        labels = materialise(jump, "labels")
+        before, labels = labels, materialise(jump, "labels")
+        release(before)
         if labels.where("moved").isEmpty():
-            return labels.select("node", "comp")
+            release(both)
+            out = labels.select("node", "comp")
+            out.stored_at = labels.stored_at
+            return out
 
 
 def heavy(classes: DataFrame, plan: Plan) -> DataFrame:
@@ -248,39 +263,57 @@ def several(keys: DataFrame, often: DataFrame) -> DataFrame:
     return salted.repartition("key", "salt").sortWithinPartitions("key").mapInArrow(run, "node long, key long, slot short")
 
 
-def links(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Confirmed edges (a, b), enough to connect all classes (node, n, sig) that links connect."""
-    shared = materialise(several(keyed(classes, plan), heavy(classes, plan)), "shared")
+def links(reps: DataFrame, docs: DataFrame, plan: Plan, temp: Temporary) -> DataFrame:
+    """Confirmed edges (a, b), enough to connect all classes of reps (node, first_id, mark, n, sig) that links connect."""
+    shared = temp.keep(several(keyed(reps, plan), heavy(reps, plan)), "shared")
     groups = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep"))
-    members = materialise(shared.join(groups, "key"), "members")
+    members = temp.keep(shared.join(groups, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
     second = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.expr("-node").alias("m"))).alias("x")).selectExpr("key", "-x.m as rep2")
     star = members.selectExpr("node as a", "rep as b").where("a <> b").distinct().union(members.join(second, "key").selectExpr("node as a", "rep2 as b").where("a <> b").distinct())
     star = star.selectExpr("least(a, b) as x", "greatest(a, b) as y").distinct()
-    facts = classes.selectExpr("node", "n", "sig")
+    facts = reps.selectExpr("node", "n", "sig")
     near = star.join(facts.selectExpr("node as x", "struct(n, sig) as a"), "x").join(facts.selectExpr("node as y", "struct(n, sig) as b"), "y").where(plan.near).selectExpr("x as a", "y as b")
-    first = materialise(confirm(materialise(near, "near"), docs, plan.similarity), "links")
-    labelled = materialise(members.select("key", "node", "slot").join(components(first), "node", "left").selectExpr("key", "slot", "node", "coalesce(comp, node) as comp"), "labelled")
+    first = temp.keep(confirm(temp.keep(near, "near"), reps, docs, plan.similarity, temp), "links")
+    known = components(first)
+    temp.tables.append(known)
+    labelled = temp.keep(members.select("key", "node", "slot").join(known, "node", "left").selectExpr("key", "slot", "node", "coalesce(comp, node) as comp"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = materialise(labelled.join(mixed, "key", "left_semi").join(facts, "node"), "rest")
-    bits = materialise(_of_texts(materialise(rest.select("node").distinct(), "nodes"), docs, "bits", bit_signature), "bits")
+    rest = temp.keep(labelled.join(mixed, "key", "left_semi").join(facts, "node"), "rest")
+    some = temp.keep(reps.select("node", "first_id", "mark").join(rest.select("node").distinct(), "node", "left_semi"), "nodes")
+    bits = temp.keep(_of_texts(some, docs, "bits", bit_signature).dropDuplicates(["node"]), "bits")
     rest = rest.join(bits, "node")
     pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.comp <> b.comp and {plan.near} and {plan.same_bits} and {plan.first}")).selectExpr("a.node as a", "b.node as b").distinct()
-    return first.union(confirm(materialise(pairs, "pairs"), docs, plan.similarity))
+    return first.union(confirm(temp.keep(pairs, "pairs"), reps, docs, plan.similarity, temp))
 
 
 def link_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each of docs (doc_id, text); texts of that Jaccard similarity (percent) or more are linked."""
-    plan = Plan(similarity)
-    sketched = materialise(sketch(docs, plan), "sketch")
-    classed = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    classed = materialise(classed, "classes")
-    some = sketched.alias("s").join(classed.alias("c"), F.expr("s.doc_id = c.node and s.d1 = c.d1 and s.d2 = c.d2")).selectExpr("c.node", "s.n_shingles as n", "s.sig").dropDuplicates(["node", "n"])
-    classes = materialise(some, "reps")
-    found = components(links(classes, docs, plan))
-    named = classed.join(found, "node", "left").selectExpr("d1", "d2", "coalesce(comp, node) as comp")
-    out = sketched.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    return out.selectExpr("doc_id", "n_shingles", "case when n_shingles = 0 or doc_id is null then doc_id else comp end as component_id").selectExpr("*", "component_id <=> doc_id as kept")
+    return _link(docs, similarity).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _link(docs: DataFrame, similarity: int) -> DataFrame:
+    """The columns of link_documents(), and for each row mark and first: whether it is the one to keep of its component (with rows equal to it)."""
+    plan, temp = Plan(similarity), Temporary()
+    docs = docs.select("doc_id", "text")
+    sketched = temp.keep(sketch(docs, plan), "sketch")
+    # of each class the smallest doc_id, and the mark of one text of it; written, so that the numbers stay
+    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark")).alias("x"))
+    classed = temp.keep(classes.select("d1", "d2", F.col("x.doc_id").alias("first_id"), F.col("x.mark").alias("mark")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    one = sketched.alias("s").join(classed.alias("c"), F.expr("s.doc_id = c.first_id and s.mark = c.mark and s.d1 = c.d1 and s.d2 = c.d2"))
+    reps = temp.keep(one.selectExpr("c.node", "c.first_id", "c.mark", "s.n_shingles as n", "s.sig").dropDuplicates(["node"]), "reps")
+    found = components(links(reps, docs, plan, temp))
+    temp.tables.append(found)
+    of = temp.keep(classed.join(found, "node", "left").selectExpr("d1", "d2", "first_id", "mark", "node", "coalesce(comp, node) as comp"), "of")
+    # the least (doc_id, mark) of each component of more than one class
+    least = of.join(found.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min(F.struct("first_id", "mark")).alias("x"))
+    named = of.join(least, "comp", "left").selectExpr("d1", "d2", "coalesce(x.first_id, first_id) as least_id", "coalesce(x.mark, mark) as least_mark")
+    rows = sketched.select("doc_id", "mark", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    alone = "n_shingles = 0 or doc_id is null"
+    out = rows.selectExpr("doc_id", "mark", "n_shingles", f"if({alone}, doc_id, least_id) as component_id", f"{alone} or (doc_id = least_id and mark = least_mark) as first")
+    out = materialise(out.withColumn("kept", F.expr("component_id <=> doc_id")), "linked")
+    temp.drop()
+    return out
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,9 +322,11 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; of equal rows one. Columns of docs. Rows without doc_id or words stay."""
-    kept = link_documents(docs.select("doc_id", "text"), similarity).where("kept and n_shingles > 0 and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where("doc_id is null or not coalesce(text, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns))
+    first = _link(docs, similarity).where("first and n_shingles > 0 and doc_id is not null").select("doc_id", "mark").distinct()
+    rows = with_row(docs, "doc_id", "text").selectExpr("row", "doc_id", f"{MARK} as mark")
+    named = rows.join(first, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+    rest = with_row(docs, "doc_id", "text").where("doc_id is null or not coalesce(text, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return named.select("row").union(rest.select("row")).select("row.*")
 
 
 ORACLE = r"""

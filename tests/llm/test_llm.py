@@ -566,6 +566,31 @@ def test_neardup(spark, odd):
     assert sorted(r.doc_id or 0 for r in neardup.keep_first(odd).collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_neardup_ids_and_columns(spark):
+    """Texts that share an id, ids of other types, columns of the operator's own names."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "p", 1, 5), (1, b, "q", 2, 6), (1, b, "q", 2, 6), (2, a.upper() + " ", "r", 3, 7), (3, b + " end", "s", 4, 8), (4, c, "t", 5, 9), (None, a, "u", 6, 1), (5, None, "v", 7, 2), (5, None, "v", 7, 2)]
+    names = "text string, row string, mark int, first int"
+    for kind, key in (("long", lambda i: i), ("string", lambda i: None if i is None else f"id{i}"), ("int", lambda i: i)):
+        d = spark.createDataFrame([(key(r[0]), *r[1:]) for r in rows], f"doc_id {kind}, {names}")
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.link_documents(d).collect()}
+        assert got == {(key(i), n, key(m), i == m) for i, n, m in ((1, 56, 1), (2, 56, 1), (3, 57, 1), (4, 56, 4), (None, 56, None), (5, 0, 5))}
+        left = sorted(((tuple(r)) for r in neardup.keep_first(d).collect()), key=str)
+        want = [(1, a, "p", 1, 5), (1, b, "q", 2, 6), (4, c, "t", 5, 9), (None, a, "u", 6, 1), (5, None, "v", 7, 2), (5, None, "v", 7, 2)]
+        assert left == sorted(((key(r[0]), *r[1:]) for r in want), key=str)
+        assert neardup.keep_first(d).columns == d.columns
+
+
+def test_neardup_leaves_one_table(spark):
+    import os
+
+    folder = neardup.materialise(spark.range(1), "x").stored_at.removeprefix("file://").rpartition("/")[0]
+    before = set(os.listdir(folder))
+    d = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "x y z")], "doc_id long, text string")
+    assert neardup.link_documents(d).count() == 3
+    assert [x.partition("-")[0] for x in set(os.listdir(folder)) - before] == ["linked"]
+
+
 def test_neardup_takes_the_similarity(spark):
     assert (lambda p: (p.chunks, p.per, p.distance, p.bit_distance))(neardup.Plan(85)) == (19, 7, 37, 158)
     words = [[f"{g}w{x}" for x in range(104)] for g in range(200)]  # 100 shingles; a word changed near the end costs k of them: (100 - k) / (100 + k)
