@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 # Fixed values, equal to the reference's for equal results.
 NEGATIONS = ("not", "no longer", "doesn't", "does not", "don't", "do not", "never", "isn't", "is not", "wasn't", "was not", "won't", "will not", "cannot", "can't", "neither", "nor", "without", "lacks", "stopped", "quit", "no more")
 DELETES = ("forget", "remove", "delete", "stop remembering", "clear my", "ignore that i said")
@@ -34,6 +36,25 @@ def array_of(words) -> str:
     return f"array({', '.join(map(lit, words))})"
 
 
+def fold(word: str) -> str:
+    """A word without diacritics."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def _composed() -> tuple[str, str]:
+    """Letters below U+2000 that are one plain letter with marks, and those letters; by Unicode's own decompositions."""
+    pairs = [(chr(c), d) for c in range(0xC0, 0x2000) if len(d := fold(chr(c))) == 1 and d != chr(c) and d.isalpha()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+COMPOSED = _composed()
+
+
+def unaccented(text: str) -> str:
+    """A word without diacritics, composed or combining; plain ASCII words are left alone."""
+    return f"if({text} rlike '^[ -~]*$', {text}, regexp_replace(translate({text}, '{COMPOSED[0]}', '{COMPOSED[1]}'), '\\\\p{{Mn}}+', ''))"
+
+
 def content_words(text: str) -> str:
     """Distinct lower-case words of two characters or more, from a letter on, without stopwords, in order."""
     return f"array_except(array_distinct(regexp_extract_all(lower(coalesce({text}, '')), '[a-z][a-z0-9_]+', 0)), {array_of(STOPWORDS)})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +11,35 @@ from pyspark.sql import functions as F
 from cardloom.operators.search import similar_pairs
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can write: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    import tempfile
+_own: list[str] = []
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where all executors can write: spark.checkpoint.dir; where it is unset and all runs in one process, a folder of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else "file://" + tempfile.gettempdir() + "/cardloom-core"
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="cards-"))
+    return _own[0]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written and read again: loops get no long lineage, and lost executors nothing to recompute."""
     path = f"{shared_folder(df.sparkSession)}/cardloom/core-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by stored() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def semantic_edges(cards: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -75,8 +92,10 @@ def components(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:
     while True:
         near = both.join(labels.selectExpr("id as b", "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("m"))
         step = labels.join(near, "id").selectExpr("id", "cluster as old", "least(cluster, m) as cluster")
-        labels = stored(step.join(labels.selectExpr("id as cluster", "cluster as up"), "cluster").selectExpr("id", "least(cluster, up) as cluster", "least(cluster, up) < old as moved"))
+        before, labels = labels, stored(step.join(labels.selectExpr("id as cluster", "cluster as up"), "cluster").selectExpr("id", "least(cluster, up) as cluster", "least(cluster, up) < old as moved"))
+        dropped(before)
         if labels.where("moved").isEmpty():
+            dropped(both)
             return labels.select("id", "cluster")
 
 

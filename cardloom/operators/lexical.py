@@ -2,33 +2,83 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
 from cardloom.functions import text as X
+from cardloom.operators import graph
 
 K1, B = 1.2, 0.75
 RRF = 60
 
 
+def _words(text: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({text}, '')), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"
+
+
 def postings(cards: DataFrame, text: str = "fact") -> DataFrame:
-    """(id, term, tf, len)."""
-    words = cards.select("id", F.expr(f"regexp_extract_all(lower(coalesce({text}, '')), '[\\\\p{{L}}\\\\p{{N}}]+', 0)").alias("ws")).withColumn("len", F.size("ws"))
-    return words.select("id", "len", F.explode("ws").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
-def bm25(cards: DataFrame, query: str, n: int = 30, prefix: bool = False, text: str = "fact") -> DataFrame:
-    """(id, score): the n best cards, higher is better. With prefix=True each word stands for all terms that begin with it, as one."""
-    words = list(dict.fromkeys(w for w in query.lower().split() if w))
-    docs = cards.select("id", F.expr(f"regexp_extract_all(lower(coalesce({text}, '')), '[\\\\p{{L}}\\\\p{{N}}]+', 0)").alias("ws")).withColumn("len", F.size("ws"))
-    stats = docs.agg(F.struct(F.count("*").alias("nd"), F.avg("len").alias("al")).alias("st"))
-    match = "startswith(w, q)" if prefix else "w = q"
-    hit = docs.select("id", "len", F.explode(F.array(*map(F.lit, words))).alias("q"), "ws").withColumn("f", F.expr(f"size(filter(ws, w -> {match}))")).where("f > 0").select("id", "len", "q", "f") if words else docs.selectExpr("id", "len", "'' as q", "0 as f").limit(0)
+    """(term, base, id, tf, len, scope): terms as they are written and without diacritics; len: the card's words; scope: null if cards have none."""
+    scope = F.col("scope") if "scope" in cards.columns else F.lit(None).cast("string")
+    words = cards.select("id", scope.alias("scope"), F.expr(_words(text)).alias("ws")).withColumn("len", F.size("ws"))
+    counted = words.select("id", "scope", "len", F.explode("ws").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.first("scope").alias("scope"))
+    return counted.withColumn("base", F.expr(X.unaccented("term")))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings sorted by term, so that a query reads the row groups of its words only, and one row of statistics (nd cards, al words a card)."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def build_index(cards: DataFrame, text: str = "fact") -> Index:
+    """The texts are split into words once; frequent terms are spread over ranges by id."""
+    p = graph.stored(postings(cards, text).repartitionByRange(F.col("base"), F.col("id")).sortWithinPartitions("base", "id"))
+    stats = graph.stored(cards.agg(F.count("*").alias("nd")).withColumn("al", p.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("n")).scalar() / F.greatest("nd", F.lit(1))))
+    return Index(p, stats)
+
+
+_indexes: dict[tuple[str, str, str], Index] = {}
+
+
+def index_of(cards: DataFrame, label: str, text: str = "fact") -> Index:
+    """The index of cards, built at the first call of a session and again when their files have changed (by path, size or time). label tells views of the same files apart."""
+    spark = cards.sparkSession
+    jvm, conf, seen = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for f in sorted(cards.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    key = (spark.sparkContext.applicationId, label, hashlib.sha256("\n".join(seen).encode()).hexdigest())
+    if key not in _indexes:
+        _indexes[key] = build_index(cards, text)
+    return _indexes[key]
+
+
+def bm25(cards: DataFrame | Index, query: str | list[str], n: int = 30, prefix: bool = False, text: str = "fact", folded: bool = False, scope: str | None = None) -> DataFrame:
+    """(id, score): the n best cards, higher is better. With prefix=True each word stands for all terms that begin with it, as one.
+
+    query: a text, split by blanks, or a list of words. With folded=True diacritics don't count. Statistics are those of all
+    cards, whatever the scope. Cards may be an Index, else one is made for this query.
+    """
+    index = cards if isinstance(cards, Index) else build_index(cards, text)
+    words = list(dict.fromkeys(w for w in (query.lower().split() if isinstance(query, str) else query) if w))
+    term = "base" if folded else "term"
+    # on the sorted column too, so that row groups are skipped; folding a word folds its prefixes
+    near = " or ".join(f"startswith(base, {X.lit(X.fold(w))})" if prefix else f"base = {X.lit(X.fold(w))}" for w in words) or "false"
+    match = f"filter({X.array_of(words)}, q -> {f'startswith({term}, q)' if prefix else f'{term} = q'})" if words else "cast(array() as array<string>)"
+    some = index.postings.where(near).select("id", "tf", "len", "scope", F.explode(F.expr(match)).alias("q"))
+    hit = some.groupBy("q", "id").agg(F.sum("tf").alias("f"), F.first("len").alias("len"), F.first("scope").alias("scope"))
     df = hit.groupBy("q").agg(F.count("*").alias("df"))  # as many rows as words
     idf = "case when ln((st.nd - df + 0.5D) / (df + 0.5D)) <= 0 then 0.000001D else ln((st.nd - df + 0.5D) / (df + 0.5D)) end"
-    scored = hit.join(F.broadcast(df), "q").withColumn("st", stats.scalar()).withColumn("s", F.expr(f"{idf} * f * {K1 + 1}D / (f + {K1}D * (1 - {B}D + {B}D * len / st.al))"))
+    inside = hit if scope is None else hit.where(F.col("scope") == scope)
+    scored = inside.join(F.broadcast(df), "q").withColumn("st", index.stats.select(F.struct("nd", "al")).scalar()).withColumn("s", F.expr(f"{idf} * f * {K1 + 1}D / (f + {K1}D * (1 - {B}D + {B}D * len / st.al))"))
     return scored.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
@@ -47,11 +97,15 @@ def tf_cosine(cards: DataFrame, query: str, k: int = 10, text: str = "fact") ->
     return sums.where("d > 0").selectExpr("id", f"d / (n * {qn!r}D) as score").orderBy(F.desc("score"), "id").limit(k)
 
 
-def rrf(vec: DataFrame, lex: DataFrame, boosts: DataFrame | None = None, alpha: float = 0.7, k: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (id, score), each of bounded length; boosts only for ids in one of them."""
-    w = Window.orderBy(F.desc("score"), "id")
-    a = vec.select("id", F.row_number().over(w).alias("rv"))
-    b = lex.select("id", F.row_number().over(w).alias("rb"))
+def ranked(hits: DataFrame, depth: int, name: str) -> DataFrame:
+    """(id, name): the positions, from 1, of the `depth` best of hits (id, score, and timestamp for ties if there is one). The window sees no more rows than that."""
+    order = [F.desc("score"), *(["timestamp"] if "timestamp" in hits.columns else []), F.col("id")]
+    return hits.orderBy(*order).limit(depth).select("id", F.row_number().over(Window.orderBy(*order)).alias(name))
+
+
+def rrf(vec: DataFrame, lex: DataFrame, boosts: DataFrame | None = None, alpha: float = 0.7, k: int = 10, depth: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of the `depth` best of two ranked lists (id, score); boosts only for ids in one of them."""
+    a, b = ranked(vec, depth, "rv"), ranked(lex, depth, "rb")
     both = a.join(b, "id", "full_outer")
     if boosts is not None:
         both = both.join(boosts.select("id", "boost"), "id", "left")
@@ -67,9 +121,11 @@ def graph_boost(lex: DataFrame, edges: DataFrame) -> DataFrame:
     return n.selectExpr("target_id as id", "0.5D / (1 + 0.001D * (n - 1) * (n - 1)) as boost")
 
 
-def two_pass(cards: DataFrame, vectors: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """BM25 candidates (50), re-ranked by 0.3 * min-max BM25 + 0.7 * cosine; vectors: (id, cos)."""
-    lex = bm25(cards, query, 50)
+def two_pass(cards: DataFrame | Index, vectors: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """BM25 candidates (50), re-ranked by 0.3 * min-max BM25 + 0.7 * cosine; vectors: (id, cos). With fewer candidates than k: the k best by cosine."""
+    lex = graph.stored(bm25(cards, query, 50))
+    if lex.count() < k:
+        return vectors.selectExpr("id", "cos as score").orderBy(F.desc("score"), "id").limit(k)
     span = lex.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi")).alias("r"))
     both = lex.join(vectors, "id").withColumn("r", span.scalar())
     return both.selectExpr("id", "0.3D * if(r.hi = r.lo, 1D, (score - r.lo) / (r.hi - r.lo)) + 0.7D * cos as score").orderBy(F.desc("score"), "id").limit(k)
@@ -79,6 +135,7 @@ def lexical_boost(hits: DataFrame, query: str) -> DataFrame:
     """hits (id, fact, score) plus boosted score and n_match: verbatim numbers, identifiers and words of the query in the fact."""
     import re
 
+    # Fixed values, equal to the reference's for equal results: token patterns, weights and caps.
     tokens = re.findall(r"[A-Za-z][A-Za-z\-]*|\d+(?:\.\d+)?", query)
     nums = sorted({t for t in tokens if re.fullmatch(r"\d+(?:\.\d+)?", t)})
     ids = {t for t in tokens if t not in nums and re.fullmatch(r"(?:[A-Z][A-Z0-9]{1,}|[A-Za-z0-9]+(?:[-_.][A-Za-z0-9]+)+)", t)}

@@ -6,18 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def nocase(col) -> F.Column:
+    """A-Z as a-z, nothing else: case doesn't count for ASCII letters only."""
+    return F.translate(col, UPPER, LOWER)
+
+
+def _lowered(value: str) -> F.Column:
+    return F.lit(value.translate(str.maketrans(UPPER, LOWER)))
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     return df.orderBy("timestamp", "id")
 
 
 def exact(cards: DataFrame, value: str) -> DataFrame:
     """Facts equal to value, but for ASCII case."""
-    return cards.where(F.lower("fact") == F.lit(value.lower()))
+    return cards.where(nocase("fact") == _lowered(value))
 
 
 def substring(cards: DataFrame, value: str, field: str = "fact") -> DataFrame:
-    """Facts (or evidence) that contain value, whatever the case; % and _ are ordinary characters."""
-    return cards.where(F.contains(F.lower(field), F.lit(value.lower())))
+    """Facts (or evidence) that contain value, whatever the case of ASCII letters; % and _ are ordinary characters."""
+    return cards.where(F.contains(nocase(field), _lowered(value)))
 
 
 def by_tag(cards: DataFrame, tag: str) -> DataFrame:
@@ -33,7 +45,7 @@ def lookup(cards: DataFrame, field: str, value: str) -> DataFrame:
     if field != "fact":
         raise ValueError(f"no lookup by {field}")
     # one pass: substrings count only where there is no exact match at all
-    found = substring(cards, value).withColumn("_exact", F.lower("fact") == F.lit(value.lower()))
+    found = substring(cards, value).withColumn("_exact", nocase("fact") == _lowered(value))
     any_exact = found.agg(F.coalesce(F.bool_or("_exact"), F.lit(False)).alias("_any"))
     return _ordered(found.where(F.col("_exact") == any_exact.scalar()).drop("_exact"))
 

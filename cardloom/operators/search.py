@@ -63,7 +63,11 @@ def batch_topk(cards: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
                 for i, e in enumerate(b["embedding"]):
                     m[i, : min(len(e), width)] = e[:width]
                 cos = (q @ m.T).clip(0, 1)
-                part = pd.DataFrame({"query_id": np.repeat(ids, len(b)), "id": np.tile(b["id"].to_numpy(), len(ids)), "cos": cos.ravel()})
+                if len(b) > k:  # what is at least as near as the k-th of this batch
+                    at, row = np.nonzero(cos >= np.partition(cos, len(b) - k, axis=1)[:, [len(b) - k]])
+                else:
+                    at, row = np.repeat(np.arange(len(ids)), len(b)), np.tile(np.arange(len(b)), len(ids))
+                part = pd.DataFrame({"query_id": np.array(ids)[at], "id": b["id"].to_numpy()[row], "cos": cos[at, row]})
                 kept = part if kept is None else pd.concat([kept, part])
                 kept = kept.sort_values(["query_id", "cos", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
             if kept is not None:
@@ -77,13 +81,22 @@ def batch_topk(cards: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def quantised(query: list[float]) -> tuple[list[int], float]:
+    """8-bit values and scale of one vector: half to even, within -128..127; zeros for a zero vector."""
+    q = np.array(query, np.float64)
+    scale = float(np.abs(q).max(initial=0.0)) / 127
+    return (np.clip(np.rint(q / scale), -128, 127).astype(int).tolist() if scale else [0] * len(q)), scale
+
+
 def int8_search(cards: DataFrame, query: list[float], k: int = 5) -> DataFrame:
-    """Cosine of 8-bit quantised vectors: integer dot product over the norms of the quantised vectors."""
-    q = cards.withColumns({"qa": F.expr(S.sq8("embedding")), "qb": F.expr(S.sq8(_vector(query)))})
-    idot = "aggregate(zip_with(qa, qb, (x, y) -> cast(x as bigint) * cast(y as bigint)), 0L, (s, v) -> s + v)"
-    inorm = "sqrt(cast(aggregate({0}, 0L, (s, x) -> s + cast(x as bigint) * cast(x as bigint)) as double))"
-    score = f"coalesce(try_divide(cast({idot} as double), {inorm.format('qa')} * {inorm.format('qb')}), 0D)"
-    return q.withColumn("score", F.expr(score)).drop("qa", "qb").orderBy(F.desc("score"), "id").limit(k)
+    """Cosine of 8-bit quantised vectors: integer dot product over the norms of the quantised vectors. The query is quantised once, here."""
+    b, _ = quantised(query)
+    lit = f"array({', '.join(f'{x}L' for x in b)})" if b else "cast(array() as array<bigint>)"
+    norm = float(np.sqrt(np.square(np.array(b, np.float64)).sum()))
+    q = cards.withColumn("qa", F.expr(S.sq8("embedding")))
+    idot = f"aggregate(zip_with(qa, {lit}, (x, y) -> cast(x as bigint) * y), 0L, (s, v) -> s + v)"
+    inorm = "sqrt(cast(aggregate(qa, 0L, (s, x) -> s + cast(x as bigint) * cast(x as bigint)) as double))"
+    return q.withColumn("score", F.expr(f"coalesce(try_divide(cast({idot} as double), {inorm} * {norm!r}D), 0D)")).drop("qa").orderBy(F.desc("score"), "id").limit(k)
 
 
 def binary_rerank(cards: DataFrame, query: list[float], k: int = 5, pool: int = 10) -> DataFrame:
@@ -98,9 +111,11 @@ def truncated_search(cards: DataFrame, query: list[float], dims: int, k: int = 5
     return cards.withColumn("score", F.expr(S.dot(S.truncate("embedding", dims), S.truncate(_vector(query), dims)))).orderBy(F.desc("score"), "id").limit(k)
 
 
-def auto_search(cards: DataFrame, query: list[float], k: int = 5, small: int = 2000) -> DataFrame:
-    """8-bit search on small stores, exact search else."""
-    return int8_search(cards, query, k) if cards.limit(small + 1).count() <= small else vector_search(cards, query, k, alpha=1.0)
+def auto_search(cards: DataFrame, query: list[float], k: int = 5, small: int = 2000, large: int = 3000, latched: str = "int8") -> DataFrame:
+    """8-bit search on stores of up to `small` cards, exact search on those of over `large`; between, the path taken last (latched)."""
+    n = cards.limit(large + 1).count()
+    path = "int8" if n <= small else "float" if n > large else latched
+    return int8_search(cards, query, k) if path == "int8" else vector_search(cards, query, k, alpha=1.0)
 
 
 def similar_pairs(cards: DataFrame, threshold: float, block_rows: int = 2000) -> DataFrame:

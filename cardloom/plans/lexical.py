@@ -58,14 +58,19 @@ def batch_get(spark, d):
     return lookup.get_many(cards_vec(spark, d), ["v000003", "v000005", "v000017"]).select("id", "vec_id")
 
 
+def _index(spark, d):
+    """The postings of all documents, kept for the session."""
+    return lexical.index_of(cards_doc(spark, d), "documents")
+
+
 @query("bm25_topk", f"with {bm25_sql('w = q', 20)} select id, round(score, 6) as score from lex")
 def bm25_topk(spark, d):
-    return lexical.bm25(cards_doc(spark, d), WORDS, 20).select("id", F.round("score", 6).alias("score"))
+    return lexical.bm25(_index(spark, d), WORDS, 20).select("id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_prefix_topk", f"with {bm25_sql('starts_with(w, q)', 20)} select id, round(score, 6) as score from lex")
 def bm25_prefix_topk(spark, d):
-    return lexical.bm25(cards_doc(spark, d), WORDS, 20, prefix=True).select("id", F.round("score", 6).alias("score"))
+    return lexical.bm25(_index(spark, d), WORDS, 20, prefix=True).select("id", F.round("score", 6).alias("score"))
 
 
 @query("tf_cosine_topk", "with t as (select 'd' || lpad(cast(doc_id as varchar), 6, '0') as id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as term from documents), f as (select id, term, count(*) as tf from t group by 1, 2), s as (select id, sum(case when term = 'the' then 2 * tf when term = 'with' then tf else 0 end) as d, sqrt(sum(tf * tf)) as n from f group by id) select id, round(d / (n * sqrt(5)), 6) as score from s where d > 0 order by d / (n * sqrt(5)) desc, id limit 20")
@@ -87,7 +92,7 @@ EDGES = "edges as (select 'd' || lpad(cast(doc_id as varchar), 6, '0') as source
 
 @query("two_pass_topk", f"with {bm25_sql('w = q', 50)}, {VEC}, sp as (select min(score) as lo, max(score) as hi from lex) select id, round(0.3 * case when hi = lo then 1 else (score - lo) / (hi - lo) end + 0.7 * cos, 6) as score from lex join vec using (id), sp order by 0.3 * case when hi = lo then 1 else (score - lo) / (hi - lo) end + 0.7 * cos desc, id limit 10")
 def two_pass_topk(spark, d):
-    return lexical.two_pass(cards_doc(spark, d), _vectors(spark, d), WORDS).select("id", F.round("score", 6).alias("score"))
+    return lexical.two_pass(_index(spark, d), _vectors(spark, d), WORDS).select("id", F.round("score", 6).alias("score"))
 
 
 def rrf_sql(boost: bool) -> str:
@@ -96,7 +101,7 @@ def rrf_sql(boost: bool) -> str:
 
 
 def _hybrid(spark, d, boost):
-    lex = lexical.bm25(cards_doc(spark, d), WORDS, 30)
+    lex = lexical.bm25(_index(spark, d), WORDS, 30)
     vec = _vectors(spark, d).selectExpr("id", "cos as score").orderBy(F.desc("score"), "id").limit(30)
     edges = cards_doc(spark, d).selectExpr("id as source_id", f"concat('d', {padded('(doc_id * 7) % 500')}) as target_id")
     return lexical.rrf(vec, lex, lexical.graph_boost(lex, edges) if boost else None, k=14).select("id", F.round("score", 4 if boost else 6).alias("score"))
