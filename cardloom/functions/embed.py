@@ -32,6 +32,45 @@ def hash_embed(text: pd.Series) -> pd.Series:
     return text.map(hash_vector)
 
 
+def signed_vector(text: str | None, dims: int = DIMS) -> np.ndarray:
+    """Words hashed with a sign (blake2b), and eight signature values of the whole text; of unit length, zero without words."""
+    out, words = np.zeros(dims), (text or "").lower().split()
+    if not words:
+        return out
+    for w in words:
+        h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+        out[int.from_bytes(h[:4], "little") % dims] += -1.0 if h[4] & 1 else 1.0
+    for i, b in enumerate(hashlib.blake2b(text.lower().encode(), digest_size=8).digest()[: min(8, dims)]):
+        out[(b * 7 + i) % dims] += b / 127.5 - 1.0
+    n = np.linalg.norm(out)
+    return out / n if n else out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def signed_embed(text: pd.Series) -> pd.Series:
+    return text.map(signed_vector)
+
+
+def trigram_vector(text: str | None, dims: int = DIMS) -> np.ndarray:
+    """Words and character trigrams (blanks collapsed, one at either end) counted in slots by SHA-256; of unit length. What has none gets eight values of its own hash."""
+    words = (text or "").lower().split()
+    line = " " + " ".join(words) + " "
+    out = np.zeros(dims)
+    for f in [*words, *(line[i : i + 3] for i in range(len(line) - 2))]:
+        out[int.from_bytes(hashlib.sha256(f.encode()).digest()[:4], "little") % dims] += 1.0
+    if not out.any():
+        out[0] = 1.0
+        for i, b in enumerate(hashlib.sha256((text or "").encode()).digest()[: min(8, dims)]):
+            out[i] += b % 7 - 3
+    n = np.linalg.norm(out)
+    return out / n if n else out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def trigram_embed(text: pd.Series) -> pd.Series:
+    return text.map(trigram_vector)
+
+
 def resolver(known: list[str], floor: float = 0.88):
     """A function of a column of names: the known entity that equals each but for case, else the most similar of ratio floor or more, else the name itself. `known` is a driver-side list."""
 

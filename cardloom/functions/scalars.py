@@ -16,6 +16,21 @@ def norm(a: str) -> str:
     return f"sqrt(aggregate({a}, 0D, (s, x) -> s + cast(x as double) * cast(x as double)))"
 
 
+def cosine(a: str, b: str) -> str:
+    """Cosine over the common prefix; 0 if either side is zero."""
+    return f"coalesce(try_divide({dot(a, b)}, {norm(a)} * {norm(b)}), 0D)"
+
+
+def dequantise(a: str, scale: str) -> str:
+    """8-bit values back to doubles."""
+    return f"transform({a}, x -> cast(x as double) * {scale})"
+
+
+def int_dot(a: str, b: str) -> str:
+    """Integer dot product of two 8-bit vectors."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as bigint) * cast(y as bigint)), 0L, (s, v) -> s + v)"
+
+
 def normalise(a: str) -> str:
     """Unit length; a zero vector stays as it is."""
     return f"transform(array({norm(a)}), n -> if(n = 0, transform({a}, x -> cast(x as double)), transform({a}, x -> cast(x as double) / n)))[0]"
@@ -114,3 +129,32 @@ def merge_evidence(parts: str, most: int = 3) -> str:
 def merge_facts(facts: str) -> str:
     joined = f"array_join({facts}, '; ')"
     return f"if(char_length({joined}) > 200, concat(left({joined}, 197), '...'), {joined})"
+
+
+def age_days(ts: str, now: str) -> str:
+    """Days since ts with one decimal; 0 for times to come."""
+    return f"round(greatest(0D, {now} - {ts}) / 86400D, 1)"
+
+
+def iso(ts: str) -> str:
+    """A time in seconds as ISO 8601 in UTC."""
+    return f"date_format(timestamp_seconds({ts}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+
+
+def truncated(text: str, n: int) -> str:
+    return f"left({text}, {n})"
+
+
+def human_size(n: str) -> str:
+    """Bytes as B, KB, MB, GB, TB or PB with two significant figures; 0 B for null and negative numbers."""
+    unit = f"least(5, cast(floor(log(1024, greatest(1D, {n}))) as int))"
+    value = f"({n} / pow(1024D, u))"
+    figures = f"case when {value} >= 100 then format_string('%.1e', {value}) when {value} >= 10 then cast(cast(rint({value}) as int) as string) else regexp_replace(format_string('%.1f', rint({value} * 10) / 10), '[.]0$', '') end"
+    # 100 and more have an exponent as in 1.0e+02
+    return f"case when coalesce({n}, -1) < 0 then '0 B' when {n} < 1024 then concat(cast({n} as bigint), ' B') else transform(array({unit}), u -> concat({figures}, ' ', element_at(array('KB', 'MB', 'GB', 'TB', 'PB'), u)))[0] end"
+
+
+def bar(part: str, width: int = 20) -> str:
+    """A share from 0 to 1 as a bar."""
+    full = f"cast(rint({width} * greatest(0D, least(1D, {part}))) as int)"
+    return f"concat(repeat('#', {full}), repeat('.', {width} - {full}))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 # Fixed values, equal to the reference's for equal results.
@@ -55,6 +56,11 @@ def unaccented(text: str) -> str:
     return f"if({text} rlike '^[ -~]*$', {text}, regexp_replace(translate({text}, '{COMPOSED[0]}', '{COMPOSED[1]}'), '\\\\p{{Mn}}+', ''))"
 
 
+def words_of(query: str) -> list[str]:
+    """content_words() of a text on the driver."""
+    return [w for w in dict.fromkeys(re.findall(r"[a-z][a-z0-9_]+", query.lower())) if w not in STOPWORDS]
+
+
 def content_words(text: str) -> str:
     """Distinct lower-case words of two characters or more, from a letter on, without stopwords, in order."""
     return f"array_except(array_distinct(regexp_extract_all(lower(coalesce({text}, '')), '[a-z][a-z0-9_]+', 0)), {array_of(STOPWORDS)})"
@@ -111,3 +117,38 @@ def fact(text: str) -> str:
 
 def structured(text: str) -> str:
     return "(" + " or ".join(f"{text} rlike {lit('(?i)' + p)}" for p in STRUCTURED) + ")"
+
+
+# Fixed values, equal to the reference's for equal results: words between a trigger phrase and what it points at.
+BETWEEN = "that i to my the a an of and or said told use using prefer name is was me you we they he she it for in on at so now no longer".split()
+AFTER = {"i no longer": ("use", "like", "prefer", "remember", "need"), "clear my": ("memory", "memories", "history"), "ignore that i said": ("that", "i", "said")}
+FACTUAL = r"(?i)\b(?:is|are|am|like|love|prefer|use|live|work|named|called)\b"
+
+
+def slug(text: str) -> str:
+    """A stable id of a phrase: lower case, blanks as _, 64 characters of a-z, 0-9, _, - and . at most; null if nothing is left."""
+    clean = f"regexp_replace(regexp_replace(lower(trim({text})), '\\\\s+', '_'), '[^a-z0-9_.-]', '')"
+    return f"nullif(left({clean}, 64), '')"
+
+
+def target_id(text: str, phrases) -> str:
+    """What an update or deletion points at: a quoted phrase, else up to three words after the longest trigger phrase that has any."""
+    quoted = f"get(filter(transform(regexp_extract_all({text}, {lit(chr(34) + '([^' + chr(34) + ']+)' + chr(34) + '|' + chr(39) + '([^' + chr(39) + ']+)' + chr(39))}, 0), q -> trim(substring(q, 2, length(q) - 2))), q -> q <> ''), 0)"
+    tries = []
+    for p in sorted(phrases, key=len, reverse=True):
+        skip = array_of([*BETWEEN, *AFTER.get(p, ())])
+        tail = f"regexp_extract_all(substring({text}, locate({lit(p)}, lower({text})) + {len(p)}), '[A-Za-z0-9][\\\\w.-]*', 0)"
+        # from the first word that isn't skipped on, up to the next word that joins, three at most
+        start = f"coalesce(array_position(transform(ws, w -> not array_contains({skip}, lower(w))), true), 0)"
+        rest = "slice(ws, cast(at as int), 3)"
+        stop = f"array_position(transform(rs, (w, i) -> i > 0 and array_contains({array_of(BETWEEN)}, lower(w))), true)"
+        named = f"transform(array({tail}), ws -> transform(array({start}), at -> if(at = 0, null, transform(array({rest}), rs -> array_join(if({stop} > 0, slice(rs, 1, cast({stop} - 1 as int)), rs), ' '))[0]))[0])[0]"
+        tries.append(f"if(locate({lit(p)}, lower({text})) > 0, {named}, null)")
+    return slug(f"coalesce({', '.join([quoted, *tries])})")
+
+
+def evidence(text: str) -> str:
+    """The text itself up to 120 characters; of a longer one the clauses up to the first with a factual verb."""
+    clauses = f"split(trim({text}), '\\\\s*,\\\\s*|\\\\s+and\\\\s+', -1)"
+    upto = f"array_position(transform(cs, c -> c rlike {lit(FACTUAL)}), true)"
+    return f"case when coalesce(trim({text}), '') = '' then '' when char_length(trim({text})) <= 120 then trim({text}) else transform(array({clauses}), cs -> if({upto} > 0, array_join(slice(cs, 1, cast({upto} as int)), ', '), trim({text})))[0] end"

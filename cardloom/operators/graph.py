@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.functions import scalars as S
 from cardloom.operators.search import similar_pairs
+from cardloom.sources.cards import live
 
 
 _own: list[str] = []
@@ -116,6 +118,35 @@ def multi_hop(edges: DataFrame, start: list[str], hops: int = 2, min_weight: flo
     return seen.where("hop > 0")
 
 
+def within(edges: DataFrame, start: DataFrame, hops: int = 2, min_weight: float = 0.0) -> DataFrame:
+    """(id): the nodes of start (id) and all within so many undirected steps of any of them."""
+    e = edges.where(F.col("weight") >= min_weight) if "weight" in edges.columns else edges
+    both = e.selectExpr("source_id as a", "target_id as b").union(e.selectExpr("target_id", "source_id"))
+    seen = start.select("id").distinct()
+    for _ in range(hops):
+        seen = seen.union(both.join(seen.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))).distinct()
+    return seen
+
+
+def auto_link(card: DataFrame, cards: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Edges from new cards to others: semantic over the threshold; by shared tags only where there is no semantic one. One pass over cards for all new ones."""
+    new = F.broadcast(card.selectExpr("id as source_id", "embedding as e0", "coalesce(tags, cast(array() as array<string>)) as t0"))
+    pairs = cards.selectExpr("id as target_id", "embedding as e1", "coalesce(tags, cast(array() as array<string>)) as t1").join(new, F.expr("source_id <> target_id"))
+    seen = pairs.withColumns({"cos": F.expr(f"if(e0 is null or e1 is null, 0D, {S.cosine('e0', 'e1')})"), "jac": F.expr(S.jaccard("t0", "t1"))})
+    kinds = f"case when cos > {threshold}D then struct('semantic' as relation_type, least(1D, greatest(0D, cos)) as weight) when jac > 0 then struct('shared_tag' as relation_type, jac as weight) end"
+    return seen.withColumn("x", F.expr(kinds)).where("x is not null").select("source_id", "target_id", "x.relation_type", "x.weight")
+
+
+def bulk_link(cards: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """All edges among cards, of both kinds independently, from the lower id to the higher."""
+    return semantic_edges(cards, threshold).unionByName(shared_tag_edges(cards))
+
+
+def rebuild(cards: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """The whole graph anew, from live cards only."""
+    return bulk_link(live(cards), threshold)
+
+
 def cooccurrence(rows: DataFrame, entities: list[str]) -> DataFrame:
     """(id, subject, predicate, object): unordered pairs of entities that both occur in a text."""
     names = sorted(set(entities))

@@ -149,15 +149,17 @@ def lexical_boost(hits: DataFrame, query: str) -> DataFrame:
     return out.withColumns({"boosted": F.expr(f"least(1D, score + {total})"), "n_match": F.expr("n_num + n_id + n_word")}).drop("n_num", "n_id", "n_word")
 
 
-def with_budget(hits: DataFrame, budget: int) -> DataFrame:
-    """The hits (query_id, id, score, cost) of each query that a token budget admits, best first.
+def with_budget(hits: DataFrame, budget: int, ties: list[str] | None = None) -> DataFrame:
+    """The hits (query_id, id, score, cost) of each query that a token budget admits, best first; ties: columns that break ties of score, larger first, before the id.
 
     Taken while they fit; a weak hit (score under .35) whose value per token is under a quarter of the mean so far ends it.
     A query has few hits (they come from a top-k), so each query is one group.
     """
+    cols = ["query_id", "id", "score", "cost"]
+    by = ["score", *(ties or []), "id"]
 
     def take(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["score"] > 0].sort_values(["score", "id"], ascending=[False, True])
+        g = g[g["score"] > 0].sort_values(by, ascending=[False] * (len(by) - 1) + [True])
         kept, value, used = [], 0.0, 0
         for i, score, cost in zip(g.index, g["score"], g["cost"], strict=True):
             if cost > 0:
@@ -166,9 +168,9 @@ def with_budget(hits: DataFrame, budget: int) -> DataFrame:
                 used += cost
             kept.append(i)
             value += score
-        return g.loc[kept, ["query_id", "id", "score", "cost"]]
+        return g.loc[kept, cols]
 
-    return hits.select("query_id", "id", "score", "cost").groupBy("query_id").applyInPandas(take, hits.select("query_id", "id", "score", "cost").schema)
+    return hits.select(*cols, *(ties or [])).groupBy("query_id").applyInPandas(take, hits.select(*cols).schema)
 
 
 def token_cost(cards: DataFrame) -> DataFrame:

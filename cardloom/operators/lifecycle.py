@@ -35,16 +35,40 @@ def rollback(log: DataFrame, to: str = "latest") -> DataFrame:
     return v.where("version = newest" if to == "latest" else "version = newest - 1").drop("newest")
 
 
+def unexpired_column(cards: DataFrame, now: float) -> DataFrame:
+    """Cards without an expiration, or before it."""
+    return cards.where(F.col("expiration").isNull() | (F.col("expiration") > F.lit(now)))
+
+
 def unexpired(cards: DataFrame, now: float) -> DataFrame:
     """Cards without a ttl tag, or within it."""
     return cards.where(f"coalesce(timestamp + {S.ttl_seconds('tags')} >= {now!r}D, true)")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, change): added, deleted, modified or superseded rows."""
-    a = old.select(F.col(key).alias("k"), F.struct(*fields).alias("x"))
-    b = new.select(F.col(key).alias("k"), F.struct(*fields).alias("y"))
-    return a.join(b, "k", "full_outer").selectExpr(f"k as {key}", "case when x is null then 'added' when y is null then 'deleted' when x <=> y then null else 'modified' end as change").where("change is not null")
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str], since: float | None = None) -> DataFrame:
+    """(key, change): added, deleted, modified or superseded rows, of both sides only those from `since` on.
+
+    Where the tables have superseded_by, only rows without it are active: one that got it is superseded, and the row it
+    points at isn't added; one that is gone altogether is deleted. Without the column all rows are active.
+    """
+    if since is not None:
+        old, new = old.where(F.col("timestamp") >= since), new.where(F.col("timestamp") >= since)
+    dead = lambda t: F.col("superseded_by") if "superseded_by" in t.columns else F.lit(None).cast("string")
+    a = old.where(dead(old).isNull()).select(F.col(key).alias("k"), F.struct(*fields).alias("x"))
+    b = new.select(F.col(key).alias("k"), F.struct(*fields).alias("y"), dead(new).alias("into"))
+    both = a.join(b, "k", "full_outer")
+    out = both.selectExpr("k", "case when x is null and into is null then 'added' when x is null then null when y is null then 'deleted' when into is not null then 'superseded' when x <=> y then null else 'modified' end as change").where("change is not null")
+    if "superseded_by" in new.columns:
+        targets = b.where("into is not null").join(a.select("k"), "k", "left_semi").select(F.col("into").alias("k"), F.lit(True).alias("target")).distinct()
+        out = out.join(targets, out["k"].cast("string") == targets["k"], "left").where("not (change = 'added' and coalesce(target, false))").select(out["k"], "change")
+    return out.withColumnRenamed("k", key)
+
+
+def superseded_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, superseded_by, old_fact, new_fact) of rows that were active in old and point at another one in new; a target that is missing has an empty fact."""
+    was = old.where("superseded_by is null").select("id", F.col("fact").alias("old_fact"))
+    now = new.where("superseded_by is not null").select("id", "superseded_by").join(was, "id")
+    return now.join(new.select(F.col("id").alias("superseded_by"), F.col("fact").alias("new_fact")), "superseded_by", "left").selectExpr("id", "superseded_by", "old_fact", "coalesce(new_fact, '') as new_fact")
 
 
 def dangling(cards: DataFrame) -> DataFrame:
@@ -56,7 +80,8 @@ def new_only(incoming: DataFrame, cards: DataFrame) -> DataFrame:
     """Incoming cards whose fingerprint is not yet in their scope; of equal incoming ones the first."""
     f = F.expr(S.fingerprint("fact", "tags"))
     have = cards.select(f.alias("fp"), "scope")
-    first = incoming.withColumn("fp", f).withColumn("rn", F.row_number().over(Window.partitionBy("fp", "scope").orderBy("timestamp", "id"))).where("rn = 1").drop("rn")
+    rest = [c for c in incoming.columns if c != "scope"]
+    first = incoming.withColumn("fp", f).groupBy("fp", "scope").agg(F.min_by(F.struct(*rest), F.struct("timestamp", "id")).alias("x")).select("fp", "scope", "x.*")
     return first.join(have, ["fp", "scope"], "left_anti")
 
 

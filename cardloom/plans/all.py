@@ -1,3 +1,3 @@
 """Importing this module registers all queries."""
 
-from cardloom.plans import lexical, store, vectors  # noqa: F401
+from cardloom.plans import lexical, more, store, vectors  # noqa: F401

@@ -63,13 +63,43 @@ def pack_float32(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
+@F.pandas_udf(T.BinaryType())
+def pack_int8(values: pd.Series) -> pd.Series:
+    """8-bit values to bytes."""
+    return values.map(lambda v: None if v is None else np.asarray(v, "i1").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.ByteType()))
+def unpack_int8(blob: pd.Series) -> pd.Series:
+    return blob.map(lambda b: None if b is None else np.frombuffer(b, "i1"))
+
+
+def import_counts(old: DataFrame, cards: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row for an import of cards into old: imported, updated (of these, ids that were there), skipped lines."""
+    there = cards.select("id").distinct().join(old.select("id", F.lit(1).alias("was")).distinct(), "id", "left")
+    return there.agg(F.count("*").alias("imported"), F.count("was").alias("updated")).withColumn("skipped", skipped.scalar())
+
+
 def parse_tags(col: str) -> str:
     """SQL: a JSON list of tags; anything else is an empty list."""
     return f"coalesce(from_json({col}, 'array<string>'), cast(array() as array<string>))"
 
 
 def compact(current: DataFrame, path: str, version: int) -> str:
-    """Write a snapshot of the current view to a directory of its own; its name is what a pointer file should name."""
+    """Write a snapshot of the current view to a directory of its own, then the pointer file that names it: readers see the old snapshot or the new one."""
     target = f"{path}/snapshot_v={version:08d}"
     current.write.mode("errorifexists").parquet(target)
+    spark = current.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    # names sort by version, and a pointer is complete or not there: the newest one counts
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current_{version:08d}")
+    pointer.getFileSystem(conf).create(pointer, False).close()
     return target
+
+
+def current_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot that the newest pointer file names."""
+    jvm, folder = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    version = max(n.removeprefix("_current_") for n in names if n.startswith("_current_"))
+    return spark.read.parquet(f"{path}/snapshot_v={version}")
