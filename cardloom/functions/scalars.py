@@ -149,8 +149,8 @@ def human_size(n: str) -> str:
     """Bytes as B, KB, MB, GB, TB or PB with two significant figures; 0 B for null and negative numbers."""
     unit = f"least(5, cast(floor(log(1024, greatest(1D, {n}))) as int))"
     value = f"({n} / pow(1024D, u))"
-    figures = f"case when {value} >= 100 then format_string('%.1e', {value}) when {value} >= 10 then cast(cast(rint({value}) as int) as string) else regexp_replace(format_string('%.1f', rint({value} * 10) / 10), '[.]0$', '') end"
-    # 100 and more have an exponent as in 1.0e+02
+    figures = f"case when {value} >= 100 then replace(format_string('%.1e', {value}), '.0e', 'e') when {value} >= 10 then cast(cast(rint({value}) as int) as string) else regexp_replace(format_string('%.1f', rint({value} * 10) / 10), '[.]0$', '') end"
+    # 100 and more have an exponent, as in 1e+02
     return f"case when coalesce({n}, -1) < 0 then '0 B' when {n} < 1024 then concat(cast({n} as bigint), ' B') else transform(array({unit}), u -> concat({figures}, ' ', element_at(array('KB', 'MB', 'GB', 'TB', 'PB'), u)))[0] end"
 
 

@@ -5,7 +5,7 @@ import pytest
 from cardloom.functions import embed
 from cardloom.functions import scalars as S
 from cardloom.functions import text as X
-from cardloom.operators import graph, lexical, lifecycle, lookup, search
+from cardloom.operators import graph, lexical, lifecycle, lookup, reads, retrieval, search, sweep
 from cardloom.plans import all as _  # noqa: F401
 from cardloom.plans import registry
 from cardloom.sources import cards as views
@@ -111,3 +111,78 @@ def test_long_ids_stay_whole(spark, tmp_path):
     q = registry.QUERIES
     assert {r.id for r in q["lookup_fact"](spark, d).collect()} == {f"d{i:06d}" for i in n}
     assert {(r.a, r.b) for r in q["dup_jaccard"](spark, d).collect()} == {(str(i), str(i + 1)) for i in range(1000000, 1000020, 2)}
+
+
+def test_index(spark, cards, tmp_path):
+    ix = lexical.build_index(cards)
+    assert ids(lexical.bm25(ix, "mac", scope="s")) == ["a", "b"] and ids(lexical.bm25(ix, "MAC x"))[:2] == ["a", "b"]
+    assert ids(lexical.bm25(ix, "")) == [] and ids(lexical.bm25(ix, "ma", prefix=True)) == ["a", "b"] and ids(lexical.bm25(ix, "ma")) == []
+    d = spark.createDataFrame([("1", "Año pára"), ("2", "ano"), ("3", "pa\u0301ra para"), ("4", None)], "id string, fact string")
+    ix = lexical.build_index(d)
+    assert sorted(ids(lexical.bm25(ix, "para", folded=True))) == ["1", "3"] and ids(lexical.bm25(ix, "para")) == ["3"] and ids(lexical.bm25(ix, "pár", prefix=True, folded=False)) == ["1"]
+    assert ids(lexical.bm25(lexical.build_index(d.limit(0)), "para")) == []
+    path = f"file://{tmp_path}/t"
+    d.write.parquet(path)
+    first = lexical.index_of(spark.read.parquet(path), "t")
+    assert lexical.index_of(spark.read.parquet(path), "t") is first
+    spark.createDataFrame([("5", "para")], "id string, fact string").write.mode("append").parquet(path)
+    assert sorted(ids(lexical.bm25(lexical.index_of(spark.read.parquet(path), "t"), "para", folded=True))) == ["1", "3", "5"]
+
+
+def test_retrieval(spark, cards):
+    ix = lexical.build_index(views.live(cards))
+    assert ids(retrieval.hybrid_search(cards, ix, "mac", [0.0, 1.0], 3))[0] in ("a", "c") and ids(retrieval.hybrid_search(cards, ix, "", [], 3)) == []
+    assert ids(retrieval.hybrid_search(cards, ix, "mac", [], 3, scope="s")) == ["a", "b"]
+    assert ids(retrieval.recall(cards, [1.0, 0.0], 10.0, scope="t")) == ["c"] and ids(retrieval.recall(cards, [1.0, 0.0], 10.0, scope="zz")) == []
+    assert retrieval.key_of("What is my project name?") == "project name" and retrieval.key_of("hello") is None
+    assert (retrieval.salient("what is the port of SSH"), retrieval.salient("who are the"), retrieval.salient("")) == ("port", "who", None)
+    a = retrieval.ask(cards, "what is my Mac?", [1.0, 0.0], 300, 7.0)
+    assert sorted(ids(a.hits)) == ["a", "b"] and a.report.first()["route"] == "sql" and {(r["id"], r["at"]) for r in a.touches.collect()} == {("a", 7.0), ("b", 7.0)}
+    a = retrieval.ask(cards, "what is my zebra?", [1.0, 0.0], 300)  # nothing stored: by vector
+    assert a.report.first()["route"] == "vector" and sorted(ids(a.hits)) == ["a", "b"]
+    assert ids(retrieval.ask(cards, "what is my Mac?", [1.0, 0.0], 0).hits) == [] and ids(retrieval.ask(cards.limit(0), "x", [1.0], 9).hits) == []
+    assert retrieval.mix_alpha(7, 3) == 0.7 and retrieval.mix_alpha(0, 0) == 0.7 and retrieval.mix_alpha(None, 1, 0.5) == 0.5
+    assert retrieval.scope_of_filter({"user_id": 5, "doc_id": "x"}) == "5" and retrieval.scope_of_filter({"a": 1}) is None and retrieval.scope_of_filter(None) is None
+
+
+def test_sweep(spark, cards):
+    none = spark.createDataFrame([], "source_id string, target_id string, relation_type string, weight double")
+    plan = sweep.plan_sweep(cards, none, 20000.0, cosine=False)
+    assert [tuple(r) for r in plan.superseded.collect()] == [("a", "b")] or [tuple(r) for r in plan.superseded.collect()] == [("b", "a")]
+    after = sweep.apply_plan(cards, plan)
+    assert after.columns == cards.columns and ids(views.live(after).orderBy("id")) == sorted(set(ids(views.live(cards))) - {plan.superseded.first()["id"]} - set(ids(plan.pruned)))
+    r = plan.report.first()
+    assert r["survivors"] == views.live(after).count() and r["merged_cards"] == 1
+    empty = sweep.plan_sweep(cards.limit(0), none, 1.0).report.first()
+    assert (empty["cards_before"], empty["survivors"], empty["tokens_reclaimed"]) == (0, 0, 0)
+    with pytest.raises(ValueError, match="already there: a"):
+        sweep.add(cards, none, cards.where("id = 'a'"))
+    with pytest.raises(ValueError):
+        sweep.add(cards.where("id <> 'a'"), none, cards.where("id = 'a'").union(cards.where("id = 'a'")))
+    assert sorted(ids(sweep.forget(cards, None))) == sorted(ids(cards)) and "a" not in ids(sweep.forget(cards, "x"))
+    once = sweep.archive(cards, cards.select("id"), 5.0)
+    assert {r["archived"] for r in sweep.archive(once, cards.select("id"), 9.0).collect()} == {5.0}
+
+
+def test_graph_merge_keeps_the_hub(spark, cards):
+    members = spark.createDataFrame([("a", "k"), ("b", "k"), ("c", "k")], "id string, cluster string")
+    weights = spark.createDataFrame([("c", 2.0)], "source_id string, compound_weight double")
+    r = sweep.merge_graph_clusters(cards, members, weights).first()
+    assert r["id"] == "c" and r["folded"] == ["a", "b"] and r["fact"] == "port 22 % done; User uses Mac; user uses MAC"
+
+
+def test_targets_and_scalars(spark):
+    t = lambda text, phrases: one(spark, X.target_id(X.lit(text), phrases))
+    assert t("I switched to Rust", X.UPDATES) == "rust" and t('forget "My Old Home" now', X.DELETES) == "my_old_home" and t("forget that", X.DELETES) is None
+    assert t("I no longer use Vim for my work", X.UPDATES) == "vim" and t("remove the red door and the key", X.DELETES) == "red_door" and t("hello", X.DELETES) is None
+    assert [one(spark, S.human_size(x)) for x in ("-1D", "cast(null as double)", "0D", "1023D", "1024D", "1536D", "15360D", "1073741824D")] == ["0 B", "0 B", "0 B", "1023 B", "1 KB", "1.5 KB", "15 KB", "1 GB"]
+    assert one(spark, X.evidence(X.lit("x" * 130 + ", I live here, and more"))) == "x" * 130 + ", I live here" and one(spark, X.evidence("cast(null as string)")) == ""
+    assert one(spark, S.cosine("array(3D, 4D)", "array(6D, 8D)")) == pytest.approx(1.0) and one(spark, S.cosine("array(0D)", "array(1D)")) == 0
+    assert one(spark, S.age_days("100D", "50D")) == 0 and one(spark, S.bar("2D", 4)) == "####"
+    assert abs(embed.trigram_vector("") @ embed.trigram_vector("") - 1) < 1e-9 and not embed.signed_vector("  ").any() and abs(embed.signed_vector("a b") @ embed.signed_vector("A  b") - 1) > 1e-9
+    assert reads.sample_queries([], 5) == [] and len(reads.sample_queries(["a, b", "c."], 5)) == 5 and reads.sample_queries(["a"], 2) == ["a", "a variant 1"]
+
+
+def test_int8_query_and_dispatch(cards):
+    assert search.quantised([0.0, 0.0]) == ([0, 0], 0.0) and search.quantised([127.0, -1.0])[0] == [127, -1]
+    assert ids(search.auto_search(cards.where("embedding is not null"), [1.0, 0.0], 1, small=1, large=2, latched="float")) == ["a"]
