@@ -35,10 +35,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cardloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, codec: str = "snappy", files: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. files: at most so many, for tables of few rows."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -57,8 +57,8 @@ class Temporary:
     def __init__(self):
         self.tables: list[DataFrame] = []
 
-    def keep(self, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-        self.tables.append(materialise(df, label, codec))
+    def keep(self, df: DataFrame, label: str, codec: str = "snappy", files: int | None = None) -> DataFrame:
+        self.tables.append(materialise(df, label, codec, files))
         return self.tables[-1]
 
     def drop(self) -> None:
