@@ -10,7 +10,7 @@ of the items; its size is checked, as a block has at most `block_words` words. W
 a task has one Python worker still, which takes them one after another for each slice of documents, so that one block is
 in its memory at a time; the hits of the blocks are united.
 
-Defined results: null or word-less texts have no words, no hits and no items; null or word-less items match
+Defined results: null or word-less texts have no words, no hits and no items; an item without id is hit but not listed; null or word-less items match
 nothing; repeated documents and items are each reported; empty tables give no rows or no hits; very long texts are
 streamed whole; other columns are ignored, and decontaminate() returns them unchanged, whatever their names.
 """

@@ -105,6 +105,8 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             numbers.append(total[some])
     row, bucket = grams([None if t and len(t) > 2 * CHUNK_CHARS else t for t in texts])
     key, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+    if not rows:
+        return key // BUCKETS, key % BUCKETS, n
     row, bucket, n = (np.concatenate(x) for x in ([*rows, key // BUCKETS], [*buckets, key % BUCKETS], [*numbers, n]))
     order = np.argsort(row, kind="stable")
     return row[order], bucket[order], n[order]
@@ -125,8 +127,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                 row, bucket, times = counts(part)
                 for k, n in enumerate(names):
                     own = which[row] == k
-                    total.setdefault(str(n), np.zeros(BUCKETS, np.int64))
-                    np.add.at(total[str(n)], bucket[own], times[own])
+                    total[str(n)] = total.get(str(n), 0) + np.bincount(bucket[own], times[own], BUCKETS).astype(np.int64)
         for n, c in total.items():
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([n] * len(some)), pa.array(some, pa.int64()), pa.array(c[some], pa.int64())], names=["lang", "bucket", "n"])
@@ -214,8 +215,10 @@ def _em(like, n, doc, first, total, allowed):
     """Proportions [document, language] and log-likelihoods; doc is sorted, and first has each document's first row."""
 
     def summed(part, values):
-        docs, at = np.unique(doc[part], return_index=True)
-        return docs, np.add.reduceat(values, at, axis=0)
+        if part.stop - part.start == len(doc):
+            return slice(None), np.add.reduceat(values, first, axis=0)
+        at = np.flatnonzero(np.diff(doc[part], prepend=-1))
+        return doc[part][at], np.add.reduceat(values, at, axis=0)
 
     share = allowed / allowed.sum(1, keepdims=True)
     for _ in range(EM_STEPS if (allowed.sum(1) > 1).any() else 1):
@@ -223,11 +226,8 @@ def _em(like, n, doc, first, total, allowed):
         for part, block in like.blocks():
             w = block * share[doc[part]]
             w *= (n[part] / w.sum(1))[:, None]
-            if len(w) == len(doc):
-                new = np.add.reduceat(w, first, axis=0)
-            else:
-                docs, sums = summed(part, w)
-                new[docs] += sums
+            docs, sums = summed(part, w)
+            new[docs] += sums
         share = new / total[:, None]
     fit = np.zeros(len(total))
     for part, block in like.blocks():
