@@ -6,6 +6,9 @@ role are merged into one block of the template; a separator keeps their boundary
 
     <|start|>role<|text|>first text<|next|>second text<|end|>\\n
 
+Beside the text stands the loss mask: the spans (code points, end exclusive) of it that assistants said, one for each
+turn in order; lengths are summed within blocks and then over blocks, so that no text is measured from its beginning.
+
 Inside roles and texts `&`, `<` and `[` are written as `&amp;`, `&lt;` and `&#91;`, so no control string, of this
 template or of others with `<s>`, `[INST]` or `<|...|>`, can occur there; unescaping is exact.
 
@@ -19,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import read
+from cardloom.llm.common import chunks, piece, read
+from cardloom.llm.rules import let
 
 BLOCK = 256
 START, TEXT, NEXT, END = "<|start|>", "<|text|>", "<|next|>", "<|end|>\n"
@@ -34,17 +38,25 @@ def unescape(sql: str) -> str:
 
 
 def format_chats(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id and formatted for each conversation of rows (conv_id, turn, role, text)."""
+    """conv_id, formatted and loss (array of (s, e)) for each conversation of rows (conv_id, turn, role, text)."""
     turns = rows.selectExpr("conv_id", "turn", f"floor(turn / {block}) as part", "struct(turn, " + escape("coalesce(role, '')") + " as role, " + escape("coalesce(text, '')") + " as text) as t")
+    # the first turn of a block is left without an opening: it depends on the block before
+    opening = f"case when i = 0 then '' when t.role = ts[i - 1].role then '{NEXT}' else concat('{END}{START}', t.role, '{TEXT}') end"
     parts = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("ts")).selectExpr(
         "conv_id", "part", "ts[0].role as first_role", "element_at(ts, -1).role as last_role",
-        # the first turn of a block is left without an opening: it depends on the block before
-        f"""array_join(transform(ts, (t, i) -> concat(
-            case when i = 0 then '' when t.role = ts[i - 1].role then '{NEXT}' else concat('{END}{START}', t.role, '{TEXT}') end, t.text)), '') as body""",
+        f"array_join(transform(ts, (t, i) -> concat({opening}, t.text)), '') as body",
+        f"transform(ts, (t, i) -> struct(cast(char_length({opening}) as bigint) as o, cast(char_length(t.text) as bigint) as n, t.role = 'assistant' as said)) as ls",
+    )
+    spans = "filter(transform(ls, (l, i) -> struct(l.said as said, aggregate(slice(ls, 1, i), 0L, (a, x) -> a + x.o + x.n) + l.o as s, l.n as n)), l -> l.said)"
+    parts = parts.selectExpr("conv_id", "part", "first_role", "last_role", "body", "aggregate(ls, 0L, (a, x) -> a + x.o + x.n) as size", f"{spans} as spans")
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "first_role", "last_role", "body", "size", "spans"))).alias("ps"))
+    head = f"case when i > 0 and p.first_role = ps[i - 1].last_role then '{NEXT}' else concat(if(i = 0, '', '{END}'), '{START}', p.first_role, '{TEXT}') end"
+    headed = whole.selectExpr("conv_id", f"transform(ps, (p, i) -> struct({head} as head, p.body as body, p.size as size, p.spans as spans)) as ps")
+    at = "aggregate(slice(ps, 1, i), 0L, (a, x) -> a + char_length(x.head) + x.size) + char_length(p.head)"
+    return headed.selectExpr(
+        "conv_id", f"concat(array_join(transform(ps, p -> concat(p.head, p.body)), ''), '{END}') as formatted",
+        f"flatten(transform(ps, (p, i) -> {let('at', at, 'transform(p.spans, x -> struct(at + x.s as s, at + x.s + x.n as e))')})) as loss",
     )
-    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "first_role", "last_role", "body"))).alias("ps"))
-    return whole.selectExpr("conv_id", f"""concat(array_join(transform(ps, (p, i) -> concat(
-        case when i > 0 and p.first_role = ps[i - 1].last_role then '{NEXT}' else concat(if(i = 0, '', '{END}'), '{START}', p.first_role, '{TEXT}') end, p.body)), ''), '{END}') as formatted""")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -54,13 +66,18 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.withColumn("turns", F.expr(f"flatten(transform({blocks}, b -> transform(split(b[1], '<\\\\|next\\\\|>', -1), x -> struct({unescape('b[0]')} as role, {unescape('x')} as text))))"))
 
 
+def loss_texts(chats: DataFrame) -> DataFrame:
+    """chats plus said: the texts under the loss mask, unescaped."""
+    one = let("p", "x.s", let("q", "x.e", piece("p", "q")))
+    return chats.withColumn("said", F.expr(let("ch", chunks("formatted"), f"transform(loss, x -> {unescape(one)})")))
+
+
 def digest(rows: DataFrame) -> DataFrame:
-    """The contract's row for each conversation, read back from the formatted text."""
-    said = "array_join(transform(filter(turns, t -> t.role = 'assistant'), t -> t.text), '')"
-    return read_back(format_chats(rows)).selectExpr(
+    """The contract's row for each conversation, read back from the formatted text and its mask."""
+    return loss_texts(read_back(format_chats(rows))).selectExpr(
         "conv_id", "cast(size(turns) as bigint) as n_turns",
         "sha2(array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), ''), 256) as turns_sha256",
-        f"cast(char_length({said}) as bigint) as loss_chars", f"sha2({said}, 256) as loss_sha256", "cast(char_length(formatted) as bigint) as formatted_chars",
+        "cast(char_length(array_join(said, '')) as bigint) as loss_chars", "sha2(array_join(said, ''), 256) as loss_sha256", "cast(char_length(formatted) as bigint) as formatted_chars",
     )
 
 

@@ -90,6 +90,23 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+#: Characters in a chunk of a text that is cut at many places.
+CHUNK = 4096
+
+
+def chunks(text: str) -> str:
+    """SQL for a text in chunks, so that piece() needs no count of characters from its beginning."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0)"
+
+
+def piece(p: str, q: str, ch: str = "ch") -> str:
+    """SQL for characters p to q (exclusive, not before p) of the text whose chunks are ch."""
+    one = lambda at, n: f"substring(coalesce(get({ch}, cast({at} div {CHUNK} as int)), ''), cast({at} % {CHUNK} as int) + 1, cast({n} as int))"
+    whole = f"array_join(slice({ch}, cast({p} div {CHUNK} as int) + 2, cast({q} div {CHUNK} - {p} div {CHUNK} as int) - 1), '')"
+    last = f"if({q} % {CHUNK} = 0, '', substring(get({ch}, cast({q} div {CHUNK} as int)), 1, cast({q} % {CHUNK} as int)))"
+    return f"if({p} div {CHUNK} = {q} div {CHUNK}, {one(p, f'{q} - {p}')}, concat({one(p, CHUNK)}, {whole}, {last}))"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, elementwise on uint64."""
     with np.errstate(over="ignore"):

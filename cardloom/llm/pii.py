@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import materialise, read
+from cardloom.llm.common import chunks, materialise, piece, read
 from cardloom.llm.rules import let
 
 THRESHOLD = 0.8
@@ -269,9 +269,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return find(docs, ["doc_id"]).selectExpr("row.doc_id", *counts, f"sha2({JOINED.format('base')}, 256) as base_sha256", f"{JOINED.format('spans')} as spans")
 
 
-CHUNK = 4096
-
-
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of `text` replaced by its kind in brackets, as [EMAIL]; same columns. Overlapping spans become one, named after the first.
 
@@ -279,12 +276,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     # the end of all that is replaced before span i (spans that reach over it are among the eight before)
     done = "coalesce(array_max(transform(slice(spans, greatest(i - 7, 1), least(i, 8)), y -> y.e)), 0L)"
-    one = lambda at, to: f"substring(coalesce(get(ch, cast({at} div {CHUNK} as int)), ''), cast({at} % {CHUNK} as int) + 1, cast({to} as int))"
-    piece = f"if(p div {CHUNK} = q div {CHUNK}, {one('p', 'q - p')}, concat({one('p', str(CHUNK))}, array_join(slice(ch, cast(p div {CHUNK} as int) + 2, cast(q div {CHUNK} - p div {CHUNK} as int) - 1), ''), if(q % {CHUNK} = 0, '', substring(get(ch, cast(q div {CHUNK} as int)), 1, cast(q % {CHUNK} as int)))))"
-    cut = f"transform(spans, (x, i) -> {let('p', done, let('q', 'x.s', f"""if(q < p, '', concat({piece}, '[', upper(x.kind), ']'))"""))})"
-    tail = let("p", done.replace("i - 7", "size(spans) - 7").replace("least(i, 8)", "least(size(spans), 8)"), let("q", "cast(char_length(row.text) as bigint)", piece))
+    cut = f"transform(spans, (x, i) -> {let('p', done, let('q', 'x.s', f"""if(q < p, '', concat({piece('p', 'q')}, '[', upper(x.kind), ']'))"""))})"
+    tail = let("p", done.replace("i - 7", "size(spans) - 7").replace("least(i, 8)", "least(size(spans), 8)"), let("q", "cast(char_length(row.text) as bigint)", piece("p", "q")))
     whole = f"concat(array_join({cut}, ''), {tail})"
-    new = f"case when size(spans) = 0 then row.text else {let('ch', f'regexp_extract_all(row.text, {lit(f"(?s).{{1,{CHUNK}}}")}, 0)', whole)} end"
+    new = f"case when size(spans) = 0 then row.text else {let('ch', chunks("row.text"), whole)} end"
     return find(docs, docs.columns).select(*[F.expr(new).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -537,6 +537,9 @@ def test_chat(spark):
     for k in (1, 2, 3, None):
         assert got[k] == [(r or "", t or "") for c, _, r, t in rows if c == k]
     assert chat.digest(d.limit(0)).count() == 0
+    for r in chat.loss_texts(chat.format_chats(d, 4)).collect():
+        assert r.said == [t or "" for c, _, role, t in rows if c == r.conv_id and role == "assistant"]
+        assert all(r.formatted[a - 8 : a] in ("<|text|>", "<|next|>") and r.formatted[b:].startswith(("<|end|>", "<|next|>")) for a, b in r.loss)
 
 
 def test_neardup(spark, odd):
