@@ -72,19 +72,33 @@ def trigram_embed(text: pd.Series) -> pd.Series:
 
 
 def resolver(known: list[str], floor: float = 0.88):
-    """A function of a column of names: the known entity that equals each but for case, else the most similar of ratio floor or more, else the name itself. `known` is a driver-side list."""
+    """A function of a column of names: the known entity that equals each but for case, else the most similar of ratio floor or more, else the name itself.
+
+    `known` is a driver-side list. Each distinct name of a batch is looked at once, and only with entities whose length and
+    letters allow the ratio: it is at most twice the shorter length, or the letters in common, over both lengths.
+    """
+    lower = {k.lower(): k for k in sorted(known, reverse=True)}
+    by_length: dict[int, list[tuple[str, str]]] = {}
+    for k, v in lower.items():
+        by_length.setdefault(len(k), []).append((k, v))
+
+    def one(n: str | None) -> str | None:
+        if n is None or n.lower() in lower:
+            return n and lower[n.lower()]
+        name, best = n.lower(), (floor, "")
+        match = difflib.SequenceMatcher(None, "", name)
+        for size, some in by_length.items():
+            if 2 * min(size, len(name)) < floor * (size + len(name)):
+                continue
+            for k, v in some:
+                match.set_seqs(name, k)
+                if match.quick_ratio() >= floor:
+                    best = max(best, (match.ratio(), v))
+        return best[1] or n
 
     @F.pandas_udf(T.StringType())
     def resolve(names: pd.Series) -> pd.Series:
-        lower = {k.lower(): k for k in sorted(known, reverse=True)}
-
-        def one(n: str | None) -> str | None:
-            if n is None or n.lower() in lower:
-                return n and lower[n.lower()]
-            best = max(((difflib.SequenceMatcher(None, n.lower(), k).ratio(), v) for k, v in lower.items()), default=(0, n))
-            return best[1] if best[0] >= floor else n
-
-        return names.map(one)
+        return names.map({n: one(n) for n in names.dropna().unique()}).where(names.notna(), None)
 
     return resolve
 

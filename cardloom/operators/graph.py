@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
@@ -49,11 +49,31 @@ def semantic_edges(cards: DataFrame, threshold: float = 0.75) -> DataFrame:
     return similar_pairs(cards, threshold).selectExpr("a as source_id", "b as target_id", "'semantic' as relation_type", "least(1D, greatest(0D, cos)) as weight")
 
 
-def shared_tag_edges(cards: DataFrame) -> DataFrame:
-    """Edges between cards that share tags, weighted by Jaccard. Only tags that two cards have make pairs."""
-    tags = cards.select("id", F.array_distinct("tags").alias("tags")).select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    pairs = tags.alias("a").join(tags.alias("b"), F.expr("a.tag = b.tag and a.id < b.id")).groupBy(F.expr("a.id").alias("source_id"), F.expr("b.id").alias("target_id")).agg(F.count("*").alias("k"), F.first("a.n").alias("x"), F.first("b.n").alias("y"))
-    return pairs.selectExpr("source_id", "target_id", "'shared_tag' as relation_type", "k / cast(x + y - k as double) as weight")
+def shared_tag_edges(cards: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Edges between cards that share tags, weighted by Jaccard, of at least floor.
+
+    Only tags that two cards have make pairs. Without a floor all pairs of a tag are edges, by definition; with one, cards meet
+    at their rarest tags only (a pair of that Jaccard shares one of the first n - ceil(floor * n) + 1), so that a tag that
+    many cards have makes no pairs of its own, and sizes that can't reach the floor don't meet.
+    """
+    own = cards.select("id", F.array_distinct("tags").alias("tags")).where("size(tags) > 0")
+    if floor <= 0:
+        tags = own.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
+        pairs = tags.alias("a").join(tags.alias("b"), F.expr("a.tag = b.tag and a.id < b.id")).groupBy(F.expr("a.id").alias("source_id"), F.expr("b.id").alias("target_id")).agg(F.count("*").alias("k"), F.first("a.n").alias("x"), F.first("b.n").alias("y"))
+        return pairs.selectExpr("source_id", "target_id", "'shared_tag' as relation_type", "k / cast(x + y - k as double) as weight")
+    flat = own.select("id", F.explode("tags").alias("tag"))
+    df = flat.groupBy("tag").agg(F.count("*").alias("df"))
+    rare = stored(flat.join(df, "tag").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tag"))).alias("ts")).selectExpr("id", "ts.tag as ts", f"explode(slice(ts.tag, 1, cast(size(ts) - ceil({floor}D * size(ts)) + 1 as int))) as tag"))
+    both = rare.alias("a").join(rare.alias("b"), F.expr(f"a.tag = b.tag and a.id < b.id and least(size(a.ts), size(b.ts)) >= {floor}D * greatest(size(a.ts), size(b.ts))"))
+    scored = both.selectExpr("a.id as source_id", "b.id as target_id", "'shared_tag' as relation_type", f"{S.jaccard('a.ts', 'b.ts')} as weight")
+    return scored.where(F.col("weight") >= floor).distinct()
+
+
+def neighbours_of(cards: DataFrame, card_id: str, threshold: float = 0.75) -> DataFrame:
+    """The semantic edges from one card to those of higher ids, best first: its vector against all, without building the graph."""
+    one = cards.where(F.col("id") == card_id).selectExpr("id as source_id", "embedding as e0").limit(1)
+    near = cards.where((F.col("id") > card_id) & F.col("embedding").isNotNull()).join(F.broadcast(one)).selectExpr("source_id", "id as target_id", "'semantic' as relation_type", f"{S.dot('embedding', 'e0')} as weight")
+    return near.where(F.col("weight") > threshold).withColumn("weight", F.expr("least(1D, greatest(0D, weight))")).orderBy(F.desc("weight"), "target_id")
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,15 +110,17 @@ def components(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:
     """(id, cluster): the smallest id reachable, edges taken both ways. Least labels spread and jump until nothing moves."""
     e = edges.where(F.col("weight") >= min_weight) if "weight" in edges.columns else edges
     both = stored(e.selectExpr("source_id as a", "target_id as b").union(e.selectExpr("target_id", "source_id")).distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as id", "least(a, m) as cluster", "true as moved"))
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as id", "least(a, m) as cluster"))
     while True:
         near = both.join(labels.selectExpr("id as b", "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("m"))
         step = labels.join(near, "id").selectExpr("id", "cluster as old", "least(cluster, m) as cluster")
-        before, labels = labels, stored(step.join(labels.selectExpr("id as cluster", "cluster as up"), "cluster").selectExpr("id", "least(cluster, up) as cluster", "least(cluster, up) < old as moved"))
+        jump = step.join(labels.selectExpr("id as cluster", "cluster as up"), "cluster").selectExpr("id", "old", "least(cluster, up) as cluster")
+        seen = Observation()  # counted while the table is written
+        before, labels = labels, stored(jump.observe(seen, F.expr("count_if(cluster < old)").alias("moved")).select("id", "cluster"))
         dropped(before)
-        if labels.where("moved").isEmpty():
+        if not seen.get["moved"]:
             dropped(both)
-            return labels.select("id", "cluster")
+            return labels
 
 
 def clusters(edges: DataFrame, min_size: int = 3, min_weight: float = 0.8) -> DataFrame:

@@ -59,10 +59,7 @@ def batch_topk(cards: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
             for b in batches:
                 if not len(b):
                     continue
-                m = np.zeros((len(b), width))
-                for i, e in enumerate(b["embedding"]):
-                    m[i, : min(len(e), width)] = e[:width]
-                cos = (q @ m.T).clip(0, 1)
+                cos = (q @ _matrix(b["embedding"], width).T).clip(0, 1)
                 if len(b) > k:  # what is at least as near as the k-th of this batch
                     at, row = np.nonzero(cos >= np.partition(cos, len(b) - k, axis=1)[:, [len(b) - k]])
                 else:
@@ -118,20 +115,70 @@ def auto_search(cards: DataFrame, query: list[float], k: int = 5, small: int = 2
     return int8_search(cards, query, k) if path == "int8" else vector_search(cards, query, k, alpha=1.0)
 
 
+def _matrix(vectors, width: int) -> np.ndarray:
+    """Vectors as rows, cut or filled with zeros to width: dot products go over the common prefix."""
+    m = np.zeros((len(vectors), width))
+    for i, e in enumerate(vectors):
+        m[i, : min(len(e), width)] = e[:width]
+    return m
+
+
+def _cells(some: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
+    """n pivots (the vectors of the n smallest hashes of ids, n x dimension floats), and id, embedding, cell, angle, norm of each card: its nearest pivot and how far it is."""
+    rows = some.orderBy(F.xxhash64("id"), "id").limit(n).select("embedding").collect()
+    pivots = _matrix([r[0] for r in rows], max(len(r[0]) for r in rows))
+    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
+    sent = some.sparkSession.sparkContext.broadcast(pivots)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                norms = np.array([np.linalg.norm(np.asarray(e, np.float64)) for e in b["embedding"]])
+                cos = _matrix(b["embedding"], sent.value.shape[1]) @ sent.value.T / np.maximum(norms, 1e-300)[:, None]
+                cell = cos.argmax(1)
+                yield b.assign(cell=cell.astype(np.int64), angle=np.arccos(cos[np.arange(len(b)), cell].clip(-1, 1)), norm=norms)
+
+    return pivots, some.mapInPandas(nearest, "id string, embedding array<float>, cell long, angle double, norm double")
+
+
+def may_meet(pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of cells can share a pair over the threshold: the angle between the pivots less both radii bounds the cosine."""
+    angle = np.arccos((pivots @ pivots.T).clip(-1, 1)) - radius[:, None] - radius[None, :] - 1e-7
+    np.fill_diagonal(angle, 0.0)
+    return norm[:, None] * norm[None, :] * np.cos(angle.clip(0, np.pi)) > threshold - 1e-9
+
+
+#: At most so many cells: the table of those that may meet has their square.
+MAX_CELLS = 1024
+
+
 def similar_pairs(cards: DataFrame, threshold: float, block_rows: int = 2000) -> DataFrame:
-    """(a, b, cos) with a < b and cosine over the threshold, exactly.
+    """(a, b, cos) with a < b and dot product over the threshold, exactly.
 
-    Rows are hashed into blocks; each pair of blocks is one group in which a matrix product is taken, so only
-    pairs over the threshold leave it. A row is sent once for each block: no row pairs are formed.
+    Cards go to the cell of their nearest pivot. Two cells meet only if the triangle inequality of angles allows a pair over
+    the threshold: exact, and far fewer than all where vectors gather in clusters (where they don't, the work is quadratic).
+    Cells are dealt in blocks of about block_rows by a hash; each pair of blocks is one group in which a matrix product is
+    taken, so only pairs over the threshold leave it, and no row pairs are formed. A row is sent once for each block it meets.
     """
-    some = cards.where("embedding is not null").select("id", "embedding")
-    n = max(1, -(-some.count() // block_rows))
-    blocked = some.withColumn("blk", F.expr(f"cast(pmod(xxhash64(id), {n}) as int)"))
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).selectExpr("least(blk, other) as i", "greatest(blk, other) as j", "blk", "id", "embedding")
+    some, spark = cards.where("embedding is not null and size(embedding) > 0").select("id", "embedding"), cards.sparkSession
+    n = min(MAX_CELLS, max(1, -(-some.count() // block_rows)))
+    if n == 1:
+        celled, table = some.withColumn("cell", F.lit(0)), [(0, 1, [(0, 1)])]
+    else:
+        pivots, celled = _cells(some, n)
+        found = {r["cell"]: r for r in celled.groupBy("cell").agg(F.max("angle").alias("angle"), F.max("norm").alias("norm"), F.count("*").alias("n")).collect()}  # a row for a cell
+        cells = sorted(found)
+        meet = may_meet(pivots[cells], np.array([found[c]["angle"] for c in cells]), np.array([found[c]["norm"] for c in cells]), threshold)
+        parts = [-(-found[c]["n"] // block_rows) for c in cells]
+        table = [(c, parts[i], [(cells[j], parts[j]) for j in np.flatnonzero(meet[i]).tolist()]) for i, c in enumerate(cells)]
+    known = spark.createDataFrame(table, "cell long, parts long, others array<struct<cell: long, parts: long>>")
+    blocked = celled.join(F.broadcast(known), "cell").withColumn("blk", F.expr("cell * 1048576 + pmod(xxhash64(id), parts)"))
+    dealt = blocked.select("blk", "id", "embedding", F.explode("others").alias("o")).select("blk", "id", "embedding", F.expr("explode(transform(sequence(0L, o.parts - 1), t -> o.cell * 1048576 + t))").alias("other"))
+    dealt = dealt.selectExpr("least(blk, other) as i", "greatest(blk, other) as j", "blk", "id", "embedding")
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id").reset_index(drop=True)
-        m = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+        m = _matrix(g["embedding"], max(map(len, g["embedding"])))
         i, j = g["blk"].to_numpy(), g["id"].to_numpy()
         x, y = np.nonzero(np.triu(m @ m.T > threshold, 1))
         if g["blk"].nunique() > 1:  # pairs inside a block come from its own group

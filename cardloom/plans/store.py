@@ -111,7 +111,7 @@ def edges_shared_tag(spark, d):
 
 @query("neighbors", f"with {SIM} select a as source_id, b as target_id, round(cos, 6) as weight from sim where a = 'v000010' order by cos desc, b")
 def neighbors(spark, d):
-    return graph.neighbours(edges(spark, d), "v000010").select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+    return graph.neighbours_of(cards_vec(spark, d), "v000010", 0.35).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
 @query("compound_weight", f"with {SIM} select a as source_id, round(sum(cos), 6) as compound_weight from sim group by a")

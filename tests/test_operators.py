@@ -186,3 +186,59 @@ def test_targets_and_scalars(spark):
 def test_int8_query_and_dispatch(cards):
     assert search.quantised([0.0, 0.0]) == ([0, 0], 0.0) and search.quantised([127.0, -1.0])[0] == [127, -1]
     assert ids(search.auto_search(cards.where("embedding is not null"), [1.0, 0.0], 1, small=1, large=2, latched="float")) == ["a"]
+
+
+def test_similar_pairs_prune_nothing_that_counts(spark):
+    """Cells that can't share a pair don't meet; what is found is what all pairs give, also with vectors of other lengths and norms."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    heart = rng.normal(size=(12, 16))
+    m = heart[rng.integers(0, 12, 600)] + rng.normal(size=(600, 16)) * 0.25
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[:20] *= 3.0
+    m[20] = 0
+    rows = [(f"{i:04d}", [float(x) for x in (v[:9] if i % 50 == 7 else v)]) for i, v in enumerate(m)] + [("none", None), ("empty", [])]
+    cards = spark.createDataFrame(rows, "id string, embedding array<float>")
+    full = np.array([list(np.float32(v)) + [0.0] * (16 - len(v)) for _, v in rows[:600]], np.float64)
+    want = {(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(np.triu(full @ full.T > 0.8, 1)), strict=True)}
+    for block in (40, 7, 5000):
+        got = search.similar_pairs(cards, 0.8, block).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    pivots = heart / np.linalg.norm(heart, axis=1, keepdims=True)
+    assert search.may_meet(pivots, np.full(12, 0.2), np.ones(12), 0.95).mean() < 0.3
+    assert search.similar_pairs(cards.limit(0), 0.5).count() == 0
+
+
+def test_shared_tags_with_a_floor(spark):
+    rows = [(f"{i:03d}", ["hot", f"t{i % 9}", f"u{i % 5}", f"w{i % 4}"][: 1 + i % 4]) for i in range(90)] + [("x", []), ("y", None)]
+    cards = spark.createDataFrame(rows, "id string, tags array<string>")
+    every = {(r["source_id"], r["target_id"]): r["weight"] for r in graph.shared_tag_edges(cards).collect()}
+    for floor in (0.3, 0.5, 0.75, 1.0):
+        got = {(r["source_id"], r["target_id"]): r["weight"] for r in graph.shared_tag_edges(cards, floor).collect()}
+        assert got == {k: w for k, w in every.items() if w >= floor}, floor
+
+
+def test_components_of_a_long_path(spark):
+    path = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(70) if i != 40], "source_id string, target_id string")
+    got = {r["id"]: r["cluster"] for r in graph.components(path).collect()}
+    assert got == {f"{i:03d}": "000" if i <= 40 else "041" for i in range(71)}
+    assert graph.components(path.limit(0)).count() == 0
+
+
+def test_resolver_skips_nothing_similar(spark):
+    import difflib
+
+    known = [f"{a}{b} corp{c}" for a in ("acme", "bolt", "cyan") for b in ("", "s", " inc") for c in ("", "oration")]
+    names = [k.upper() if i % 3 == 0 else k[:-1] + "x" if i % 3 == 1 else k.replace("o", "0") for i, k in enumerate(known)] + ["zzz", "", None]
+
+    def plain(n):
+        if n is None:
+            return None
+        same = [k for k in known if k.lower() == n.lower()]
+        best = max((difflib.SequenceMatcher(None, n.lower(), k.lower()).ratio(), k) for k in known)
+        return same[0] if same else best[1] if best[0] >= 0.88 else n
+
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r["x"] for r in d.select("i", embed.resolver(known)("n").alias("x")).orderBy("i").collect()]
+    assert got == [plain(n) for n in names]
