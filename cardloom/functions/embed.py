@@ -71,6 +71,26 @@ def trigram_embed(text: pd.Series) -> pd.Series:
     return text.map(trigram_vector)
 
 
+def failover(*embedders, fallback=signed_vector):
+    """A function of a column of texts: the vector of the first embedder (text to list of floats) that gives one that isn't zero; it never fails, as the last resort is the hash."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(text: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[float]:
+            for e in embedders:
+                try:
+                    v = e(t or "")
+                except Exception:  # noqa: BLE001  any embedder may be down in its own way
+                    continue
+                if v is not None and len(v) and any(v):
+                    return list(v)
+            return list(fallback(t))
+
+        return text.map(one)
+
+    return embed
+
+
 def resolver(known: list[str], floor: float = 0.88):
     """A function of a column of names: the known entity that equals each but for case, else the most similar of ratio floor or more, else the name itself.
 

@@ -103,6 +103,16 @@ def binary_rerank(cards: DataFrame, query: list[float], k: int = 5, pool: int =
     return near.withColumn("score", F.expr(S.dot("embedding", _vector(query)))).orderBy(F.desc("score"), "id").limit(k)
 
 
+def cosine_search(cards: DataFrame, query: list[float], k: int = 5) -> DataFrame:
+    """Cosine with both sides brought to unit length first; zero vectors score 0."""
+    return cards.where("embedding is not null").withColumn("score", F.expr(S.cosine("embedding", _vector(query)))).orderBy(F.desc("score"), "id").limit(k)
+
+
+def one_dimension(cards: DataFrame) -> DataFrame:
+    """One row: the dimension of all vectors (null if they differ or there are none) and their number."""
+    return cards.where("embedding is not null").agg(F.expr("if(min(size(embedding)) = max(size(embedding)), min(size(embedding)), null)").alias("dim"), F.count("*").alias("n"))
+
+
 def truncated_search(cards: DataFrame, query: list[float], dims: int, k: int = 5) -> DataFrame:
     """Cosine of the first dims values, each side of unit length again."""
     return cards.withColumn("score", F.expr(S.dot(S.truncate("embedding", dims), S.truncate(_vector(query), dims)))).orderBy(F.desc("score"), "id").limit(k)

@@ -229,6 +229,13 @@ def sweep_dry_run(spark, d):
     return r.select("cards_before", "survivors", "merged_cards", "decayed_cards", "tokens_before", "tokens_after")
 
 
+@query("apply_sweep", f"with recursive {SIM}, {CARDS}, {SWEPT}, gone as (select m.id, hub from mem m join top using (cluster) where m.id <> hub) select c.id, case when t.hub is null then 'vector ' || vec_id when length(t.text) > 200 then left(t.text, 197) || '...' else t.text end as fact, coalesce(gone.hub, case when dead = 1 then 'v' || lpad(cast(vec_id + 1 as varchar), 6, '0') end) as superseded_by from cards c left join txt t on t.hub = c.id left join gone on gone.id = c.id where c.id not in (select id from pruned)")
+def apply_sweep(spark, d):
+    c = cards_vec(spark, d)
+    plan = sweep.plan_sweep(c, edges(spark, d).withColumn("weight", F.expr("least(1D, weight * 2)")), AS_OF)
+    return sweep.apply_plan(c, plan).select("id", "fact", "superseded_by")
+
+
 # ---- mutations and events ----------------------------------------------------------------------------------------
 
 
@@ -417,6 +424,35 @@ def sample_queries(spark, d):
     return spark.createDataFrame(list(enumerate(reads.sample_queries(facts, 60))), "n long, question string")
 
 
+@query("health_report", f"with {CARDS} select count(*) as cards, count(*) filter (not (sqrt(list_dot_product(e, e)) between 0.95 and 1.05)) as odd_vectors, round(count(*) filter (dead = 1) / cast(count(*) as double), 4) as bloat, 'ok' as bloat_status, count(*) filter (dead = 1 and vec_id + 1 not in (select vec_id from embeddings)) as dangling, (select count(*) from documents) - (select count(*) from live) as drift from cards")
+def health_report(spark, d):
+    """The index is that of the documents, so it is off by the difference."""
+    from cardloom.plans.lexical import _index as documents
+
+    return reads.health(cards_vec(spark, d), documents(spark, d).stats)
+
+
+@query("vec_cosine_topk", f"with {CARDS}, s as (select id, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) as c from (select id, list_transform(e, lambda x: x * (1 + vec_id % 3)) as e from live), q) select id, round(c, 6) as score from s order by c desc, id limit 10")
+def vec_cosine_topk(spark, d):
+    from cardloom.operators import search
+
+    c = live(cards_vec(spark, d)).withColumn("embedding", F.expr("transform(cast(embedding as array<double>), x -> x * (1 + vec_id % 3))"))
+    return search.cosine_search(c, first_vector(spark, d), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("vector_dimension", "select cast(max(len(embedding)) as int) as dim, count(*) as n from embeddings")
+def vector_dimension(spark, d):
+    from cardloom.operators import search
+
+    return search.one_dimension(cards_vec(spark, d))
+
+
+@query("tag_metadata", "select doc_id, lang, source from documents")
+def tag_metadata(spark, d):
+    t = read(spark, d, "documents").selectExpr("doc_id", "array('plain', concat('lang=', lang), 'source=old', concat('source=', source)) as tags")
+    return t.withColumn("m", F.expr(S.tag_metadata("tags"))).selectExpr("doc_id", "m['lang'] as lang", "m['source'] as source")
+
+
 # ---- scalars and files -------------------------------------------------------------------------------------------
 
 

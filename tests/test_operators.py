@@ -242,3 +242,35 @@ def test_resolver_skips_nothing_similar(spark):
     d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
     got = [r["x"] for r in d.select("i", embed.resolver(known)("n").alias("x")).orderBy("i").collect()]
     assert got == [plain(n) for n in names]
+
+
+def test_sweeps_as_a_stream(spark, cards):
+    import time
+
+    from cardloom.streaming import sweeps
+
+    none = spark.createDataFrame([], "source_id string, target_id string, relation_type string, weight double")
+    state = {"cards": cards, "reports": []}
+
+    def save(after, report):
+        state["cards"] = graph.stored(after)
+        state["reports"].append(report.first())
+
+    q = sweeps.start(spark, lambda: (state["cards"], none), save, lambda: 20000.0, "1 second", cosine=False)
+    until = time.time() + 90
+    while len(state["reports"]) < 2 and time.time() < until and q.isActive:
+        time.sleep(0.5)
+    q.stop()
+    assert [r["merged_cards"] for r in state["reports"][:2]] == [1, 0] and state["reports"][1]["cards_before"] == state["reports"][0]["survivors"]
+
+
+def test_failover_and_zero_vectors(spark):
+    def broken(text):
+        raise OSError("down")
+
+    d = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
+    got = [r["v"] for r in d.select(embed.failover(broken, lambda t: [0.0, 0.0], lambda t: [1.0] if t else [])("t").alias("v")).collect()]
+    assert got[0] == [1.0] and len(got[1]) == embed.DIMS and not any(got[1])
+    c = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", None)], "id string, embedding array<float>")
+    assert [(r["id"], r["score"]) for r in search.cosine_search(c, [6.0, 8.0]).collect()] == [("a", pytest.approx(1.0)), ("b", 0.0)]
+    assert search.one_dimension(c.where("embedding is null")).first()["dim"] is None
