@@ -25,21 +25,21 @@ def postings(cards: DataFrame, text: str = "fact") -> DataFrame:
     """(term, base, id, tf, len, scope): terms as they are written and without diacritics; len: the card's words; scope: null if cards have none."""
     scope = F.col("scope") if "scope" in cards.columns else F.lit(None).cast("string")
     words = cards.select("id", scope.alias("scope"), F.expr(_words(text)).alias("ws")).withColumn("len", F.size("ws"))
-    counted = words.select("id", "scope", "len", F.explode("ws").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.first("scope").alias("scope"))
+    counted = words.select("id", "scope", "len", F.explode("ws").alias("term")).groupBy("term", "id", "len", "scope").agg(F.count("*").alias("tf"))  # a card has one length and scope; as keys they leave the sums to hashing
     return counted.withColumn("base", F.expr(X.unaccented("term")))
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings sorted by term, so that a query reads the row groups of its words only, and one row of statistics (nd cards, al words a card)."""
+    """Postings, in each file sorted by term, so that a query reads the pages of its words only, and one row of statistics (nd cards, al words a card)."""
 
     postings: DataFrame
     stats: DataFrame
 
 
 def build_index(cards: DataFrame, text: str = "fact") -> Index:
-    """The texts are split into words once; frequent terms are spread over ranges by id."""
-    p = graph.stored(postings(cards, text).repartitionByRange(F.col("base"), F.col("id")).sortWithinPartitions("base", "id"))
+    """The texts are split into words once, and shuffled once, by term and card: a frequent term is in all files."""
+    p = graph.stored(postings(cards, text).sortWithinPartitions("base", "id"))
     stats = graph.stored(cards.agg(F.count("*").alias("nd")).withColumn("al", p.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("n")).scalar() / F.greatest("nd", F.lit(1))))
     return Index(p, stats)
 
@@ -74,7 +74,7 @@ def bm25(cards: DataFrame | Index, query: str | list[str], n: int = 30, prefix:
     near = " or ".join(f"startswith(base, {X.lit(X.fold(w))})" if prefix else f"base = {X.lit(X.fold(w))}" for w in words) or "false"
     match = f"filter({X.array_of(words)}, q -> {f'startswith({term}, q)' if prefix else f'{term} = q'})" if words else "cast(array() as array<string>)"
     some = index.postings.where(near).select("id", "tf", "len", "scope", F.explode(F.expr(match)).alias("q"))
-    hit = some.groupBy("q", "id").agg(F.sum("tf").alias("f"), F.first("len").alias("len"), F.first("scope").alias("scope"))
+    hit = some.groupBy("q", "id", "len", "scope").agg(F.sum("tf").alias("f"))
     df = hit.groupBy("q").agg(F.count("*").alias("df"))  # as many rows as words
     idf = "case when ln((st.nd - df + 0.5D) / (df + 0.5D)) <= 0 then 0.000001D else ln((st.nd - df + 0.5D) / (df + 0.5D)) end"
     inside = hit if scope is None else hit.where(F.col("scope") == scope)
