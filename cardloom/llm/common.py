@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,10 +37,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cardloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, codec: str = "snappy", files: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. files: at most so many, for tables of few rows."""
+#: Rows of an Arrow batch between the JVM and Python where rows are whole documents: a batch is in memory several times over on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, if they are larger; for operators that run when their result is read."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def materialise(df: DataFrame, label: str, codec: str = "snappy", files: int | None = None, batch: int = BATCH_ROWS) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. files: at most so many, for tables of few rows; batch: rows of an Arrow batch."""
     path = new_path(df.sparkSession, label)
-    (df if files is None else df.coalesce(files)).write.option("compression", codec).parquet(path)
+    with batches(df.sparkSession, batch):
+        (df if files is None else df.coalesce(files)).write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -57,8 +82,8 @@ class Temporary:
     def __init__(self):
         self.tables: list[DataFrame] = []
 
-    def keep(self, df: DataFrame, label: str, codec: str = "snappy", files: int | None = None) -> DataFrame:
-        self.tables.append(materialise(df, label, codec, files))
+    def keep(self, df: DataFrame, label: str, codec: str = "snappy", files: int | None = None, batch: int = BATCH_ROWS) -> DataFrame:
+        self.tables.append(materialise(df, label, codec, files, batch))
         return self.tables[-1]
 
     def drop(self) -> None:
@@ -71,8 +96,16 @@ def with_row(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in cols])
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: its Python worker is kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list], setup: Callable[[], None] | None = None, rows: int = 512) -> DataFrame:
     """Append `fields`, computed by fn from slices of at most `rows` rows; columns of df with the same names are replaced."""
+    small_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [f.name for f in df.schema.fields if f.name.lower() not in names]
     schema = T.StructType([f for f in df.schema.fields if f.name in kept] + fields)
@@ -82,6 +115,7 @@ def arrow_map(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Recor
             for at in range(0, big.num_rows, rows):
                 b = big.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in kept] + fn(b), names=kept + [f.name for f in fields])
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import Temporary, column, materialise, mix, read, release, with_row
+from cardloom.llm.common import Temporary, column, give_back, materialise, mix, read, release, with_row
 
 SHINGLE = 5
 SIMILARITY = 85  # percent, of op10's contract
@@ -159,6 +159,7 @@ def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * chunks), pa.array(sigs.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("mark")), pa.array([len(s) for s in sets], pa.int64()), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), flat], names=["doc_id", "mark", "n_shingles", "d1", "d2", "sig"])
         _words.clear()
+        give_back()
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ("mark", "n_shingles", "d1", "d2")), T.StructField("sig", T.ArrayType(T.LongType()))])
     return docs.selectExpr("doc_id", f"{MARK} as mark", "text").mapInArrow(run, schema)
@@ -197,6 +198,7 @@ def _of_texts(nodes: DataFrame, docs: DataFrame, name: str, fn) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *got])))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), flat], names=["node", name])
         _words.clear()
+        give_back()
 
     few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.selectExpr("doc_id as first_id", f"{MARK} as mark", "text").join(F.broadcast(nodes) if few else nodes, ["first_id", "mark"]).select("node", "text")
@@ -265,7 +267,7 @@ def several(keys: DataFrame, often: DataFrame) -> DataFrame:
 
 def links(reps: DataFrame, docs: DataFrame, plan: Plan, temp: Temporary) -> DataFrame:
     """Confirmed edges (a, b), enough to connect all classes of reps (node, first_id, mark, n, sig) that links connect."""
-    shared = temp.keep(several(keyed(reps, plan), heavy(reps, plan)), "shared")
+    shared = temp.keep(several(keyed(reps, plan), heavy(reps, plan)), "shared", batch=10_000)  # rows of three numbers
     groups = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep"))
     members = temp.keep(shared.join(groups, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
