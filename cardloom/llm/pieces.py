@@ -42,7 +42,7 @@ SEED = 17
 MARK = 0x2581
 #: Stands for U+2581 of a text; beyond Unicode, so no piece has it.
 LITERAL_MARK = 0x110001
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 #: Up to this length of words forward weights are plain products; beyond it logarithms.
 LINEAR = 40
 #: Words are sampled together with others of up to the same of these lengths; longer ones one by one.
