@@ -424,7 +424,7 @@ def sample_queries(spark, d):
     return spark.createDataFrame(list(enumerate(reads.sample_queries(facts, 60))), "n long, question string")
 
 
-@query("health_report", f"with {CARDS} select count(*) as cards, count(*) filter (not (sqrt(list_dot_product(e, e)) between 0.95 and 1.05)) as odd_vectors, round(count(*) filter (dead = 1) / cast(count(*) as double), 4) as bloat, 'ok' as bloat_status, count(*) filter (dead = 1 and vec_id + 1 not in (select vec_id from embeddings)) as dangling, (select count(*) from documents) - (select count(*) from live) as drift from cards")
+@query("health_report", f"with {CARDS} select count(*) as cards, count(*) filter (not (sqrt(list_dot_product(e, e)) between 0.95 and 1.05)) as odd_vectors, round(count(*) filter (dead = 1) / cast(count(*) as double), 4) as bloat, 'ok' as bloat_status, count(*) filter (dead = 1 and vec_id + 1 not in (select vec_id from embeddings)) as dangling, abs((select count(*) from documents) - (select count(*) from live)) as drift from cards")
 def health_report(spark, d):
     """The index is that of the documents, so it is off by the difference."""
     from cardloom.plans.lexical import _index as documents
