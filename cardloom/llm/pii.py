@@ -13,7 +13,7 @@ corpus; the driver sees no document.
 
 Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; very long texts are
 searched whole, in linear time (patterns start only where a longer match couldn't have begun earlier, context comes from
-the pieces between matches, overlaps by binary search); equal rows get equal spans; an empty table gives no rows and fits
+the pieces between matches, overlaps by binary search over the farthest ends so far); equal rows get equal spans; an empty table gives no rows and fits
 nothing; other columns pass through redact() unchanged, whatever their names, and are ignored elsewhere.
 """
 
@@ -126,14 +126,26 @@ def extra_spans() -> dict[str, str]:
     }
 
 
-def overlaps(spans: str, c: str = "c") -> str:
-    """SQL for whether c overlaps one of spans, which are sorted by start: a binary search, and a look at the eight before.
+def reaching(spans: str) -> str:
+    """SQL for spans (s, e, kind), sorted by start, with r: the largest end of a span and all before it.
 
-    Spans of one kind don't overlap, so of those that start before c and reach into it there are at most a few.
+    Spans of several kinds nest, so the last one before a place needn't be the one that reaches farthest. Maxima are taken in blocks
+    of 256 and over the blocks before.
+    """
+    own = "array_max(slice(es, 256 * (i div 256) + 1, i % 256 + 1))"
+    blocks = "transform(sequence(0, cast((size(es) - 1) div 256 as int)), k -> array_max(slice(es, 256 * k + 1, 256)))"
+    out = f"transform({spans}, (x, i) -> struct(x.s as s, x.e as e, x.kind as kind, if(i < 256, {own}, greatest({own}, array_max(slice(ms, 1, i div 256)))) as r))"
+    return let("es", f"transform({spans}, x -> x.e)", let("ms", blocks, out))
+
+
+def overlaps(spans: str, reach: str = "e", c: str = "c") -> str:
+    """SQL for whether c overlaps one of spans, which are sorted by start: of those that begin before its end, by binary search, does any end after its start?
+
+    reach: the field with the largest end so far, `r` of reaching(); where spans don't overlap each other their own end is.
     """
     middle = "(x.lo + x.hi) div 2"
-    found = f"aggregate(sequence(1, 31), struct(0 as lo, size({spans}) as hi), (x, k) -> if(x.lo >= x.hi, x, if(get({spans}, cast({middle} as int)).s < {c}.s, struct(cast({middle} + 1 as int) as lo, x.hi as hi), struct(x.lo as lo, cast({middle} as int) as hi)))).lo"
-    return f"if(size({spans}) = 0, false, {let('p', found, f'exists(sequence(greatest(p - 8, 0), p), j -> coalesce(get({spans}, j).s < {c}.e and {c}.s < get({spans}, j).e, false))')})"
+    found = f"aggregate(sequence(1, 31), struct(0 as lo, size({spans}) as hi), (x, k) -> if(x.lo >= x.hi, x, if(get({spans}, cast({middle} as int)).s < {c}.e, struct(cast({middle} + 1 as int) as lo, x.hi as hi), struct(x.lo as lo, cast({middle} as int) as hi)))).lo"
+    return f"if(size({spans}) = 0, false, coalesce(get({spans}, {found} - 1).{reach} > {c}.s, false))"
 
 
 def votes() -> dict[str, str]:
@@ -180,10 +192,11 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     judged = f"transform(extra0, c -> struct(c.s as s, c.e as e, c.kind as kind, {', '.join(f'cast({x} as int) as {k}' for k, x in v.items())}, cast(least((c.e - c.s) div 8, 6) as int) as size, {around} as around))"
     found = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = found.withColumn("base", F.expr(f"array_sort(transform({base_spans()}, b -> struct(b.s as s, b.e as e, b.kind as kind)))"))
-    found = found.withColumn("secret0", F.expr(f"filter({kinds['secret']}, c -> not {overlaps('base')})"))
+    found = found.withColumn("reached", F.expr(reaching("base")))
+    found = found.withColumn("secret0", F.expr(f"filter({kinds['secret']}, c -> not {overlaps('reached', 'r')})"))
     rest = "concat(" + ", ".join(kinds[k] for k in EXTRA if k not in ("secret", "local")) + ")"
-    found = found.withColumn("local0", F.expr(f"filter({kinds['local']}, c -> not {overlaps('base')} and not {overlaps('secret0')})"))
-    found = found.withColumn("extra0", F.expr(f"concat(secret0, local0, filter({rest}, c -> not {overlaps('base')} and not {overlaps('secret0')} and not {overlaps('local0')}))"))
+    found = found.withColumn("local0", F.expr(f"filter({kinds['local']}, c -> not {overlaps('reached', 'r')} and not {overlaps('secret0')})"))
+    found = found.withColumn("extra0", F.expr(f"concat(secret0, local0, filter({rest}, c -> not {overlaps('reached', 'r')} and not {overlaps('secret0')} and not {overlaps('local0')}))"))
     return found.withColumn("extra", F.expr(judged)).select("row", "base", "extra")
 
 
@@ -274,12 +287,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     The text is taken in chunks, so that a piece is cut out without counting characters from its beginning.
     """
-    # the end of all that is replaced before span i (spans that reach over it are among the eight before)
-    done = "coalesce(array_max(transform(slice(spans, greatest(i - 7, 1), least(i, 8)), y -> y.e)), 0L)"
-    cut = f"transform(spans, (x, i) -> {let('p', done, let('q', 'x.s', f"""if(q < p, '', concat({piece('p', 'q')}, '[', upper(x.kind), ']'))"""))})"
-    tail = let("p", done.replace("i - 7", "size(spans) - 7").replace("least(i, 8)", "least(size(spans), 8)"), let("q", "cast(char_length(row.text) as bigint)", piece("p", "q")))
+    # the end of all that is replaced before span i
+    done = "if(i = 0, 0L, get(rs, i - 1).r)"
+    cut = f"transform(rs, (x, i) -> {let('p', done, let('q', 'x.s', f"""if(q < p, '', concat({piece('p', 'q')}, '[', upper(x.kind), ']'))"""))})"
+    tail = let("p", "get(rs, size(rs) - 1).r", let("q", "cast(char_length(row.text) as bigint)", piece("p", "q")))
     whole = f"concat(array_join({cut}, ''), {tail})"
-    new = f"case when size(spans) = 0 then row.text else {let('ch', chunks("row.text"), whole)} end"
+    new = f"case when size(spans) = 0 then row.text else {let('ch', chunks("row.text"), let('rs', reaching('spans'), whole))} end"
     return find(docs, docs.columns).select(*[F.expr(new).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
