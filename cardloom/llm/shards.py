@@ -13,8 +13,10 @@ On the way ids are kept as two planes of bytes, low and high, compressed togethe
 in the shuffle all sequences of a task that go to one shard as one piece. A writer holds one shard (32 MB by default).
 
 A task writes under a name of its own and renames at the end; an attempt that finds the shard already there drops its
-own file, so repeated and speculative attempts are harmless, also where a rename may not overwrite. What failed
-attempts leave is deleted at the end, and so is the token table.
+own file, so repeated and speculative attempts are harmless, also where a rename may not overwrite. Shards carry the number of the
+run that wrote them, and only the manifest, written last, says which run counts. A folder with a manifest is in use: a second
+run there is an error, also one that began before the first had ended. What failed attempts and runs that died leave is
+deleted when a run has published its manifest, and so is the token table.
 
 Defined results: null texts count as empty; an empty text is only the end token; long texts span many sequences;
 repeated rows each have a place of their own; a null key is kept; an empty table gives no shards and an empty
@@ -245,8 +247,10 @@ def publish(store: fs.FileSystem, name: str, final: str) -> None:
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, order_key: int = KEY) -> DataFrame:
-    """Write the shards and manifest.json below path; gives one row for each document: key, first_seq, start, slot (of first_seq), shard, byte_offset, n_tokens, tokens_crc32 (of the ids with the end token)."""
-    spark = docs.sparkSession
+    """Write the shards and manifest.json below path, which must have no manifest yet; gives one row for each document: key, first_seq, start, slot (of first_seq), shard, byte_offset, n_tokens, tokens_crc32 (of the ids with the end token)."""
+    spark, number = docs.sparkSession, uuid.uuid4().hex
+    store, folder = fs.FileSystem.from_uri(path)
+    unused(store, folder)
     tokens = materialise(tokenise(docs, key, text_col, vocabulary, seq_len), "tokens", "zstd")
     # one small row for each task that tokenised
     sums = tokens.where("block is not null").groupBy("part").agg(F.sum("n_seq").alias("n")).orderBy("part").collect()
@@ -270,10 +274,9 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text_col: str
             name = f"{folder}/.tmp-{uuid.uuid4().hex}"
             with store.open_output_stream(name) as out:
                 out.write(ids)
-            publish(store, name, _file(folder, shard))
+            publish(store, name, _file(folder, shard, number))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([zlib.crc32(ids)], pa.int64())], names=["shard", "sequences", "crc32"])
 
-    store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
     sent = spark.sparkContext.broadcast(base)
 
@@ -289,18 +292,28 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text_col: str
     done = materialise(ranges.mapInArrow(write, "shard int, sequences long, crc32 long"), "shards")
     if (n := done.count()) != n_shards:
         raise RuntimeError(f"{n} of {n_shards} shards were written")
+    unused(store, folder)
+    draft = f"{folder}/.manifest-{number}"
+    with store.open_output_stream(draft) as f:
+        f.write(json.dumps({"run": number, "sequences": total, "seq_len": seq_len, "shard_rows": shard_rows, "shards": n_shards, "dtype": "<u2", "pad": END, "order_key": order_key}).encode())
+    store.move(draft, f"{folder}/manifest.json")
+    if manifest(path)["run"] != number:
+        raise FileExistsError(f"another run has written {path}")
     for f in store.get_file_info(fs.FileSelector(folder)):
-        if f.base_name.startswith(".tmp-"):
+        if f.base_name.startswith((".tmp-", ".manifest-")) or f.base_name.startswith("shard-") and number not in f.base_name:
             store.delete_file(f.path)
-    with store.open_output_stream(f"{folder}/manifest.json") as f:
-        f.write(json.dumps({"sequences": total, "seq_len": seq_len, "shard_rows": shard_rows, "shards": n_shards, "dtype": "<u2", "pad": END, "order_key": order_key}).encode())
     release(tokens)
     release(done)
     return placed
 
 
-def _file(folder: str, shard: int) -> str:
-    return f"{folder}/shard-{shard:08d}.bin"
+def unused(store: fs.FileSystem, folder: str) -> None:
+    if store.get_file_info(f"{folder}/manifest.json").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{folder} has a corpus already")
+
+
+def _file(folder: str, shard: int, run: str) -> str:
+    return f"{folder}/shard-{run}-{shard:08d}.bin"
 
 
 def manifest(path: str) -> dict:
@@ -314,7 +327,7 @@ def read_sequences(path: str, start: int = 0, stop: int | None = None) -> Iterat
     store, folder = fs.FileSystem.from_uri(path)
     m = manifest(path)
     for shard in range(start // m["shard_rows"], m["shards"]):
-        with store.open_input_file(_file(folder, shard)) as f:
+        with store.open_input_file(_file(folder, shard, m["run"])) as f:
             slot = max(start, shard * m["shard_rows"])
             f.seek((slot - shard * m["shard_rows"]) * 2 * m["seq_len"])
             while raw := f.read(2 * m["seq_len"]):
