@@ -209,7 +209,8 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: int,
     """Those of pairs (a, b) whose full shingle sets have the similarity. Sets are made for the texts in pairs only."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     nodes = temp.keep(reps.select("node", "first_id", "mark").join(ends, "node", "left_semi"), "nodes")
-    sets = temp.keep(_of_texts(nodes, docs, "s", lambda s: s.view(np.int64)), "sets")
+    # rows with equal id and text are several rows of one node
+    sets = temp.keep(_of_texts(nodes, docs, "s", lambda s: s.view(np.int64)).dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.selectExpr("node as a", "s as sa"), "a").join(sets.selectExpr("node as b", "s as sb"), "b")
     return both.withColumn("i", F.expr("size(array_intersect(sa, sb))")).where(f"100 * i >= {similarity} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
 
