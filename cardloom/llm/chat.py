@@ -47,7 +47,11 @@ def format_chats(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         f"array_join(transform(ts, (t, i) -> concat({opening}, t.text)), '') as body",
         f"transform(ts, (t, i) -> struct(cast(char_length({opening}) as bigint) as o, cast(char_length(t.text) as bigint) as n, t.role = 'assistant' as said)) as ls",
     )
-    spans = "filter(transform(ls, (l, i) -> struct(l.said as said, aggregate(slice(ls, 1, i), 0L, (a, x) -> a + x.o + x.n) + l.o as s, l.n as n)), l -> l.said)"
+    # sums of lengths before turn i: within its 256 turns, and over the 256s before, so that a block of many equal turns stays cheap
+    add = "0L, (a, x) -> a + x)"
+    before = f"if(i < 256, 0L, aggregate(slice(bs, 1, i div 256), {add}) + if(i % 256 = 0, 0L, aggregate(slice(ws, 256 * (i div 256) + 1, i % 256), {add})"
+    each = f"filter(transform(ls, (l, i) -> struct(l.said as said, {before} + l.o as s, l.n as n)), l -> l.said)"
+    spans = let("ws", "transform(ls, l -> l.o + l.n)", let("bs", f"transform(sequence(0, cast((size(ws) - 1) div 256 as int)), k -> aggregate(slice(ws, 256 * k + 1, 256), {add})", each))
     parts = parts.selectExpr("conv_id", "part", "first_role", "last_role", "body", "aggregate(ls, 0L, (a, x) -> a + x.o + x.n) as size", f"{spans} as spans")
     whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "first_role", "last_role", "body", "size", "spans"))).alias("ps"))
     head = f"case when i > 0 and p.first_role = ps[i - 1].last_role then '{NEXT}' else concat(if(i = 0, '', '{END}'), '{START}', p.first_role, '{TEXT}') end"
