@@ -8,14 +8,14 @@ documents that link it anywhere; a document's links are weighed by these counts.
 Two passes. The first tokenises each text once, digests its groups, and writes postings: for each A id in a slice of documents one row with
 arrays of (B id, place of the document in the slice, links in it). The second is a cogroup on the A id: postings are shuffled by
 it and sorted within partitions (Spark spills), and a task streams them run by run: it counts documents for each B id, takes the maximum, and
-emits what each posting gives its document. These contributions are summed by document. An id with more than `run` postings
+emits what each posting gives its document. These contributions, arrays by slice, are summed by document. An id with more than `run` postings
 is dealt out over as many runs as it takes, by slice; its counts are made before, map-side first, and go ahead of each
 of its runs in the same sorted stream. So a run holds about `run` postings whatever the corpus has.
 
 Texts of more than SLICE_CHARS characters are tokenised in parts, cut between a letter and a space before a letter, where neither tokenizer has a
 token across; a text without such places is taken whole.
 
-Defined results: null and empty texts, and texts that either tokenizer doesn't give back byte for byte (U+2581 in the text), have no
+Defined results: null and empty texts, and texts that aren't given back byte for byte (U+2581 in the text; A gives back all), have no
 tokens: zeros, and '' as digest; repeated rows are documents of their own; ties for the highest count all count; special tokens' strings
 are plain text; an empty table gives no rows; other columns are ignored, whatever their names.
 """
@@ -23,6 +23,7 @@ are plain text; an empty table gives no rows; other columns are ignored, whateve
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -33,27 +34,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardloom.llm.common import BATCH_ROWS, Temporary, give_back, materialise, read
-from cardloom.llm.shards import PARTS
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
-#: Documents of a slice, the unit of postings; postings of a run.
+#: Documents of a slice, the unit of postings (1,024 at most); postings of a run.
 SLICE = 512
 RUN = 1 << 18
 SLICE_CHARS = 500_000
 #: Contributions that a task adds up before it emits them.
 HELD = 1 << 20
 SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-#: Characters that the parts below may not take as tokenizer A does: numbers that aren't decimal digits, odd separators, and all beyond Latin and common punctuation.
+# Fixed value: how byte-level vocabularies of this kind part a text before they merge.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose classes may differ between versions of Unicode, and thus between the two libraries: all beyond Latin and common punctuation, odd numbers and separators.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e]")
 
 
-class SideA(dict):
-    """Part of a text (as the tokenizer parts it) to its ids; remembers parts, and forgets all when there are too many."""
+class SideA:
+    """The byte-level vocabulary of a `tokenizers` file. Plain texts are encoded by tiktoken with the same merges, which is several times faster; others by `tokenizers`."""
 
     def __init__(self, path: str):
         import os
 
+        import tiktoken
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,24 +65,23 @@ class SideA(dict):
         self.bpe.encode_special_tokens = True
         self.bpe.no_truncation()
         decoded = {c: bytes([b]) for b, c in byte_characters().items()}
-        size = self.bpe.get_vocab_size()
-        self.surface = [b""] * size
+        special = {t.content for t in self.bpe.get_added_tokens_decoder().values()}
+        self.surface = [b""] * self.bpe.get_vocab_size()
         for token, i in self.bpe.get_vocab(with_added_tokens=True).items():
-            self.surface[i] = b"".join(decoded[c] for c in token) if all(c in decoded for c in token) else token.encode()
-
-    def __missing__(self, part: str) -> list[int]:
-        if len(self) > 400_000:
-            self.clear()
-        self[part] = ids = self.bpe.encode(part, add_special_tokens=False).ids
-        return ids
+            self.surface[i] = token.encode() if token in special else b"".join(decoded[c] for c in token)
+        ranks = {x: i for i, x in enumerate(self.surface) if self.bpe.id_to_token(i) not in special}
+        if not all(bytes([x]) in ranks for x in range(256)):
+            raise ValueError("a byte has no token: texts wouldn't come back whole")
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = [ranks[b"".join(decoded[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in merges]
+        # merges in the order of ids are what tiktoken goes by
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if made == sorted(made) else None
 
     def encode(self, text: str) -> list[int]:
-        if UNUSUAL.search(text):
+        if self.fast is None or UNUSUAL.search(text):
             return self.bpe.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for ids in map(self.__getitem__, PARTS.findall(text)):
-            out += ids
-        return out
+        return self.fast.encode_ordinary(text)
 
 
 def byte_characters() -> dict[int, str]:
@@ -106,10 +109,10 @@ class SideB:
 _sides: dict[tuple, tuple] = {}
 
 
-def sides(path_a: str, path_b: str) -> tuple[SideA, SideB, np.ndarray, np.ndarray, list[str]]:
+def sides(path_a: str, path_b: str) -> tuple[SideA, SideB, np.ndarray, np.ndarray, np.ndarray]:
     if (path_a, path_b) not in _sides:
         a, b = SideA(path_a), SideB(path_b)
-        names = [str(i) for i in range(max(len(a.surface), len(b.surface)))]
+        names = np.array([[f"{i}{sign}" for i in range(max(len(a.surface), len(b.surface)))] for sign in ",|;"], object)
         _sides[path_a, path_b] = a, b, np.array([len(x) for x in a.surface]), np.array([len(x) for x in b.surface]), names
     return _sides[path_a, path_b]
 
@@ -134,9 +137,11 @@ def tokens(text: str | None, a: SideA, b: SideB) -> tuple[list[int], list[int]]:
     ids_b: list[int] = []
     try:
         for part in parts(" " + text):
-            one, two, want = a.encode(part), b.encode(part), part.encode()
-            if b"".join(map(a.surface.__getitem__, one)) != want or b"".join(map(b.surface.__getitem__, two)) != want:
+            two, want = b.encode(part), part.encode()
+            # A has a token for every byte, so it gives back all that it is given
+            if b"".join(map(b.surface.__getitem__, two)) != want:
                 return [], []
+            one = a.encode(part)
             ids_a += one
             ids_b += two
     except UnicodeEncodeError:  # a lone surrogate has no bytes
@@ -144,7 +149,7 @@ def tokens(text: str | None, a: SideA, b: SideB) -> tuple[list[int], list[int]]:
     return ids_a, ids_b
 
 
-def align(ids_a: list[int], ids_b: list[int], len_a: np.ndarray, len_b: np.ndarray, names: list[str]) -> tuple[int, int, str, np.ndarray, np.ndarray]:
+def align(ids_a: list[int], ids_b: list[int], len_a: np.ndarray, len_b: np.ndarray, names: np.ndarray) -> tuple[int, int, str, np.ndarray, np.ndarray]:
     """n_groups, n_links, digest of the groups, distinct linked pairs (a << 32 | b) and the links of each."""
     if not ids_a:
         return 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -153,14 +158,16 @@ def align(ids_a: list[int], ids_b: list[int], len_a: np.ndarray, len_b: np.ndarr
     cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
     group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     size_a, size_b = np.bincount(group_a), np.bincount(group_b)
-    sa, sb = [names[i] for i in ids_a], [names[i] for i in ids_b]
-    text, i, j = [], 0, 0
-    for m, n in zip(size_a.tolist(), size_b.tolist(), strict=True):
-        text.append(f"{sa[i]}|{sb[j]}" if m == n == 1 else f"{','.join(sa[i : i + m])}|{','.join(sb[j : j + n])}")
-        i += m
-        j += n
+    # both sides in the order of the digest, each id with the sign that follows it: , within a side, | between sides, ; between groups
+    first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    text = np.empty(len(a) + len(b), np.int64)
+    sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    sign_a[first_a + size_a - 1], sign_b[first_b + size_b - 1] = 1, 2
+    text[np.arange(len(a)) + first_b[group_a]] = a + sign_a * len(names[0])
+    text[np.arange(len(b)) + (first_a + size_a)[group_b]] = b + sign_b * len(names[0])
+    digest = hashlib.sha256("".join(names.ravel()[text].tolist())[:-1].encode()).hexdigest()
     pairs, links = linked(a, b, size_a, size_b)
-    return len(cuts), int((size_a * size_b).sum()), hashlib.sha256(";".join(text).encode()).hexdigest(), pairs, links
+    return len(cuts), int((size_a * size_b).sum()), digest, pairs, links
 
 
 def linked(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -188,12 +195,12 @@ def linked(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
 
 
 #: Columns of what the first pass writes: of documents, then of postings.
-DOC = [("row", T.LongType()), ("key", None), ("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()), ("n_links", T.LongType()), ("groups_sha256", T.StringType())]
+DOC = [("of", T.LongType()), ("place", T.IntegerType()), ("key", None), ("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()), ("n_links", T.LongType()), ("groups_sha256", T.StringType())]
 POSTINGS = [("a", T.IntegerType()), ("slice", T.LongType()), ("b", T.ArrayType(T.IntegerType())), ("doc", T.ArrayType(T.IntegerType())), ("links", T.ArrayType(T.LongType()))]
 
 
 def postings(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = MODEL_B) -> DataFrame:
-    """From (row, text, key): one row for each document (a is null) and the postings of each slice (row is null). row must count up by one within a partition."""
+    """From (row, text, key), row being unique: one row for each document (a is null), with its slice and place in it, and the postings of each slice (of is null). A slice is named after its first row."""
     columns = [n for n, _ in (*DOC, *POSTINGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +225,7 @@ def postings(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = MODEL_B)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pair & 0xFFFFFFFF).astype(np.int32), doc.astype(np.int32), link)]
                 n, k = len(rows), len(ids)
                 values = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), (pa.int64(),) * 4 + (pa.string(),), strict=True)]
-                own = [batch.column(0), batch.column(2), *values]
+                own = [pa.array(np.full(n, rows[0])), pa.array(np.arange(n, dtype=np.int32)), batch.column(2), *values]
                 of_slice = [pa.array(ids.astype(np.int32)), pa.array(np.full(k, rows[0])), *lists]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(n, x.type) for x in of_slice)], names=columns)
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(k, x.type) for x in own), *of_slice], names=columns)
@@ -229,7 +236,7 @@ def postings(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = MODEL_B)
 
 
 def contributions(stream: DataFrame) -> DataFrame:
-    """row, best and total from postings sorted by (a, salt, head first): sums of what a task's runs give each document."""
+    """slice, doc, best, total (arrays) from postings sorted by (a, salt, head first): sums of what a task's runs give each document of a slice."""
 
     def counts(b: np.ndarray, heads: list) -> tuple[np.ndarray, int]:
         if heads:
@@ -246,9 +253,12 @@ def contributions(stream: DataFrame) -> DataFrame:
             sums = [np.zeros(len(row), np.int64) for _ in range(2)]
             np.add.at(sums[0], where, best)
             np.add.at(sums[1], where, total)
-            whole = pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, sums)], names=["row", "best", "total"])
-            for at in range(0, len(row), 50_000):
-                yield whole.slice(at, 50_000)
+            slices, first = np.unique(row >> 10, return_index=True)
+            offsets = pa.array([*first.tolist(), len(row)], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((row & 1023).astype(np.int32), *sums)]
+            whole = pa.RecordBatch.from_arrays([pa.array(slices), *lists], names=["slice", "doc", "best", "total"])
+            for at in range(0, len(slices), 1000):
+                yield whole.slice(at, 1000)
             held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +287,38 @@ def contributions(stream: DataFrame) -> DataFrame:
                 if ids[i, 2] == 0:
                     heads.append((b, m))
                 else:
-                    own.append((b, np.repeat(part.column(3).to_numpy(), np.diff(part.column(4).offsets.to_numpy())) + doc, m))
+                    own.append((b, np.repeat(part.column(3).to_numpy() << 10, np.diff(part.column(4).offsets.to_numpy())) | doc, m))
         close()
         yield from flush(held)
         give_back()
 
-    return stream.mapInArrow(run, "row long, best long, total long")
+    return stream.mapInArrow(run, "slice long, doc array<int>, best array<long>, total array<long>")
+
+
+def by_document(given: DataFrame) -> DataFrame:
+    """slice, doc, n_best, count_sum: contributions of all tasks summed, a slice after the other from sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros((2, SLICE), np.int64)
+
+        def told() -> pa.RecordBatch:
+            some = np.flatnonzero(sums[1])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now)), pa.array(some.astype(np.int32)), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["slice", "doc", "n_best", "count_sum"])
+
+        for batch in batches:
+            for i, s in enumerate(batch.column(0).to_pylist()):
+                if s != now:
+                    if now is not None:
+                        yield told()
+                    now, sums = s, np.zeros((2, SLICE), np.int64)
+                doc, best, total = (batch.column(k)[i].values.to_numpy() for k in (1, 2, 3))
+                np.add.at(sums[0], doc, best)
+                np.add.at(sums[1], doc, total)
+        if now is not None:
+            yield told()
+        give_back()
+
+    return given.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice long, doc int, n_best long, count_sum long")
 
 
 def weigh(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path_a: str = VOCABULARY_A, path_b: str = MODEL_B, run: int = RUN) -> DataFrame:
@@ -301,9 +337,9 @@ def weigh(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path_a:
     heads = whole.select("a", salts, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("slice"), F.col("x.id").alias("b"), F.col("x.id").alias("doc"), F.col("x.n").alias("links"))
     stream = dealt.select("a", "salt", F.lit(1).alias("kind"), "slice", "b", "doc", "links").unionByName(heads)
     given = contributions(stream.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind"))
-    sums = given.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("total").alias("count_sum"))
+    sums = by_document(given).withColumnsRenamed({"slice": "of", "doc": "place"})
     zero = F.lit(0).cast("long")
-    told = found.where("a is null").join(sums, "row", "left").select(F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
+    told = found.where("a is null").join(sums, ["of", "place"], "left").select(F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
     out = materialise(told, "alignment", "zstd", batch=10_000)
     tmp.drop()
     return out
