@@ -95,10 +95,11 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
 
 def share(n: str, size: str) -> str:
-    """SQL for 1 + floor(10^9 * (n + 1) / size), by long division in three digits of base 1000, so that nothing overflows."""
+    """SQL for 1 + floor(10^9 * (n + 1) / size): at once where that fits 64 bits, else by long division in three digits of base 1000."""
     digit = f"struct(got.q * 1000 + (got.r * 1000) div {size} as q, (got.r * 1000) % {size} as r)"
     # n + 1 <= size, so that the first digit is at most 1000
-    return f"(1 + aggregate(array(1, 2, 3), struct(0L as q, cast({n} + 1 as bigint) as r), (got, step) -> {digit}, got -> got.q))"
+    slow = f"aggregate(array(1, 2, 3), struct(0L as q, cast({n} + 1 as bigint) as r), (got, step) -> {digit}, got -> got.q)"
+    return f"(1 + if({n} < 9000000000, cast({n} + 1 as bigint) * 1000000000 div {size}, {slow}))"
 
 
 def f(p: str, q: str) -> str:
@@ -130,10 +131,10 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang_c
     one = full.select("*", F.expr(f"if(v = 0, 0L, {share('0L', '(total + v)')})").alias("z")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "source", (F.col("total") + F.col("v")).alias("size"), "z"))).alias("s"), F.first("v").alias("v"), F.first("whole").alias("whole"))
     table = tmp.keep(one.selectExpr("lang", "v", "whole + v as whole", "s.source as names", "s.size as sizes", "s.z as zs"), "by-source", files=4)
 
-    shares = beside(kept, table, ["lang"], "term").selectExpr("lang", "term", "n", "whole", "zs", f"transform(at, x -> struct(x.i as i, {share('x.n', 'sizes[x.i]')} as p)) as ps")
-    both = shares.selectExpr("lang", "ps", "zs", "explode(ps) as a").where("size(ps) > 1").selectExpr(
-        "lang", f"inline(transform(filter(ps, b -> b.i <> a.i), b -> struct(a.i as i, b.i as j, {f('a.p', 'b.p')} - {f('a.p', 'zs[b.i]')} - {f('zs[a.i]', 'b.p')} + {f('zs[a.i]', 'zs[b.i]')} as value)))"
-    )
+    shares = beside(kept, table, ["lang"], "term").selectExpr("lang", "term", "n", "whole", f"transform(at, x -> struct(x.i as i, {share('x.n', 'sizes[x.i]')} as p, zs[x.i] as z)) as ps")
+    # rows of pairs stay within one compiled stage, up to the sums; _outer, as plain ones make plans look at the arrays twice
+    lefts = shares.where("size(ps) > 1").selectExpr("lang", "ps", "explode_outer(ps) as a")
+    both = lefts.selectExpr("lang", "a", "explode_outer(ps) as b").where("a.i <> b.i").selectExpr("lang", "a.i as i", "b.i as j", f"{f('a.p', 'b.p')} - {f('a.p', 'b.z')} - {f('a.z', 'b.p')} + {f('a.z', 'b.z')} as value")
     counted = kept.select("lang", F.inline("at")).groupBy("lang", "i", "n").agg(F.count("*").alias("c"))
     alone = beside(counted, table, ["lang"], "n").selectExpr("lang", "i", "c", "zs", f"{share('n', 'sizes[i]')} as p")
     others = alone.selectExpr("lang", "i", "c", "p", "zs[i] as y", "posexplode(zs) as (j, z)").where("i <> j")
@@ -145,7 +146,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang_c
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
 
-    over = shares.selectExpr("lang", "term", f"{share('n', 'whole')} as q", "ps").selectExpr("lang", "term", "q", "inline(ps)").where("p > q").selectExpr("lang", "i", "term as item", f"{f('p', 'q')} as value")
+    over = shares.selectExpr("lang", "term", f"{share('n', 'whole')} as q", "ps").selectExpr("lang", "term", "q", "inline_outer(ps)").where("p > q").selectExpr("lang", "i", "term as item", f"{f('p', 'q')} as value")
     best = Window.partitionBy("lang", "i").orderBy(F.desc("value"), "item")
     ranked = over.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     terms = beside(ranked, groups, ["lang", "i"], "item").selectExpr("lang", "source", "'term' as part", "item", "value", "rank")
