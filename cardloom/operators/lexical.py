@@ -1,9 +1,9 @@
-"""Lexical search: postings, BM25, TF cosine, rank fusion, lexical boost, token budget."""
+"""Lexical search over a term index: BM25, TF cosine, rank fusion, lexical boost, token budget."""
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,42 +12,22 @@ from pyspark.sql import functions as F
 from cardloom.functions import scalars as S
 from cardloom.functions import text as X
 from cardloom.operators import graph
+from cardloom.operators.term_index import KINDS, TermIndex
 
-K1, B = 1.2, 0.75
 RRF = 60
 
 
-def _words(text: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({text}, '')), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"
+def build_index(cards: DataFrame, text: str = "fact", kind: str = "words") -> TermIndex:
+    """An index of cards in a folder of its own among the shared ones."""
+    index = TermIndex(cards.sparkSession, f"{graph.shared_folder(cards.sparkSession)}/cardloom/index-{uuid.uuid4().hex}", kind)
+    index.append(cards, text)
+    return index
 
 
-def postings(cards: DataFrame, text: str = "fact") -> DataFrame:
-    """(term, base, id, tf, len, scope): terms as they are written and without diacritics; len: the card's words; scope: null if cards have none."""
-    scope = F.col("scope") if "scope" in cards.columns else F.lit(None).cast("string")
-    words = cards.select("id", scope.alias("scope"), F.expr(_words(text)).alias("ws")).withColumn("len", F.size("ws"))
-    counted = words.select("id", "scope", "len", F.explode("ws").alias("term")).groupBy("term", "id", "len", "scope").agg(F.count("*").alias("tf"))  # a card has one length and scope; as keys they leave the sums to hashing
-    return counted.withColumn("base", F.expr(X.unaccented("term")))
+_indexes: dict[tuple[str, str, str], tuple[str, TermIndex]] = {}
 
 
-@dataclass(frozen=True)
-class Index:
-    """Postings, in each file sorted by term, so that a query reads the pages of its words only, and one row of statistics (nd cards, al words a card)."""
-
-    postings: DataFrame
-    stats: DataFrame
-
-
-def build_index(cards: DataFrame, text: str = "fact") -> Index:
-    """The texts are split into words once, and shuffled once, by term and card: a frequent term is in all files."""
-    p = graph.stored(postings(cards, text).sortWithinPartitions("base", "id"))
-    stats = graph.stored(cards.agg(F.count("*").alias("nd")).withColumn("al", p.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("n")).scalar() / F.greatest("nd", F.lit(1))))
-    return Index(p, stats)
-
-
-_indexes: dict[tuple[str, str, str], Index] = {}
-
-
-def index_of(cards: DataFrame, label: str, text: str = "fact") -> Index:
+def index_of(cards: DataFrame, label: str, text: str = "fact", kind: str = "words") -> TermIndex:
     """The index of cards, built at the first call of a session and again when their files have changed (by path, size or time). label tells views of the same files apart."""
     spark = cards.sparkSession
     jvm, conf, seen = spark._jvm, spark._jsc.hadoopConfiguration(), []
@@ -55,42 +35,37 @@ def index_of(cards: DataFrame, label: str, text: str = "fact") -> Index:
         path = jvm.org.apache.hadoop.fs.Path(f)
         status = path.getFileSystem(conf).getFileStatus(path)
         seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
-    key = (spark.sparkContext.applicationId, label, hashlib.sha256("\n".join(seen).encode()).hexdigest())
-    if key not in _indexes:
-        _indexes[key] = build_index(cards, text)
-    return _indexes[key]
+    state = hashlib.sha256("\n".join(seen).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, f"{label} {min(cards.inputFiles(), default='').rpartition('/')[0]}", kind)
+    was = _indexes.get(key)
+    if was is None or was[0] != state:
+        if was is not None:  # files have changed: nothing but results not yet read goes by the index before
+            was[1].drop()
+        _indexes[key] = (state, build_index(cards, text, kind))
+    return _indexes[key][1]
 
 
-def bm25(cards: DataFrame | Index, query: str | list[str], n: int = 30, prefix: bool = False, text: str = "fact", folded: bool = False, scope: str | None = None) -> DataFrame:
+def bm25(cards: DataFrame | TermIndex, query: str | list[str], n: int = 30, prefix: bool = False, text: str = "fact", folded: bool = False, scope: str | None = None) -> DataFrame:
     """(id, score): the n best cards, higher is better. With prefix=True each word stands for all terms that begin with it, as one.
 
     query: a text, split by blanks, or a list of words. With folded=True diacritics don't count. Statistics are those of all
-    cards, whatever the scope. Cards may be an Index, else one is made for this query.
+    cards, whatever the scope. Cards may be an index, else one is made for this query.
     """
-    index = cards if isinstance(cards, Index) else build_index(cards, text)
-    words = list(dict.fromkeys(w for w in (query.lower().split() if isinstance(query, str) else query) if w))
-    term = "base" if folded else "term"
-    # on the sorted column too, so that row groups are skipped; folding a word folds its prefixes
-    near = " or ".join(f"startswith(base, {X.lit(X.fold(w))})" if prefix else f"base = {X.lit(X.fold(w))}" for w in words) or "false"
-    match = f"filter({X.array_of(words)}, q -> {f'startswith({term}, q)' if prefix else f'{term} = q'})" if words else "cast(array() as array<string>)"
-    some = index.postings.where(near).select("id", "tf", "len", "scope", F.explode(F.expr(match)).alias("q"))
-    hit = some.groupBy("q", "id", "len", "scope").agg(F.sum("tf").alias("f"))
-    df = hit.groupBy("q").agg(F.count("*").alias("df"))  # as many rows as words
-    idf = "case when ln((st.nd - df + 0.5D) / (df + 0.5D)) <= 0 then 0.000001D else ln((st.nd - df + 0.5D) / (df + 0.5D)) end"
-    inside = hit if scope is None else hit.where(F.col("scope") == scope)
-    scored = inside.join(F.broadcast(df), "q").withColumn("st", index.stats.select(F.struct("nd", "al")).scalar()).withColumn("s", F.expr(f"{idf} * f * {K1 + 1}D / (f + {K1}D * (1 - {B}D + {B}D * len / st.al))"))
-    return scored.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(n)
-
-
-def tf_cosine(cards: DataFrame, query: str, k: int = 10, text: str = "fact") -> DataFrame:
-    """Cosine of raw term counts of [a-z0-9]+ words."""
+    index = cards if isinstance(cards, TermIndex) else build_index(cards, text)
+    return index.bm25(query.lower().split() if isinstance(query, str) else query, n, prefix, folded, scope)
+
+
+def tf_cosine(cards: DataFrame | TermIndex, query: str, k: int = 10, text: str = "fact") -> DataFrame:
+    """Cosine of raw term counts of [a-z0-9]+ words. Cards may be an index of kind `ascii`; else their texts are split up for this query."""
     from collections import Counter
 
     import re
 
     q = Counter(re.findall(r"[a-z0-9]+", query.lower()))
+    if isinstance(cards, TermIndex):
+        return cards.cosine(q, k)
     qn = sum(v * v for v in q.values()) ** 0.5 or 1.0
-    words = cards.select("id", F.explode(F.expr(f"regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+', 0)")).alias("term"))
+    words = cards.select("id", F.explode(F.expr(KINDS["ascii"].format(text))).alias("term"))
     tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
     weight = "case " + " ".join(f"when term = {X.lit(w)} then {v}" for w, v in q.items()) + " else 0 end" if q else "0"
     sums = tf.groupBy("id").agg(F.expr(f"sum(tf * ({weight}))").alias("d"), F.expr("sqrt(cast(sum(tf * tf) as double))").alias("n"))
@@ -121,7 +96,7 @@ def graph_boost(lex: DataFrame, edges: DataFrame) -> DataFrame:
     return n.selectExpr("target_id as id", "0.5D / (1 + 0.001D * (n - 1) * (n - 1)) as boost")
 
 
-def two_pass(cards: DataFrame | Index, vectors: DataFrame, query: str, k: int = 10) -> DataFrame:
+def two_pass(cards: DataFrame | TermIndex, vectors: DataFrame, query: str, k: int = 10) -> DataFrame:
     """BM25 candidates (50), re-ranked by 0.3 * min-max BM25 + 0.7 * cosine; vectors: (id, cos). With fewer candidates than k: the k best by cosine."""
     lex = graph.stored(bm25(cards, query, 50))
     if lex.count() < k:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.operators.term_index import TermIndex
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,8 +28,13 @@ def exact(cards: DataFrame, value: str) -> DataFrame:
     return cards.where(nocase("fact") == _lowered(value))
 
 
-def substring(cards: DataFrame, value: str, field: str = "fact") -> DataFrame:
-    """Facts (or evidence) that contain value, whatever the case of ASCII letters; % and _ are ordinary characters."""
+def substring(cards: DataFrame, value: str, field: str = "fact", index: TermIndex | None = None) -> DataFrame:
+    """Facts (or evidence) that contain value, whatever the case of ASCII letters; % and _ are ordinary characters.
+
+    With an index of trigrams of that field only its candidates' texts are read, and cards are picked by id.
+    """
+    if index is not None:
+        return cards.join(index.containing(value).select("id"), "id", "left_semi")
     return cards.where(F.contains(nocase(field), _lowered(value)))
 
 
@@ -36,16 +42,16 @@ def by_tag(cards: DataFrame, tag: str) -> DataFrame:
     return cards.where(F.array_contains("tags", tag))
 
 
-def lookup(cards: DataFrame, field: str, value: str) -> DataFrame:
-    """fact: exact matches, or else substrings; evidence: substrings; tags: membership. In order of time and id."""
+def lookup(cards: DataFrame, field: str, value: str, index: TermIndex | None = None) -> DataFrame:
+    """fact: exact matches, or else substrings; evidence: substrings; tags: membership. In order of time and id. index: trigrams of the field."""
     if field == "tags":
         return _ordered(by_tag(cards, value))
     if field == "evidence":
-        return _ordered(substring(cards, value, "evidence"))
+        return _ordered(substring(cards, value, "evidence", index))
     if field != "fact":
         raise ValueError(f"no lookup by {field}")
     # one pass: substrings count only where there is no exact match at all
-    found = substring(cards, value).withColumn("_exact", nocase("fact") == _lowered(value))
+    found = substring(cards, value, index=index).withColumn("_exact", nocase("fact") == _lowered(value))
     any_exact = found.agg(F.coalesce(F.bool_or("_exact"), F.lit(False)).alias("_any"))
     return _ordered(found.where(F.col("_exact") == any_exact.scalar()).drop("_exact"))
 

@@ -109,12 +109,12 @@ def sample_queries(facts: list[str], n: int, seed: int = 42) -> list[str]:
     return [parts[i % len(parts)] + (f" variant {i // len(parts)}" if i >= len(parts) else "") for i in range(n)] if parts else []
 
 
-def health(cards: DataFrame, index_stats: DataFrame, warn: float = 0.2, fail: float = 0.4) -> DataFrame:
+def health(cards: DataFrame, indexed: int, warn: float = 0.2, fail: float = 0.4) -> DataFrame:
     """One row: vectors that are zero or not of unit length, share of superseded cards (ok, warn from 20 %, fail from 40 %), cards
-    that point at none, and by how many cards the index differs from the live ones. index_stats: an index's row of statistics."""
+    that point at none, and by how many cards the index differs from the live ones. indexed: cards in the index (its snapshot's nd)."""
     norm = S.norm("embedding")
     dangling = cards.where("superseded_by is not null").join(cards.select(F.col("id").alias("superseded_by")), "superseded_by", "left_anti").agg(F.count("*").alias("n"))
     alive = live(cards).agg(F.count("*").alias("n"))
     out = cards.agg(F.count("*").alias("cards"), F.expr(f"count_if(embedding is not null and not ({norm} between 0.95D and 1.05D))").alias("odd_vectors"), F.expr("coalesce(count_if(superseded_by is not null) / cast(count(*) as double), 0D)").alias("bloat"))
-    out = out.withColumns({"dangling": dangling.scalar(), "drift": F.abs(alive.scalar() - index_stats.select("nd").scalar())})
+    out = out.withColumns({"dangling": dangling.scalar(), "drift": F.abs(alive.scalar() - F.lit(indexed))})
     return out.selectExpr("cards", "odd_vectors", "round(bloat, 4) as bloat", f"case when bloat >= {fail} then 'fail' when bloat >= {warn} then 'warn' else 'ok' end as bloat_status", "dangling", "drift")

@@ -16,6 +16,7 @@ from cardloom.functions import scalars as S
 from cardloom.functions import text as X
 from cardloom.operators import graph, lexical, lookup, search
 from cardloom.operators.lifecycle import unexpired
+from cardloom.operators.term_index import TermIndex
 from cardloom.sources.cards import live
 
 #: How many more candidates are fused than are returned, and fetched where some may be expired.
@@ -23,12 +24,12 @@ SPARE, TTL_SPARE = 4, 8
 POOL = 50
 
 
-def entity_sources(index: lexical.Index, query: str, n: int, scope: str | None = None) -> DataFrame:
+def entity_sources(index: TermIndex, query: str, n: int, scope: str | None = None) -> DataFrame:
     """(id, score): cards with any content word of the query, whole words only, best first."""
     return lexical.bm25(index, X.words_of(query), n, folded=True, scope=scope)
 
 
-def hybrid_search(cards: DataFrame, index: lexical.Index, query: str, vector: list[float], k: int = 5, alpha: float = 0.7, top_n: int = 30, scope: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+def hybrid_search(cards: DataFrame, index: TermIndex, query: str, vector: list[float], k: int = 5, alpha: float = 0.7, top_n: int = 30, scope: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """The k best live cards by reciprocal rank fusion of cosine and BM25 (content words as prefixes), with the boost of cards
     that lexical hits link to; order: score, then time, then id. A query without content words or a zero vector leaves that branch empty."""
     alive = live(cards)
@@ -39,7 +40,7 @@ def hybrid_search(cards: DataFrame, index: lexical.Index, query: str, vector: li
     return alive.join(F.broadcast(fused.select("id", "score")), "id").orderBy(F.desc("score"), "timestamp", "id").limit(k)
 
 
-def hybrid_retention(cards: DataFrame, index: lexical.Index, query: str, vector: list[float], edges: DataFrame, now: float, k: int = 5, alpha: float = 0.7, branch: int = 60, scope: str | None = None, boost: float = 0.1) -> DataFrame:
+def hybrid_retention(cards: DataFrame, index: TermIndex, query: str, vector: list[float], edges: DataFrame, now: float, k: int = 5, alpha: float = 0.7, branch: int = 60, scope: str | None = None, boost: float = 0.1) -> DataFrame:
     """(id, score): as hybrid_search, but what lies within two steps of a card whose fact contains a content word gets boost * retention."""
     alive = live(cards)
     vec = search.vector_search(alive, vector, branch, alpha=1.0, scope=scope).select("id", "score", "timestamp")
@@ -80,13 +81,13 @@ def first_of(hits: DataFrame, order: str, key: str = "id") -> DataFrame:
     return hits.groupBy(key).agg(F.min_by(F.struct(*cols), F.expr(order)).alias("x")).select(key, "x.*")
 
 
-def sql_path(cards: DataFrame, question: str) -> DataFrame:
-    """Cards for the key of the question: by fact, or else by tag; or else by its salient word in the fact."""
+def sql_path(cards: DataFrame, question: str, index: TermIndex | None = None) -> DataFrame:
+    """Cards for the key of the question: by fact, or else by tag; or else by its salient word in the fact. index: trigrams of the facts."""
     alive, key, word, tries = live(cards), key_of(question), salient(question), []
     if key:
-        tries += [lookup.lookup(alive, "fact", key), lookup.by_tag(alive, key)]
+        tries += [lookup.lookup(alive, "fact", key, index), lookup.by_tag(alive, key)]
     if word:
-        tries.append(lookup.lookup(alive, "fact", word))
+        tries.append(lookup.lookup(alive, "fact", word, index))
     if not tries:
         return alive.limit(0)
     found = tries[0].withColumn("try", F.lit(0))
@@ -104,13 +105,13 @@ class Answer:
     touches: DataFrame  # id, at
 
 
-def ask(cards: DataFrame, question: str, vector: list[float], budget: int = 300, now: float = 0.0) -> Answer:
+def ask(cards: DataFrame, question: str, vector: list[float], budget: int = 300, now: float = 0.0, index: TermIndex | None = None) -> Answer:
     """The question routed (stored states by lookup, all others and lookups without a hit by vector and words), cut to a token
-    budget; what was returned is to be appended to the touch log."""
+    budget; what was returned is to be appended to the touch log. index: trigrams of the facts, for lookups."""
     alive = lexical.token_cost(live(cards))
     hits, route = None, "vector"
     if structured(question):
-        hits = lexical.token_cost(sql_path(cards, question)).selectExpr("id", "fact", "1D as score", "cost", "0 as n_match", "0D as raw")
+        hits = lexical.token_cost(sql_path(cards, question, index)).selectExpr("id", "fact", "1D as score", "cost", "0 as n_match", "0D as raw")
         if hits.isEmpty():
             hits = None
         else:
@@ -148,7 +149,7 @@ def recall(cards: DataFrame, vector: list[float], now: float, k: int = 5, alpha:
     return unexpired(hits, now).select(*PUBLIC).orderBy(F.desc("score"), "timestamp", "id")
 
 
-def client_search(cards: DataFrame, index: lexical.Index, query: str, vector: list[float], now: float, k: int = 5, alpha: float = 0.7, top_n: int = 30, scope: str = "default", has_ttl: bool = False, edges: DataFrame | None = None) -> DataFrame:
+def client_search(cards: DataFrame, index: TermIndex, query: str, vector: list[float], now: float, k: int = 5, alpha: float = 0.7, top_n: int = 30, scope: str = "default", has_ttl: bool = False, edges: DataFrame | None = None) -> DataFrame:
     """recall() by hybrid search."""
     hits = hybrid_search(cards, index, query, vector, k + (TTL_SPARE if has_ttl else 0), alpha, top_n, scope, edges)
     return unexpired(hits, now).select(*PUBLIC).orderBy(F.desc("score"), "timestamp", "id")
@@ -164,9 +165,9 @@ def of_session(hits: DataFrame, tag: str) -> DataFrame:
     return lookup.by_tag(hits, tag)
 
 
-def scoped_lookup(cards: DataFrame, field: str, value: str, now: float, scope: str | None = None) -> DataFrame:
+def scoped_lookup(cards: DataFrame, field: str, value: str, now: float, scope: str | None = None, index: TermIndex | None = None) -> DataFrame:
     """lookup() among unexpired live cards (column `expiration`, null: never), of the scope, the default one, or none."""
     some = live(cards).where(F.col("expiration").isNull() | (F.col("expiration") > F.lit(now)))
     if scope is not None:
         some = some.where((F.col("scope") == scope) | (F.col("scope") == "default") | F.col("scope").isNull())
-    return lookup.lookup(some, field, value)
+    return lookup.lookup(some, field, value, index)

@@ -169,6 +169,11 @@ class TermIndex:
         self.docs(snap).drop("seg").withColumn("blk", F.expr(blk)).repartition("blk").sortWithinPartitions("blk", "id").write.parquet(f"{self.path}/docs/seg={name}")
         return self._commit(snap.version, [{"name": name, "docs": snap.nd, "words": snap.words, "blocks": blocks}], [], snap.nd, snap.words)
 
+    def drop(self) -> None:
+        """Delete the index and its files."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     # ---- searching ----
 
     def rows(self, words: list[str], snap: Snapshot, prefix: bool = False, folded: bool = False) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
 from cardloom.operators import graph, lexical, lookup, search
+from cardloom.operators.term_index import TermIndex
 from cardloom.plans.registry import query
 from cardloom.plans.vectors import first_vector
 from cardloom.sources.cards import cards_doc, cards_vec, padded, read
@@ -162,3 +165,45 @@ def tag_counts(spark, d):
 @query("cooccur_triplets", "with n as (select unnest(['the', 'und', 'para', 'dans']) as e), f as (select doc_id, e from documents, n where contains(lower(text), e)) select a.doc_id as id, a.e as subject, 'co_occurs' as predicate, b.e as object from f a join f b on a.doc_id = b.doc_id and a.e < b.e")
 def cooccur_triplets(spark, d):
     return graph.cooccurrence(read(spark, d, "documents").selectExpr("doc_id as id", "text"), ["the", "und", "para", "dans"])
+
+
+# ---- the stored index: batches, updates, trigrams -----------------------------------------------------------------
+
+
+def _new_index(spark, kind="words", **how):
+    return TermIndex(spark, f"{graph.shared_folder(spark)}/cardloom/index-{uuid.uuid4().hex}", kind, **how)
+
+
+@query("bm25_appended", f"with {bm25_sql('w = q', 20)} select id, round(score, 6) as score from lex")
+def bm25_appended(spark, d):
+    """An index that grew by two batches, of which one came first with other texts, then was put right, against all cards at once."""
+    cards, index = cards_doc(spark, d), _new_index(spark)
+    index.append(cards.where("doc_id % 2 = 0"))
+    index.append(cards.where("doc_id % 2 = 1").withColumn("fact", F.concat(F.lit("the "), F.coalesce("fact", F.lit("")))))
+    index.upsert(cards.where("doc_id % 2 = 1"))
+    return lexical.bm25(index, WORDS, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_merged", f"with {bm25_sql('w = q', 20).replace('from documents)', 'from documents where doc_id % 5 <> 3)')} select id, round(score, 6) as score from lex")
+def bm25_merged(spark, d):
+    """Two segments, a deletion of every fifth card, and a merge."""
+    cards, index = cards_doc(spark, d), _new_index(spark)
+    index.append(cards.where("doc_id % 3 = 0"))
+    index.append(cards.where("doc_id % 3 <> 0"))
+    index.delete(cards.where("doc_id % 5 = 3").select("id"))
+    index.merge()
+    return lexical.bm25(index, WORDS, 20).select("id", F.round("score", 6).alias("score"))
+
+
+def _trigrams(spark, d):
+    return lexical.index_of(cards_doc(spark, d), "document trigrams", kind="trigrams")
+
+
+@query("substring_indexed", "select 'd' || lpad(cast(doc_id as varchar), cast(greatest(6, length(cast(doc_id as varchar))) as int), '0') as id from documents where contains(lower(text), 'licensed under')")
+def substring_indexed(spark, d):
+    return lookup.substring(cards_doc(spark, d), "Licensed under", index=_trigrams(spark, d)).select("id")
+
+
+@query("tf_cosine_indexed", "with t as (select 'd' || lpad(cast(doc_id as varchar), cast(greatest(6, length(cast(doc_id as varchar))) as int), '0') as id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as term from documents), f as (select id, term, count(*) as tf from t group by 1, 2), s as (select id, sum(case when term = 'the' then 2 * tf when term = 'with' then tf else 0 end) as d, sqrt(sum(tf * tf)) as n from f group by id) select id, round(d / (n * sqrt(5)), 6) as score from s where d > 0 order by d / (n * sqrt(5)) desc, id limit 20")
+def tf_cosine_indexed(spark, d):
+    return lexical.tf_cosine(lexical.index_of(cards_doc(spark, d), "document words", kind="ascii"), "the with the", 20).select("id", F.round("score", 6).alias("score"))

@@ -429,7 +429,7 @@ def health_report(spark, d):
     """The index is that of the documents, so it is off by the difference."""
     from cardloom.plans.lexical import _index as documents
 
-    return reads.health(cards_vec(spark, d), documents(spark, d).stats)
+    return reads.health(cards_vec(spark, d), documents(spark, d).snapshot().nd)
 
 
 @query("vec_cosine_topk", f"with {CARDS}, s as (select id, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) as c from (select id, list_transform(e, lambda x: x * (1 + vec_id % 3)) as e from live), q) select id, round(c, 6) as score from s order by c desc, id limit 10")
