@@ -75,6 +75,16 @@ def stability_fold(s0: str, a0: str, importance: str, n: str) -> str:
     return f"least(10D, greatest(1D, aggregate(if({n} > 0, sequence(1, cast({n} as int)), array()), cast({s0} as double), (s, i) -> least(10D, greatest(1D, s * (1D + 0.5D * ln(1D + {a0} + i) + 0.3D * {importance}))))))"
 
 
+def stability_after(s0: float, a0: int, importance: float, n: int) -> float:
+    """stability_fold() of one card in Python, for states of streams; it stops where the product has reached its limit for good."""
+    s = s0
+    for i in range(1, n + 1):
+        s = min(10.0, max(1.0, s * (1 + 0.5 * math.log(1 + a0 + i) + 0.3 * importance)))
+        if s == 10.0 and importance >= 0:
+            break
+    return min(10.0, max(1.0, s))
+
+
 def vitality(last: str, ts: str, accesses: str, now: str) -> str:
     return f"0.7D * exp(-{VITALITY_LAMBDA!r}D * greatest(0D, {now} - if({last} = 0, {ts}, {last}))) + 0.3D * ln(1D + greatest(0, {accesses}))"
 
