@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
-from cardloom.operators.search import similar_pairs
+from cardloom.operators.search import similar_between, similar_pairs
 from cardloom.sources.cards import live
 
 
@@ -44,9 +44,9 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def semantic_edges(cards: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Edges from the lower to the higher id with cosine over the threshold."""
-    return similar_pairs(cards, threshold).selectExpr("a as source_id", "b as target_id", "'semantic' as relation_type", "least(1D, greatest(0D, cos)) as weight")
+def semantic_edges(cards: DataFrame, threshold: float = 0.75, recall: float | None = None) -> DataFrame:
+    """Edges from the lower to the higher id with cosine over the threshold; all of them, or about the share `recall` without comparing all where vectors don't cluster."""
+    return similar_pairs(cards, threshold, recall=recall).selectExpr("a as source_id", "b as target_id", "'semantic' as relation_type", "least(1D, greatest(0D, cos)) as weight")
 
 
 def shared_tag_edges(cards: DataFrame, floor: float = 0.0) -> DataFrame:
@@ -150,18 +150,31 @@ def within(edges: DataFrame, start: DataFrame, hops: int = 2, min_weight: float
     return seen
 
 
+#: Tags of at most so many new cards go to every task.
+BROADCAST_CARDS = 50_000
+
+
+def tag_links(new: DataFrame, cards: DataFrame, small: int = BROADCAST_CARDS) -> DataFrame:
+    """(source_id, target_id, weight) from new cards to others that share a tag: Jaccard of their tag sets. They meet by tag; few new ones are broadcast, with more of them a common tag's rows are split by adaptive execution."""
+    sets = lambda t, id_: t.select(F.col("id").alias(id_), F.array_distinct("tags").alias("ts")).where("size(ts) > 0")
+    one = sets(new, "source_id").select("source_id", F.size("ts").alias("x"), F.explode("ts").alias("tag"))
+    two = sets(cards, "target_id").select("target_id", F.size("ts").alias("y"), F.explode("ts").alias("tag"))
+    few = new.limit(small + 1).count() <= small
+    met = two.join(F.broadcast(one) if few else one, "tag").where("source_id <> target_id")
+    return met.groupBy("source_id", "target_id", "x", "y").agg(F.count("*").alias("k")).selectExpr("source_id", "target_id", "k / cast(x + y - k as double) as weight")
+
+
 def auto_link(card: DataFrame, cards: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Edges from new cards to others: semantic over the threshold; by shared tags only where there is no semantic one. One pass over cards for all new ones."""
-    new = F.broadcast(card.selectExpr("id as source_id", "embedding as e0", "coalesce(tags, cast(array() as array<string>)) as t0"))
-    pairs = cards.selectExpr("id as target_id", "embedding as e1", "coalesce(tags, cast(array() as array<string>)) as t1").join(new, F.expr("source_id <> target_id"))
-    seen = pairs.withColumns({"cos": F.expr(f"if(e0 is null or e1 is null, 0D, {S.cosine('e0', 'e1')})"), "jac": F.expr(S.jaccard("t0", "t1"))})
-    kinds = f"case when cos > {threshold}D then struct('semantic' as relation_type, least(1D, greatest(0D, cos)) as weight) when jac > 0 then struct('shared_tag' as relation_type, jac as weight) end"
-    return seen.withColumn("x", F.expr(kinds)).where("x is not null").select("source_id", "target_id", "x.relation_type", "x.weight")
+    """Edges from new cards to others: semantic over the threshold; by shared tags only where there is no semantic one. No pair is formed that neither a vector nor a tag brings together."""
+    near = stored(similar_between(card, cards, threshold))
+    semantic = near.selectExpr("a as source_id", "b as target_id", "'semantic' as relation_type", "least(1D, greatest(0D, cos)) as weight")
+    tagged = tag_links(card, cards).join(near.selectExpr("a as source_id", "b as target_id"), ["source_id", "target_id"], "left_anti")
+    return semantic.unionByName(tagged.selectExpr("source_id", "target_id", "'shared_tag' as relation_type", "weight"))
 
 
-def bulk_link(cards: DataFrame, threshold: float = 0.75) -> DataFrame:
+def bulk_link(cards: DataFrame, threshold: float = 0.75, recall: float | None = None) -> DataFrame:
     """All edges among cards, of both kinds independently, from the lower id to the higher."""
-    return semantic_edges(cards, threshold).unionByName(shared_tag_edges(cards))
+    return semantic_edges(cards, threshold, recall).unionByName(shared_tag_edges(cards))
 
 
 def rebuild(cards: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,11 +134,16 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return m
 
 
-def _cells(some: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
-    """n pivots (the vectors of the n smallest hashes of ids, n x dimension floats), and id, embedding, cell, angle, norm of each card: its nearest pivot and how far it is."""
+def _pivots(some: DataFrame, n: int) -> np.ndarray:
+    """The vectors of the n smallest hashes of ids, of unit length: n x dimension floats."""
     rows = some.orderBy(F.xxhash64("id"), "id").limit(n).select("embedding").collect()
     pivots = _matrix([r[0] for r in rows], max(len(r[0]) for r in rows))
-    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
+    return pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
+
+
+def _cells(some: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
+    """n pivots, and id, embedding, cell, angle, norm of each card: its nearest pivot and how far it is."""
+    pivots = _pivots(some, n)
     sent = some.sparkSession.sparkContext.broadcast(pivots)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,16 +166,43 @@ def may_meet(pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray, threshold
 
 #: At most so many cells: the table of those that may meet has their square.
 MAX_CELLS = 1024
+#: A side of a join with at most so many vectors is sent to all tasks.
+BROADCAST_VECTORS = 4096
+PAIR = "a string, b string, cos double"
+
+
+def _dealt(celled: DataFrame, known: DataFrame) -> DataFrame:
+    """(i, j, blk, id, embedding): each row once for every pair of blocks (i <= j) that it belongs to. celled (cell, id, embedding), known (cell, parts, others: cells that may meet, with their parts); blocks of a cell are dealt by a hash."""
+    blocked = celled.join(F.broadcast(known), "cell").withColumn("blk", F.expr("cell * 1048576 + pmod(xxhash64(id), parts)"))
+    dealt = blocked.select("blk", "id", "embedding", F.explode("others").alias("o")).select("blk", "id", "embedding", F.expr("explode(transform(sequence(0L, o.parts - 1), t -> o.cell * 1048576 + t))").alias("other"))
+    return dealt.selectExpr("least(blk, other) as i", "greatest(blk, other) as j", "blk", "id", "embedding")
+
+
+def _pairs_of_blocks(threshold: float):
+    """For a group of one or two blocks: pairs over the threshold; those within one of two blocks come from that block's own group."""
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id").reset_index(drop=True)
+        m = _matrix(g["embedding"], max(map(len, g["embedding"])))
+        i, j = g["blk"].to_numpy(), g["id"].to_numpy()
+        x, y = np.nonzero(np.triu(m @ m.T > threshold, 1))
+        if g["blk"].nunique() > 1:
+            x, y = x[i[x] != i[y]], y[i[x] != i[y]]
+        return pd.DataFrame({"a": j[x], "b": j[y], "cos": (m[x] * m[y]).sum(1)})
 
+    return pairs
 
-def similar_pairs(cards: DataFrame, threshold: float, block_rows: int = 2000) -> DataFrame:
-    """(a, b, cos) with a < b and dot product over the threshold, exactly.
+
+def similar_pairs(cards: DataFrame, threshold: float, block_rows: int = 2000, recall: float | None = None) -> DataFrame:
+    """(a, b, cos) with a < b and dot product over the threshold, exactly; or, with a recall below 1, most of them (hashed_pairs).
 
     Cards go to the cell of their nearest pivot. Two cells meet only if the triangle inequality of angles allows a pair over
     the threshold: exact, and far fewer than all where vectors gather in clusters (where they don't, the work is quadratic).
     Cells are dealt in blocks of about block_rows by a hash; each pair of blocks is one group in which a matrix product is
     taken, so only pairs over the threshold leave it, and no row pairs are formed. A row is sent once for each block it meets.
     """
+    if recall is not None:
+        return hashed_pairs(cards, threshold, recall, block_rows)
     some, spark = cards.where("embedding is not null and size(embedding) > 0").select("id", "embedding"), cards.sparkSession
     n = min(MAX_CELLS, max(1, -(-some.count() // block_rows)))
     if n == 1:
@@ -182,17 +215,133 @@ def similar_pairs(cards: DataFrame, threshold: float, block_rows: int = 2000) ->
         parts = [-(-found[c]["n"] // block_rows) for c in cells]
         table = [(c, parts[i], [(cells[j], parts[j]) for j in np.flatnonzero(meet[i]).tolist()]) for i, c in enumerate(cells)]
     known = spark.createDataFrame(table, "cell long, parts long, others array<struct<cell: long, parts: long>>")
-    blocked = celled.join(F.broadcast(known), "cell").withColumn("blk", F.expr("cell * 1048576 + pmod(xxhash64(id), parts)"))
-    dealt = blocked.select("blk", "id", "embedding", F.explode("others").alias("o")).select("blk", "id", "embedding", F.expr("explode(transform(sequence(0L, o.parts - 1), t -> o.cell * 1048576 + t))").alias("other"))
-    dealt = dealt.selectExpr("least(blk, other) as i", "greatest(blk, other) as j", "blk", "id", "embedding")
+    return _dealt(celled, known).groupBy("i", "j").applyInPandas(_pairs_of_blocks(threshold), PAIR)
+
+
+# ---- pairs by random hyperplanes: no clusters needed, most pairs found, all found ones exact --------------------------------
+
+
+def hash_shape(cosine: float, recall: float, n: int, most: int = 512, row: float = 500.0) -> tuple[int, int, float]:
+    """(bits, tables, share): how many sign bits make a key and how many keys a vector gets, so that a pair at the cosine shares a key
+    with probability `recall`, at the least cost; share: of all pairs of unrelated vectors those that are looked at. A row sent costs as much as `row` pairs."""
+    p = 1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    best = None
+    for bits in range(1, 41):
+        tables = math.ceil(math.log(1 - recall) / math.log1p(-(p**bits))) if p < 1 else 1
+        if tables > most:
+            break
+        cost = tables * (row + n * 0.5**bits / 2)
+        if best is None or cost < best[0]:
+            best = cost, bits, tables
+    return best[1], best[2], min(1.0, best[2] * 0.5 ** best[1])
+
+
+def hashed_pairs(cards: DataFrame, threshold: float, recall: float = 0.9, block_rows: int = 2000, seed: int = 7) -> DataFrame:
+    """(a, b, cos): pairs of dot product over the threshold, at least about the share `recall` of those at it and more of nearer ones.
+
+    A vector gets a key in each table: the signs of its products with random directions. Vectors that share a key meet, whether they gather in clusters or not;
+    a key that very many share is dealt in blocks like a cell of similar_pairs. Products are taken in full, and a pair found
+    in several tables is told once. A dot product over the threshold needs a cosine over threshold / largest norm squared.
+    """
+    some, spark = cards.where("embedding is not null and size(embedding) > 0").select("id", "embedding"), cards.sparkSession
+    about = some.agg(F.count("*").alias("n"), F.max(F.expr(S.norm("embedding"))).alias("norm"), F.max(F.size("embedding")).alias("dim")).first()
+    if not about["n"]:
+        return spark.createDataFrame([], PAIR)
+    bits, tables, _ = hash_shape(threshold / max(about["norm"] ** 2, 1e-300), recall, about["n"])
+    directions = np.random.default_rng(seed).standard_normal((about["dim"], tables * bits))
+    sent, powers = spark.sparkContext.broadcast(directions), 1 << np.arange(bits, dtype=np.int64)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                signs = (_matrix(part["embedding"], len(sent.value)) @ sent.value > 0).reshape(len(part), tables, bits)
+                yield pd.DataFrame({"id": part["id"], "embedding": part["embedding"], "keys": list(signs @ powers)})
+
+    keyed = some.mapInPandas(keys, "id string, embedding array<float>, keys array<long>").select("id", "embedding", F.posexplode("keys").alias("t", "key"))
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # a key's blocks meet each other: (i, j) of them, in a row's own copy for each block that it meets
+    blocked = keyed.join(sizes, ["t", "key"]).withColumn("parts", F.expr(f"ceil(n / {block_rows})")).withColumn("blk", F.expr("pmod(xxhash64(id), parts)"))
+    dealt = blocked.select("t", "key", "blk", "id", "embedding", F.explode(F.expr("sequence(0L, parts - 1)")).alias("other")).selectExpr("t", "key", "least(blk, other) as i", "greatest(blk, other) as j", "blk", "id", "embedding")
+    found = dealt.groupBy("t", "key", "i", "j").applyInPandas(_pairs_of_blocks(threshold), PAIR)
+    return found.groupBy("a", "b").agg(F.max("cos").alias("cos"))
+
+
+# ---- pairs between two sides -------------------------------------------------------------------------------------------
+
+
+def similar_between(new: DataFrame, old: DataFrame, threshold: float, block_rows: int = 2000, small: int = BROADCAST_VECTORS) -> DataFrame:
+    """(a, b, cos): cosines over the threshold (0 or more) of vectors of new (a) with those of old (b) of other ids, exactly.
+
+    Up to `small` new vectors go to every task, as a matrix, and old ones are passed by once, without a shuffle. More of them
+    are put in cells with the old ones; blocks of either side meet where the angles between their cells allow a pair.
+    """
+    one, two = (t.where("embedding is not null and size(embedding) > 0").select("id", "embedding") for t in (new, old))
+    spark, few = new.sparkSession, one.limit(small + 1).collect()
+    if len(few) <= small:
+        if not few:
+            return spark.createDataFrame([], PAIR)
+        width = max(len(r["embedding"]) for r in few)
+        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in few], object), _matrix([r["embedding"] for r in few], width)))
+
+        def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, m = sent.value
+            for b in batches:
+                for at in range(0, len(b), 1000):
+                    part = b.iloc[at : at + 1000]
+                    yield _over(ids, m, part["id"].to_numpy(), _matrix(part["embedding"], max(map(len, part["embedding"]))), threshold)
+
+        return two.mapInPandas(against, PAIR)
+    both = one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
+    n = min(MAX_CELLS, max(1, -(-both.count() // block_rows)))
+    # angles don't depend on lengths, so cells are those of unit vectors; a product of the common length only isn't bounded by angles of whole vectors
+    even = both.agg(F.min(F.size("embedding")) == F.max(F.size("embedding"))).first()[0]
+    pivots = _pivots(both, n if even else 1)
+    celled = _sided(both, pivots)
+    found = celled.groupBy("side", "cell").agg(F.max("angle").alias("angle"), F.count("*").alias("n")).collect()  # two rows for a cell
+    cells = {s: sorted(r["cell"] for r in found if r["side"] == s) for s in (0, 1)}
+    at = {(r["side"], r["cell"]): r for r in found}
+    parts = {k: -(-r["n"] // block_rows) for k, r in at.items()}
+    table = []
+    for s in (0, 1):
+        mine, theirs = cells[s], cells[1 - s]
+        angle = np.arccos((pivots[mine] @ pivots[theirs].T).clip(-1, 1)) - np.array([at[s, c]["angle"] for c in mine])[:, None] - np.array([at[1 - s, c]["angle"] for c in theirs])[None, :] - 1e-7
+        meet = np.cos(angle.clip(0, np.pi)) > threshold - 1e-9 if even else np.ones(angle.shape, bool)
+        table += [(s, c, parts[s, c], [(theirs[j], parts[1 - s, theirs[j]]) for j in np.flatnonzero(meet[i]).tolist()]) for i, c in enumerate(mine)]
+    known = spark.createDataFrame(table, "side int, cell long, parts long, others array<struct<cell: long, parts: long>>")
+    blocked = celled.join(F.broadcast(known), ["side", "cell"]).withColumn("blk", F.expr("cell * 1048576 + pmod(xxhash64(id), parts)"))
+    dealt = blocked.select("side", "blk", "id", "embedding", F.explode("others").alias("o")).select("side", "blk", "id", "embedding", F.expr("explode(transform(sequence(0L, o.parts - 1), t -> o.cell * 1048576 + t))").alias("other"))
+    dealt = dealt.selectExpr("if(side = 0, blk, other) as i", "if(side = 0, other, blk) as j", "side", "id", "embedding")
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id").reset_index(drop=True)
-        m = _matrix(g["embedding"], max(map(len, g["embedding"])))
-        i, j = g["blk"].to_numpy(), g["id"].to_numpy()
-        x, y = np.nonzero(np.triu(m @ m.T > threshold, 1))
-        if g["blk"].nunique() > 1:  # pairs inside a block come from its own group
-            x, y = x[i[x] != i[y]], y[i[x] != i[y]]
-        return pd.DataFrame({"a": j[x], "b": j[y], "cos": (m[x] * m[y]).sum(1)})
+        width = max(map(len, g["embedding"]))
+        a, b = g[g["side"] == 0], g[g["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": object, "b": object, "cos": float})
+        return _over(a["id"].to_numpy(), _matrix(a["embedding"], width), b["id"].to_numpy(), _matrix(b["embedding"], width), threshold)
+
+    return dealt.groupBy("i", "j").applyInPandas(pairs, PAIR)
+
+
+def _over(ids: np.ndarray, m: np.ndarray, others: np.ndarray, k: np.ndarray, threshold: float) -> pd.DataFrame:
+    """(a, b, cos) over the threshold of two matrices, products over the common length, norms over the whole."""
+    width = min(m.shape[1], k.shape[1])
+    scale = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(k, axis=1)[None, :]
+    cos = np.divide(m[:, :width] @ k[:, :width].T, scale, out=np.zeros(scale.shape), where=scale > 0)
+    x, y = np.nonzero((cos > threshold) & (ids[:, None] != others[None, :]))
+    return pd.DataFrame({"a": ids[x], "b": others[y], "cos": cos[x, y]})
+
+
+def _sided(both: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """both (id, embedding, side) with cell and angle of each row's nearest pivot."""
+    sent = both.sparkSession.sparkContext.broadcast(pivots)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                m = _matrix(b["embedding"], sent.value.shape[1])
+                cos = m @ sent.value.T / np.maximum(np.array([np.linalg.norm(np.asarray(e, np.float64)) for e in b["embedding"]]), 1e-300)[:, None]
+                cell = cos.argmax(1)
+                yield b.assign(cell=cell.astype(np.int64), angle=np.arccos(cos[np.arange(len(b)), cell].clip(-1, 1)))
 
-    return dealt.groupBy("i", "j").applyInPandas(pairs, "a string, b string, cos double")
+    return both.mapInPandas(nearest, "id string, embedding array<float>, side int, cell long, angle double")
