@@ -124,17 +124,22 @@ def lexical_boost(hits: DataFrame, query: str) -> DataFrame:
     return out.withColumns({"boosted": F.expr(f"least(1D, score + {total})"), "n_match": F.expr("n_num + n_id + n_word")}).drop("n_num", "n_id", "n_word")
 
 
-def with_budget(hits: DataFrame, budget: int, ties: list[str] | None = None) -> DataFrame:
+def with_budget(hits: DataFrame, budget: int, ties: list[str] | None = None, salts: int = 64) -> DataFrame:
     """The hits (query_id, id, score, cost) of each query that a token budget admits, best first; ties: columns that break ties of score, larger first, before the id.
 
-    Taken while they fit; a weak hit (score under .35) whose value per token is under a quarter of the mean so far ends it.
-    A query has few hits (they come from a top-k), so each query is one group.
+    Taken while they fit; a weak hit (score under .35) whose value per token is under a quarter of the mean so far ends it. A query may have any
+    number of hits: each that costs takes a token at least, so only the first `budget` + 1 of them by rank can matter. They are
+    ranked within `salts` parts first, and only what is left of those meets in one group (with the hits that cost nothing, which always stay).
     """
     cols = ["query_id", "id", "score", "cost"]
     by = ["score", *(ties or []), "id"]
+    order = [F.desc(c) for c in by[:-1]] + [F.col("id")]
+    some = hits.select(*cols, *(ties or [])).where("score > 0")
+    ranks = some.where("cost > 0").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("rank") <= budget + 1)
+    near = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= budget + 1).drop("salt", "rank")
 
     def take(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["score"] > 0].sort_values(by, ascending=[False] * (len(by) - 1) + [True])
+        g = g.sort_values(by, ascending=[False] * (len(by) - 1) + [True])
         kept, value, used = [], 0.0, 0
         for i, score, cost in zip(g.index, g["score"], g["cost"], strict=True):
             if cost > 0:
@@ -145,7 +150,7 @@ def with_budget(hits: DataFrame, budget: int, ties: list[str] | None = None) ->
             value += score
         return g.loc[kept, cols]
 
-    return hits.select(*cols, *(ties or [])).groupBy("query_id").applyInPandas(take, hits.select(*cols).schema)
+    return near.unionByName(some.where("cost <= 0")).groupBy("query_id").applyInPandas(take, hits.select(*cols).schema)
 
 
 def token_cost(cards: DataFrame) -> DataFrame:

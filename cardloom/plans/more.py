@@ -216,15 +216,15 @@ def space_summary(spark, d):
     return sweep.space_summary(cards_vec(spark, d), edges(spark, d).withColumn("weight", F.expr("least(1D, weight * 2)")), AS_OF)
 
 
-WORDY = "ws as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as ws, text from documents where doc_id < 400 and text is not null)"
-DRY = f"""{WORDY}, p as (select a.doc_id as a, b.doc_id as b from ws a join ws b on a.doc_id < b.doc_id where len(a.ws) > 0 and len(list_intersect(a.ws, b.ws)) >= 0.7 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))), e2 as (select a, b from p union select b, a from p), reach as (select a as id, a as m from e2 union select reach.id, e2.b from reach join e2 on e2.a = reach.m), comp as (select id, min(m) as cluster from reach group by id),
-c as (select doc_id, coalesce(text, '') as text, cluster, 1704067200.0 + doc_id * 60 as ts, doc_id % 4 as n from documents left join comp on id = doc_id where doc_id < 400), s as (select cluster, case when count(distinct lower(trim(text))) = 1 then min(doc_id) else max(doc_id) end as keep, sum(n) as n from c where cluster is not null group by cluster),
+WORDY = "ws as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as ws, text from documents where text is not null)"
+DRY = f"""{WORDY}, t as (select doc_id, len(ws) as n, unnest(ws) as x from ws), q as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from t a join t b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2), p as (select a, b from q where i >= 0.7 * (na + nb - i)), e2 as (select a, b from p union select b, a from p), reach as (select a as id, a as m from e2 union select reach.id, e2.b from reach join e2 on e2.a = reach.m), comp as (select id, min(m) as cluster from reach group by id),
+c as (select doc_id, coalesce(text, '') as text, cluster, 1704067200.0 + doc_id * 60 as ts, doc_id % 4 as n from documents left join comp on id = doc_id), s as (select cluster, case when count(distinct lower(trim(text))) = 1 then min(doc_id) else max(doc_id) end as keep, sum(n) as n from c where cluster is not null group by cluster),
 left_ as (select c.doc_id, c.text, coalesce(s.n, c.n) as n, c.ts from c left join s using (cluster) where s.keep is null or s.keep = c.doc_id), pr as (select doc_id from left_ where {NOW} - ts >= 3600 and n = 0 and 0.7 * exp(-(ln(2) / 2592000) * greatest(0, {NOW} - ts)) < 0.37)"""
 
 
 @query("sweep_dry_run", f"with recursive {DRY} select (select count(*) from c) as cards_before, (select count(*) from left_ where doc_id not in (select doc_id from pr)) as survivors, (select count(*) from c) - (select count(*) from left_) as merged_cards, (select count(*) from pr) as decayed_cards, (select cast(sum({TOKENS}) as bigint) from c) as tokens_before, (select cast(sum({TOKENS}) as bigint) from left_ where doc_id not in (select doc_id from pr)) as tokens_after")
 def sweep_dry_run(spark, d):
-    c = cards_full(spark, d).where("doc_id < 400").withColumns({"superseded_by": F.lit(None).cast("string"), "archived": F.lit(0.0), "last_access": F.lit(0.0), "scope": F.lit("default")})
+    c = cards_full(spark, d).withColumns({"superseded_by": F.lit(None).cast("string"), "archived": F.lit(0.0), "last_access": F.lit(0.0), "scope": F.lit("default")})
     r = sweep.dry_run(c, AS_OF, floor=0.37, cosine=False).report
     return r.select("cards_before", "survivors", "merged_cards", "decayed_cards", "tokens_before", "tokens_after")
 
@@ -531,5 +531,5 @@ def resolve_entity_table(spark, d):
 @query("budget_all_equal", f"with {COSTS}, o as (select id, cost, sum(cost) over (order by id) as upto from live where cost > 0) select id, cost from o where upto <= 5000")
 def budget_all_equal(spark, d):
     """Hits of one score: taken in order while they fit."""
-    c = lexical.token_cost(live(cards_full(spark, d))).selectExpr("1 as query_id", "id", "1D as score", "cost").where("cost > 0").orderBy("id").limit(50)
+    c = lexical.token_cost(live(cards_full(spark, d))).selectExpr("1 as query_id", "id", "1D as score", "cost").where("cost > 0")
     return lexical.with_budget(c, 5000).select("id", "cost")

@@ -9,6 +9,7 @@ from cardloom.functions import scalars as S
 from cardloom.functions import text as X
 from cardloom.operators import graph, lifecycle
 from cardloom.plans.registry import query
+from cardloom.streaming import state
 from cardloom.plans.vectors import CARDS
 from cardloom.sources import io
 from cardloom.sources.cards import AS_OF, cards_user, cards_vec, live, padded, read
@@ -175,12 +176,22 @@ def dup_cosine(spark, d):
     return edges(spark, d, 0.4).selectExpr("source_id as a", "target_id as b", "round(weight, 6) as cos")
 
 
-NEG = "values ('User uses Mac', 'User does not use Mac'), ('She likes tea', 'She never likes tea'), ('It runs on Linux', 'It runs on Windows'), ('He works here', 'He works here'), ('The build is not fast', 'The build is fast'), ('They lack time', 'Birds sing without rest')"
+def each_customer(spark, d, values: str, columns: str):
+    """One row for each customer: the statements of `values` (numbered in the column k) in turn, over as many rows as the table has."""
+    said = spark.sql(f"select * from ({values}) as t(k, {columns})")
+    return read(spark, d, "customer").withColumn("k", F.expr(f"cast(c_custkey % {values.count('(')} as int)")).join(F.broadcast(said), "k")
 
 
-@query("negation_pairs", f"select a, b, a in ('User uses Mac', 'She likes tea', 'The build is not fast') as opposite from ({NEG}) as t(a, b)")
+def each_sql(values: str, columns: str) -> str:
+    return f"(select * from customer join ({values}) as t(k, {columns}) on k = c_custkey % {values.count('(')})"
+
+
+NEG = "values (0, 'User uses Mac', 'User does not use Mac'), (1, 'She likes tea', 'She never likes tea'), (2, 'It runs on Linux', 'It runs on Windows'), (3, 'He works here', 'He works here'), (4, 'The build is not fast', 'The build is fast'), (5, 'They lack time', 'Birds sing without rest')"
+
+
+@query("negation_pairs", f"select c_custkey, a, b, a in ('User uses Mac', 'She likes tea', 'The build is not fast') as opposite from {each_sql(NEG, 'a, b')}")
 def negation_pairs(spark, d):
-    return spark.sql(f"select * from {NEG} as t(a, b)").withColumn("opposite", F.expr(X.are_negations("a", "b")))
+    return each_customer(spark, d, NEG, "a, b").select("c_custkey", "a", "b", F.expr(X.are_negations("a", "b")).alias("opposite"))
 
 
 @query("prune_plan", f"with {CARDS}, {SIM} select id from cards where {NOW} - timestamp >= 3600 and access_count = 0 and exp(-(({NOW} - last_access) / 3600) / 24) < 0.15 and vec_id not in (select av from sim)")
@@ -207,13 +218,13 @@ def new_only(spark, d):
     return lifecycle.new_only(c.where("doc_id >= 100"), c.where("doc_id < 100")).select("doc_id")
 
 
-SCOPES = "values ('user_id=1', 'user_id=1&agent_id=2'), ('user_id=1', 'user_id=2'), ('', 'user_id=2'), ('user_id=1', ''), ('agent_id=2&user_id=1', 'user_id=1'), ('user_id=1&agent_id=2', 'run_id=7&agent_id=2&user_id=1')"
+SCOPES = "values (0, 'user_id=1', 'user_id=1&agent_id=2'), (1, 'user_id=1', 'user_id=2'), (2, '', 'user_id=2'), (3, 'user_id=1', ''), (4, 'agent_id=2&user_id=1', 'user_id=1'), (5, 'user_id=1&agent_id=2', 'run_id=7&agent_id=2&user_id=1')"
 
 
-@query("scope_match", f"select q, c, (q, c) not in (('user_id=1', 'user_id=2'), ('agent_id=2&user_id=1', 'user_id=1')) as visible from ({SCOPES}) as t(q, c)")
+@query("scope_match", f"select c_custkey, q, c, (q, c) not in (('user_id=1', 'user_id=2'), ('agent_id=2&user_id=1', 'user_id=1')) as visible from {each_sql(SCOPES, 'q, c')}")
 def scope_match(spark, d):
-    t = spark.sql(f"select * from {SCOPES} as t(q, c)").withColumns({"qm": F.expr(S.scope_parse("q")), "cm": F.expr(S.scope_parse("c"))})
-    return t.select("q", "c", F.expr(S.scope_visible("qm", "cm")).alias("visible"))
+    t = each_customer(spark, d, SCOPES, "q, c").withColumns({"qm": F.expr(S.scope_parse("q")), "cm": F.expr(S.scope_parse("c"))})
+    return t.select("c_custkey", "q", "c", F.expr(S.scope_visible("qm", "cm")).alias("visible"))
 
 
 @query("scope_canonical", "select o_orderkey, 'agent_id=' || (o_orderkey % 7) || '&user_id=' || o_custkey as scope from orders")
@@ -252,17 +263,31 @@ def snapshot_diff(spark, d):
     return lifecycle.snapshot_diff(o.where("o_orderkey % 10 <> 0"), new, "o_orderkey", ["o_orderstatus"])
 
 
+@query("dangling_some", "select vec_id, 'v' || (vec_id * 2) as superseded_by from embeddings where vec_id * 2 not in (select vec_id from embeddings)")
+def dangling_some(spark, d):
+    """Each card points at the one of twice its number: the upper half at none."""
+    c = read(spark, d, "embeddings").selectExpr("concat('v', vec_id) as id", "vec_id", "concat('v', vec_id * 2) as superseded_by")
+    return lifecycle.dangling(c).select("vec_id", "superseded_by")
+
+
+@query("watch_changes", "with l as (select user_id, event_id, ts, case when event_type < 'd' then event_type end as into_, props from events), w as (select *, row_number() over (partition by user_id order by event_id) as n, lag(into_) over (partition by user_id order by event_id) as was from l) select user_id as id, event_id as seq, case when n > 1 then 'superseded' when into_ is null then 'new' else 'audit' end as kind, left(props, 60) as fact, into_ as superseded_by from w where n = 1 or into_ is distinct from was")
+def watch_changes(spark, d):
+    """Each event is a new state of its user's card; the stream's form is tested against this one."""
+    log = read(spark, d, "events").selectExpr("cast(user_id as string) as id", "event_id as seq", "cast(ts as timestamp) as at", "props as fact", "if(event_type < 'd', event_type, null) as superseded_by")
+    return state.changes(log).selectExpr("cast(id as bigint) as id", "seq", "kind", "fact", "superseded_by")
+
+
 @query("dangling_refs", f"with {CARDS} select id, 'v' || lpad(cast(vec_id + 1 as varchar), 6, '0') as superseded_by from cards where dead = 1 and vec_id + 1 not in (select vec_id from embeddings)")
 def dangling_refs(spark, d):
     return lifecycle.dangling(cards_vec(spark, d)).select("id", "superseded_by")
 
 
-SAYINGS = "values (1, 'Forget my old address'), (2, 'Actually I switched to Rust'), (3, 'My name is Ada and I like tea'), (4, 'It was red and now blue'), (5, 'scratch that'), (6, 'hello there'), (7, ''), (8, 'I use Emacs. I live in Oslo.')"
+SAYINGS = "values (0, 'Forget my old address'), (1, 'Actually I switched to Rust'), (2, 'My name is Ada and I like tea'), (3, 'It was red and now blue'), (4, 'scratch that'), (5, 'hello there'), (6, ''), (7, 'I use Emacs. I live in Oslo.')"
 
 
-@query("triage_classify", f"select id, case when id in (1, 5) then 'DELETE' when id in (2, 4) then 'UPDATE' else 'ADD' end as action, case id when 1 then 0.65 when 2 then 0.71 when 3 then 0.71 when 4 then 0.7 when 5 then 0.72 when 6 then 0.62 when 7 then 0 else 0.71 end as confidence, id in (4, 5, 6) as escalated from ({SAYINGS}) as t(id, text)")
+@query("triage_classify", f"select c_custkey, case when k in (0, 4) then 'DELETE' when k in (1, 3) then 'UPDATE' else 'ADD' end as action, case k when 0 then 0.65 when 1 then 0.71 when 2 then 0.71 when 3 then 0.7 when 4 then 0.72 when 5 then 0.62 when 6 then 0 else 0.71 end as confidence, k in (3, 4, 5) as escalated from {each_sql(SAYINGS, 'text')}")
 def triage_classify(spark, d):
-    return lifecycle.classify(spark.sql(f"select * from {SAYINGS} as t(id, text)")).select("id", "action", F.round("confidence", 6).alias("confidence"), "escalated")
+    return lifecycle.classify(each_customer(spark, d, SAYINGS, "text")).select("c_custkey", "action", F.round("confidence", 6).alias("confidence"), "escalated")
 
 
 @query("triage_conversations", "with t as (select conv_id, turn, lower(text) as l from conversations where role = 'user') select conv_id, turn, len(list_filter(['forget', 'remove', 'delete', 'stop remembering', 'clear my', 'ignore that i said'], lambda p: contains(l, p))) > 0 as asks_delete from t")
@@ -270,22 +295,22 @@ def triage_conversations(spark, d):
     return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.expr(f"{X.hits('text', X.DELETES)} > 0").alias("asks_delete"))
 
 
-@query("extract_tags", f"select id, case id when 3 then 'name,preference' when 8 then 'language,tool,location' else '' end as tags from ({SAYINGS}) as t(id, text)")
+@query("extract_tags", f"select c_custkey, case k when 2 then 'name,preference' when 7 then 'language,tool,location' else '' end as tags from {each_sql(SAYINGS, 'text')}")
 def extract_tags(spark, d):
-    return spark.sql(f"select * from {SAYINGS} as t(id, text)").select("id", F.expr(f"array_join({X.tags('text')}, ',')").alias("tags"))
+    return each_customer(spark, d, SAYINGS, "text").select("c_custkey", F.expr(f"array_join({X.tags('text')}, ',')").alias("tags"))
 
 
-@query("extract_fact", f"select id, case id when 2 then 'I switched to Rust' when 8 then 'I use Emacs. I live in Oslo' else text end as fact from ({SAYINGS}) as t(id, text)")
+@query("extract_fact", f"select c_custkey, case k when 1 then 'I switched to Rust' when 7 then 'I use Emacs. I live in Oslo' else text end as fact from {each_sql(SAYINGS, 'text')}")
 def extract_fact(spark, d):
-    return spark.sql(f"select * from {SAYINGS} as t(id, text)").select("id", F.expr(X.fact("text")).alias("fact"))
+    return each_customer(spark, d, SAYINGS, "text").select("c_custkey", F.expr(X.fact("text")).alias("fact"))
 
 
-QUESTIONS = "values (1, 'what is my name?'), (2, 'tell me a story'), (3, 'current project status'), (4, 'who am i'), (5, 'nothing special here')"
+QUESTIONS = "values (0, 'what is my name?'), (1, 'tell me a story'), (2, 'current project status'), (3, 'who am i'), (4, 'nothing special here')"
 
 
-@query("route_structured", f"select id, id in (1, 3, 4) as structured from ({QUESTIONS}) as t(id, text)")
+@query("route_structured", f"select c_custkey, k in (0, 2, 3) as structured from {each_sql(QUESTIONS, 'text')}")
 def route_structured(spark, d):
-    return spark.sql(f"select * from {QUESTIONS} as t(id, text)").select("id", F.expr(X.structured("text")).alias("structured"))
+    return each_customer(spark, d, QUESTIONS, "text").select("c_custkey", F.expr(X.structured("text")).alias("structured"))
 
 
 @query("content_words", "select doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_]+')), lambda w: not list_contains([" + ", ".join(repr(w) for w in X.STOPWORDS) + "], w))) as n_words from documents")
@@ -328,12 +353,12 @@ def blob_roundtrip(spark, d):
     return e.select("vec_id", (io.unpack_float32(io.pack_float32("embedding")) == F.col("embedding")).alias("same"))
 
 
-REPLIES = """values (1, '["a", "b"]'), (2, '```json\\n{"facts": ["c"]}\\n```'), (3, '- d\\n- e'), (4, 'no list')"""
+REPLIES = """values (0, '["a", "b"]'), (1, '```json\\n{"facts": ["c"]}\\n```'), (2, '- d\\n- e'), (3, 'no list')"""
 
 
 @query("parse_llm_json")
 def parse_llm_json(spark, d):
-    return spark.sql(f"select * from {REPLIES} as t(id, reply)").select("id", embed.parse_facts("reply").alias("facts"), embed.parse_action("reply").alias("action"))
+    return each_customer(spark, d, REPLIES, "reply").select("c_custkey", embed.parse_facts("reply").alias("facts"), embed.parse_action("reply").alias("action"))
 
 
 @query("resolve_entity")
