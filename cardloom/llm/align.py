@@ -235,6 +235,52 @@ def postings(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = MODEL_B)
     return docs.select("row", "text", "key").mapInArrow(run, T.StructType(fields))
 
 
+def _by_id(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """a, ids, n (arrays) from keys a << 32 | id."""
+    a, first = np.unique(keys >> 32, return_index=True)
+    offsets = pa.array([*first.tolist(), len(keys)], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((keys & 0xFFFFFFFF).astype(np.int32), n)]
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), *lists], names=["a", "ids", "n"])
+
+
+def counted(lists: DataFrame) -> DataFrame:
+    """a, ids, n: for each A id of postings (a, b) the B ids, and how many postings each has. Tasks count what they read, then a task an id adds up."""
+
+    def summed(parts: list) -> list:
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return [(keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            a, b = batch.column(0).to_numpy().astype(np.int64), batch.column(1)
+            held.append(np.unique(np.repeat(a << 32, np.diff(b.offsets.to_numpy())) | b.flatten().to_numpy(), return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = summed(held)
+                if len(held[0][0]) > HELD:
+                    yield _by_id(*held[0])
+                    held = []
+        if held:
+            yield _by_id(*summed(held)[0])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for i, a in enumerate(batch.column(0).to_pylist()):
+                if a != now:
+                    if held:
+                        yield _by_id(*summed(held)[0])
+                    now, held = a, []
+                held.append((batch.column(1)[i].values.to_numpy() | np.int64(a << 32), batch.column(2)[i].values.to_numpy()))
+                if len(held) > 64:
+                    held = summed(held)
+        if held:
+            yield _by_id(*summed(held)[0])
+
+    schema = "a int, ids array<int>, n array<long>"
+    return lists.select("a", "b").mapInArrow(count, schema).repartition("a").sortWithinPartitions("a").mapInArrow(add, schema)
+
+
 def contributions(stream: DataFrame) -> DataFrame:
     """slice, doc, best, total (arrays) from postings sorted by (a, salt, head first): sums of what a task's runs give each document of a slice."""
 
@@ -330,11 +376,10 @@ def weigh(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path_a:
     # as many runs as an id needs: at most as many rows as the vocabulary has ids
     runs = F.broadcast(lists.groupBy("a").agg(F.ceil(F.sum(F.size("b")) / run).alias("runs")).where("runs > 1"))
     dealt = lists.join(runs, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("slice"), F.col("runs")), F.lit(0)))
-    once = lists.join(runs, "a").select("a", "runs", F.explode("b").alias("id")).groupBy("a", "runs", "id").agg(F.count("*").alias("n"))
     # a row for each id that is dealt out, with arrays over the ids of B at most
-    whole = once.groupBy("a", "runs").agg(F.collect_list(F.struct("id", "n")).alias("x"))
+    whole = counted(lists.join(runs, "a", "left_semi")).join(runs, "a")
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("salt")
-    heads = whole.select("a", salts, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("slice"), F.col("x.id").alias("b"), F.col("x.id").alias("doc"), F.col("x.n").alias("links"))
+    heads = whole.select("a", salts, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("slice"), F.col("ids").alias("b"), F.col("ids").alias("doc"), F.col("n").alias("links"))
     stream = dealt.select("a", "salt", F.lit(1).alias("kind"), "slice", "b", "doc", "links").unionByName(heads)
     given = contributions(stream.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind"))
     sums = by_document(given).withColumnsRenamed({"slice": "of", "doc": "place"})
