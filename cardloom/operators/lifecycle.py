@@ -104,16 +104,35 @@ def duplicate_pairs(cards: DataFrame, floor: float = 0.7) -> DataFrame:
     return said.where(f"not {X.are_negations('fa', 'fb')}").select("a", "b").distinct()
 
 
+def cluster_tags(rows: DataFrame) -> DataFrame:
+    """cluster, tags: the distinct tags of a cluster's rows (cluster, timestamp, id, tags), in order of time. Tags are made distinct before they meet."""
+    flat = rows.select("cluster", "timestamp", "id", F.posexplode("tags").alias("p", "tag"))
+    first = flat.groupBy("cluster", "tag").agg(F.min(F.struct("timestamp", "id", "p")).alias("at"))
+    return first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("at", "tag"))).alias("ts")).selectExpr("cluster", "ts.tag as tags")
+
+
+def cluster_texts(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """cluster, texts: the first `most` distinct texts (trimmed) of a column of a cluster's rows, in order of time; the others are left out before any meet."""
+    said = rows.select("cluster", "timestamp", "id", F.trim(column).alias("text")).where("text is not null")
+    first = said.groupBy("cluster", "text").agg(F.min(F.struct("timestamp", "id")).alias("at"))
+    near = first.withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy("at"))).where(F.col("n") <= most)
+    return near.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("ts")).selectExpr("cluster", "ts.text as texts")
+
+
 def merge_clusters(cards: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One survivor for each component of pairs (a, b): the earliest card if all facts are equal but for case, else the newest; accesses summed, tags and evidence united in time order."""
+    """One survivor for each component of pairs (a, b): the earliest card if all facts are equal but for case, else the newest; accesses summed, tags and evidence united in time order.
+
+    Whatever the size of a cluster, only its distinct tags and its first texts come together in a row.
+    """
     comp = graph.components(pairs.selectExpr("a as source_id", "b as target_id"))
     rows = cards.join(comp, "id")
+    said = "lower(trim(fact))"
     agg = rows.groupBy("cluster").agg(
-        F.countDistinct(F.expr("lower(trim(fact))")).alias("kinds"), F.count("*").alias("merged"), F.sum("access_count").alias("access_count"), F.max("last_access").alias("last_access"),
+        F.expr(f"coalesce(min({said}) = max({said}), false)").alias("same"), F.count("*").alias("merged"), F.sum("access_count").alias("access_count"), F.max("last_access").alias("last_access"),
         F.expr("min_by(struct(id, fact), struct(timestamp, id))").alias("first"), F.expr("max_by(struct(id, fact), struct(timestamp, id))").alias("last"),
-        F.sort_array(F.collect_list(F.struct("timestamp", "id", "tags", "evidence"))).alias("ms"),
     )
-    return agg.selectExpr("if(kinds = 1, first, last) as s", "merged", "access_count", "last_access", "array_distinct(flatten(transform(ms, m -> coalesce(m.tags, array())))) as tags", f"{S.merge_evidence('transform(ms, m -> m.evidence)')} as evidence").selectExpr("s.id as id", "s.fact as fact", "merged", "access_count", "last_access", "tags", "evidence")
+    both = agg.join(cluster_tags(rows), "cluster", "left").join(cluster_texts(rows.where("trim(evidence) <> ''"), "evidence", 3), "cluster", "left")
+    return both.selectExpr("if(same, first, last) as s", "*").selectExpr("s.id as id", "s.fact as fact", "merged", "access_count", "last_access", "coalesce(tags, cast(array() as array<string>)) as tags", f"{S.merge_evidence('coalesce(texts, cast(array() as array<string>))')} as evidence")
 
 
 def prune_plan(cards: DataFrame, centrality: DataFrame, now: float, floor: float = 0.15, rule: str = "retention") -> DataFrame:

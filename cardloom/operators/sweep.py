@@ -34,36 +34,49 @@ def duplicates(cards: DataFrame, floor: float = 0.7, threshold: float = COSINE)
     return by_words.union(said.where(f"not {X.are_negations('fa', 'fb')}").select("a", "b")).distinct()
 
 
-def fold(cards: DataFrame, members: DataFrame, survivor: str, fact: str, most_evidence: int) -> DataFrame:
-    """One row for each cluster of members (id, cluster): the survivor's columns, merged fact, tags, evidence, accesses; and folded, the other ids.
+def fold(rows: DataFrame, top: str, fact: str, most_evidence: int) -> DataFrame:
+    """One row for each cluster of two cards or more of rows (cards with cluster): cluster, the survivor's id and time, merged fact, tags, evidence, accesses; and folded, the other ids.
 
-    survivor, fact: SQL over `ms`, the cluster's rows in order of time, and (in fact) `top`, the survivor's. A cluster's tags
-    and texts meet in one row; evidence is cut to most_evidence + 1 distinct texts a row before that.
+    top: SQL that aggregates the survivor as struct(timestamp, id, fact, evidence). fact: SQL over it and `facts`, the first distinct facts. Clusters
+    are aggregated; only distinct tags and the first few texts meet in a row. `folded` does hold all ids, and is made
+    only where it is asked for; folded_into() has them as rows.
     """
-    rows = cards.join(members, "id")
-    keep = ["id", "fact", "evidence", "tags", "timestamp", "access_count", "last_access"]
-    more = [c for c in ("stability", "importance", "weight") if c in rows.columns]
-    one = F.struct("timestamp", "id", *[c for c in keep + more if c not in ("timestamp", "id")])
-    ms = rows.groupBy("cluster").agg(F.sort_array(F.collect_list(one)).alias("ms"))
-    top = ms.withColumn("top", F.expr(survivor)).withColumn("rest", F.expr("filter(ms, m -> m.id <> top.id)"))
-    tags = "array_distinct(flatten(transform(ms, m -> coalesce(m.tags, cast(array() as array<string>)))))"
-    evidence = S.merge_evidence("concat(array(coalesce(top.evidence, '')), transform(rest, m -> coalesce(m.evidence, '')))", most_evidence)
-    out = top.selectExpr("cluster", "top.id as id", f"{fact} as fact", f"{evidence} as evidence", "top.timestamp as timestamp", f"{tags} as tags", "aggregate(ms, 0L, (s, m) -> s + m.access_count) as access_count", "array_max(transform(ms, m -> m.last_access)) as last_access", *[f"array_max(transform(ms, m -> m.{c})) as {c}" for c in more if c != "weight"], "transform(rest, m -> m.id) as folded")
-    return out.where("size(folded) > 0")
+    more = [c for c in ("stability", "importance") if c in rows.columns]
+    agg = rows.groupBy("cluster").agg(F.expr(top).alias("top"), F.count("*").alias("n"), F.sum("access_count").alias("access_count"), F.max("last_access").alias("last_access"), *[F.max(c).alias(c) for c in more], F.sort_array(F.collect_list(F.struct("timestamp", "id"))).alias("members"))
+    # 200 characters of joined facts are at most so many facts
+    facts = lifecycle.cluster_texts(rows, "fact", 202).withColumnRenamed("texts", "facts")
+    evidence = lifecycle.cluster_texts(rows.where("trim(evidence) <> ''"), "evidence", most_evidence + 1)
+    both = agg.where("n > 1").join(lifecycle.cluster_tags(rows), "cluster", "left").join(evidence, "cluster", "left")
+    if "facts" in fact:
+        both = both.join(facts, "cluster", "left")
+    none = "cast(array() as array<string>)"
+    merged = S.merge_evidence(f"concat(array(coalesce(top.evidence, '')), coalesce(texts, {none}))", most_evidence)
+    return both.selectExpr("cluster", "top.id as id", f"{fact} as fact", f"{merged} as evidence", "top.timestamp as timestamp", f"coalesce(tags, {none}) as tags", "access_count", "last_access", *more, "transform(filter(members, m -> m.id <> top.id), m -> m.id) as folded")
+
+
+def folded_into(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """(id, superseded_by) for the members (id, cluster) of merged clusters, but their survivors."""
+    return members.join(merged.select("cluster", F.col("id").alias("superseded_by")), "cluster").where("id <> superseded_by").select("id", "superseded_by")
+
+
+def merge_members(cards: DataFrame, comp: DataFrame) -> DataFrame:
+    """Clusters of near copies (id, cluster) folded: into the earliest card if all facts are equal but for case, else into the newest."""
+    one, said = "struct(timestamp, id, fact, evidence)", "lower(trim(fact))"
+    same = f"(count(fact) = 0 or count(fact) = count(*) and min({said}) = max({said}))"
+    top = f"if({same}, min_by({one}, struct(timestamp, id)), max_by({one}, struct(timestamp, id)))"
+    return fold(cards.join(comp, "id"), top, "top.fact", 3)
 
 
 def merge_duplicates(cards: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Clusters of pairs (a, b) folded: into the earliest card if all facts are equal but for case, else into the newest."""
-    comp = graph.components(pairs.selectExpr("a as source_id", "b as target_id"))
-    same = "size(array_distinct(transform(ms, m -> lower(trim(m.fact))))) = 1"
-    return fold(cards, comp, f"if({same}, ms[0], element_at(ms, -1))", "top.fact", 3)
+    """merge_members() of the components of pairs (a, b)."""
+    return merge_members(cards, graph.components(pairs.selectExpr("a as source_id", "b as target_id")))
 
 
 def merge_graph_clusters(cards: DataFrame, members: DataFrame, weights: DataFrame) -> DataFrame:
     """Clusters (id, cluster) folded into their hub: the largest compound weight, then accesses, time, id. Facts are joined, 200 characters at most."""
     weighted = members.join(weights.selectExpr("source_id as id", "compound_weight"), "id", "left").selectExpr("id", "cluster", "coalesce(compound_weight, 0D) as weight")
-    hub = "array_max(transform(ms, m -> struct(m.weight as w, m.access_count as n, m.timestamp as t, m.id as i, m as m))).m"
-    return fold(cards, weighted, hub, S.merge_facts("array_distinct(concat(array(trim(top.fact)), transform(rest, m -> trim(m.fact))))"), 2)
+    hub = "max_by(struct(timestamp, id, fact, evidence), struct(weight, access_count, timestamp, id))"
+    return fold(cards.join(weighted, "id"), hub, S.merge_facts("array_distinct(concat(array(trim(top.fact)), coalesce(facts, cast(array() as array<string>))))"), 2)
 
 
 # ---- the sweep ---------------------------------------------------------------------------------------------------
@@ -90,8 +103,9 @@ def plan_sweep(cards: DataFrame, edges: DataFrame, now: float, rule: str = "rete
     """
     alive = graph.stored(live(cards))
     some = alive if cosine else alive.drop("embedding")
-    merged = graph.stored(merge_duplicates(alive, duplicates(some)))
-    gone = merged.selectExpr("explode(folded) as id", "id as superseded_by")
+    comp = graph.components(duplicates(some).selectExpr("a as source_id", "b as target_id"))
+    merged = graph.stored(merge_members(alive, comp).drop("folded"))
+    gone = folded_into(comp, merged)
     left = _scored(alive, merged).join(gone.select("id"), "id", "left_anti")
     weights = graph.compound_weight(edges)
     none = weights.limit(0)
@@ -104,15 +118,18 @@ def plan_sweep(cards: DataFrame, edges: DataFrame, now: float, rule: str = "rete
     if with_graph:
         tight = graph.clusters(edges, 3, cluster_weight).select("id", "cluster").join(gone.select("id"), "id", "left_anti").join(pruned.select("id"), "id", "left_anti").join(alive.select("id"), "id", "left_semi")
         big = tight.groupBy("cluster").agg(F.count("*").alias("size")).where("size >= 3")
-        hubs = graph.stored(merge_graph_clusters(alive, tight.join(big.select("cluster"), "cluster", "left_semi"), weights))
-        gone = gone.union(hubs.selectExpr("explode(folded)", "id"))
+        tied = graph.stored(tight.join(big.select("cluster"), "cluster", "left_semi").select("id", "cluster"))
+        hubs = graph.stored(merge_graph_clusters(alive, tied, weights).drop("folded"))
+        gone = gone.union(folded_into(tied, hubs))
         # a card that survived both takes the graph's form
         survivors = hubs.select(*keep).union(survivors.join(hubs.select("id"), "id", "left_anti"))
     gone, survivors = graph.stored(gone), graph.stored(survivors)
     before = alive.agg(F.expr(f"coalesce(sum({TOKENS}), 0L)").alias("tokens_before"), F.count("*").alias("cards_before"))
     after = after_sweep(alive, survivors, gone, pruned)
     then = after.agg(F.expr(f"coalesce(sum({TOKENS}), 0L)").alias("tokens_after"), F.count("*").alias("survivors"))
-    counts = before.crossJoin(then).crossJoin(gone.agg(F.count("*").alias("merged_cards"))).crossJoin(pruned.agg(F.count("*").alias("decayed_cards"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("pruned_mean")))  # one row each
+    cold = pruned.agg(F.count("*").alias("decayed_cards"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("pruned_mean"))
+    one = lambda t, c: t.select(c).scalar()  # noqa: E731  tables of one row
+    counts = before.withColumns({"tokens_after": one(then, "tokens_after"), "survivors": one(then, "survivors"), "merged_cards": gone.agg(F.count("*").alias("n")).scalar(), "decayed_cards": one(cold, "decayed_cards"), "pruned_mean": one(cold, "pruned_mean")})
     return Plan(survivors, gone, pruned, counts.withColumn("tokens_reclaimed", F.expr("greatest(0, tokens_before - tokens_after)")))
 
 
