@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
+from cardloom.operators import patterns
 from cardloom.operators.search import similar_between, similar_pairs
 from cardloom.sources.cards import live
 
@@ -182,9 +183,11 @@ def rebuild(cards: DataFrame, threshold: float = 0.75) -> DataFrame:
     return bulk_link(live(cards), threshold)
 
 
-def cooccurrence(rows: DataFrame, entities: list[str]) -> DataFrame:
-    """(id, subject, predicate, object): unordered pairs of entities that both occur in a text."""
-    names = sorted(set(entities))
-    found = rows.withColumn("es", F.expr("filter(array(" + ", ".join("'" + n.replace("'", "\\'") + "'" for n in names) + "), e -> contains(lower(text), lower(e)))"))
-    pairs = found.select("id", F.expr("explode(flatten(transform(es, (x, i) -> transform(slice(es, i + 2, size(es)), y -> struct(x as subject, 'co_occurs' as predicate, y as object)))))").alias("t"))
+def cooccurrence(rows: DataFrame, entities: list[str] | DataFrame) -> DataFrame:
+    """(id, subject, predicate, object): unordered pairs of entities (a list, or a table: entity) that both occur in a text, whatever their case. Each row of rows (id, text) has an id of its own."""
+    known = entities if isinstance(entities, DataFrame) else rows.sparkSession.createDataFrame([(e,) for e in entities], "entity string")
+    known = known.select("entity", F.lower("entity").alias("pattern")).distinct()
+    found = patterns.containing(rows.select("id", F.lower("text").alias("text")), known).join(known, "pattern")
+    both = found.groupBy("id").agg(F.sort_array(F.collect_set("entity")).alias("es"))
+    pairs = both.select("id", F.expr("explode(flatten(transform(es, (x, i) -> transform(slice(es, i + 2, size(es)), y -> struct(x as subject, 'co_occurs' as predicate, y as object)))))").alias("t"))
     return pairs.select("id", "t.subject", "t.predicate", "t.object")

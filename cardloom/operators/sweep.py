@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
 from cardloom.functions import text as X
-from cardloom.operators import graph, lifecycle, lookup, search
-from cardloom.sources.cards import live
+from cardloom.operators import graph, lifecycle, lookup, patterns, search
+from cardloom.sources.cards import EDGE_SCHEMA, SCHEMA, live
+from cardloom.sources.versions import Versions
+
+TOUCH_SCHEMA = "id string, at double"
 
 COSINE = 0.84
 TOKENS = f"{S.tokens('fact')} + {S.tokens('evidence')}"
@@ -162,6 +165,21 @@ def space_summary(cards: DataFrame, edges: DataFrame, now: float, cosine: bool =
     return r.withColumn("edges", n.scalar()).selectExpr("decayed_cards as pruned_count", "merged_cards as clusters_merged", "edges", "cards_before as active_cards_before", "survivors as active_cards_after", "round(1D - survivors / cast(greatest(1, cards_before) as double), 4) as compression_ratio")
 
 
+def commit_sweep(store: Versions, now: float, base: int | None = None, **how) -> int:
+    """A sweep of the tables cards, edges and touches of a store, committed as one version: touches folded into their cards and emptied, cards after the
+    plan, edges without those at pruned cards, and the report. From `base`, the newest version if none is given; Conflict if another writer was faster."""
+    v, said = store.latest() if base is None else (base, store.at(base))
+    tables = said["tables"]
+    cards, edges = store.folders(tables.get("cards", []), SCHEMA), store.folders(tables.get("edges", []), EDGE_SCHEMA)
+    touches = store.folders(tables.get("touches", []), TOUCH_SCHEMA)
+    touched = graph.stored(lifecycle.fold_touches(cards, touches).select(*cards.columns))
+    plan = plan_sweep(touched, edges, now, **how)
+    gone = plan.pruned.select("id")
+    left = edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    report = plan.report.first().asDict()
+    return store.commit_tables(v, {"cards": apply_plan(touched, plan), "edges": left.select(*edges.columns), "touches": touches.limit(0)}, report=report, swept_at=now)
+
+
 # ---- mutations ---------------------------------------------------------------------------------------------------
 
 
@@ -232,13 +250,14 @@ def dispatch(cards: DataFrame, statements: DataFrame) -> DataFrame:
     """(sid, action, confidence, escalated, target, fact, tags, evidence, card_ids) for statements (sid, text).
 
     A deletion points at all live cards with the target as tag, or else in the fact; an update at the first of them; an
-    addition, and an update without any, at none. Statements are few against cards: they are joined by target words.
+    addition, and an update without any, at none. Targets meet cards as tags by key, and facts by patterns.containing().
     """
     judged = lifecycle.classify(statements).withColumn("target", F.expr(f"case action when 'DELETE' then {X.target_id('text', X.DELETES)} when 'UPDATE' then {X.target_id('text', X.UPDATES)} end"))
     wanted = judged.where("target is not null").select("target", "action").distinct()
     alive = live(cards).select("id", "timestamp", "fact", "tags")
-    by_tag = alive.select("id", "timestamp", F.explode("tags").alias("target")).join(F.broadcast(wanted.select("target").distinct()), "target")
-    by_fact = alive.join(F.broadcast(wanted.select("target").distinct()), F.contains(lookup.nocase("fact"), F.col("target"))).select("target", "id", "timestamp")
+    by_tag = alive.select("id", "timestamp", F.explode("tags").alias("target")).join(wanted.select("target").distinct(), "target")
+    said = patterns.containing(alive.select(F.struct("timestamp", "id").alias("id"), lookup.nocase("fact").alias("text")), wanted.select(F.col("target").alias("pattern")))
+    by_fact = said.select(F.col("pattern").alias("target"), F.col("id.id").alias("id"), F.col("id.timestamp").alias("timestamp"))
     hits = by_tag.select("target", F.struct("timestamp", "id").alias("c"), F.lit(0).alias("try")).union(by_fact.select("target", F.struct("timestamp", "id"), F.lit(1)))
     best = hits.groupBy("target").agg(F.min("try").alias("first"))
     kept = hits.join(best, "target").where("try = first").groupBy("target").agg(F.sort_array(F.collect_set("c")).alias("cs")).selectExpr("target", "transform(cs, c -> c.id) as ids")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.functions import embed
+from cardloom.functions import embed, registry
 from cardloom.functions import scalars as S
 from cardloom.functions import text as X
-from cardloom.operators import graph, lexical, lifecycle, lookup, reads, retrieval, sweep
+from cardloom.operators import graph, lexical, lifecycle, lookup, patterns, reads, retrieval, sweep
 from cardloom.plans.lexical import TOKENS
 from cardloom.plans.registry import query
 from cardloom.plans.store import SIM, edges
@@ -533,3 +533,31 @@ def budget_all_equal(spark, d):
     """Hits of one score: taken in order while they fit."""
     c = lexical.token_cost(live(cards_full(spark, d))).selectExpr("1 as query_id", "id", "1D as score", "cost").where("cost > 0")
     return lexical.with_budget(c, 5000).select("id", "cost")
+
+
+# ---- tables against tables ---------------------------------------------------------------------------------------
+
+
+@query("patterns_in_texts", "with p as (select distinct split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as pattern from benchmark) select doc_id as id, pattern from documents join p on contains(text, pattern)")
+def patterns_in_texts(spark, d):
+    """The first two words of every test item, in all documents."""
+    wanted = read(spark, d, "benchmark").selectExpr("concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)) as pattern")
+    return patterns.containing(read(spark, d, "documents").selectExpr("doc_id as id", "text"), wanted)
+
+
+@query("resolve_names", "select c_custkey, n_name as entity from customer join nation on n_nationkey = c_nationkey")
+def resolve_names(spark, d):
+    """Each customer gives a nation, long names with a letter too many; the table of nations has the right ones."""
+    nations = read(spark, d, "nation")
+    said = read(spark, d, "customer").join(nations, F.expr("n_nationkey = c_nationkey")).selectExpr("c_custkey", "if(length(n_name) > 7, concat(lower(n_name), 's'), lower(n_name)) as name")
+    return said.join(patterns.resolve(said, nations.selectExpr("n_name as entity")), "name").select("c_custkey", "entity")
+
+
+@query("triplet_rows", "select c_custkey, c_name as subject, 'lives in' as predicate, n_name as object from customer join nation on n_nationkey = c_nationkey union all select c_custkey, n_name, 'has', c_mktsegment from customer join nation on n_nationkey = c_nationkey where c_custkey % 2 = 0")
+def triplet_rows(spark, d):
+    """Replies with one or two triplets a customer, taken apart by the table function."""
+    registry.register(spark)
+    both = read(spark, d, "customer").join(read(spark, d, "nation"), F.expr("n_nationkey = c_nationkey"))
+    one, two = "array(c_name, 'lives in', n_name)", "array(n_name, 'has', c_mktsegment)"
+    replies = both.selectExpr("c_custkey", f"concat('Here: ', to_json(if(c_custkey % 2 = 0, array({one}, {two}), array({one})))) as reply")
+    return spark.sql("select c_custkey, t.* from {replies}, lateral llm_triplets(reply) t", replies=replies)
