@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
-from cardloom.operators import search
+from cardloom.operators import search, vector_codes
 from cardloom.plans.registry import query
 from cardloom.sources.cards import AS_OF, cards_vec, live, read
 
@@ -96,3 +96,24 @@ def embedding_stats(spark, d):
 @query("sq8_values", "select vec_id, round(list_max(list_transform(embedding::double[], lambda x: abs(x))) / 127, 9) as scale, cast(list_sum(list_transform(embedding::double[], lambda x: round_even(x / (list_max(list_transform(embedding::double[], lambda y: abs(y))) / 127), 0))) as bigint) as total from embeddings")
 def sq8_values(spark, d):
     return read(spark, d, "embeddings").selectExpr("vec_id", f"round({S.sq8_scale('embedding')}, 9) as scale", f"aggregate({S.sq8('embedding')}, 0L, (s, x) -> s + x) as total")
+
+
+# ---- stored codes ------------------------------------------------------------------------------------------------
+
+
+@query("int8_stored", f"with {CARDS}, z as ({INT8}) select id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) as score from z order by list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) desc, id limit 10")
+def int8_stored(spark, d):
+    codes = vector_codes.build(live(cards_vec(spark, d)))
+    return vector_codes.int8(codes, first_vector(spark, d), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("signs_stored", f"with {CARDS}, h as (select *, list_sum(list_transform(range(1, 65), lambda i: case when (e[i] > 0) <> (qe[i] > 0) then 1 else 0 end)) as hamming from live, q), n as (select *, list_dot_product(e, qe) / sqrt(list_dot_product(e, e) * list_dot_product(qe, qe)) as c from h order by hamming, id limit 50) select id, cast(hamming as bigint) as hamming, round(c, 6) as score from n order by c desc, id limit 5")
+def signs_stored(spark, d):
+    codes = vector_codes.build(live(cards_vec(spark, d)))
+    return vector_codes.signs(codes, first_vector(spark, d), 5).select("id", F.col("hamming").cast("long").alias("hamming"), F.round("score", 6).alias("score"))
+
+
+@query("nearest_by_cells", f"with {CARDS}, c as (select id, list_dot_product(e, qe) / sqrt(list_dot_product(e, e) * list_dot_product(qe, qe)) as c from live, q) select id, round(c, 6) as score from c order by c desc, id limit 10")
+def nearest_by_cells(spark, d):
+    codes = vector_codes.build(live(cards_vec(spark, d)), cells=16)
+    return vector_codes.nearest(codes, first_vector(spark, d), 10).select("id", F.round("score", 6).alias("score"))
