@@ -191,3 +191,51 @@ def cooccurrence(rows: DataFrame, entities: list[str] | DataFrame) -> DataFrame:
     both = found.groupBy("id").agg(F.sort_array(F.collect_set("entity")).alias("es"))
     pairs = both.select("id", F.expr("explode(flatten(transform(es, (x, i) -> transform(slice(es, i + 2, size(es)), y -> struct(x as subject, 'co_occurs' as predicate, y as object)))))").alias("t"))
     return pairs.select("id", "t.subject", "t.predicate", "t.object")
+
+
+# ---- labels kept between runs --------------------------------------------------------------------------------------
+
+
+def contracted(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(id, cluster) after new edges (source_id, target_id) came to a graph whose labels are known: the same as components() of all edges, from labels and new edges only.
+
+    New edges are taken between the labels of their ends; what is left of them is contracted by rounds of large-star and small-star (each node hands its larger
+    neighbours, then all of its smaller ones, to the least of them), whose number is about the logarithm of the longest path. Labels that didn't meet a new edge stay as they are.
+    """
+    new = edges.selectExpr("source_id as a", "target_id as b")
+    nodes = new.select(F.col("a").alias("id")).union(new.select("b")).distinct()
+    if labels is not None:
+        known = labels.select("id", "cluster")
+        of = nodes.join(known, "id", "left").selectExpr("id", "coalesce(cluster, id) as cluster")
+    else:
+        known, of = None, nodes.selectExpr("id", "id as cluster")
+    of = stored(of)
+    ends = new.join(of.selectExpr("id as a", "cluster as u"), "a").join(of.selectExpr("id as b", "cluster as v"), "b").selectExpr("u", "v").where("u <> v")
+    star = _stars(ends)
+    moved = star.selectExpr("v as old", "u as to")
+    fresh = of.join(moved, of["cluster"] == moved["old"], "left").selectExpr("id", "coalesce(to, cluster) as cluster")
+    if known is None:
+        return stored(fresh)
+    kept = known.join(moved, known["cluster"] == moved["old"], "left").selectExpr("id", "coalesce(to, cluster) as cluster")
+    return stored(kept.unionByName(fresh.join(known.select("id"), "id", "left_anti")))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(u, v), u < v: every node v of edges (u, v) beside the least node u of its component, by alternating star operations until nothing changes."""
+    now, seen = stored(edges.selectExpr("greatest(u, v) as v", "least(u, v) as u").where("u < v").distinct()), None
+    while True:
+        # large star: larger neighbours go to the least of a node and its neighbours
+        both = now.select("u", "v").union(now.selectExpr("v as u", "u as v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
+        large = stored(both.join(least, "u").where("v > u").selectExpr("v", "m as u").where("u < v").distinct())
+        # small star: a node and its smaller neighbours go to the least of these
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(low, "v").selectExpr("u as v", "m as u").union(low.selectExpr("v", "m as u")).where("u < v").distinct()
+        count = Observation()
+        after = stored(small.observe(count, F.count("*").alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)).alias("h")))
+        state = (count.get["n"], count.get["h"])
+        dropped(now, large)
+        now = after
+        if state == seen:
+            return now
+        seen = state
