@@ -3,8 +3,8 @@
 A tolerant tokenizer builds a light tree of elements and text. Every paragraph-like block passes points for its
 length and commas to its ancestors, less with each level; a container's points are discounted by its link
 density, and its tag, class and id count for or against it. If the best container lies in an article, that article is
-kept whole, else the main element around it; if in neither, the container itself. Beside it, and up to the main element
-around an article, blocks and bare text of any kind and length are kept unless most of their text is links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+kept whole, else the main element around it; if in neither, the container itself. Beside it, level by level up to the main element
+or else the body, blocks and bare text of any kind and length are kept unless most of their text is links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
 inside the kept part are left out; all other blocks are kept, in page order, however short they are.
 
 Parsing and choosing take time linear in the page. Defined results: null and empty html, and pages without any text,
@@ -53,9 +53,9 @@ TABLE_ENDS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "
 # Words of classes and ids. A name marks a block as something beside the article if it is one of ALONE or LAST, ends in one of LAST,
 # or begins with one of FIRST (or of ALONE) and has only PLAIN words after; so that "side-effects", "contact-lens" or "related-work" do not.
 ALONE = set("ad ads advert advertisement advertising adsense adslot banner breadcrumb breadcrumbs comments commentlist cookie cookies consent disqus disclaimer footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications outbrain pagination pager popup promo promos promotion replies respond rss share sharing shoutbox sidebar signup social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar widget widgets".split())
-LAST = set("ad ads advert advertisement banner breadcrumb breadcrumbs comments footer masthead menu modal nav navbar navigation newsletter pagination popup sidebar signup toolbar topbar widget widgets".split())
+LAST = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments footer masthead menu modal nav navbar navigation newsletter pagination popup responses sidebar signup toolbar topbar widget widgets".split())
 FIRST = set("comment related contact feedback header site skip tag tags reply".split())
-PLAIN = set("area bar bars block blocks body bottom box button buttons container content footer form group header holder icons inner item items left link links list main nav outer overlay page panel posts articles stories primary right secondary section text top us wrap wrapper".split())
+PLAIN = set("area bar bars block blocks body bottom box button buttons container content footer form group header holder icons inner item items left link links list main nav outer overlay page panel posts articles stories primary right secondary section slot text top us wrap wrapper".split())
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
 KEPT_NAME = re.compile(r"(?:^|[_-])(?:article|entry|post|story)[-_](?:body|content|text)$", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -259,14 +259,12 @@ def choose(root: Node) -> list:
     article, main = _around(best)
     whole = article or main or best
     before, after = [], []  # what is kept beside, level by level
-    # up to the main element, or one level without it
-    while whole.parent is not None and whole is not main:
+    # up to the main element, or, without it, to the body: an article may be spread over containers at any depth
+    while whole.parent is not None and whole is not main and whole.tag not in ("body", "html"):
         left, right = _beside(whole)
         before.append(left)
         after.append(right)
         whole = whole.parent
-        if main is None:
-            break
     return [x for part in reversed(before) for x in part] + [article or main or best] + [x for part in after for x in part]
 
 

@@ -238,3 +238,14 @@ def test_many_equal_turns(spark):
     began = time.time()
     r = chat.digest(d).first()
     assert r.n_turns == 16_000 and r.loss_chars == sum(2 for x in rows if x[2] == "assistant") and time.time() - began < 30
+
+
+def test_articles_spread_over_containers():
+    from cardloom.llm.html_extract import extract
+
+    body = "<body><div><div><div><p>Alpha one, two.</p></div></div><div><div><p>Beta words.</p></div></div></div><div><p>Delta.</p></div><div><a href=x>one</a> <a href=y>two</a></div></body>"
+    assert extract(body) == "Alpha one, two.\nBeta words.\nDelta."
+    long = "Long words, many. " * 200
+    assert extract(f"<div><div><p>{long}</p></div></div><div><p>Short end.</p></div>") == f"{long.strip()}\nShort end."
+    for name in ("ad-slot", "user-comment", "reader-responses"):
+        assert extract(f"<div><p>Text, of it.</p><div class={name}><p>Not this, no.</p></div></div>") == "Text, of it."
