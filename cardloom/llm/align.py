@@ -37,7 +37,7 @@ from cardloom.llm.common import BATCH_ROWS, Temporary, give_back, materialise, r
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
-#: Documents of a slice, the unit of postings (1,024 at most); postings of a run.
+#: Documents of a slice, the unit of postings (1,024 at most, so that row numbers of up to a million partitions leave room for the place in a slice); postings of a run.
 SLICE = 512
 RUN = 1 << 18
 SLICE_CHARS = 500_000
