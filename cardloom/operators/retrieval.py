@@ -40,14 +40,19 @@ def hybrid_search(cards: DataFrame, index: TermIndex, query: str, vector: list[f
     return alive.join(F.broadcast(fused.select("id", "score")), "id").orderBy(F.desc("score"), "timestamp", "id").limit(k)
 
 
-def hybrid_retention(cards: DataFrame, index: TermIndex, query: str, vector: list[float], edges: DataFrame, now: float, k: int = 5, alpha: float = 0.7, branch: int = 60, scope: str | None = None, boost: float = 0.1) -> DataFrame:
-    """(id, score): as hybrid_search, but what lies within two steps of a card whose fact contains a content word gets boost * retention."""
+def hybrid_retention(cards: DataFrame, index: TermIndex, query: str, vector: list[float], edges: DataFrame, now: float, k: int = 5, alpha: float = 0.7, branch: int = 60, scope: str | None = None, boost: float = 0.1, trigrams: TermIndex | None = None) -> DataFrame:
+    """(id, score): as hybrid_search, but what lies within two steps of a card whose fact contains a content word gets boost * retention. trigrams: an index of the facts that finds these cards without a scan (its texts have A-Z lowered only)."""
     alive = live(cards)
     vec = search.vector_search(alive, vector, branch, alpha=1.0, scope=scope).select("id", "score", "timestamp")
     lex = lexical.bm25(index, X.words_of(query), branch, prefix=True, folded=True, scope=scope)
     words = X.words_of(query)
-    said = " or ".join(f"contains(lower(fact), {X.lit(w)})" for w in words) or "false"
-    near = graph.within(edges, alive.where(said).select("id"), 2)
+    if trigrams is None:
+        seeds = alive.where(" or ".join(f"contains(lower(fact), {X.lit(w)})" for w in words) or "false").select("id")
+    else:
+        seeds = alive.limit(0).select("id")
+        for w in words:  # of one question
+            seeds = seeds.union(lookup.substring(alive, w, index=trigrams).select("id"))
+    near = graph.within(edges, seeds, 2)
     kept = alive.join(near, "id", "left_semi").select("id", F.expr(f"{boost}D * {S.retention('last_access', f'{now!r}D', 'stability', 24.0)}").alias("boost"))
     return lexical.rrf(vec, lex, kept, alpha, k, depth=branch).select("id", "score")
 
@@ -82,7 +87,7 @@ def first_of(hits: DataFrame, order: str, key: str = "id") -> DataFrame:
 
 
 def sql_path(cards: DataFrame, question: str, index: TermIndex | None = None) -> DataFrame:
-    """Cards for the key of the question: by fact, or else by tag; or else by its salient word in the fact. index: trigrams of the facts."""
+    """Cards for the key of the question: by fact, or else by tag; or else by its salient word in the fact. Of several rows of an id the first stays. index: trigrams of the facts."""
     alive, key, word, tries = live(cards), key_of(question), salient(question), []
     if key:
         tries += [lookup.lookup(alive, "fact", key, index), lookup.by_tag(alive, key)]
@@ -95,7 +100,7 @@ def sql_path(cards: DataFrame, question: str, index: TermIndex | None = None) ->
         found = found.union(t.withColumn("try", F.lit(n)))
     found = graph.stored(found)  # read for the first try that finds any, and for its rows
     first = found.agg(F.coalesce(F.min("try"), F.lit(0)).alias("t"))
-    return found.where(F.col("try") == first.scalar()).drop("try")
+    return first_of(found.where(F.col("try") == first.scalar()).drop("try"), "timestamp").select(*cards.columns)
 
 
 @dataclass(frozen=True)

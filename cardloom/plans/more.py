@@ -524,8 +524,9 @@ def parse_reply_table(spark, d):
 @query("resolve_entity_table", "select n_nationkey, n_name as entity from nation")
 def resolve_entity_table(spark, d):
     """Names with one letter too many find their nation."""
-    known = [r["n_name"] for r in read(spark, d, "nation").collect()]  # 25 rows
-    return read(spark, d, "nation").select("n_nationkey", embed.resolver(known)(F.expr("if(length(n_name) > 7, concat(lower(n_name), 's'), lower(n_name))")).alias("entity"))
+    nations = read(spark, d, "nation")
+    said = nations.selectExpr("n_nationkey", "if(length(n_name) > 7, concat(lower(n_name), 's'), lower(n_name)) as name")
+    return said.join(patterns.resolve(said, nations.selectExpr("n_name as entity")), "name").select("n_nationkey", "entity")
 
 
 @query("budget_all_equal", f"with {COSTS}, o as (select id, cost, sum(cost) over (order by id) as upto from live where cost > 0) select id, cost from o where upto <= 5000")

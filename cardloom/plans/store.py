@@ -356,11 +356,11 @@ def blob_roundtrip(spark, d):
 REPLIES = """values (0, '["a", "b"]'), (1, '```json\\n{"facts": ["c"]}\\n```'), (2, '- d\\n- e'), (3, 'no list')"""
 
 
-@query("parse_llm_json")
+@query("parse_llm_json", f"select c_custkey, case k when 0 then 'a,b' when 1 then 'c' when 2 then 'd,e' else '' end as facts, 'ADD' as action from {each_sql(REPLIES, 'reply')}")
 def parse_llm_json(spark, d):
-    return each_customer(spark, d, REPLIES, "reply").select("c_custkey", embed.parse_facts("reply").alias("facts"), embed.parse_action("reply").alias("action"))
+    return each_customer(spark, d, REPLIES, "reply").select("c_custkey", F.array_join(embed.parse_facts("reply"), ",").alias("facts"), embed.parse_action("reply").alias("action"))
 
 
-@query("resolve_entity")
+@query("resolve_entity", "select n_name, case n_name when 'FRANCE' then 'France' when 'UNITED KINGDOM' then 'UNITED KINGDOMS' else n_name end as entity from nation")
 def resolve_entity(spark, d):
     return read(spark, d, "nation").select("n_name", embed.resolver(["France", "GERMANY", "UNITED KINGDOMS"])("n_name").alias("entity"))

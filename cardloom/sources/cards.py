@@ -25,12 +25,6 @@ def live(cards: DataFrame, archived_too: bool = False) -> DataFrame:
     return out if archived_too else out.where("coalesce(archived, 0) = 0")
 
 
-def with_defaults(cards: DataFrame) -> DataFrame:
-    """Fill the columns that older rows lack."""
-    base = {"access_count": "0L", "last_access": "0D", "stability": "1D", "importance": "0D", "archived": "0D", "scope": "'default'", "tags": "cast(array() as array<string>)", "superseded_by": "cast(null as string)"}
-    return cards.withColumns({k: F.expr(f"coalesce({k}, {v})" if k in cards.columns else v) for k, v in base.items()})
-
-
 def cards_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").selectExpr(
         f"concat('v', {padded('vec_id')}) as id", "concat('vector ', vec_id) as fact", "'' as evidence", "1704067200D + vec_id * 600 as timestamp", "array(concat('label=', label)) as tags", "0L as source_tokens", "embedding",

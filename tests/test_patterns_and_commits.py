@@ -102,3 +102,11 @@ def test_functions_in_sql(spark):
     assert got == [(1, "Ada", "knows", "Bob"), (1, "Bob", "likes", "tea"), (4, "x", "y", "z")]
     r = spark.sql("select card_cosine(array(float(1), float(0)), array(float(2), float(0))) as c, card_retention(0, 10, 1) as r, card_jaccard(array('a', 'b'), array('b')) as j, card_tokens('two words') as t, llm_action('please DELETE it') as a, card_tags_of('My name is Ada') as tags").first()
     assert (r.c, r.r, r.j, r.a, r.tags) == (1.0, 1.0, 0.5, "DELETE", ["name"]) and r.t > 0
+
+
+def test_lookups_keep_the_first_of_an_id(spark):
+    from cardloom.operators import retrieval
+
+    rows = [card("a", "my port is 22", 20.0), card("a", "my port is 23", 10.0), card("b", "no port", 5.0), card("c", "other", 1.0)]
+    got = retrieval.sql_path(spark.createDataFrame(rows, SCHEMA), "what is my port?").collect()
+    assert sorted((r.id, r.timestamp) for r in got) == [("a", 10.0), ("b", 5.0)]
