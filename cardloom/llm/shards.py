@@ -9,8 +9,8 @@ records (seq_len little-endian uint16 ids): record i of the training order is at
 of shard i div shard_rows, so a reader can start anywhere and go on sequentially. A document is the `n_tokens` ids from
 token `start` of sequence `first_seq` on, and over into the following sequences' slots.
 
-On the way ids are kept as two planes of bytes, low and high, compressed together: by block in the token table, and
-in the shuffle all sequences of a task that go to one shard as one piece. A writer holds one shard (32 MB by default).
+On the way ids are compressed: by block in the token table, and in the shuffle all sequences of a task that go to one
+shard as one piece. A writer holds one shard (32 MB by default).
 
 A task writes under a name of its own and renames at the end; an attempt that finds the shard already there drops its
 own file, so repeated and speculative attempts are harmless, also where a rename may not overwrite. Shards carry the number of the
@@ -50,7 +50,7 @@ SEQ_LEN = 256
 SHARD_ROWS = 1 << 16
 KEY = 20240131
 ROUNDS = 6
-CODEC = "zstd"
+CODEC, LEVEL = "zstd", 5
 #: Bytes of ids in a block of the token table, and those that a task sorts into shards at once.
 BLOCK_BYTES = 1 << 20
 HELD_BYTES = 1 << 26
@@ -139,15 +139,13 @@ def unfeistel(y: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """Ids as planes of low and high bytes, compressed together."""
-    planes = ids.astype("<u2", copy=False).view(np.uint8).reshape(-1, 2).T.tobytes()
-    return pa.compress(planes, CODEC, asbytes=True)
+    """Ids as compressed little-endian uint16, so that phrases said again are found."""
+    return pa.Codec(CODEC, compression_level=LEVEL).compress(ids.astype("<u2", copy=False).tobytes(), asbytes=True)
 
 
 def unpack(blob: bytes, n: int) -> np.ndarray:
     """The n ids of pack()."""
-    planes = np.frombuffer(pa.decompress(blob, 2 * n, CODEC, asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(2, n).T).view("<u2").ravel()
+    return np.frombuffer(pa.decompress(blob, 2 * n, CODEC, asbytes=True), "<u2")
 
 
 #: (key, at, n_tokens, crc32) of a document, at: its first token in the task's stream; or (first, n_seq, block): packed sequences, first: the number of the first one in the task.
