@@ -6,8 +6,11 @@ windows, of which most texts have none. For every (language, source) the minimum
 covariance matrix has the least determinant. From each of four starts (medians and quartile ranges of all coordinates, or
 of a few only) concentration steps take mean and covariance of the rows with the smallest Mahalanobis distances. After
 two steps the start of least determinant goes on alone, until nothing changes; of all that was reached, the estimate of
-least determinant counts. A document is rejected if its distance
-to it, made consistent for normal data, exceeds CUTOFF.
+least determinant counts. It is then drawn, to its language: by the weight of PRIOR rows to the median of the means of the
+sources, which odd sources don't move, and by that of PRIOR_SPREAD rows to the covariance within sources, pooled from the rows that the estimates chose
+and drawn to that of the corpus in turn. So a source of a few rows, or of one, is judged much like the rest of its
+language, and a large one by itself. A document is rejected if its distance, made
+consistent for normal data, exceeds CUTOFF.
 
 As in the regularised form of the estimator, covariances are mixed with the diagonal of the starts, worth PULL rows, so
 that small groups don't fit their own noise; and a deviation has a floor: a few hundredths for what varies in any text,
@@ -19,8 +22,7 @@ are 24 to a factor e of 1 + squared distance, 332 in all. Estimates are tables,
 collected.
 
 Defined results: null and empty texts have no words and fail the fixed limits; null lang or source are groups
-like others; groups of fewer than MIN_ROWS documents that pass the limits reject nothing; repeated rows count as
-often as they occur and all come back; ties of determinants go to the first start; an empty table gives no rows; other
+like others, of any size; repeated rows count as often as they occur and all come back; ties of determinants go to the first start; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -29,14 +31,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import Temporary, materialise, read
+from cardloom.llm.common import Temporary, materialise, read, release
 
 WINDOW = 5
 COVER = 0.75
 #: Steps from every start, and in all at most.
 TRIALS = 2
 STEPS = 12
-MIN_ROWS = 20
+#: Rows that the language's mean counts for in a source's; and its covariance, which has more numbers to estimate, also the corpus's in a language's.
+PRIOR, PRIOR_SPREAD = 20, 500
 #: Squared distance: beyond the 0.999999 quantile of chi-square with eight degrees of freedom, since short texts have heavier tails.
 CUTOFF = 45.0
 #: 0.75 divided by the chi-square(10) probability of the 0.75 quantile of chi-square(8).
@@ -137,6 +140,11 @@ def concentrate(vec: DataFrame, est: DataFrame) -> DataFrame:
     out = subset.join(known, F.expr(" and ".join(f"{k} <=> {k}0" for k in keys))).drop(*[f"{k}0" for k in keys])
     mixed = lambda i, j: f"({CONSISTENCY}e0 * (s{i}_{j} - cast(s{i} as double) * s{j} / n)" + (f" + {PULL}e0 * t{i}" if i == j else "") + f") / (n + {PULL})" + (f" + {FLOORS[i - 1] ** 2}e0" if i == j else "")
     out = out.selectExpr("*", *[f"cast(s{i} as double) / n as m{i}" for i in P], *[f"{mixed(i, j)} as w{i}_{j}" for i, j in PAIRS], "0e0 as ld")
+    return invert(out)
+
+
+def invert(out: DataFrame) -> DataFrame:
+    """out with the covariances w turned into their inverse; the logarithm of the determinant is added to ld."""
     for k in P:  # sweeping every pivot turns the matrix into minus its inverse
         at = lambda i, j: f"w{max(i, j)}_{min(i, j)}"
         pivot = f"w{k}_{k}"
@@ -146,7 +154,7 @@ def concentrate(vec: DataFrame, est: DataFrame) -> DataFrame:
 
 
 def estimate(vec: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(lang, source, total, m, w) of least determinant for each group, over all starts and steps."""
+    """(lang, source, total, m, w, n and sums s of the rows chosen) of least determinant for each group, over all starts and steps."""
     sums = ["n", *[f"s{i}" for i in P], *[f"s{i}_{j}" for i, j in PAIRS]]
     now, temp = materialise(starts(vec), "starts", files=FILES), Temporary()
     temp.tables.append(now)
@@ -160,7 +168,7 @@ def estimate(vec: DataFrame, steps: int = STEPS) -> DataFrame:
         # settled: the same rows were chosen again everywhere
         elif k >= TRIALS and now.alias("v").join(before.alias("s"), F.expr(f"{ON} and " + " and ".join(f"v.{x} = s.{x}" for x in sums)), "left_anti").isEmpty():
             break
-    fields = ["ld", "start", "step", "total", *[f"m{i}" for i in P], *[f"w{i}_{j}" for i, j in PAIRS]]
+    fields = ["ld", "start", "step", "total", *[f"m{i}" for i in P], *[f"w{i}_{j}" for i, j in PAIRS], *sums]
     every = seen[0].select("lang", "source", *fields)
     for x in seen[1:]:
         every = every.union(x.select("lang", "source", *fields))
@@ -169,14 +177,28 @@ def estimate(vec: DataFrame, steps: int = STEPS) -> DataFrame:
     return best
 
 
+def drawn(best: DataFrame) -> DataFrame:
+    """(lang, source, m, w) of estimate(), drawn to the estimate of the language. Means are rounded for the median, so that there are few different ones."""
+    cells = [f"c{i}_{j}" for i, j in PAIRS]
+    groups = best.selectExpr("lang", "source", "n", *[f"s{i}" for i in P], *[f"{CONSISTENCY}e0 * (s{i}_{j} - cast(s{i} as double) * s{j} / n) as c{i}_{j}" for i, j in PAIRS])
+    pooled = [F.sum(x).alias(x) for x in ["n", *cells]]
+    corpus = groups.agg(*pooled).selectExpr("struct(" + ", ".join(f"{c} / n as {c}" for c in cells) + ") as up")
+    langs = groups.groupBy("lang").agg(*pooled, *[F.expr(f"percentile(cast(round(s{i} / n) as bigint), 0.5)").alias(f"m{i}") for i in P]).withColumn("up", corpus.scalar())
+    towards = lambda c: f"({c} + {PRIOR_SPREAD}e0 * up.{c}) / (n + {PRIOR_SPREAD})"
+    langs = langs.selectExpr("lang as lang0", "struct(" + ", ".join([*[f"m{i}" for i in P], *[f"{towards(c)} as {c}" for c in cells]]) + ") as up")
+    out = groups.join(langs, F.expr("lang <=> lang0"))
+    return invert(out.selectExpr("lang", "source", *[f"(s{i} + {PRIOR}e0 * up.m{i}) / (n + {PRIOR}) as m{i}" for i in P], *[towards(f"c{i}_{j}") + (f" + {FLOORS[i - 1] ** 2}e0" if i == j else "") + f" as w{i}_{j}" for i, j in PAIRS], "0e0 as ld"))
+
+
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The contract's row for each of docs (doc_id, text, lang, source), and d2, its squared distance (null if the limits fail)."""
     stats = materialise(statistics(docs), "rules")
     vec = vectors(stats.where("not base_failed"))
     best = estimate(vec)
-    verdict = f"if(s.total >= {MIN_ROWS}, {distance()}, 0e0) as d2"
+    known = materialise(drawn(best), "drawn", files=FILES)
+    release(best)
     contract = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = vec.alias("v").join(best.alias("s"), F.expr(ON)).selectExpr(*[f"v.{c}" for c in contract], verdict)
+    passed = vec.alias("v").join(known.alias("s"), F.expr(ON)).selectExpr(*[f"v.{c}" for c in contract], f"{distance()} as d2")
     return passed.union(stats.where("base_failed").selectExpr(*contract, "cast(null as double)")).selectExpr(*contract, f"coalesce(d2 <= {cutoff}e0, false) as kept", "d2")
 
 
@@ -203,6 +225,7 @@ def oracle() -> str:
     n = DIMS
     same = lambda a, b: f"{a}.lang is not distinct from {b}.lang and {a}.source is not distinct from {b}.source"
     x = ", ".join(f"round(1024 * {e})" for e in VECTOR)
+    swept = lambda p: f"case when i = {p} and j = {p} then 1e0 / a[{p}][{p}] when i = {p} then a[{p}][j] / a[{p}][{p}] when j = {p} then -a[i][{p}] / a[{p}][{p}] else a[i][j] - a[i][{p}] * a[{p}][j] / a[{p}][{p}] end"
     floors = "[" + ", ".join(f"{f}.0" for f in FLOORS) + "]"
     d2 = f"list_sum(list_transform(range(1, {n + 1}), lambda i: (v.x[i] - s.m[i]) * list_dot_product(s.w[i], list_transform(range(1, {n + 1}), lambda j: v.x[j] - s.m[j]))))"
     looks = ", ".join(f"({k}, {list(s)})" for k, s in enumerate(STARTS))
@@ -213,19 +236,29 @@ def oracle() -> str:
     for k in range(1, STEPS + 1):
         parts.append(f"cl{k} as materialized (select v.r, s.lang, s.source, s.start, v.x, floor({CLASSES} * ln(1 + least(greatest({d2}, 0e0), {FARTHEST}e0))) as c from vec v join {'first' if k == TRIALS + 1 else f'est{k - 1}'} s on {same('v', 's')})")
         parts.append(f"in{k} as (select * from (select *, count(*) over (partition by lang, source, start order by c groups between unbounded preceding and 1 preceding) as before, count(*) over (partition by lang, source, start) as total from cl{k}) where before < {COVER}e0 * total)")
-        parts.append(f"sum{k} as (select lang, source, start, i, j, count(*) as n, sum(x[i])::double as si, sum(x[j])::double as sj, sum(x[i] * x[j])::double as sij from in{k}, range(1, {n + 1}) a(i), range(1, {n + 1}) b(j) group by all)")
+        parts.append(f"sum{k} as materialized (select lang, source, start, i, j, count(*) as n, sum(x[i])::double as si, sum(x[j])::double as sj, sum(x[i] * x[j])::double as sij from in{k}, range(1, {n + 1}) a(i), range(1, {n + 1}) b(j) group by all)")
         parts.append(f"cov{k} as (select u.lang, u.source, u.start, u.i, any_value(d.total) as total, any_value(d.t) as t, any_value(si / n) as m, list(({CONSISTENCY}e0 * (sij - si * sj / n) + case when u.i = j then {PULL}e0 * d.t[u.i] else 0 end) / (n + {PULL}) + case when u.i = j then {floors}[u.i] ** 2 else 0 end order by j) as row_ from sum{k} u join diag d on {same('u', 'd')} group by 1, 2, 3, 4)")
         parts.append(f"g{k}_0 as (select lang, source, start, any_value(total) as total, any_value(t) as t, list(m order by i) as m, list(row_ order by i) as a, 0e0 as ld from cov{k} group by 1, 2, 3)")
         for p in P:
-            cell = f"case when i = {p} and j = {p} then 1e0 / a[{p}][{p}] when i = {p} then a[{p}][j] / a[{p}][{p}] when j = {p} then -a[i][{p}] / a[{p}][{p}] else a[i][j] - a[i][{p}] * a[{p}][j] / a[{p}][{p}] end"
+            cell = swept(p)
             parts.append(f"g{k}_{p} as (select lang, source, start, total, t, m, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j: {cell})) as a, ld + ln(a[{p}][{p}]) as ld from g{k}_{p - 1})")
         parts.append(f"est{k} as materialized (select lang, source, total, t, start, m, a as w, ld, {k} as step from g{k}_{n})")
         if k == TRIALS:
             parts.append(f"first as materialized (select * from est{k} qualify row_number() over (partition by lang, source order by ld, start) = 1)")
     every = " union all ".join(f"select * from est{k}" for k in range(1, STEPS + 1))
     parts.append(f"best as (select * from (select *, row_number() over (partition by lang, source order by ld, start, step) as k from ({every})) where k = 1)")
+    # scatters are pooled by language and in all, and each estimate is drawn to the next wider one
+    every = " union all ".join(f"select *, {k} as step from sum{k}" for k in range(1, STEPS + 1))
+    parts.append(f"u0 as materialized (select u.*, {CONSISTENCY}e0 * (sij - si * sj / n) as sc from ({every}) u join best b on {same('u', 'b')} and u.start = b.start and u.step = b.step)")
+    parts.append("corpus as materialized (select i, j, sum(sc) / sum(n) as c from u0 group by i, j)")
+    parts.append(f"langs as materialized (select u.lang, u.i, u.j, quantile_cont(round(u.si / u.n), 0.5) as m, (sum(u.sc) + {PRIOR_SPREAD}e0 * any_value(p.c)) / (sum(u.n) + {PRIOR_SPREAD}) as c from u0 u join corpus p on u.i = p.i and u.j = p.j group by 1, 2, 3)")
+    parts.append(f"cells as (select u.lang, u.source, u.i, u.j, (u.si + {PRIOR}e0 * p.m) / (u.n + {PRIOR}) as m, (u.sc + {PRIOR_SPREAD}e0 * p.c) / (u.n + {PRIOR_SPREAD}) + case when u.i = u.j then {floors}[u.i] ** 2 else 0 end as c from u0 u join langs p on u.i = p.i and u.j = p.j and u.lang is not distinct from p.lang)")
+    parts.append("d0 as (select lang, source, list(m order by i) as m, list(row_ order by i) as a from (select lang, source, i, any_value(m) as m, list(c order by j) as row_ from cells group by 1, 2, 3) group by 1, 2)")
+    for p in P:
+        parts.append(f"d{p} as (select lang, source, m, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j: {swept(p)})) as a from d{p - 1})")
+    parts.append(f"known as materialized (select lang, source, m, a as w from d{n})")
     return f"""with {", ".join(parts)}
-select v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed, case when s.total < {MIN_ROWS} then true else {d2} <= {CUTOFF}e0 end as kept from vec v join best s on {same('v', 's')}
+select v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed, {d2} <= {CUTOFF}e0 as kept from vec v join known s on {same('v', 's')}
 union all select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, false from st where base_failed"""
 
 

@@ -281,6 +281,20 @@ def test_rules_against_the_quality_labels(spark):
     assert kept[1] > 0.995 and kept[0] < 0.2, kept
 
 
+def test_rules_judge_small_sources_by_their_language(spark):
+    """Junk rows go that are the only rows of their sources; clean rows stay in sources of nineteen and of one."""
+    d = "/root/testdata/sf0.01"
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    known = docs.join(read(spark, d, "labels"), "doc_id").join(rules.statistics(docs).where("not base_failed").select("doc_id"), "doc_id").where("lang = 'en'").orderBy("doc_id")
+    junk, clean = (known.where(f"quality = {q}").limit(n).collect() for q, n in ((0, 19), (1, 20)))
+    assert len(clean) == 20 and len(junk) >= 5
+    extra = [(-1 - i, r.text, "en", f"lone{i}") for i, r in enumerate(junk)] + [(-101 - i, r.text, "en", "one" if i == 19 else "few") for i, r in enumerate(clean)]
+    every = docs.union(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string"))
+    kept = {r.doc_id: r.kept for r in rules.judge(every).where("doc_id < 0").collect()}
+    assert sum(kept[-1 - i] for i in range(len(junk))) <= 1, kept
+    assert all(kept[-101 - i] for i in range(20)), kept
+
+
 def test_decontaminate(spark, odd):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short item"), (3, None), (4, "beta gamma"), (4, "beta gamma")]
     texts = [(1, "x Alpha beta gamma delta epsilon zeta eta theta iota kappa; lambda y short  item z"), (2, None), (3, "beta beta gamma alpha"), (4, "nothing")]
