@@ -26,3 +26,10 @@ def test_a_frequent_tag_is_dealt_out(spark):
     cards = spark.range(400).selectExpr("cast(id as string) as id", "array('all') as tags")
     share = graph.shared_tag_edges(cards, block_rows=40).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in share) == 400 * 399 // 2 and max(r["count"] for r in share) < 400 * 399 // 2 / 5
+
+
+def test_a_rebuilt_graph_groups_no_pairs(spark):
+    cards = spark.range(60).selectExpr("cast(id as string) as id", "array('all', cast(id % 2 as string)) as tags", "array(float(id % 7), float(1)) as embedding", "cast(null as string) as superseded_by", "0D as archived")
+    edges = graph.rebuild(cards, 0.999)
+    assert edges.where("relation_type = 'shared_tag'").count() == 60 * 59 // 2
+    assert "keys=[source_id" not in edges._jdf.queryExecution().toString()
