@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import scalars as S
@@ -97,9 +98,29 @@ def scaling_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.selectExpr("a.n as cards_before", "b.n as cards_after", "a.t as tokens_before", "b.t as tokens_after", "if(a.t = 0, 0D, round(100D * (a.t - b.t) / a.t, 1)) as reduction_pct", "a.t > 0 and 4 * (a.t - b.t) >= a.t as target_met")
 
 
-def nearest_rank(values: DataFrame, column: str, ranks: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """One row of percentiles by nearest rank: values that occur."""
-    return values.agg(*[F.expr(f"percentile_disc({r / 100!r}) within group (order by {column})").alias(f"p{r}") for r in ranks])
+def nearest_rank(values: DataFrame, column: str, ranks: tuple[int, ...] = (50, 95, 99), around: float = 0.001) -> DataFrame:
+    """One row of percentiles by nearest rank: values that occur, exactly.
+
+    A digest brackets each rank; what is below the bracket is counted, and only the distinct values within it are summed up in order, so no task has all values. A bracket
+    that misses its rank is widened, in the end to all values.
+    """
+    some = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    shares = [r / 100 for r in ranks]
+    at = ", ".join(f"{min(1.0, max(0.0, s + e))!r}D" for s in shares for e in (-around, around))
+    seen = some.agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.expr(f"percentile_approx(v, array({at}), 10000)").alias("b")).first()
+    if not seen["n"]:
+        return values.agg(*[F.expr(f"percentile_disc({s!r}) within group (order by {column})").alias(f"p{r}") for r, s in zip(ranks, shares, strict=True)])
+    out = None
+    brackets = [(seen["b"][2 * i], seen["b"][2 * i + 1]) for i in range(len(ranks))]
+    counts = some.agg(*[F.struct(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).alias(f"c{i}") for i, (low, high) in enumerate(brackets)]).first()
+    for i, (r, s) in enumerate(zip(ranks, shares, strict=True)):
+        want, (low, high), (below, upto) = max(1, math.ceil(s * seen["n"])), brackets[i], counts[i]
+        if not below < want <= upto:
+            low, high, below = seen["least"], seen["most"], 0
+        inside = some.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("v")) + below)
+        one = inside.where(F.col("upto") >= want).agg(F.min("v").alias(f"p{r}"))
+        out = one if out is None else out.withColumn(f"p{r}", one.scalar())
+    return out
 
 
 def sample_queries(facts: list[str], n: int, seed: int = 42) -> list[str]:
