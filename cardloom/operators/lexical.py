@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import scalars as S
 from cardloom.functions import text as X
 from cardloom.operators import graph
-from cardloom.operators.term_index import KINDS, TermIndex
+from cardloom.operators.term_index import ASCII, TermIndex
 
 RRF = 60
 
@@ -65,7 +65,7 @@ def tf_cosine(cards: DataFrame | TermIndex, query: str, k: int = 10, text: str =
     if isinstance(cards, TermIndex):
         return cards.cosine(q, k)
     qn = sum(v * v for v in q.values()) ** 0.5 or 1.0
-    words = cards.select("id", F.explode(F.expr(KINDS["ascii"].format(text))).alias("term"))
+    words = cards.select("id", F.explode(F.expr(ASCII.format(text))).alias("term"))
     tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
     weight = "case " + " ".join(f"when term = {X.lit(w)} then {v}" for w, v in q.items()) + " else 0 end" if q else "0"
     sums = tf.groupBy("id").agg(F.expr(f"sum(tf * ({weight}))").alias("d"), F.expr("sqrt(cast(sum(tf * tf) as double))").alias("n"))

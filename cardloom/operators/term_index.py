@@ -1,13 +1,14 @@
 """An index of terms that is kept in a folder, grows by segments, and is searched without reading what a query doesn't need.
 
-Postings lie in rows of blocks: one row has the postings of one term among up to BLOCK_DOCS cards (ids, term counts, card lengths,
-scopes as arrays), and beside them how many they are, the largest count and the smallest length. Rows are written by
+Postings lie in rows of blocks: one row has the postings of one term among about BLOCK_DOCS cards at most (places of cards in the block and term counts, as
+arrays), and beside them how many they are, the largest count and the smallest length. What belongs to a card (id, length, scope) stands once, in the table of
+cards, by block and place. Texts are shuffled to their block once and made into its rows there, so no single posting is shuffled. Rows are written by
 bucket, a hash of the first letters of the term, and sorted by term within; `rebalance` splits the bucket of a frequent
 term over as many files as it takes. A query reads the folders of its words' buckets only (partition filters), there the row groups
 of its words, and of most columns only what it asks for.
 
 An appended batch is a segment of its own, so appending costs what the batch costs. Deleted and replaced cards are
-tombstones, which hide them in older segments; merge() makes one segment of several and drops what is hidden. Each of these is a commit of
+tombstones, which hide them in older segments; merge() makes one segment of several, puts small blocks together and drops what is hidden, row by row. Each of these is a commit of
 `sources.versions`: readers see the state before or after, and of two writers from one state the second gets a conflict.
 
 Scores are those of an index built anew: the number of cards and words and the frequencies of terms are of live cards. Searches for whole words in large
@@ -19,16 +20,26 @@ Kinds: `words` (letters and digits, also without diacritics), `ascii` (a-z and 0
 
 from __future__ import annotations
 
+import re
 import uuid
+from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as X
 from cardloom.sources.versions import Versions
 
 BLOCK_DOCS = 4096
+#: Smaller segments are cut in up to so many blocks, of so many cards at least, as a block is made by one task; places are 16-bit numbers.
+SPREAD, LEAST_DOCS, MOST_DOCS = 48, 512, 16384
+#: At most so many partitions for blocks.
+MOST_PARTITIONS = 4096
 #: Letters of a term that choose its bucket: prefixes of so many letters or more need one bucket.
 BUCKET_LETTERS = 3
 BUCKETS = 16
@@ -36,14 +47,75 @@ BUCKETS = 16
 SKIP_FROM, FIRST = 64, 8
 K1, B = 1.2, 0.75
 
-KINDS = {
-    "words": "regexp_extract_all(lower(coalesce({0}, '')), '[\\\\p{{L}}\\\\p{{N}}]+', 0)",
-    "ascii": "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+', 0)",
-    "trigrams": "regexp_extract_all(coalesce({0}, ''), '(?s)(?=(...))', 1)",  # a look-ahead at each place: linear, where substrings count from the beginning
-}
+KINDS = {"words": re.compile(r"[^\W_]+"), "ascii": re.compile("[a-z0-9]+"), "trigrams": None}
+#: SQL of the words of kind `ascii`.
+ASCII = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+', 0)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCKS = "base string, term string, blk int, n int, max_tf int, min_len int, ids array<string>, tfs array<int>, lens array<int>, scopes array<string>, bucket int, seg string"
-DOCS = "id string, blk int, len int, norm2 long, scope string, text string, seg string"
+BLOCKS = "base string, term string, blk int, n int, max_tf int, min_len int, ords array<smallint>, tfs array<int>, bucket int, seg string"
+DOCS = "id string, blk int, ord smallint, len int, norm2 long, scope string, text string, seg string"
+
+
+#: Terms that leave a block at a time.
+TERMS = 20_000
+PACKED = "term string, blk int, n int, max_tf int, min_len int, ords array<smallint>, tfs array<int>"
+COUNTED = "id string, blk int, h long, len int, norm2 long, scope string, text string"
+
+
+def _counts(kind: str, text: str | None) -> Counter:
+    """How often each term of a kind is in a text, which is in lower case already."""
+    if not text:
+        return Counter()
+    return Counter(text[i : i + 3] for i in range(len(text) - 2)) if kind == "trigrams" else Counter(KINDS[kind].findall(text))
+
+
+def _pack(kind: str):
+    """For partitions (blk, ord, text) in order of blocks: PACKED rows, a block at a time. Holds the postings of one block."""
+
+    def rows(blk: int, lens: dict[int, int], terms: dict[str, tuple[array, array]]) -> Iterator[pa.RecordBatch]:
+        length = np.zeros(max(lens) + 1, np.int32)
+        length[list(lens)] = list(lens.values())
+        names = list(terms)
+        for at in range(0, len(names), TERMS):
+            some = [terms[w] for w in names[at : at + TERMS]]
+            n = np.array([len(o) for o, _ in some], np.int32)
+            first = np.concatenate([[0], n.cumsum()]).astype(np.int32)
+            ords, tfs = np.frombuffer(b"".join(o for o, _ in some), np.int16), np.frombuffer(b"".join(f for _, f in some), np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(ords)), pa.nulls(len(some), pa.list_(pa.int32())) if kind == "trigrams" else pa.ListArray.from_arrays(pa.array(first), pa.array(tfs))]
+            bounds = [pa.array(np.maximum.reduceat(tfs, first[:-1])), pa.array(np.minimum.reduceat(length[ords], first[:-1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + TERMS]), pa.array(np.full(len(some), blk, np.int32)), pa.array(n), *bounds, *lists], ["term", "blk", "n", "max_tf", "min_len", "ords", "tfs"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blk, lens, terms = None, {}, {}
+        for b in batches:
+            for k, o, text in zip(b["blk"].to_pylist(), b["ord"].to_pylist(), b["text"], strict=True):
+                if k != blk:
+                    if terms:
+                        yield from rows(blk, lens, terms)
+                    blk, lens, terms = k, {}, {}
+                counts = _counts(kind, text.as_py())
+                lens[o] = counts.total()
+                for w, f in counts.items():
+                    if w not in terms:
+                        terms[w] = array("h"), array("i")
+                    ords, tfs = terms[w]
+                    ords.append(o)
+                    tfs.append(f)
+        if terms:
+            yield from rows(blk, lens, terms)
+
+    return pack
+
+
+def _count(kind: str):
+    """For batches (id, blk, h, scope, text): COUNTED rows, with the text for substrings only."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(c.total(), sum(f * f for f in c.values())) for c in (_counts(kind, t.as_py()) for t in b["text"])]
+            text = b["text"] if kind == "trigrams" else pa.nulls(b.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([b["id"], b["blk"], b["h"], pa.array([n for n, _ in found], pa.int32()), pa.array([q for _, q in found], pa.int64()), b["scope"], text], ["id", "blk", "h", "len", "norm2", "scope", "text"])
+
+    return count
 
 
 @dataclass(frozen=True)
@@ -62,7 +134,7 @@ class TermIndex:
         self.spark, self.path, self.versions = spark, path.rstrip("/"), Versions(spark, path)
         said = self.versions.latest()[1]
         # what was chosen when the index was made stays
-        self.kind, self.buckets, self.block_docs = said.get("kind", kind), said.get("buckets", buckets), said.get("block_docs", block_docs)
+        self.kind, self.buckets, self.block_docs = said.get("kind", kind), said.get("buckets", buckets), min(said.get("block_docs", block_docs), MOST_DOCS)
 
     # ---- state ----
 
@@ -103,27 +175,26 @@ class TermIndex:
     def _segment(self, cards: DataFrame, text: str, number: int) -> dict:
         """Write the postings and cards of a new segment; both from one pass over the texts each."""
         n = cards.count()
-        blocks = max(1, -(-n // self.block_docs))
+        blocks = max(1, -(-n // self.block_docs), min(SPREAD, n // LEAST_DOCS))
         name = f"{number:08d}-{uuid.uuid4().hex}"
         scope = F.col("scope") if "scope" in cards.columns else F.lit(None).cast("string")
-        told = cards.select("id", scope.alias("scope"), F.translate(F.col(text), UPPER, LOWER).alias("text") if self.kind == "trigrams" else F.col(text).alias("text"))
-        told = told.selectExpr("id", "scope", "text", f"cast(pmod(xxhash64(id), {blocks}) as int) as blk", f"sort_array({KINDS[self.kind].format('text')}) as ws")
-        # runs of equal words in the sorted array: where each begins, and how long it is
-        runs = "filter(sequence(0, size(ws) - 1), i -> i = 0 or ws[i] <> ws[i - 1])"
-        counted = told.selectExpr("id", "scope", "blk", "size(ws) as len", "ws", f"if(size(ws) = 0, cast(array() as array<int>), {runs}) as at", "text")
-        counted = counted.selectExpr("id", "scope", "blk", "len", "text", "transform(at, (i, k) -> struct(ws[i] as term, coalesce(get(at, k + 1), len) - i as tf)) as ts")
-        # outer, for the sake of plans: from inline() a filter on ts would be inferred, and made of the texts once more, deep within loops
-        flat = counted.selectExpr("id", "scope", "blk", "len", "inline_outer(ts)").where("term is not null")
-        packed = flat.groupBy("term", "blk").agg(F.collect_list(F.struct("id", "tf", "len", "scope")).alias("ps"))
+        said = F.translate(F.col(text), UPPER, LOWER) if self.kind == "trigrams" else F.lower(F.col(text))
+        told = cards.select("id", scope.alias("scope"), said.alias("text")).selectExpr("id", "scope", "text", f"cast(pmod(xxhash64(id), {blocks}) as int) as blk", "xxhash64(text) as h")
+        packed = self._placed(told.drop("scope"), blocks).select("blk", "ord", "text").mapInArrow(_pack(self.kind), PACKED)
         base = X.unaccented("term") if self.kind == "words" else "term"
-        rows = packed.selectExpr(
-            f"{base} as base", "term", "blk", "size(ps) as n", "array_max(ps.tf) as max_tf", "array_min(ps.len) as min_len", "ps.id as ids", "ps.tf as tfs", "ps.len as lens", "ps.scope as scopes"
-        ).withColumn("bucket", F.expr(self._bucket("base")))
+        self._write_blocks(packed.selectExpr(f"{base} as base", "*").withColumn("bucket", F.expr(self._bucket("base"))), name)
+        docs = told.select("id", "blk", "h", "scope", "text").mapInArrow(_count(self.kind), COUNTED)
+        self._placed(docs, blocks).drop("h").sortWithinPartitions("blk", "ord").write.parquet(f"{self.path}/docs/seg={name}")
+        total = self.spark.read.parquet(f"{self.path}/docs/seg={name}").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        return {"name": name, "docs": n, "words": int(total), "blocks": blocks}
+
+    def _placed(self, cards: DataFrame, blocks: int) -> DataFrame:
+        """cards (id, blk, h, ..) with ord, their places in their blocks, which lie in one partition each."""
+        dealt = cards.repartition(min(MOST_PARTITIONS, 2 * blocks), "blk")  # by the number of blocks: few bytes make much work
+        return dealt.withColumn("ord", F.expr("cast(row_number() over (partition by blk order by id, h) - 1 as smallint)"))
+
+    def _write_blocks(self, rows: DataFrame, name: str) -> None:
         rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "base", "term", "blk").write.partitionBy("bucket").parquet(f"{self.path}/blocks/seg={name}")
-        docs = counted.selectExpr("id", "blk", "len", "coalesce(aggregate(ts, 0L, (a, t) -> a + t.tf * t.tf), 0L) as norm2", "scope", "text" if self.kind == "trigrams" else "cast(null as string) as text")
-        docs.sortWithinPartitions("blk", "id").write.parquet(f"{self.path}/docs/seg={name}")
-        words = self.spark.read.parquet(f"{self.path}/docs/seg={name}").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
-        return {"name": name, "docs": n, "words": int(words), "blocks": blocks}
 
     def _bucket(self, base: str) -> str:
         return f"cast(pmod(xxhash64(left({base}, {BUCKET_LETTERS})), {self.buckets}) as int)"
@@ -159,15 +230,32 @@ class TermIndex:
         snap = self.snapshot()
         if len(snap.segments) < fewest and not snap.gone:
             return None
-        number, blocks = snap.version + 1, max(1, -(-snap.nd // self.block_docs))
+        number = snap.version + 1
         name = f"{number:08d}-{uuid.uuid4().hex}"
-        blk = f"cast(pmod(xxhash64(id), {blocks}) as int)"
-        flat = self._scan("blocks", BLOCKS, snap.segments).selectExpr("base", "term", "bucket", "seg", "inline(arrays_zip(ids, tfs, lens, scopes)) as (id, tf, len, scope)")
-        packed = self._live(flat, snap).withColumn("blk", F.expr(blk)).groupBy("base", "term", "bucket", "blk").agg(F.collect_list(F.struct("id", "tf", "len", "scope")).alias("ps"))
-        rows = packed.selectExpr("base", "term", "blk", "size(ps) as n", "array_max(ps.tf) as max_tf", "array_min(ps.len) as min_len", "ps.id as ids", "ps.tf as tfs", "ps.len as lens", "ps.scope as scopes", "bucket")
-        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "base", "term", "blk").write.partitionBy("bucket").parquet(f"{self.path}/blocks/seg={name}")
-        self.docs(snap).drop("seg").withColumn("blk", F.expr(blk)).repartition("blk").sortWithinPartitions("blk", "id").write.parquet(f"{self.path}/docs/seg={name}")
-        return self._commit(snap.version, [{"name": name, "docs": snap.nd, "words": snap.words, "blocks": blocks}], [], snap.nd, snap.words)
+        cards = self._scan("docs", DOCS, snap.segments)
+        live = self._live(cards.select("id", "seg", "blk", "ord"), snap).select("seg", "blk", "ord")
+        # blocks of a few cards go together, in turn
+        table, to, held = [], 0, 0
+        for r in live.groupBy("seg", "blk").agg(F.count("*").alias("n")).orderBy("seg", "blk").collect():  # a row for a block
+            if held and held + r["n"] > self.block_docs:
+                to, held = to + 1, 0
+            held += r["n"]
+            table.append((r["seg"], r["blk"], to))
+        joined = self.spark.createDataFrame(table, "seg string, blk int, to int")
+        order = Window.partitionBy("to").orderBy("seg", "blk", "ord")
+        folder = self.versions.write(live.join(F.broadcast(joined), ["seg", "blk"]).withColumn("place", F.row_number().over(order) - 1), "places")
+        places = self.spark.read.schema("seg string, blk int, ord smallint, to int, place int").parquet(f"{self.path}/{folder}")
+        # for a block the new place of each of its cards, by the old one; null where it is hidden
+        moved = cards.select("seg", "blk", "ord").join(places, ["seg", "blk", "ord"], "left").groupBy("seg", "blk").agg(F.max("to").alias("to"), F.expr("array_sort(collect_list(struct(ord, cast(place as smallint) as place))).place as places"))
+        old = self._scan("blocks", BLOCKS, snap.segments).join(moved.where("to is not null"), ["seg", "blk"])
+        told = old.selectExpr("base", "term", "bucket", "to as blk", "min_len", "filter(zip_with(ords, coalesce(tfs, transform(ords, o -> 1)), (o, f) -> struct(places[o] as ord, f as tf)), x -> x.ord is not null) as ps").where("size(ps) > 0")
+        # least lengths are bounds: those of hidden cards may stay
+        packed = told.groupBy("base", "term", "bucket", "blk").agg(F.flatten(F.collect_list("ps")).alias("ps"), F.min("min_len").alias("min_len"))
+        tfs = "cast(null as array<int>) as tfs" if self.kind == "trigrams" else "ps.tf as tfs"
+        self._write_blocks(packed.selectExpr("base", "term", "blk", "size(ps) as n", "array_max(ps.tf) as max_tf", "min_len", "ps.ord as ords", tfs, "bucket"), name)
+        kept = cards.join(places, ["seg", "blk", "ord"]).selectExpr("id", "to as blk", "cast(place as smallint) as ord", "len", "norm2", "scope", "text")
+        kept.repartition("blk").sortWithinPartitions("blk", "ord").write.parquet(f"{self.path}/docs/seg={name}")
+        return self._commit(snap.version, [{"name": name, "docs": snap.nd, "words": snap.words, "blocks": to + 1}], [], snap.nd, snap.words)
 
     def drop(self) -> None:
         """Delete the index and its files."""
@@ -186,10 +274,11 @@ class TermIndex:
         found = self._scan("blocks", BLOCKS, snap.segments).where(" or ".join(map("".join, zip(near, at, strict=True))) or "false")
         return found.withColumn("q", F.explode(F.expr(match)))
 
-    def postings(self, rows: DataFrame, snap: Snapshot) -> DataFrame:
-        """(q, id, len, scope, f) from block rows, f summed over the terms of a word; live cards only."""
-        flat = rows.selectExpr("q", "seg", "inline(arrays_zip(ids, tfs, lens, scopes)) as (id, tf, len, scope)")
-        return self._live(flat, snap).groupBy("q", "id", "len", "scope").agg(F.sum("tf").alias("f"))
+    def postings(self, rows: DataFrame, snap: Snapshot, wanted: str = "true") -> DataFrame:
+        """(q, id, len, scope, norm2, f) from block rows, f summed over the terms of a word; live cards only. wanted: a condition for the blocks that rows are of."""
+        flat = rows.selectExpr("q", "seg", "blk", "inline(arrays_zip(ords, tfs)) as (ord, tf)").groupBy("q", "seg", "blk", "ord").agg(F.sum("tf").alias("f"))
+        cards = self._live(self._scan("docs", DOCS, snap.segments).where(wanted), snap)
+        return flat.join(cards.select("seg", "blk", "ord", "id", "len", "scope", "norm2"), ["seg", "blk", "ord"]).select("q", "id", "len", "scope", "norm2", "f")
 
     def bm25(self, words: list[str], n: int = 30, prefix: bool = False, folded: bool = False, scope: str | None = None, skip_from: int = SKIP_FROM) -> DataFrame:
         """(id, score) of the n best cards. Frequencies are those of all live cards, whatever the scope."""
@@ -235,7 +324,7 @@ class TermIndex:
         """The n best cards in the blocks picked; (seg, blk) is pushed to the scan as a list where there are few, else joined."""
         wanted = self._listed(picked)
         rows = rows.join(picked.select("seg", "blk"), ["seg", "blk"], "left_semi") if wanted is None else rows.where(wanted)
-        hit = self.postings(rows, snap)
+        hit = self.postings(rows, snap, wanted or "true")
         inside = hit if scope is None else hit.where(F.col("scope") == scope)
         return self._best(inside.join(F.broadcast(df), "q"), snap, n)
 
@@ -254,9 +343,9 @@ class TermIndex:
         snap = self.snapshot()
         hit = self.postings(self.rows(list(counts), snap), snap)
         weight = "case " + " ".join(f"when q = {X.lit(w)} then {v}" for w, v in counts.items()) + " else 0 end" if counts else "0"
-        dots = hit.groupBy("id").agg(F.expr(f"sum(f * ({weight}))").alias("d"))
+        dots = hit.groupBy("id", "norm2").agg(F.expr(f"sum(f * ({weight}))").alias("d"))
         norm = sum(v * v for v in counts.values()) ** 0.5 or 1.0
-        return dots.where("d > 0").join(self.docs(snap).select("id", "norm2"), "id").selectExpr("id", f"d / (sqrt(cast(norm2 as double)) * {norm!r}D) as score").orderBy(F.desc("score"), "id").limit(k)
+        return dots.where("d > 0").selectExpr("id", f"d / (sqrt(cast(norm2 as double)) * {norm!r}D) as score").orderBy(F.desc("score"), "id").limit(k)
 
     def containing(self, value: str, rarest: int = 4) -> DataFrame:
         """(id, text): cards whose text (A-Z lowered) contains value; `trigrams` indexes only.
@@ -277,8 +366,8 @@ class TermIndex:
         if len(sizes) < len(grams):
             return docs.where("false").select("id", "text")
         chosen = sorted(grams, key=lambda g: (sizes[g], g))[:rarest]
-        flat = self.rows(chosen, snap).select("q", "seg", "blk", F.explode("ids").alias("id"))
-        found = self._live(flat, snap).groupBy("seg", "blk", "id").agg(F.count("*").alias("k")).where(F.col("k") == len(chosen))
+        flat = self.rows(chosen, snap).select("q", "seg", "blk", F.explode("ords").alias("ord"))
+        found = flat.groupBy("seg", "blk", "ord").agg(F.count("*").alias("k")).where(F.col("k") == len(chosen))
         wanted = self._listed(found)
         docs = docs if wanted is None else docs.where(wanted)  # read only these blocks of texts
-        return docs.join(found.select("seg", "id"), ["seg", "id"], "left_semi").where(said).select("id", "text")
+        return self._live(docs.join(found.select("seg", "blk", "ord"), ["seg", "blk", "ord"], "left_semi").where(said), snap).select("id", "text")
