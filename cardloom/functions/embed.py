@@ -150,20 +150,21 @@ def parse_facts(reply: pd.Series) -> pd.Series:
 _ARROW = re.compile(r"\(?\s*([^,()|>-]+?)\s*(?:,|\||->|-)\s*([^,()|>-]+?)\s*(?:,|\||->|-)\s*([^,()|>-]+?)\s*\)?\s*$", re.M)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def parse_triplets(reply: pd.Series) -> pd.Series:
+def triplets_of(text: str | None) -> list[list[str]]:
     """(subject, predicate, object) triplets in a reply: JSON lists or objects, else lines of three parts."""
+    text = text or ""
+    try:
+        value = json.loads(text[text.find("[") : text.rfind("]") + 1])
+        rows = [[v.get("subject"), v.get("predicate"), v.get("object")] if isinstance(v, dict) else list(v) for v in value]
+        return [[str(x).strip() for x in r] for r in rows if len(r) == 3 and all(x not in (None, "") for x in r)]
+    except (ValueError, TypeError):
+        return [[g.strip() for g in m.groups()] for m in _ARROW.finditer(text)]
 
-    def one(text: str | None) -> list[list[str]]:
-        text = text or ""
-        try:
-            value = json.loads(text[text.find("[") : text.rfind("]") + 1])
-            rows = [[v.get("subject"), v.get("predicate"), v.get("object")] if isinstance(v, dict) else list(v) for v in value]
-            return [[str(x).strip() for x in r] for r in rows if len(r) == 3 and all(x not in (None, "") for x in r)]
-        except (ValueError, TypeError):
-            return [[g.strip() for g in m.groups()] for m in _ARROW.finditer(text)]
 
-    return reply.map(one)
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def parse_triplets(reply: pd.Series) -> pd.Series:
+    """triplets_of() each reply."""
+    return reply.map(triplets_of)
 
 
 @F.pandas_udf(T.StringType())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ class Triplets:
     """Rows of a reply's triplets, for LATERAL: select t.* from replies, lateral llm_triplets(reply) t. (Functions of whole Arrow tables can't stand after LATERAL.)"""
 
     def eval(self, reply: str):
-        yield from map(tuple, embed.parse_triplets.func(pd.Series([reply], dtype=object))[0])
+        yield from map(tuple, embed.triplets_of(reply))
 
 
 def register(spark: SparkSession) -> list[str]:
