@@ -172,3 +172,16 @@ def test_an_append_beside_another_fails(spark, cards, monkeypatch):
     with pytest.raises(Conflict):
         a.append(cards.where("doc_id = 101"))
     assert a.snapshot().nd == 6
+
+
+def test_no_posting_is_shuffled(spark, cards, monkeypatch):
+    plans, write = [], TermIndex._write_blocks
+
+    def seen(self, rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(self, rows, name)
+
+    monkeypatch.setattr(TermIndex, "_write_blocks", seen)
+    TermIndex(spark, folder(spark)).append(cards.limit(50))
+    made = plans[0].split("MapInArrow")
+    assert "Exchange" not in made[0] and "hashpartitioning(blk" in made[1]
