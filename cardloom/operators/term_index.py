@@ -1,10 +1,10 @@
 """An index of terms that is kept in a folder, grows by segments, and is searched without reading what a query doesn't need.
 
 Postings lie in rows of blocks: one row has the postings of one term among about BLOCK_DOCS cards at most (places of cards in the block and term counts, as
-arrays), and beside them how many they are, the largest count and the smallest length. What belongs to a card (id, length, scope) stands once, in the table of
+arrays; counts that are all 1 are left out), and beside them how many they are, the largest count and the smallest length. What belongs to a card (id, length, scope) stands once, in the table of
 cards, by block and place. Texts are shuffled to their block once and made into its rows there, so no single posting is shuffled. Rows are written by
-bucket, a hash of the first letters of the term, and sorted by term within; `rebalance` splits the bucket of a frequent
-term over as many files as it takes. A query reads the folders of its words' buckets only (partition filters), there the row groups
+bucket, a hash of the first letters of the term, and by slice, so many blocks as have SLICE_DOCS cards, and sorted by term
+within: a file for a bucket and slice. A query reads the folders of its words' buckets only (partition filters), there the row groups
 of its words, and of most columns only what it asks for.
 
 An appended batch is a segment of its own, so appending costs what the batch costs. Deleted and replaced cards are
@@ -23,9 +23,10 @@ from __future__ import annotations
 import re
 import uuid
 from array import array
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -55,69 +56,93 @@ BLOCKS = "base string, term string, blk int, n int, max_tf int, min_len int, ord
 DOCS = "id string, blk int, ord smallint, len int, norm2 long, scope string, text string, seg string"
 
 
-#: Terms that leave a block at a time.
-TERMS = 20_000
-PACKED = "term string, blk int, n int, max_tf int, min_len int, ords array<smallint>, tfs array<int>"
-COUNTED = "id string, blk int, h long, len int, norm2 long, scope string, text string"
+#: Cards whose postings of a bucket are sorted and written by one task, and the most tasks for that.
+SLICE_DOCS, MOST_SLICES = 32_768, 1024
+#: Terms that leave a block at a time; so many words are counted at a time.
+TERMS, WORDS_AT_ONCE = 20_000, 1 << 20
+#: Lengths and square sums of a block's cards leave it as a row of their own, of no term, in this bucket.
+CARDS_BUCKET = -1
+PACKED = "term string, blk int, n int, max_tf int, min_len int, ords array<smallint>, tfs array<int>, norms array<bigint>"
+CARDS = "blk int, ords array<smallint>, tfs array<int>, norms array<bigint>"
 
 
-def _counts(kind: str, text: str | None) -> Counter:
-    """How often each term of a kind is in a text, which is in lower case already."""
+def _terms(kind: str, text: str | None) -> list[str]:
+    """The terms of a kind in a text, which is in lower case already, as often as they are in it."""
     if not text:
-        return Counter()
-    return Counter(text[i : i + 3] for i in range(len(text) - 2)) if kind == "trigrams" else Counter(KINDS[kind].findall(text))
+        return []
+    return [text[i : i + 3] for i in range(len(text) - 2)] if kind == "trigrams" else KINDS[kind].findall(text)
+
+
+class _Block:
+    """The postings of one block, held as numbers: (term, place) pairs and counts."""
+
+    def __init__(self, kind: str, blk: int):
+        self.kind, self.blk, self.ids, self.cards = kind, blk, defaultdict(count().__next__), 0
+        self.words, self.places, self.sizes, self.keys, self.tfs = array("i"), [], [], [], []
+
+    def add(self, place: int, text: str | None) -> None:
+        had = len(self.words)
+        self.words.extend(map(self.ids.__getitem__, _terms(self.kind, text)))
+        self.places.append(place)
+        self.sizes.append(len(self.words) - had)
+        self.cards = max(self.cards, place + 1)
+        if len(self.words) >= WORDS_AT_ONCE:
+            self._count()
+
+    def _count(self) -> None:
+        """Words so far become counts; all words of a card are counted at once."""
+        key, tf = np.unique(np.array(self.words, np.int64) << 16 | np.repeat(np.array(self.places, np.int64), self.sizes), return_counts=True)
+        self.keys.append(key)
+        self.tfs.append(tf.astype(np.int32))
+        self.words, self.places, self.sizes = array("i"), [], []
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """PACKED rows by term, TERMS at a time, and one for the cards. Counts that are all 1 are left out, as are those of trigrams."""
+        self._count()
+        names = sorted(self.ids)
+        rank = np.empty(len(names), np.int64)
+        rank[np.array([self.ids[w] for w in names], np.int64)] = np.arange(len(names))
+        key, tf = np.concatenate(self.keys), np.concatenate(self.tfs)
+        key = rank[key >> 16] << 16 | key & 0xFFFF
+        order = np.argsort(key)
+        term, ords, tf = key[order] >> 16, (key[order] & 0xFFFF).astype(np.int16), tf[order]
+        length = np.bincount(ords, tf, self.cards).astype(np.int32)
+        n = np.bincount(term, minlength=len(names)).astype(np.int32)
+        first = np.concatenate([[0], n.cumsum()])
+        for at in range(0, len(names), TERMS):
+            f = first[at : at + TERMS + 1]
+            some, o, t = n[at : at + TERMS], ords[f[0] : f[-1]], tf[f[0] : f[-1]]
+            most = np.maximum.reduceat(t, f[:-1] - f[0])
+            told = (most > 1) & (self.kind != "trigrams")
+            lists = [pa.ListArray.from_arrays(pa.array((f - f[0]).astype(np.int32)), pa.array(o))]
+            lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.where(told, some, 0).cumsum()]).astype(np.int32)), pa.array(t[np.repeat(told, some)]), mask=pa.array(~told)))
+            yield self._batch(names[at : at + TERMS], some, most, np.minimum.reduceat(length[o], f[:-1] - f[0]), *lists, pa.nulls(len(some), pa.list_(pa.int64())))
+        zero, of = np.zeros(1, np.int32), lambda x: pa.ListArray.from_arrays(pa.array([0, self.cards], pa.int32()), pa.array(x))
+        norm2 = np.bincount(ords, tf.astype(np.float64) ** 2, self.cards).astype(np.int64)
+        yield self._batch([""], zero + self.cards, zero, zero, of(np.arange(self.cards, dtype=np.int16)), of(length), of(norm2))
+
+    def _batch(self, terms: list[str], n: np.ndarray, max_tf: np.ndarray, min_len: np.ndarray, *lists: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(terms), *map(pa.array, (np.full(len(n), self.blk, np.int32), n, max_tf, min_len)), *lists], ["term", "blk", "n", "max_tf", "min_len", "ords", "tfs", "norms"])
 
 
 def _pack(kind: str):
     """For partitions (blk, ord, text) in order of blocks: PACKED rows, a block at a time. Holds the postings of one block."""
 
-    def rows(blk: int, lens: dict[int, int], terms: dict[str, tuple[array, array]]) -> Iterator[pa.RecordBatch]:
-        length = np.zeros(max(lens) + 1, np.int32)
-        length[list(lens)] = list(lens.values())
-        names = list(terms)
-        for at in range(0, len(names), TERMS):
-            some = [terms[w] for w in names[at : at + TERMS]]
-            n = np.array([len(o) for o, _ in some], np.int32)
-            first = np.concatenate([[0], n.cumsum()]).astype(np.int32)
-            ords, tfs = np.frombuffer(b"".join(o for o, _ in some), np.int16), np.frombuffer(b"".join(f for _, f in some), np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(ords)), pa.nulls(len(some), pa.list_(pa.int32())) if kind == "trigrams" else pa.ListArray.from_arrays(pa.array(first), pa.array(tfs))]
-            bounds = [pa.array(np.maximum.reduceat(tfs, first[:-1])), pa.array(np.minimum.reduceat(length[ords], first[:-1]))]
-            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + TERMS]), pa.array(np.full(len(some), blk, np.int32)), pa.array(n), *bounds, *lists], ["term", "blk", "n", "max_tf", "min_len", "ords", "tfs"])
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blk, lens, terms = None, {}, {}
+        block = None
         for b in batches:
             for k, o, text in zip(b["blk"].to_pylist(), b["ord"].to_pylist(), b["text"], strict=True):
-                if k != blk:
-                    if terms:
-                        yield from rows(blk, lens, terms)
-                    blk, lens, terms = k, {}, {}
-                counts = _counts(kind, text.as_py())
-                lens[o] = counts.total()
-                for w, f in counts.items():
-                    if w not in terms:
-                        terms[w] = array("h"), array("i")
-                    ords, tfs = terms[w]
-                    ords.append(o)
-                    tfs.append(f)
-        if terms:
-            yield from rows(blk, lens, terms)
+                if block is None or k != block.blk:
+                    if block is not None:
+                        yield from block.rows()
+                    block = _Block(kind, k)
+                block.add(o, text.as_py())
+        if block is not None:
+            yield from block.rows()
 
     return pack
 
 
-def _count(kind: str):
-    """For batches (id, blk, h, scope, text): COUNTED rows, with the text for substrings only."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(c.total(), sum(f * f for f in c.values())) for c in (_counts(kind, t.as_py()) for t in b["text"])]
-            text = b["text"] if kind == "trigrams" else pa.nulls(b.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([b["id"], b["blk"], b["h"], pa.array([n for n, _ in found], pa.int32()), pa.array([q for _, q in found], pa.int64()), b["scope"], text], ["id", "blk", "h", "len", "norm2", "scope", "text"])
-
-    return count
-
-
 @dataclass(frozen=True)
 class Snapshot:
     """What a version of the index says: segments (name, docs, blocks), tombstone folders, live cards and words."""
@@ -173,28 +198,35 @@ class TermIndex:
     # ---- writing ----
 
     def _segment(self, cards: DataFrame, text: str, number: int) -> dict:
-        """Write the postings and cards of a new segment; both from one pass over the texts each."""
+        """Write the postings of a new segment, from one pass over its texts, and then its cards, with what that pass told of them."""
         n = cards.count()
         blocks = max(1, -(-n // self.block_docs), min(SPREAD, n // LEAST_DOCS))
-        name = f"{number:08d}-{uuid.uuid4().hex}"
+        made = {"name": f"{number:08d}-{uuid.uuid4().hex}", "docs": n, "blocks": blocks}
         scope = F.col("scope") if "scope" in cards.columns else F.lit(None).cast("string")
         said = F.translate(F.col(text), UPPER, LOWER) if self.kind == "trigrams" else F.lower(F.col(text))
         told = cards.select("id", scope.alias("scope"), said.alias("text")).selectExpr("id", "scope", "text", f"cast(pmod(xxhash64(id), {blocks}) as int) as blk", "xxhash64(text) as h")
         packed = self._placed(told.drop("scope"), blocks).select("blk", "ord", "text").mapInArrow(_pack(self.kind), PACKED)
-        base = X.unaccented("term") if self.kind == "words" else "term"
-        self._write_blocks(packed.selectExpr(f"{base} as base", "*").withColumn("bucket", F.expr(self._bucket("base"))), name)
-        docs = told.select("id", "blk", "h", "scope", "text").mapInArrow(_count(self.kind), COUNTED)
-        self._placed(docs, blocks).drop("h").sortWithinPartitions("blk", "ord").write.parquet(f"{self.path}/docs/seg={name}")
-        total = self.spark.read.parquet(f"{self.path}/docs/seg={name}").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
-        return {"name": name, "docs": n, "words": int(total), "blocks": blocks}
+        base = f"if(octet_length(term) = length(term), term, {X.unaccented('term')})" if self.kind == "words" else "term"
+        self._write_blocks(packed.selectExpr(f"{base} as base", "*").withColumn("bucket", F.expr(f"if(term = '', {CARDS_BUCKET}, {self._bucket('base')})")), made)
+        counted = self.spark.createDataFrame([], CARDS) if n == 0 else self.spark.read.schema(CARDS).parquet(f"{self.path}/blocks/seg={made['name']}/bucket={CARDS_BUCKET}")
+        lengths = counted.selectExpr("blk", "inline(arrays_zip(ords, tfs, norms)) as (ord, len, norm2)")
+        docs = self._placed(told.select("id", "blk", "h", "scope", "text" if self.kind == "trigrams" else F.lit(None).cast("string").alias("text")), blocks).drop("h")
+        docs.join(lengths, ["blk", "ord"]).select("id", "blk", "ord", "len", "norm2", "scope", "text").sortWithinPartitions("blk", "ord").write.parquet(f"{self.path}/docs/seg={made['name']}")
+        total = self.spark.read.parquet(f"{self.path}/docs/seg={made['name']}").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        return made | {"words": int(total)}
 
     def _placed(self, cards: DataFrame, blocks: int) -> DataFrame:
         """cards (id, blk, h, ..) with ord, their places in their blocks, which lie in one partition each."""
         dealt = cards.repartition(min(MOST_PARTITIONS, 2 * blocks), "blk")  # by the number of blocks: few bytes make much work
         return dealt.withColumn("ord", F.expr("cast(row_number() over (partition by blk order by id, h) - 1 as smallint)"))
 
-    def _write_blocks(self, rows: DataFrame, name: str) -> None:
-        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "base", "term", "blk").write.partitionBy("bucket").parquet(f"{self.path}/blocks/seg={name}")
+    def _write_blocks(self, rows: DataFrame, seg: dict) -> None:
+        """Rows by bucket and slice of blocks: what a task sorts doesn't grow with the index, so it stays in memory."""
+        slices = min(MOST_SLICES, max(1, -(-seg["docs"] // SLICE_DOCS)))
+        to = F.expr(f"cast(greatest(bucket, 0) * {slices} + blk * {slices} div {seg['blocks']} as int)")
+        # most terms are their own base: it is told again after the shuffle
+        dealt = rows.withColumn("base", F.expr("nullif(base, term)")).repartitionById(self.buckets * slices, to).withColumn("base", F.coalesce("base", "term"))
+        dealt.sortWithinPartitions("bucket", "base", "term", "blk").write.partitionBy("bucket").parquet(f"{self.path}/blocks/seg={seg['name']}")
 
     def _bucket(self, base: str) -> str:
         return f"cast(pmod(xxhash64(left({base}, {BUCKET_LETTERS})), {self.buckets}) as int)"
@@ -247,15 +279,16 @@ class TermIndex:
         places = self.spark.read.schema("seg string, blk int, ord smallint, to int, place int").parquet(f"{self.path}/{folder}")
         # for a block the new place of each of its cards, by the old one; null where it is hidden
         moved = cards.select("seg", "blk", "ord").join(places, ["seg", "blk", "ord"], "left").groupBy("seg", "blk").agg(F.max("to").alias("to"), F.expr("array_sort(collect_list(struct(ord, cast(place as smallint) as place))).place as places"))
-        old = self._scan("blocks", BLOCKS, snap.segments).join(moved.where("to is not null"), ["seg", "blk"])
+        old = self._scan("blocks", BLOCKS, snap.segments).where(f"bucket <> {CARDS_BUCKET}").join(moved.where("to is not null"), ["seg", "blk"])
         told = old.selectExpr("base", "term", "bucket", "to as blk", "min_len", "filter(zip_with(ords, coalesce(tfs, transform(ords, o -> 1)), (o, f) -> struct(places[o] as ord, f as tf)), x -> x.ord is not null) as ps").where("size(ps) > 0")
         # least lengths are bounds: those of hidden cards may stay
         packed = told.groupBy("base", "term", "bucket", "blk").agg(F.flatten(F.collect_list("ps")).alias("ps"), F.min("min_len").alias("min_len"))
-        tfs = "cast(null as array<int>) as tfs" if self.kind == "trigrams" else "ps.tf as tfs"
-        self._write_blocks(packed.selectExpr("base", "term", "blk", "size(ps) as n", "array_max(ps.tf) as max_tf", "min_len", "ps.ord as ords", tfs, "bucket"), name)
+        tfs = "cast(null as array<int>) as tfs" if self.kind == "trigrams" else "if(array_max(ps.tf) > 1, ps.tf, null) as tfs"
+        made = {"name": name, "docs": snap.nd, "words": snap.words, "blocks": to + 1}
+        self._write_blocks(packed.selectExpr("base", "term", "blk", "size(ps) as n", "array_max(ps.tf) as max_tf", "min_len", "ps.ord as ords", tfs, "bucket"), made)
         kept = cards.join(places, ["seg", "blk", "ord"]).selectExpr("id", "to as blk", "cast(place as smallint) as ord", "len", "norm2", "scope", "text")
         kept.repartition("blk").sortWithinPartitions("blk", "ord").write.parquet(f"{self.path}/docs/seg={name}")
-        return self._commit(snap.version, [{"name": name, "docs": snap.nd, "words": snap.words, "blocks": to + 1}], [], snap.nd, snap.words)
+        return self._commit(snap.version, [made], [], snap.nd, snap.words)
 
     def drop(self) -> None:
         """Delete the index and its files."""
@@ -276,7 +309,7 @@ class TermIndex:
 
     def postings(self, rows: DataFrame, snap: Snapshot, wanted: str = "true") -> DataFrame:
         """(q, id, len, scope, norm2, f) from block rows, f summed over the terms of a word; live cards only. wanted: a condition for the blocks that rows are of."""
-        flat = rows.selectExpr("q", "seg", "blk", "inline(arrays_zip(ords, tfs)) as (ord, tf)").groupBy("q", "seg", "blk", "ord").agg(F.sum("tf").alias("f"))
+        flat = rows.selectExpr("q", "seg", "blk", "inline(arrays_zip(ords, coalesce(tfs, cast(array() as array<int>)))) as (ord, tf)").groupBy("q", "seg", "blk", "ord").agg(F.sum(F.coalesce("tf", F.lit(1))).alias("f"))
         cards = self._live(self._scan("docs", DOCS, snap.segments).where(wanted), snap)
         return flat.join(cards.select("seg", "blk", "ord", "id", "len", "scope", "norm2"), ["seg", "blk", "ord"]).select("q", "id", "len", "scope", "norm2", "f")
 

@@ -185,3 +185,31 @@ def test_no_posting_is_shuffled(spark, cards, monkeypatch):
     TermIndex(spark, folder(spark)).append(cards.limit(50))
     made = plans[0].split("MapInArrow")
     assert "Exchange" not in made[0] and "hashpartitioning(blk" in made[1]
+
+
+def test_a_task_sorts_a_slice_of_blocks(spark, cards, monkeypatch):
+    from cardloom.operators import term_index
+
+    monkeypatch.setattr(term_index, "SLICE_DOCS", 64, raising=False)
+    index = TermIndex(spark, folder(spark), block_docs=16)
+    index.append(cards)
+    seg = index.snapshot().segments[0]
+    rows = spark.read.parquet(f"{index.path}/blocks/seg={seg['name']}").where("bucket >= 0").withColumn("file", F.input_file_name())
+    # so few blocks in a file whatever the size of the index, and only a file for a bucket and slice
+    assert seg["blocks"] > 8 and rows.groupBy("file").agg(F.max("blk") - F.min("blk")).agg(F.max("(max(blk) - min(blk))")).first()[0] < 8
+    assert rows.select("file").distinct().count() <= index.buckets * (seg["docs"] // 64 + 1)
+
+
+def test_words_of_a_block_are_counted_in_parts(spark, cards, whole, monkeypatch):
+    from cardloom.operators import term_index
+
+    block = lambda: {r["term"]: r for b in term_index._pack("words")(iter([batch])) for r in b.to_pylist()}
+    import pyarrow as pa
+
+    texts = ["a b a", None, "", "b b c", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * 5, pa.int32()), pa.array(range(5), pa.int16()), pa.array(texts)], ["blk", "ord", "text"])
+    want = block()
+    assert want["a"] == {"term": "a", "blk": 3, "n": 2, "max_tf": 2, "min_len": 1, "ords": [0, 4], "tfs": [2, 1], "norms": None}
+    assert want["c"]["tfs"] is None and (want[""]["tfs"], want[""]["norms"]) == ([3, 0, 0, 3, 1], [5, 0, 0, 5, 1])
+    monkeypatch.setattr(term_index, "WORDS_AT_ONCE", 2)
+    assert block() == want
