@@ -39,8 +39,8 @@ from cardloom.sources.versions import Versions
 BLOCK_DOCS = 4096
 #: Smaller segments are cut in up to so many blocks, of so many cards at least, as a block is made by one task; places are 16-bit numbers.
 SPREAD, LEAST_DOCS, MOST_DOCS = 48, 512, 16384
-#: At most so many partitions for blocks.
-MOST_PARTITIONS = 4096
+#: At most so many partitions for blocks; up to FILES_AT_ONCE, Spark deals rows out without holding or sorting them, so texts go to no more while partitions have under BLOCKS_AT_ONCE blocks.
+MOST_PARTITIONS, FILES_AT_ONCE, BLOCKS_AT_ONCE = 4096, 200, 8
 #: Letters of a term that choose its bucket: prefixes of so many letters or more need one bucket.
 BUCKET_LETTERS = 3
 BUCKETS = 16
@@ -217,7 +217,7 @@ class TermIndex:
 
     def _placed(self, cards: DataFrame, blocks: int) -> DataFrame:
         """cards (id, blk, h, ..) with ord, their places in their blocks, which lie in one partition each."""
-        dealt = cards.repartition(min(MOST_PARTITIONS, 2 * blocks), "blk")  # by the number of blocks: few bytes make much work
+        dealt = cards.repartition(min(MOST_PARTITIONS, 2 * blocks, max(FILES_AT_ONCE, blocks // BLOCKS_AT_ONCE)), "blk")  # by the number of blocks: few bytes make much work
         return dealt.withColumn("ord", F.expr("cast(row_number() over (partition by blk order by id, h) - 1 as smallint)"))
 
     def _write_blocks(self, rows: DataFrame, seg: dict) -> None:

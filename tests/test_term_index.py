@@ -213,3 +213,10 @@ def test_words_of_a_block_are_counted_in_parts(spark, cards, whole, monkeypatch)
     assert want["c"]["tfs"] is None and (want[""]["tfs"], want[""]["norms"]) == ([3, 0, 0, 3, 1], [5, 0, 0, 5, 1])
     monkeypatch.setattr(term_index, "WORDS_AT_ONCE", 2)
     assert block() == want
+
+
+def test_texts_are_dealt_without_being_held(spark, cards):
+    index = TermIndex(spark, folder(spark))
+    for blocks, most in ((1, 2), (126, 200), (1600, 200), (16_000, 2000), (80_000, 4096)):
+        plan = index._placed(cards.selectExpr("id", "cast(doc_id as int) as blk", "2L as h"), blocks)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("hashpartitioning(blk#", 1)[1].split(")")[0].split(", ")[1].startswith(str(most)), plan
