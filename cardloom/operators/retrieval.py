@@ -36,8 +36,10 @@ def hybrid_search(cards: DataFrame, index: TermIndex, query: str, vector: list[f
     vec = search.vector_search(alive, vector, top_n, alpha=1.0, scope=scope).select("id", "score", "timestamp")
     lex = lexical.bm25(index, X.words_of(query), top_n, prefix=True, folded=True, scope=scope)
     boosts = None if edges is None else lexical.graph_boost(lex, edges)
-    fused = lexical.rrf(vec, lex, boosts, alpha, k + SPARE, depth=top_n)
-    return alive.join(F.broadcast(fused.select("id", "score")), "id").orderBy(F.desc("score"), "timestamp", "id").limit(k)
+    fused = graph.stored(lexical.rrf(vec, lex, boosts, alpha, k + SPARE, depth=top_n).select("id", "score"))
+    # the few ids are known before their cards are read, so that a scan keeps these cards only, whatever cards are joined from
+    ids = [r["id"] for r in fused.select("id").collect()]
+    return alive.where(F.col("id").isin(ids)).join(F.broadcast(fused), "id").orderBy(F.desc("score"), "timestamp", "id").limit(k)
 
 
 def hybrid_retention(cards: DataFrame, index: TermIndex, query: str, vector: list[float], edges: DataFrame, now: float, k: int = 5, alpha: float = 0.7, branch: int = 60, scope: str | None = None, boost: float = 0.1, trigrams: TermIndex | None = None) -> DataFrame:
