@@ -220,3 +220,16 @@ def test_texts_are_dealt_without_being_held(spark, cards):
     for blocks, most in ((1, 2), (126, 200), (1600, 200), (16_000, 2000), (80_000, 4096)):
         plan = index._placed(cards.selectExpr("id", "cast(doc_id as int) as blk", "2L as h"), blocks)._jdf.queryExecution().executedPlan().toString()
         assert plan.split("hashpartitioning(blk#", 1)[1].split(")")[0].split(", ")[1].startswith(str(most)), plan
+
+
+def test_batches_count_their_cards_beside_their_postings(spark, cards):
+    index = TermIndex(spark, folder(spark), block_docs=16)
+    index.append(cards.where("doc_id % 2 = 0"))
+    index.upsert(cards.where("doc_id % 4 = 0").withColumn("fact", F.lit("a b a")))
+    snap = index.snapshot()
+    for s in snap.segments:
+        assert spark.read.parquet(f"{index.path}/blocks/seg={s['name']}/bucket=-1").agg(F.sum("n")).first()[0] == s["docs"]
+    want = cards.where("doc_id % 2 = 0").selectExpr("id", "if(doc_id % 4 = 0, 3, size(regexp_extract_all(lower(coalesce(fact, '')), '[\\\\p{L}\\\\p{N}]+', 0))) as len")
+    assert sorted(index.docs(snap).select("id", "len").collect()) == sorted(want.collect())
+    assert {r["norm2"] for r in index.docs(snap).where("len = 3").select("norm2").collect()} >= {5}
+    assert index.rows(["the"], snap, prefix=True).where("term = ''").count() == 0
