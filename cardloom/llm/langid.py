@@ -193,22 +193,26 @@ def infer(texts: list[str | None], langs: list[str], logs: np.ndarray) -> list[t
 
 
 class _Likelihoods:
-    """exp(logs[bucket]), in blocks of rows: kept if they fit one block, made again each time if not."""
+    """exp(logs[bucket]) by language and row, in blocks of rows: kept if they fit one block, made again each time if not."""
 
     def __init__(self, logs: np.ndarray, bucket: np.ndarray):
         self.logs, self.bucket, self.step = logs, bucket, max(1, BLOCK_CELLS // max(1, logs.shape[1]))
-        self.whole = np.exp(logs[bucket]).astype(np.float64) if len(bucket) <= self.step else None
+        self.whole = self._of(slice(None)) if len(bucket) <= self.step else None
+
+    def _of(self, part: slice) -> np.ndarray:
+        # a language's rows lie together, as languages are few
+        return np.ascontiguousarray(np.exp(self.logs[self.bucket[part]]).T, np.float64)
 
     def of(self, rows: np.ndarray) -> _Likelihoods:
         out = object.__new__(_Likelihoods)
         out.logs, out.bucket, out.step = self.logs, self.bucket[rows], self.step
-        out.whole = self.whole[rows] if self.whole is not None else None
+        out.whole = self.whole[:, rows] if self.whole is not None else None
         return out
 
     def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
         for at in range(0, len(self.bucket), self.step):
             part = slice(at, min(len(self.bucket), at + self.step))
-            yield part, self.whole if self.whole is not None else np.exp(self.logs[self.bucket[part]]).astype(np.float64)
+            yield part, self.whole if self.whole is not None else self._of(part)
 
 
 def _em(like, n, doc, first, total, allowed):
@@ -216,24 +220,25 @@ def _em(like, n, doc, first, total, allowed):
 
     def summed(part, values):
         if part.stop - part.start == len(doc):
-            return slice(None), np.add.reduceat(values, first, axis=0)
+            return slice(None), np.add.reduceat(values, first, axis=-1)
         at = np.flatnonzero(np.diff(doc[part], prepend=-1))
-        return doc[part][at], np.add.reduceat(values, at, axis=0)
+        return doc[part][at], np.add.reduceat(values, at, axis=-1)
 
-    share = allowed / allowed.sum(1, keepdims=True)
+    share = np.ascontiguousarray((allowed / allowed.sum(1, keepdims=True)).T)  # [language, document]
     for _ in range(EM_STEPS if (allowed.sum(1) > 1).any() else 1):
         new = np.zeros_like(share)
         for part, block in like.blocks():
-            w = block * share[doc[part]]
-            w *= (n[part] / w.sum(1))[:, None]
+            w = share.take(doc[part], axis=1)
+            w *= block
+            w *= n[part] / w.sum(0)
             docs, sums = summed(part, w)
-            new[docs] += sums
-        share = new / total[:, None]
+            new[:, docs] += sums
+        share = new / total
     fit = np.zeros(len(total))
     for part, block in like.blocks():
-        docs, sums = summed(part, n[part] * np.log((block * share[doc[part]]).sum(1)))
+        docs, sums = summed(part, n[part] * np.log((block * share.take(doc[part], axis=1)).sum(0)))
         fit[docs] += sums
-    return share, fit
+    return share.T, fit
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
