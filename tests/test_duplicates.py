@@ -92,3 +92,5 @@ def test_many_near_copies(spark, monkeypatch):
     monkeypatch.setattr(lifecycle, "SET_BLOCK", 7)
     got = [(r.a, r.b) for r in lifecycle.duplicate_pairs(cards_of(spark, facts)).collect()]
     assert len(want) > 500 and len(got) == len(want) and set(got) == want
+    monkeypatch.undo()
+    assert lifecycle.duplicate_links(cards_of(spark, facts)).count() <= 2 * 60
