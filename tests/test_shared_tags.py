@@ -33,3 +33,15 @@ def test_a_rebuilt_graph_groups_no_pairs(spark):
     edges = graph.rebuild(cards, 0.999)
     assert edges.where("relation_type = 'shared_tag'").count() == 60 * 59 // 2
     assert "keys=[source_id" not in edges._jdf.queryExecution().toString()
+
+
+def test_few_kinds_and_many_give_the_same_edges(spark, monkeypatch):
+    """With few sets of tags, sets are compared by kinds and not for each pair; ids that stand twice and null tags included."""
+    rng = random.Random(6)
+    cards = spark.createDataFrame([(f"c{rng.randrange(150):03d}", [rng.choice([*"abcd", None]) for _ in range(rng.randrange(4))]) for _ in range(200)], SCHEMA)
+    edges = lambda: graph.shared_tag_edges(cards, block_rows=9)
+    by_kind = edges()
+    assert "array_intersect" not in by_kind._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.source_id, r.target_id, round(r.weight, 9)) for r in by_kind.collect())
+    monkeypatch.setattr(graph, "MOST_KINDS", 0)
+    assert len(got) > 1000 and got == sorted((r.source_id, r.target_id, round(r.weight, 9)) for r in edges().collect())
